@@ -27,8 +27,8 @@ SEED = 42
 WORDS, MAX_BITS = 4, 4
 #: Lists longer than this are cut by a further shared byte, which loses no link where one is guaranteed.
 LONG_LIST = 20_000
-#: Rows of one list compared at a time.
-BLOCK = 4_096
+#: Rows of one list compared at a time, and links held before they are thinned to a forest.
+BLOCK, HELD = 2_048, 4_000_000
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -107,29 +107,33 @@ def _key(k: int, where: tuple[int, ...]) -> Column:
     return out
 
 
-def _links(f: np.ndarray, runs: list[tuple[int, int]], max_bits: int, min_bytes: int, key_bytes: int, guaranteed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified links (as row numbers) within each run of rows of ``f`` (rows x lanes)."""
+def _links(f: np.ndarray, runs: list[tuple[int, int]], max_bits: int, min_bytes: int, key_bytes: int, guaranteed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Verified links (two row numbers, differing bits) within each run of rows of ``f`` (rows x lanes)."""
 
-    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = f[a] ^ f[b]
         if min_bytes:
             tally = (x.view(np.uint8).reshape(len(a), -1) == 0).sum(1)
             keep = tally >= min_bytes
             a, b, x = a[keep], b[keep], x[keep]
-        keep = np.bitwise_count(x).sum(1, dtype=np.int64) <= max_bits
-        return a[keep], b[keep]
+        bits = np.bitwise_count(x).sum(1, dtype=np.int64)
+        keep = bits <= max_bits
+        return a[keep], b[keep], bits[keep]
 
-    def all_of(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def all_of(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for i in range(0, len(rows), BLOCK):
             left = rows[i : i + BLOCK]
             for j in range(i, len(rows), BLOCK):
                 right = rows[j : j + BLOCK]
-                bits = sum(np.bitwise_count(f[left, k][:, None] ^ f[right, k][None, :]).astype(np.uint16) for k in range(f.shape[1]))
-                a, b = np.nonzero(bits <= max_bits)
+                x = [f[left, k][:, None] ^ f[right, k][None, :] for k in range(f.shape[1])]
+                if min_bytes:
+                    tally = sum((y[..., None].view(np.uint8) == 0).sum(-1, dtype=np.uint8) for y in x)
+                bits = sum(np.bitwise_count(y).astype(np.int64) for y in x)
+                a, b = np.nonzero((bits <= max_bits) & (tally >= min_bytes) if min_bytes else bits <= max_bits)
                 keep = left[a] < right[b]
-                yield left[a[keep]], right[b[keep]]
+                yield left[a[keep]], right[b[keep]], bits[a[keep], b[keep]]
 
-    def cut(rows: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def cut(rows: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if len(rows) <= LONG_LIST or not guaranteed or depth >= min_bytes:
             yield from all_of(rows)
             return
@@ -173,11 +177,26 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which links make a spanning forest of n rows with the fewest differing bits."""
+    label, kept, at = np.arange(n), [], np.arange(len(a))
+    while len(at):
+        key, best = d[at] * len(a) + at, np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, label[a[at]], key)
+        np.minimum.at(best, label[b[at]], key)
+        chosen = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
+        kept.append(chosen)
+        label = roots(n, label[a[chosen]], label[b[chosen]])[label]
+        at = at[label[a[at]] != label[b[at]]]
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+
+
 def near_edges(nodes: DataFrame, lanes: int, sets: list[tuple[int, ...]], max_bits: int, min_bytes: int, guaranteed: bool) -> DataFrame:
     """Links (a, b) between rows of ``nodes`` (node, f0, ...) whose fingerprints are near.
 
     The lists are sorted by key within their partition and go through in batches; what a
-    batch keeps back is the unfinished list at its end.
+    batch keeps back is the unfinished list at its end. With ``guaranteed``, where a link is
+    a fact, a component of a list is told as a star; else as its forest of nearest links.
     """
     names, key_bytes = [f"f{i}" for i in range(lanes)], len(sets[0])
     lists = nodes.select(F.explode(F.array(*[_key(k, s) for k, s in enumerate(sets)])).alias("key"), "node", *names)
@@ -188,13 +207,20 @@ def near_edges(nodes: DataFrame, lanes: int, sets: list[tuple[int, ...]], max_bi
             key, node, f = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
             edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
             runs = [(int(x), int(y)) for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1]
-            a, b = [], []
-            for x, y in _links(f, runs, max_bits, min_bytes, key_bytes, guaranteed):
-                a.append(x)
-                b.append(y)
-            root = roots(len(rows), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(rows))
-            at = np.flatnonzero(root != np.arange(len(rows)))
-            pairs = np.unique(np.stack([node[at], node[root[at]]], axis=1), axis=0)
+            links = [np.empty((3, 0), np.int64)]
+            for found in _links(f, runs, max_bits, min_bytes, key_bytes, guaranteed):
+                links.append(np.stack(found))
+                if sum(x.shape[1] for x in links) > HELD:
+                    links = [(x := np.concatenate(links, axis=1))[:, forest(len(rows), *x)]]
+            a, b, d = np.concatenate(links, axis=1)
+            if guaranteed:
+                root = roots(len(rows), a, b)
+                a = np.flatnonzero(root != np.arange(len(rows)))
+                b = root[a]
+            else:
+                at = forest(len(rows), a, b, d)
+                a, b = a[at], b[at]
+            pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         kept: list[np.ndarray] = []
@@ -216,29 +242,16 @@ def near_edges(nodes: DataFrame, lanes: int, sets: list[tuple[int, ...]], max_bi
     return lists.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, lanes: int = 1, max_bits: int = MAX_BITS, sets: list[tuple[int, ...]] | None = None, min_bytes: int | None = None) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, fingerprint (hex), component_id.
+def _indexed(docs: DataFrame, words: int, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, f0, ...) of all rows, and a node, the smallest doc_id, for each fingerprint."""
+    prints = stored(fingerprints(docs, words, lanes), "fingerprints")
+    nodes = prints.where("doc_id is not null").groupBy(*[f"f{i}" for i in range(lanes)]).agg(F.min("doc_id").alias("node"))
+    return prints, stored(nodes, "nodes")
 
-    Fingerprints of ``lanes`` x 64 bits link at ``max_bits`` or fewer differing bits, and a
-    component's id is the smallest doc_id in it. Without ``sets`` the index is exact: with B
-    bytes it lists the sets of three positions of which any B - max_bits positions hold one
-    (20 sets for 64 bits and 4 bits). With ``sets``, pairs that share no listed set are not
-    found, and ``min_bytes`` is the tally below which a pair is dropped.
 
-    Empty and null texts have the fingerprint zero and link like any other. Rows that share
-    a doc_id count as one document with several texts, so their components join. A row with
-    a null doc_id has a fingerprint but no component and links nothing. An empty table gives
-    an empty result; other columns are ignored.
-    """
-    guaranteed = sets is None
-    if guaranteed:
-        min_bytes = 8 * lanes - max_bits
-        sets = position_sets(8 * lanes, min_bytes, min(3, min_bytes))
-    prints = stored(fingerprints(docs, words, lanes), "fingerprints")
+def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame, lanes: int) -> DataFrame:
+    """(doc_id, fingerprint, component_id) from the links between nodes."""
     names = [f"f{i}" for i in range(lanes)]
-    nodes = prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    nodes = stored(nodes, "nodes")
-    edges = near_edges(nodes, lanes, sets, max_bits, min_bytes or 0, guaranteed)
     # a doc_id with several fingerprints is one document
     twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct(*names).alias("n")).where("n > 1").select("doc_id")
     several = prints.join(twice, "doc_id").join(nodes, names).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -249,18 +262,77 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, lanes: int = 1, max_bit
     return out.select("doc_id", text.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# For similarities: 256 bits, near at 44 or fewer differing bits; neighbours on a ring at distance 1 and 2.
-WIDE = {"lanes": 4, "max_bits": 44, "min_bytes": 3, "sets": [tuple(sorted((i, (i + d) % 32))) for d in (1, 2) for i in range(32)]}
+def near_duplicates(docs: DataFrame, words: int = WORDS, lanes: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document (doc_id, text): doc_id, fingerprint (hex), component_id.
+
+    Fingerprints of ``lanes`` x 64 bits link at ``max_bits`` or fewer differing bits, and a
+    component's id is the smallest doc_id in it. The index is exact: with B bytes it lists
+    sets of positions of which any B - max_bits positions hold one (20 sets of three
+    positions for 64 bits and 4 bits).
+
+    Empty and null texts have the fingerprint zero and link like any other. Rows that share
+    a doc_id count as one document with several texts, so their components join. A row with
+    a null doc_id has a fingerprint but no component and links nothing. An empty table gives
+    an empty result; other columns are ignored.
+    """
+    shared = 8 * lanes - max_bits
+    if shared < 1:
+        raise ValueError("so many differing bits guarantee no shared byte")
+    prints, nodes = _indexed(docs, words, lanes)
+    edges = near_edges(nodes, lanes, position_sets(8 * lanes, shared, min(3, shared)), max_bits, shared, True)
+    return _grouped(prints, nodes, edges, lanes)
+
+
+# For similarities: 256 bits; a ring of 32 byte positions, each listed with its neighbours at
+# distance 1 and 2; links at 58 or fewer differing bits are candidates.
+LANES, CANDIDATE_BITS, CANDIDATE_BYTES = 4, 58, 3
+RING = [tuple(sorted((i, (i + d) % 32))) for d in (1, 2) for i in range(32)]
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t.as_py(), words)), np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["doc_id", "marks"])
+
+    return docs.mapInArrow(run, "doc_id long, marks binary")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents linked by Jaccard similarity of their word runs.
+
+    Candidates come from the positional index over wide fingerprints: a pair at similarity
+    0.8 differs in 39 of 256 bits on average (standard deviation 6), meets in some list with
+    probability 0.96 and at 0.9 with 0.999. Each list offers the forest of its nearest
+    links, and every offered link is verified on the word runs themselves. Documents with
+    equal fingerprints are one. Nulls, ties and empty tables: as ``near_duplicates``.
+    """
+    docs = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    prints, nodes = _indexed(docs, words, LANES)
+    links = stored(near_edges(nodes, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).distinct(), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # rows that share an id: any one of them, the same each time
+    sets = stored(_sets(docs.join(ends, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("marks").alias("marks")), "marks")
+    pairs = links.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
+    return _grouped(prints, nodes, pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), LANES)
 
-def one_of_each(docs: DataFrame, words: int = 5, wide: dict = WIDE) -> DataFrame:
-    """The documents, with all their columns, less all but the smallest doc_id of each component.
 
-    The fingerprints are wide enough to tell a similarity of 0.8 (Jaccard, runs of ``words``
-    words): such a pair differs in 39 of 256 bits on average (standard deviation 6). A pair
-    at 0.8 meets in the index with probability 0.96, at 0.85 with 0.99.
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, with all their columns, less all but the smallest doc_id of each group.
 
     Rows with a null doc_id stay. Of rows that share the kept doc_id all stay.
     """
-    found = near_duplicates(docs, words, **wide).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    found = similar_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_drop"), "left_anti")
