@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from simjoin.llm import chat, decontam, packing, pii, secret_scan, simhash, suffix_dedup, syncmers, toxicity, warc
 from simjoin.llm.common import table
+from simjoin.llm.oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -61,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,15 +81,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_syncmers": op10_syncmers,
 }
-
-ORACLES: dict[str, str] = {
-    "op5_warc": """
-        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-        d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
-        h AS (SELECT payload_digest, max(page_id) AS holder FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
-        SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
-               CASE WHEN holder IS NOT NULL AND holder IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN holder IS DISTINCT FROM page_id THEN holder END AS refers_to
-        FROM d LEFT JOIN h USING (payload_digest)
-    """,
-}

@@ -28,6 +28,8 @@ class Part:
     pattern: str
     group: int = 0  # the match counts if this group has `least` characters
     least: int = 0
+    most: int = 0  # characters of the whole match, 0 for any number
+    also: tuple[str, ...] = ()  # patterns that the match has to contain
     weak: bool = False
 
 
@@ -38,9 +40,9 @@ PARTS = (
     Part("assign", "secret", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Part("access", "identifier", "AKIA[A-Z0-9]{16,}"),
     Part("hex", "secret", "[0-9a-f]{24,}"),
-    Part("user", "identifier", r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", weak=True),
-    Part("blob", "secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/=_-])", weak=True),
-    Part("endpoint", "endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]{4,}""", weak=True),
+    Part("user", "identifier", r"""(?i)(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", weak=True),
+    Part("blob", "secret", "[A-Za-z0-9+/_-]{32,}={0,2}", most=130, also=("[0-9]", "[A-Z]"), weak=True),
+    Part("endpoint", "endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]{4,}""", weak=True),
 )
 
 
@@ -76,6 +78,10 @@ def scan(docs: DataFrame, parts: tuple[Part, ...] = PARTS, scope: int = SCOPE) -
     for k, p in enumerate(parts):
         if p.least:
             spans = spans.where((F.col("k") != k) | (F.length(F.regexp_extract("match", p.pattern, p.group)) >= p.least))
+        if p.most:
+            spans = spans.where((F.col("k") != k) | (F.col("size") <= p.most))
+        for pattern in p.also:
+            spans = spans.where((F.col("k") != k) | F.col("match").rlike(pattern))
     of = lambda test: F.col("k").isin([k for k, p in enumerate(parts) if test(p)])
     spans = spans.select("row", "k", (F.col("end") - F.col("size")).alias("start"), "end", of(lambda p: p.weak).alias("weak"), of(lambda p: p.role == "identifier").alias("id"), of(lambda p: p.role == "secret").alias("secret"))
     spans = stored(spans, "spans")
