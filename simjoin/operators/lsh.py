@@ -24,6 +24,7 @@ def tables_for(database: DataFrame, config: LshConfig) -> Tables:
     """Hash tables fitted to the database: one row per dimension comes to the driver."""
     stats = dimension_stats(database).orderBy("dim").collect()
     mean, std = np.array([r.mean for r in stats]), np.array([r.std for r in stats])
+    std = np.where(std > 1e-9 * np.abs(mean), std, 0)  # what is left of a constant is rounding
     pool = hashing.generated(len(stats), config.tables * max(1, config.multiplier), config.functions, config.w, mean, std, config.seed)
     if config.multiplier <= 1:
         return pool
