@@ -70,19 +70,28 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     own = m.select("tree", "node")
     up = m.alias("m").join(own.alias("p"), joined("m", "p", "parent", "node"), "left").select("m.tree", "m.node", F.col("p.node").alias("anc"), F.lit(1).cast("long").alias("steps"), "score", "m.node")
     up = up.toDF("tree", "node", "anc", "steps", "score", "top")
-    levels = [up := stored(up, "levels")]
+    levels, done = [up := stored(up, "levels")], []
     most = up.count().bit_length() + 1  # more only a circle needs
-    while len(levels) < most and up.where("anc is not null").limit(1).count():
+    while True:
         # from node up to, not including, anc: steps messages with that score; top is the last of them
-        a, b = up.alias("a"), up.alias("b")
-        known = F.col("b.node").isNotNull()
-        up = a.join(b, joined("a", "b", "anc", "node"), "left").select("a.tree", "a.node", "b.anc", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), F.when(known, F.col("b.top")).otherwise(F.col("a.top")).alias("top"))
+        done.append(up.where("anc is null"))
+        up = up.where("anc is not null")
+        if len(levels) >= most or not up.limit(1).count():
+            break
+        known = up
+        for d in done:
+            known = known.unionByName(d)
+        a, b = up.alias("a"), known.alias("b")
+        up = a.join(b, joined("a", "b", "anc", "node")).select("a.tree", "a.node", "b.anc", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.score") + F.col("b.score")).alias("score"), "b.top")
         levels.append(up := stored(up, "levels"))
+    up = done[0]
+    for d in done[1:]:
+        up = up.unionByName(d)
     parents = levels[0].where("anc is not null").select("tree", "anc").distinct()
-    leaves = up.where("anc is null").alias("u").join(parents.alias("p"), joined("u", "p", "node", "anc"), "left_anti")
+    leaves = up.alias("u").join(parents.alias("p"), joined("u", "p", "node", "anc"), "left_anti")
     order = W.partitionBy("tree", "top").orderBy(F.desc(F.col("score") / F.col("steps")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "rank", "node")
-    for level in reversed(levels[:-1]):  # every distance is a sum of powers of two
+    for level in reversed(levels):  # every distance is a sum of powers of two
         c, u = chosen.alias("c"), level.where("anc is not null").alias("u")
         chosen = stored(chosen.unionByName(c.join(u, joined("c", "u", "node", "node")).select("c.tree", "c.leaf", "c.rank", F.col("u.anc").alias("node"))), "paths")
     depth = up.select("tree", "node", F.col("steps").alias("depth"))
