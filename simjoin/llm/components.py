@@ -9,7 +9,7 @@ from simjoin.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node of the edges (a, b): root is the smallest node reachable.
+    """(node, root) of each node of the edges (a, b) but the roots: root is the smallest node reachable.
 
     Large-star and small-star steps in turn: each moves a node's neighbours to the smallest
     of them, with sums before the shuffle, so a hub costs no more than its row count. Every

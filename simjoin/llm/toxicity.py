@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from simjoin.llm.common import own_columns
 
 #: Labelled rows that are used at most, the first by a hash of their id.
-SAMPLE = 10_000
+SAMPLE = 8_000
 FEATURES = 4_096
 GRADES = 3
 #: Documents with a probability of any severity from here on are rejected.
