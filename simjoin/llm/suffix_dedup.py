@@ -37,7 +37,8 @@ HOT = 1_000
 RUN = 1_024
 #: Sampled strings for each range that the first occurrences of spread anchors are merged in.
 PER_RANGE = 20
-LANES = 2_048
+#: Suffixes that a lane of Kasai's walk passes; more lanes make longer numpy steps.
+LANE = 16
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).max
@@ -124,7 +125,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Bytes, up to ``most``, that each suffix of ``order`` shares with the one before it.
 
     Kasai's walk in text order, where a prefix shortens by at most one from a suffix to the
-    next; ``LANES`` stretches of the text are walked at once, and words are compared. Where
+    next; stretches of ``LANE`` suffixes are walked side by side, and words are compared. Where
     a prefix reached ``most``, the order behind it is not known, so the next one starts anew
     unless it has the same neighbour.
     """
@@ -132,11 +133,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     word = words_of(np.concatenate([text, np.zeros(most + 8, np.uint8)]))
-    stretch = -(-n // LANES)
-    at = np.arange(0, n, stretch)
+    at = np.arange(0, n, LANE)
     shared = np.zeros(len(at), np.int64)
     out = np.zeros(n, np.int16)
-    for _ in range(stretch):
+    for _ in range(LANE):
         i = at[at < n]
         j = before[i]
         held = np.where((shared[: len(i)] < most) | (j == before[i - 1] + 1), np.maximum(shared[: len(i)] - 1, 0), 0)
@@ -145,9 +145,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         while len(go):
             x = word[i[go] + held[go]] ^ word[j[go] + held[go]]
             same = x == 0
-            high = (x >> np.uint64(32)).astype(np.float64)  # leading zero bytes, from exponents
-            low = (x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-            held[go] += np.where(high > 0, (32 - np.frexp(high)[1]) // 8, np.where(same, 8, 4 + (32 - np.frexp(low)[1]) // 8))
+            same = x == 0
+            held[go[same]] += 8
+            last, x = go[~same], x[~same]
+            held[last] += sum((x < np.uint64(1 << b)).view(np.int8) for b in range(8, 64, 8))  # leading zero bytes
             go = go[same]
             go = go[held[go] < most]
         held = np.minimum(held, np.minimum(most, n - np.maximum(i, j)))
@@ -287,7 +288,7 @@ def _dealt(made: DataFrame, again: DataFrame, shards: int, window: int, hot: int
                     at = np.minimum(np.searchsorted(known[:, 0], anchor.view(np.int64)), len(known) - 1)
                     of = np.flatnonzero(known[at, 0] == anchor.view(np.int64))
                     parts = -(-known[at[of], 1] // hot)
-                    salt = _mixed(np.array([block * 1_000_003 + idx], np.uint64)) % parts.astype(np.uint64)
+                    salt = _mixed(np.array([(block * 1_000_003 + idx) & 0xFFFFFFFFFFFFFFFF], np.uint64)) % parts.astype(np.uint64)
                     shard = (_mixed(anchor[of]) + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)
                     for s, z, sh, p in zip(start[of].tolist(), size[of].tolist(), shard.tolist(), parts.tolist(), strict=True):
                         rows.append((sh, _NO_ID if doc is None else doc, block, idx, s, z, int(p > 1), data[s : s + z + window - 1]))
