@@ -31,8 +31,8 @@ from simjoin.llm.common import own_columns, partitions, stored
 WINDOW, K = 100, 24
 #: Text of a block, and of a shard, in bytes.
 BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
-#: Segments of one anchor in one shard; beyond, they are spread.
-HOT = 1_000
+#: Segments of one anchor in one shard, about as much text as a shard has; beyond, they are spread.
+HOT = 8_000
 #: Windows of a segment at most; longer runs of one anchor are cut.
 RUN = 1_024
 #: Sampled strings for each range that the first occurrences of spread anchors are merged in.
@@ -161,11 +161,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 class Shard:
     """Segments of one shard: what repeats within, and the first occurrences of spread ones."""
 
-    def __init__(self, rows: list[tuple], window: int = WINDOW):
-        doc, block, idx, start, size, spread = (np.array([r[i] for r in rows], np.int64) for i in range(6))
-        by = np.lexsort((start, idx, block, doc))  # the order of the corpus
-        self.doc, self.block, self.idx, self.start, self.size, self.spread = (x[by] for x in (doc, block, idx, start, size, spread))
-        text = np.frombuffer(b"".join(rows[i][6] for i in by), np.uint8)
+    def __init__(self, columns: list[np.ndarray], text: np.ndarray, window: int = WINDOW):
+        """``columns``: doc, block, idx, start, size, spread of each segment, in corpus order."""
+        self.doc, self.block, self.idx, self.start, self.size, self.spread = columns
         length = self.size + window - 1
         self.base, self.text, self.window = np.cumsum(length) - length, text, window
         order = suffix_array(text, window)
@@ -282,18 +280,23 @@ def _dealt(made: DataFrame, again: DataFrame, shards: int, window: int, hot: int
         for batch in batches:
             for block, ids, ends, body, anchors in zip(*batch.columns, strict=True):
                 block, known = block.as_py(), np.array(sorted((a["anchor"], a["total"]) for a in anchors.as_py()), np.int64).reshape(-1, 2)
-                rows: list[tuple] = []
-                for idx, (doc, data) in enumerate(zip(ids.as_py(), _documents(ends.as_py(), body.as_py()), strict=True)):
+                found: list[tuple[np.ndarray, ...]] = []
+                bodies, counts, docs = [], [], ids.as_py()
+                for idx, data in enumerate(_documents(ends.as_py(), body.as_py())):
                     start, size, anchor = segments(data, window)
                     at = np.minimum(np.searchsorted(known[:, 0], anchor.view(np.int64)), len(known) - 1)
                     of = np.flatnonzero(known[at, 0] == anchor.view(np.int64))
-                    parts = -(-known[at[of], 1] // hot)
-                    salt = _mixed(np.array([(block * 1_000_003 + idx) & 0xFFFFFFFFFFFFFFFF], np.uint64)) % parts.astype(np.uint64)
+                    parts = (-(-known[at[of], 1] // hot)).astype(np.uint64)
+                    salt = _mixed(np.array([(block * 1_000_003 + idx) & 0xFFFFFFFFFFFFFFFF], np.uint64)) % parts
                     shard = (_mixed(anchor[of]) + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)
-                    for s, z, sh, p in zip(start[of].tolist(), size[of].tolist(), shard.tolist(), parts.tolist(), strict=True):
-                        rows.append((sh, _NO_ID if doc is None else doc, block, idx, s, z, int(p > 1), data[s : s + z + window - 1]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 7 else pa.int64()) for i in range(8)], names=["shard", "doc", "block", "idx", "start", "size", "spread", "body"])
+                    found.append((shard.astype(np.int64), start[of], size[of], (parts > 1).astype(np.int64)))
+                    counts.append(len(of))
+                    bodies += [data[s:e] for s, e in zip(start[of].tolist(), (start[of] + size[of] + window - 1).tolist(), strict=True)]
+                shard, start, size, spread = (np.concatenate(x) for x in zip(*found, strict=True))
+                doc = np.repeat(np.array([_NO_ID if d is None else d for d in docs], np.int64), counts)
+                idx = np.repeat(np.arange(len(docs)), counts)
+                columns = [pa.array(x) for x in (shard, doc, np.full(len(doc), block), idx, start, size, spread)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], names=["shard", "doc", "block", "idx", "start", "size", "spread", "body"])
 
     lists = again.groupBy("block").agg(F.collect_list(F.struct("anchor", "total")).alias("anchors"))
     return made.join(lists, "block").select("block", "ids", "ends", "body", "anchors").mapInArrow(run, "shard long, doc long, block long, idx long, start long, size long, spread long, body binary")
@@ -303,25 +306,32 @@ def _searched(dealt: DataFrame, n: int, window: int) -> DataFrame:
     """(shard, doc, block, idx, start, end, string): marks, and with a string first occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(shard: int, rows: list[tuple]) -> pa.RecordBatch:
-            s = Shard(rows, window)
+        def out(pieces: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*(c for c, _ in pieces), strict=True)]
+            s = Shard(columns[1:], np.concatenate([t for _, t in pieces]), window)
+            shard = int(columns[0][0])
             told = [(shard, None, b, i, x, y, None) for b, i, x, y in s.marks()] + [(shard, d, b, i, x, x + window, t) for d, b, i, x, t in s.strings()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in told], pa.binary() if i == 6 else pa.int64()) for i in range(7)], names=["shard", "doc", "block", "idx", "start", "end", "string"])
 
-        shard, rows = -1, []
+        now, pieces = -1, []
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                columns = [c.to_pylist() for c in batch.slice(at, 2048).columns]
-                for r in zip(*columns, strict=True):
-                    if r[0] != shard and rows:
-                        yield out(shard, rows)
-                        rows = []
-                    shard = r[0]
-                    rows.append(r[1:])
-        if rows:
-            yield out(shard, rows)
-
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, doc long, block long, idx long, start long, end long, string binary")
+            if not len(batch):
+                continue
+            columns, body = [c.to_numpy() for c in batch.columns[:7]], batch.column(7)
+            ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1]
+            data = np.frombuffer(body.buffers()[2], np.uint8)
+            first = np.flatnonzero(np.diff(columns[0], prepend=-1))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(batch)], strict=True):
+                if columns[0][lo] != now and pieces:
+                    yield out(pieces)
+                    pieces = []
+                now = columns[0][lo]
+                # copies: a batch's memory is not kept
+                pieces.append(([c[lo:hi].copy() for c in columns], data[ends[lo] : ends[hi]].copy()))
+        if pieces:
+            yield out(pieces)
+
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "doc", "block", "idx", "start").mapInArrow(run, "shard long, doc long, block long, idx long, start long, end long, string binary")
 
 
 def _merged(strings: DataFrame, n: int) -> DataFrame:
