@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simjoin.functions.metric import L2, Metric
+from simjoin.operators.topk import matrix, partitions
 
 BINS = 500
 
@@ -50,10 +55,44 @@ def sampled(objects: DataFrame, fraction: float, seed: int = 937) -> DataFrame:
     return objects.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int(fraction * (1 << 30)))
 
 
-def distances(objects: DataFrame, metric: Metric | None = None) -> DataFrame:
-    """(distance) of each pair of different objects, once; meant for a sample."""
-    a, b = objects.select(F.col("key").alias("a"), F.col("vector").alias("x")), objects.select(F.col("key").alias("b"), F.col("vector").alias("y"))
-    return a.join(b, F.col("a") > F.col("b")).select((metric or L2()).column(F.col("x"), F.col("y")).alias("distance"))
+def distances(objects: DataFrame, metric: Metric | None = None, block: int = 4_096) -> DataFrame:
+    """(distance) of each pair of different objects, once; meant for a sample.
+
+    Objects are dealt to blocks by a hash of the key, and each pair of blocks meets in one
+    group, whose distances a kernel computes.
+    """
+    own = metric or L2()
+    n = max(1, -(-objects.count() // block))
+    rows = objects.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(n)).alias("b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o")
+    copies = rows.select("key", "vector", "b", other).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "key", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            v, side = matrix(t.column("vector").combine_chunks()), t.column("b").to_numpy() == t.column("i").to_numpy()
+            same = t.column("i")[0] == t.column("j")[0]
+            x, y = (v, v) if same else (v[side], v[~side])
+            for at in range(0, len(x), 512):
+                d = own.all_pairs(x[at : at + 512], y)
+                if same:
+                    d = d[np.arange(at, at + len(d))[:, None] > np.arange(len(y))[None]]
+                yield pa.RecordBatch.from_arrays([pa.array(d.ravel(), pa.float32())], names=["distance"])
+
+        now, parts = None, []
+        for batch in batches:
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            first = np.flatnonzero(np.diff(i, prepend=-1) | np.diff(j, prepend=-1)) if len(batch) else []
+            for lo, hi in zip(first, [*first[1:], len(batch)], strict=True):
+                if (i[lo], j[lo]) != now and parts:
+                    yield from out(parts)
+                    parts = []
+                now = (i[lo], j[lo])
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield from out(parts)
+
+    return copies.repartition(partitions(objects), "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "distance float")
 
 
 def distance_histogram(objects: DataFrame, fraction: float = 1.0, bins: int = BINS, metric: Metric | None = None) -> DataFrame:

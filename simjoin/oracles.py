@@ -142,7 +142,7 @@ ORACLES: dict[str, str] = {
     """,
     "kth_distance_stats": f"SELECT round(avg(CAST(d AS DOUBLE)), 4) AS avg_dist, round(CAST(max(d) AS DOUBLE), 4) AS max_dist FROM (SELECT d, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM ({_pairs()})) WHERE r = {K}",
     "distance_histogram": f"""
-        WITH d AS ({_pairs("q.vec_id % 5 = 0 AND s.vec_id % 5 = 0 AND q.vec_id > s.vec_id")}),
+        WITH d AS ({_pairs("q.vec_id > s.vec_id")}),
         r AS (SELECT CAST(min(d) AS DOUBLE) AS lo, (CAST(max(d) AS DOUBLE) - CAST(min(d) AS DOUBLE)) / 20 AS w FROM d)
         SELECT round(CAST(CAST(lo + bin * w AS FLOAT) AS DOUBLE), 4) AS step, count(*) AS count
         FROM (SELECT lo, w, least(19, CAST(floor((CAST(d AS DOUBLE) - lo) / w + 0.5) AS INTEGER)) AS bin FROM d, r) GROUP BY bin, lo, w

@@ -237,3 +237,10 @@ def test_stream(spark, tmp_path):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         knn_join(frame(spark, [[1.0]]), frame(spark, [[1.0]]), 1, "other")
+
+
+def test_distances_in_blocks(spark):
+    s = data(3, 50, 4)
+    want = sorted(L2().all_pairs(s, s)[np.tril_indices(50, -1)].tolist())
+    for block in (1_000, 7):
+        assert sorted(r.distance for r in profile.distances(frame(spark, s), block=block).collect()) == pytest.approx(want)
