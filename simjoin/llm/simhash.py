@@ -249,16 +249,17 @@ def _indexed(docs: DataFrame, words: int, lanes: int) -> tuple[DataFrame, DataFr
     return prints, stored(nodes, "nodes")
 
 
-def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame, lanes: int) -> DataFrame:
-    """(doc_id, fingerprint, component_id) from the links between nodes."""
+def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame, lanes: int, key: list[str] | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) from the links between nodes, of which each ``key`` (else fingerprint) has one."""
     names = [f"f{i}" for i in range(lanes)]
-    # a doc_id with several fingerprints is one document
-    twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct(*names).alias("n")).where("n > 1").select("doc_id")
-    several = prints.join(twice, "doc_id").join(nodes, names).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    key = key or names
+    # a doc_id with several keys is one document
+    twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct(*key).alias("n")).where("n > 1").select("doc_id")
+    several = prints.join(twice, "doc_id").join(nodes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = components(edges.unionByName(several))
-    labelled = nodes.join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    labelled = nodes.join(found, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
     text = F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in names])
-    out = prints.join(labelled, names, "left")
+    out = prints.join(labelled, key, "left")
     return out.select("doc_id", text.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -289,6 +290,27 @@ LANES, CANDIDATE_BITS, CANDIDATE_BYTES = 4, 58, 3
 RING = [tuple(sorted((i, (i + d) % 32))) for d in (1, 2) for i in range(32)]
 
 
+#: A digest of a document's distinct runs of words: documents are taken for equal by it, never by their fingerprint.
+SET_KEY = ["g0", "g1"]
+
+
+def _wide(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, g0, g1, f0, ...): the digest of each document's set of runs, and its fingerprint."""
+    names = [*SET_KEY, *(f"f{i}" for i in range(LANES))]
+
+    def of(text: str | None) -> np.ndarray:
+        runs = sorted(set(shingles(text, words)))
+        digest = xxhash.xxh3_128_digest(b"".join(len(r).to_bytes(8, "little") + r for r in runs))
+        return np.concatenate([np.frombuffer(digest, np.int64), fingerprint(text, words, LANES).view(np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([of(t.as_py()) for t in batch.column(1)], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i]) for i in range(len(names)))], names=["doc_id", *names])
+
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
 
@@ -307,11 +329,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     0.8 differs in 39 of 256 bits on average (standard deviation 6), meets in some list with
     probability 0.96 and at 0.9 with 0.999. Each list offers the forest of its nearest
     links, and every offered link is verified on the word runs themselves. Documents with
-    equal fingerprints are one. Nulls, ties and empty tables: as ``near_duplicates``.
+    equal sets of runs are one; those with equal fingerprints are candidates like any other.
+    Nulls, ties and empty tables: as ``near_duplicates``.
     """
     docs = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints, nodes = _indexed(docs, words, LANES)
-    links = stored(near_edges(nodes, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).distinct(), "links")
+    names = [f"f{i}" for i in range(LANES)]
+    prints = stored(_wide(docs, words), "fingerprints")
+    nodes = stored(prints.where("doc_id is not null").groupBy(*SET_KEY, *names).agg(F.min("doc_id").alias("node")), "nodes")
+    heads = nodes.groupBy(*names).agg(F.min("node").alias("node"))  # the lists hold a fingerprint once
+    equal = nodes.join(heads.withColumnRenamed("node", "b"), names).where("node <> b").select(F.col("node").alias("a"), "b")
+    links = stored(near_edges(heads, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).unionByName(equal).distinct(), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # rows that share an id: any one of them, the same each time
     sets = stored(_sets(docs.join(ends, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("marks").alias("marks")), "marks")
@@ -326,7 +353,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return _grouped(prints, nodes, pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), LANES)
+    return _grouped(prints, nodes, pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), LANES, SET_KEY)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -103,6 +103,14 @@ def test_similar_groups(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_equal_fingerprints_are_verified(spark):
+    own = [" ".join(f"w{k}x{i}" for i in range(100)) for k in range(9)]
+    line = " ".join(f"line{i}" for i in range(9)) + " "
+    rows = [(3 * j + k, own[3 * j + k] + " " + filler) for j, filler in enumerate((". " * 120, "na " * 150, line * 200)) for k in range(3)]
+    rows.append((100, rows[4][1] + " "))  # the same runs
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, *rows)).collect()) == list(range(9))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
