@@ -312,14 +312,95 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
+    """(family, node, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t.as_py(), words)), np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["doc_id", "marks"])
+            marks = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t.as_py(), words)), np.uint32)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.binary())], names=["family", "node", "marks"])
 
-    return docs.mapInArrow(run, "doc_id long, marks binary")
+    return docs.mapInArrow(run, "family long, node long, marks binary")
+
+
+def alike(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs of ``sets`` whose Jaccard similarity is reached.
+
+    With ``side`` (a number for each set) only pairs across sides are compared. Rarest
+    members first, two such sets share one of their first n - ceil(similarity * n) + 1, so an
+    inverted index over those finds every pair; pairs that are connected already are skipped.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if len(sets) < 2:
+        return []
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    token = rank[token]
+    own = [np.sort(token[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
+    first = [x[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] for x in own]
+    lengths = np.array([len(x) for x in first])
+    keys, rows = np.concatenate(first), np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]  # postings, each in order of rows
+    label, flag, out = np.arange(len(sets)), np.zeros(len(count), bool), []
+    for i in range(len(sets)):
+        if not sizes[i]:
+            continue
+        lo, hi = np.searchsorted(keys, first[i]), np.searchsorted(keys, first[i], "right")
+        near = np.unique(np.concatenate([rows[x:y] for x, y in zip(lo, hi, strict=True)]))
+        near = near[(near < i) & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9)]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        flag[own[i]] = True
+        while len(near := near[label[near] != label[i]]):
+            some, near = near[:64], near[64:]
+            both = np.add.reduceat(flag[np.concatenate([own[k] for k in some])].astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for k in some[both >= similarity * (sizes[some] + sizes[i] - both)]:
+                if label[k] != label[i]:
+                    label[label == label[k]] = label[i]
+                    out.append((int(k), i))
+        flag[own[i]] = False
+    return out
+
+
+#: Sets, and bytes of sets, in one block of a family.
+FAMILY_SETS, FAMILY_BYTES = 8_192, 32 << 20
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the nodes of each family that are as similar: a forest of them for each two blocks.
+
+    A family of one block is compared in one place. A larger one is dealt to g blocks by a
+    hash, and each pair of blocks is compared in a place of its own, so all pairs are.
+    """
+    n = F.greatest(F.ceil(F.count("*") / FAMILY_SETS), F.ceil(F.sum(F.length("marks")) / FAMILY_BYTES), F.lit(1)).cast("long")
+    dealt = sets.join(sets.groupBy("family").agg(n.alias("g")), "family").withColumn("block", F.pmod(F.xxhash64("node", "marks"), "g"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")
+    dealt = dealt.select("family", "node", "block", "marks", other).select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "marks")
+    dealt = dealt.repartition(partitions(sets.sparkSession), "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            rows = sorted(set(rows))
+            node, side = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+            found = alike([np.frombuffer(r[2], np.uint32) for r in rows], similarity, side if len(set(side.tolist())) > 1 else None)
+            found = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], names=["a", "b"])
+
+        at, kept = None, []
+        for batch in batches:
+            places = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for k, place in enumerate(places):
+                if place != at:
+                    if len(kept) > 1:
+                        yield of(kept)
+                    at, kept = place, []
+                kept.append((batch.column(3)[k].as_py(), batch.column(4)[k].as_py(), batch.column(5)[k].as_py()))
+        if len(kept) > 1:
+            yield of(kept)
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -327,10 +408,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Candidates come from the positional index over wide fingerprints: a pair at similarity
     0.8 differs in 39 of 256 bits on average (standard deviation 6), meets in some list with
-    probability 0.96 and at 0.9 with 0.999. Each list offers the forest of its nearest
-    links, and every offered link is verified on the word runs themselves. Documents with
-    equal sets of runs are one; those with equal fingerprints are candidates like any other.
-    Nulls, ties and empty tables: as ``near_duplicates``.
+    probability 0.96 and at 0.9 with 0.999. Documents connected by candidates, directly or
+    not, are a family; of each list a forest of candidates suffices for that. Within a
+    family all pairs are compared by the word runs themselves. Documents with equal sets of
+    runs are one; those with equal fingerprints are candidates like any other. Nulls, ties
+    and empty tables: as ``near_duplicates``.
     """
     docs = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     names = [f"f{i}" for i in range(LANES)]
@@ -338,22 +420,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     nodes = stored(prints.where("doc_id is not null").groupBy(*SET_KEY, *names).agg(F.min("doc_id").alias("node")), "nodes")
     heads = nodes.groupBy(*names).agg(F.min("node").alias("node"))  # the lists hold a fingerprint once
     equal = nodes.join(heads.withColumnRenamed("node", "b"), names).where("node <> b").select(F.col("node").alias("a"), "b")
-    links = stored(near_edges(heads, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).unionByName(equal).distinct(), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # rows that share an id: any one of them, the same each time
-    sets = stored(_sets(docs.join(ends, "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("marks").alias("marks")), "marks")
-    pairs = links.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
-
-    return _grouped(prints, nodes, pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), LANES, SET_KEY)
+    found = components(near_edges(heads, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).unionByName(equal))
+    family = found.select("node", F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
+    family = stored(family, "families")
+    sets = stored(_sets(docs.join(family.withColumnRenamed("node", "doc_id"), "doc_id").select("family", F.col("doc_id").alias("node"), "text"), words), "marks")
+    return _grouped(prints, nodes, _verified(sets, similarity), LANES, SET_KEY)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -111,6 +111,45 @@ def test_equal_fingerprints_are_verified(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, *rows)).collect()) == list(range(9))
 
 
+def jaccard_groups(texts, n=5, least=0.8):
+    sets = [set(simhash.shingles(t, n)) for t in texts]
+    ok = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    return ok, simhash.roots(len(sets), *np.array(ok, np.int64).reshape(-1, 2).T).tolist()
+
+
+def loose_family(count, words, edits):
+    rng = np.random.default_rng(11)
+    base = np.array([f"w{i}" for i in range(words)], object)
+    out = []
+    for k in range(count):
+        t = base.copy()
+        t[rng.choice(words, edits, replace=False)] = [f"e{k}x{i}" for i in range(edits)]
+        out.append(" ".join(t))
+    return out
+
+
+def test_alike_finds_every_pair():
+    texts = loose_family(60, 400, 6)
+    marks = [np.array(sorted({xxhash.xxh32_intdigest(p, 1) for p in simhash.shingles(t, 5)}), np.uint32) for t in texts]
+    ok, want = jaccard_groups(texts)
+    assert ok and len(set(want)) > 1
+    found = np.array(simhash.alike(marks, 0.8), np.int64).reshape(-1, 2)
+    assert simhash.roots(60, *found.T).tolist() == want
+    side = np.arange(60) % 2
+    found = np.array(simhash.alike(marks, 0.8, side), np.int64).reshape(-1, 2)
+    across = np.array([p for p in ok if side[p[0]] != side[p[1]]], np.int64).reshape(-1, 2)
+    assert simhash.roots(60, *found.T).tolist() == simhash.roots(60, *across.T).tolist()
+
+
+def test_loose_families_keep_their_links(spark, monkeypatch):
+    texts = loose_family(150, 400, 6)
+    _, want = jaccard_groups(texts)
+    for sets in (8_192, 40):
+        monkeypatch.setattr(simhash, "FAMILY_SETS", sets)
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_of(spark, *enumerate(texts))).collect()}
+        assert [got[i] for i in range(150)] == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
