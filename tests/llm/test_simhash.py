@@ -150,6 +150,13 @@ def test_loose_families_keep_their_links(spark, monkeypatch):
         assert [got[i] for i in range(150)] == want
 
 
+def test_repetition_does_not_hide_copies(spark):
+    text, line = " ".join(f"w{i}" for i in range(300)), " " + " ".join(f"line{i}" for i in range(12))
+    rows = [(k, text + line * n) for k, n in enumerate((2, 12, 1, 40))]
+    assert (simhash.fingerprint(rows[0][1], 5, 4, True) == simhash.fingerprint(rows[1][1], 5, 4, True)).all()
+    assert [r.doc_id for r in simhash.one_of_each(docs_of(spark, *rows)).collect()] == [0]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
