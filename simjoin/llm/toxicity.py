@@ -34,6 +34,8 @@ TELLING = 20.0
 #: Words that a Python worker remembers the features of.
 REMEMBERED = 500_000
 PREFIXES = (4, 5, 6)
+#: Words from which on evidence counts by its rate, so that a longer text of the same kind has the same score.
+LONG = 500
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,8 +46,9 @@ def features(word: str) -> list[str]:
 
 
 def value(count: float, words: int) -> float:
-    """How much ``count`` occurrences among so many words say."""
-    return math.log2(1 + count) / (1 + words / 1000)
+    """How much ``count`` occurrences among so many words say; among more than ``LONG``, their number in ``LONG`` words."""
+    held = min(words, LONG)
+    return math.log2(1 + count * held / max(words, 1)) / (1 + held / 1000)
 
 
 @dataclass(frozen=True)

@@ -163,6 +163,18 @@ def test_ordinal_regression(spark, odd, none):
     assert toxicity.train([("a", 1), ("b", 1)]).probabilities(0)[0] > 0.9
 
 
+def test_toxicity_does_not_fade_with_length():
+    rng = np.random.default_rng(5)
+    words = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    text = lambda bad: " ".join([*rng.choice(words, 80), *rng.choice(["vile", "awful", "nasty"], bad)])
+    rows = [(text(0 if i % 3 else 3 + i % 9), int(i % 3 == 0)) for i in range(600)]
+    model = toxicity.train(rows)
+    rejected = lambda t: model.probabilities(toxicity.Scorer(model).score(t))[0] >= 0.5
+    toxic, clean = [t for t, y in rows if y and rejected(t)][:20], [t for t, y in rows if not y]
+    assert len(toxic) == 20 and all(rejected(" ".join([t] * n)) for t in toxic for n in (10, 100, 300))
+    assert rejected(" ".join(t for t, y in rows if y)) and not rejected(" ".join(clean * 3))
+
+
 # --- decontamination ----------------------------------------------------------------------
 @pytest.mark.parametrize("block_words", [10**6, 40])
 def test_windows_against_brute_force(spark, block_words):
