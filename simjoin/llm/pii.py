@@ -100,7 +100,8 @@ class Kind:
     name: str
     pattern: re.Pattern
     needs: str  # a character without which no text has this kind
-    swap: Callable[[Feistel, str, bool], str | None]
+    swap: Callable[[Feistel, str, bool], str | None] | None = None
+    parts: Callable[[Feistel, str, bool], list[tuple[int, int, str]]] | None = None  # instead, of matches that may hold several
 
 
 def _email(f: Feistel, m: str, back: bool) -> str | None:
@@ -108,15 +109,61 @@ def _email(f: Feistel, m: str, back: bool) -> str | None:
     return f"{permute_text(f, local, b'email|' + domain.lower().encode(), back)}@{domain}"
 
 
-def _card(f: Feistel, m: str, back: bool) -> str | None:
+def _is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+
+def _card(f: Feistel, m: str, back: bool, fits: Callable[[str], bool] = lambda new: True) -> str | None:
     d = re.sub(r"\D", "", m)
-    if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+    if not _is_card(d):
         return None
     n = len(d) - 1
+    told = lambda x: (p := f"{x:0{n}d}") + luhn_digit(p)
     # numbers of one repeated digit are no cards, so none becomes one
-    new = f.permute(int(d[:-1]), 10**n, b"card", back, lambda x: len(set((p := f"{x:0{n}d}") + luhn_digit(p))) > 1)
-    p = f"{new:0{n}d}"
-    return _refill(m, p + luhn_digit(p))
+    new = f.permute(int(d[:-1]), 10**n, b"card", back, lambda x: len(set(told(x))) > 1 and fits(_refill(m, told(x))))
+    return _refill(m, told(new))
+
+
+#: How cards are usually grouped.
+LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+
+
+def card_parts(run: str) -> list[tuple[int, int]]:
+    """Where in a run of groups of digits the cards are, in order.
+
+    The whole run is tried first, then groups in the usual layouts, then all others with
+    one separator, longest first; always whole groups. A part that is taken blocks others.
+    """
+    groups = [x.span() for x in re.finditer(r"\d+", run)]
+    found = []
+    for i in range(len(groups)):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13:
+                whole = j - i + 1 == len(groups)
+                start, end = groups[i][0], groups[j][1]
+                usual = i == j or tuple(e - s for s, e in groups[i : j + 1]) in LAYOUTS
+                if whole or len(set(re.findall(r"\D", run[start:end]))) < 2:
+                    found.append((not whole, not usual, -n, start, end))
+    out: list[tuple[int, int]] = []
+    for *_, start, end in sorted(found):
+        if all(end <= s or e <= start for s, e in out) and _is_card(re.sub(r"\D", "", run[start:end])):
+            out.append((start, end))
+    return sorted(out)
+
+
+def _cards(f: Feistel, run: str, back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of the cards in a run; they are found in the same places in the run of pseudonyms."""
+    parts, out = card_parts(run), []
+    for start, end in reversed(parts) if back else parts:
+        fits = (lambda new: True) if parts == [(0, len(run))] else lambda new: card_parts(run[:start] + new + run[end:]) == parts  # noqa: B023
+        new = _card(f, run[start:end], back, fits)
+        out.append((start, end, new))
+        run = run[:start] + new + run[end:]
+    return sorted(out)
 
 
 def _ssn(f: Feistel, m: str, back: bool) -> str | None:
@@ -125,12 +172,21 @@ def _ssn(f: Feistel, m: str, back: bool) -> str | None:
     return _refill(m, f"{f.permute(x, 10**9, b'ssn', back, lambda v: bool(ok(v))):09d}") if ok(x) else None
 
 
+_PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+#: Country codes of one and two digits; the others have three.
+_CODES = re.compile("[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+
+
 def _phone(f: Feistel, m: str, back: bool) -> str | None:
     d = re.sub(r"\D", "", m)
-    keep = len(d) - 10  # the country's code
-    if not 0 <= keep <= 3:
+    if re.fullmatch(_PHONE, m):
+        keep = len(d) - 10  # the country's code
+    elif "." in m and (" " in m or "-" in m):
         return None
-    return _refill(m, d[:keep] + f"{f.permute(int(d[keep:]), 10**10, b'phone|' + d[:keep].encode(), back):010d}")
+    else:
+        keep = len(code[0]) if (code := _CODES.match(d)) else 3
+    n = len(d) - keep
+    return _refill(m, d[:keep] + f"{f.permute(int(d[keep:]), 10**n, b'phone|' + d[:keep].encode(), back):0{n}d}")
 
 
 def _ip(f: Feistel, m: str, back: bool) -> str | None:
@@ -173,9 +229,9 @@ def _date(f: Feistel, m: str, back: bool) -> str | None:
 KINDS = (
     Kind("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@", _email),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "", _iban),
-    Kind("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"), "", _card),
+    Kind("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), "", parts=_cards),
     Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "-", _ssn),
-    Kind("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"), "", _phone),
+    Kind("phone", re.compile(rf"(?<![\w+]){_PHONE}(?!\w)|(?<![\w+])\+[1-9](?:(?: ?\(|[ .-])?\d\)?){{7,14}}(?!\w)"), "", _phone),
     Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\w/-])"), "", _date),
     Kind("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ".", _ip),
 )
@@ -194,7 +250,19 @@ def spans(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str
         for m in kind.pattern.finditer(text):
             while at < len(taken) and taken[at][1] <= m.start():
                 at += 1
-            if (at == len(taken) or taken[at][0] >= m.end()) and (new := kind.swap(f, m[0], back)) is not None:
+            free = at == len(taken) or taken[at][0] >= m.end()
+            if kind.parts:
+                # what is left of the match between those that were taken and what has the shape of another number
+                shapes = [x.span() for k in KINDS if k.name in ("ssn", "phone", "date") for x in k.pattern.finditer(text, max(0, m.start() - 1), m.end())]
+                held, runs, start = sorted([*(x[:2] for x in taken[at:] if x[0] < m.end()), *shapes]), [m], m.start()
+                if held:
+                    runs = []
+                    for s, e in [*held, (m.end(), m.end())]:
+                        if start < s:
+                            runs += kind.pattern.finditer(text, start, s)
+                        start = max(start, e)
+                more += [(r.start() + s, r.start() + e, kind.name, new) for r in runs for s, e, new in kind.parts(f, r[0], back)]
+            elif free and (new := kind.swap(f, m[0], back)) is not None:
                 more.append((m.start(), m.end(), kind.name, new))
         found = sorted([*found, *more])
     return found

@@ -48,6 +48,26 @@ def test_formats():
     assert pii.spans(text, f)[1][3] == pii.spans("again 4539 1488 0343 6467", f)[0][3]
 
 
+def test_cards_beside_other_numbers():
+    f, card = pii.Feistel(b"k"), "4111 1111 1111 1111"
+    texts = [card + " 123", card + " 12/25", "12 " + card, "1234 5678 " + card + " 99", card + " " + "4539 1488 0343 6467", "3782 822463 10005 1234", "call 555-123-4567 " + card]
+    texts += [f"4539 1488 0343 6467 {k:03d}" for k in range(60)] + [f"{k} 4539148803436467 {k}" for k in range(60)]
+    for text in texts:
+        out = pii.replaced(text, found := pii.spans(text, f))
+        assert "card" in [k for _, _, k, _ in found] and not any(x in out for x in (card, "4539 1488 0343 6467", "4539148803436467", "3782 822463 10005")), text
+        assert len(out) == len(text) and pii.replaced(out, pii.spans(out, f, back=True)) == text
+    assert pii.spans("1" * 20 + " 4111 1111 1111 1112 123", f) == []
+
+
+def test_phones_of_other_countries():
+    f = pii.Feistel(b"k")
+    for text in ("+44 20 7946 0958", "+442079460958", "+49 (0)30 901820", "+33 1 42 68 53 00", "+358 9 1234 5678"):
+        found = pii.spans(text, f)
+        assert [x[:3] for x in found] == [(0, len(text), "phone")] and found[0][3] != text and found[0][3][:3] == text[:3]
+        assert pii.replaced(found[0][3], pii.spans(found[0][3], f, back=True)) == text
+    assert pii.spans("+1.5 2.25 3.125 4.0", f) == []
+
+
 def test_pseudonymised_rows(spark, odd, none):
     out = pii.pseudonymised(odd)
     assert sorted(out.columns) == sorted(odd.columns)
