@@ -60,13 +60,23 @@ class _Ids(dict):
 
 
 class Encoder:
-    """Token ids of whole texts; strings of special tokens in a text are ordinary text."""
+    """Token ids of whole texts, as the library of the file's format gives them.
 
-    def __init__(self, path: str):
+    The string of an added token in a text is that token, as there; with ``added`` false it
+    is ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            held = json.load(f)
+        model = held["model"]
+        if any(t[k] for t in held["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take more than their own string are not supported")
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in held["added_tokens"] if added}
+        # of tokens that begin alike the longest is taken
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         byte_of, vocab = _byte_of(), model["vocab"]
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
         if any(vocab[m] != 256 + i for i, m in enumerate(merged)):
@@ -76,14 +86,19 @@ class Encoder:
         self.whole, self.ids = encoding.encode_ordinary, _Ids(encoding)
 
     def __call__(self, text: str) -> bytes:
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[t] if i % 2 else self.plain(t) for i, t in enumerate(self.cut.split(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if _BEYOND.search(text):
             return np.array(self.whole(text), dtype="<u4").tobytes()
         return b"".join(map(self.ids.__getitem__, _LATIN.findall(text)))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = True) -> Encoder:
+    return Encoder(path, added)
 
 
 def cuts(n: int, limit: int) -> list[tuple[int, int]]:
@@ -100,12 +115,13 @@ def cuts(n: int, limit: int) -> list[tuple[int, int]]:
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("bucket", pa.int32())])
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, keep_ids: bool = False, added: bool = True) -> DataFrame:
     """One row per piece of the documents (doc_id, text).
 
     ``tokenizer`` is the path of a byte-level BPE file, readable on every executor (it is
     installed there, as a library's data). ``max_tokens`` must be a power of two. With
-    ``keep_ids`` the rows carry the ids as well. ``bucket`` is the binary logarithm of the
+    ``keep_ids`` the rows carry the ids as well. With ``added`` false, the strings of added
+    tokens (as "<|endoftext|>") in texts are ordinary text, for untrusted corpora. ``bucket`` is the binary logarithm of the
     length, ``sequence_id`` a number that is unique within the result.
 
     A null text is an empty one: its document is the single end id. A null doc_id stays
@@ -118,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, next_id = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, next_id = encoder(tokenizer, added), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)

@@ -14,17 +14,25 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|endoftext|", "<|", " ", "\n"])), max_size=8).map("".join))
 def test_ids_are_those_of_the_tokenizer(reference, text):
-    for t in (text, text + " it's  naïve\t\n x²3½ _a-b <|endoftext|> \x1c\x85\xa0 "):
+    for t in (text, text + " it's  naïve\t\n x²3½ _a-b <|endoftext|> \x1c\x85\xa0 ", f"a b<|endoftext|>c{text}"):
         assert np.frombuffer(packing.encoder(tokenizer_path())(t), "<u4").tolist() == reference(t)
 
 
+def test_added_tokens_as_ordinary_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    for text in ("a b<|endoftext|>c", "<|endoftext|>", "漢<|endoftext|><|endoftext|>"):
+        assert np.frombuffer(packing.encoder(tokenizer_path(), False)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @given(st.integers(1, 20_000))
 def test_cuts_cover_in_powers_of_two(n):
     pieces = packing.cuts(n, 2048)
