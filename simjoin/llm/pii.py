@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: For tests and examples; pass a secret of your own.
-DEFAULT_KEY = b"simjoin pseudonyms"
+#: Characters of a mailbox's name at most; of a longer run before an @ the last so many are one.
+MAILBOX = 64
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -101,9 +101,27 @@ class Kind:
     pattern: re.Pattern
     needs: str  # a character without which no text has this kind
     swap: Callable[[Feistel, str, bool], str | None] | None = None
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None  # instead of the pattern's own matches
     parts: Callable[[Feistel, str, bool], list[tuple[int, int, str]]] | None = None  # instead, of matches that may hold several
 
 
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """From each @ backwards, so that a long run of characters is walked once."""
+    at, free = text.find("@"), 0
+    while at >= 0:
+        if domain := _DOMAIN.match(text, at + 1):
+            start = at
+            while start > max(free, at - MAILBOX) and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+                start -= 1
+            if start < at:
+                yield start, domain.end()
+                free = domain.end()
+        at = text.find("@", max(at + 1, free))
+
+
 def _email(f: Feistel, m: str, back: bool) -> str | None:
     local, _, domain = m.rpartition("@")
     return f"{permute_text(f, local, b'email|' + domain.lower().encode(), back)}@{domain}"
@@ -128,15 +146,14 @@ def _card(f: Feistel, m: str, back: bool, fits: Callable[[str], bool] = lambda n
 LAYOUTS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 
 
-def card_parts(run: str) -> list[tuple[int, int]]:
-    """Where in a run of groups of digits the cards are, in order.
+def _groups(run: str) -> list[tuple[int, int]]:
+    return [x.span() for x in re.finditer(r"\d+", run)]
 
-    The whole run is tried first, then groups in the usual layouts, then all others with
-    one separator, longest first; always whole groups. A part that is taken blocks others.
-    """
-    groups = [x.span() for x in re.finditer(r"\d+", run)]
+
+def _candidates(run: str, groups: list[tuple[int, int]], low: int, high: int) -> list[tuple]:
+    """The valid cards of whole groups that begin in groups low to high - 1: (order, first group, last group)."""
     found = []
-    for i in range(len(groups)):
+    for i in range(low, high):
         n = 0
         for j in range(i, len(groups)):
             n += groups[j][1] - groups[j][0]
@@ -146,23 +163,62 @@ def card_parts(run: str) -> list[tuple[int, int]]:
                 whole = j - i + 1 == len(groups)
                 start, end = groups[i][0], groups[j][1]
                 usual = i == j or tuple(e - s for s, e in groups[i : j + 1]) in LAYOUTS
-                if whole or len(set(re.findall(r"\D", run[start:end]))) < 2:
-                    found.append((not whole, not usual, -n, start, end))
-    out: list[tuple[int, int]] = []
-    for *_, start, end in sorted(found):
-        if all(end <= s or e <= start for s, e in out) and _is_card(re.sub(r"\D", "", run[start:end])):
-            out.append((start, end))
-    return sorted(out)
+                text = run[start:end]
+                if (whole or len(set(re.findall(r"\D", text))) < 2) and _is_card(re.sub(r"\D", "", text)):
+                    found.append(((not whole, not usual, -n, start), i, j))
+    return found
+
+
+def _chosen(found: list[tuple], groups: list[tuple[int, int]]) -> list[tuple]:
+    """The candidates that are taken, by place."""
+    taken, out = bytearray(len(groups)), []
+    for order, i, j in sorted(found):
+        if not any(taken[i : j + 1]):
+            taken[i : j + 1] = b"\1" * (j + 1 - i)
+            out.append((order, i, j))
+    return sorted(out, key=lambda x: x[1])
+
+
+def card_parts(run: str) -> list[tuple[int, int]]:
+    """Where in a run of groups of digits the cards are, in order.
+
+    The whole run is tried first, then groups in the usual layouts, then all others with
+    one separator, longest first; always whole groups. A part that is taken blocks others.
+    """
+    groups = _groups(run)
+    return [(groups[i][0], groups[j][1]) for _, i, j in _chosen(_candidates(run, groups, 0, len(groups)), groups)]
 
 
 def _cards(f: Feistel, run: str, back: bool) -> list[tuple[int, int, str]]:
-    """(start, end, pseudonym) of the cards in a run; they are found in the same places in the run of pseudonyms."""
-    parts, out = card_parts(run), []
-    for start, end in reversed(parts) if back else parts:
-        fits = (lambda new: True) if parts == [(0, len(run))] else lambda new: card_parts(run[:start] + new + run[end:]) == parts  # noqa: B023
-        new = _card(f, run[start:end], back, fits)
+    """(start, end, pseudonym) of the cards in a run; they are found in the same places in the run of pseudonyms.
+
+    For that, a candidate that a pseudonym makes across its borders must not go before it,
+    unless another part blocks that candidate. A candidate has at most 19 groups, so only
+    groups that near are looked at.
+    """
+    groups, out = _groups(run), []
+    parts = _chosen(_candidates(run, groups, 0, len(groups)), groups)
+    owner: list[tuple | None] = [None] * len(groups)
+    for order, i, j in parts:
+        owner[i : j + 1] = [order] * (j + 1 - i)
+    digits = [run[s:e] for s, e in groups]  # as they are after the cards before
+    for order, i, j in reversed(parts) if back else parts:
+        low, high = max(0, i - 19), min(len(groups), j + 20)
+        base, start, end = groups[low][0], groups[i][0], groups[j][1]
+        near = [(s - base, e - base) for s, e in groups[low:high]]
+
+        def fits(new: str, order=order, i=i, j=j, low=low, high=high, base=base, near=near) -> bool:
+            text = _refill(run[base : groups[high - 1][1]], "".join([*digits[low:i], re.sub(r"\D", "", new), *digits[j + 1 : high]]))
+            for (*kind, at), a, b in _candidates(text, near, 0, j + 1 - low):
+                mine, blocks = (*kind, at + base), owner[low + a : low + b + 1]
+                if b >= i - low and mine < order and not any(o and o < mine for o in blocks):
+                    return False
+            return True
+
+        new = _card(f, _refill(run[start:end], "".join(digits[i : j + 1])), back, fits)
         out.append((start, end, new))
-        run = run[:start] + new + run[end:]
+        for k in range(i, j + 1):
+            digits[k] = new[groups[k][0] - start : groups[k][1] - start]
     return sorted(out)
 
 
@@ -225,15 +281,19 @@ def _date(f: Feistel, m: str, back: bool) -> str | None:
     return None
 
 
+def _shape(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace(r"\d", "[0-9]"))  # digits of other scripts would not come back
+
+
 # Of overlapping matches the kind listed first wins, then the earlier.
 KINDS = (
-    Kind("email", re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), "@", _email),
-    Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "", _iban),
-    Kind("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), "", parts=_cards),
-    Kind("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "-", _ssn),
-    Kind("phone", re.compile(rf"(?<![\w+]){_PHONE}(?!\w)|(?<![\w+])\+[1-9](?:(?: ?\(|[ .-])?\d\)?){{7,14}}(?!\w)"), "", _phone),
-    Kind("date", re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\w/-])"), "", _date),
-    Kind("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ".", _ip),
+    Kind("email", _DOMAIN, "@", _email, _emails),
+    Kind("iban", _shape(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "", _iban),
+    Kind("card", _shape(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), "", parts=_cards),
+    Kind("ssn", _shape(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "-", _ssn),
+    Kind("phone", _shape(rf"(?<![\w+]){_PHONE}(?!\w)|(?<![\w+])\+[1-9](?:(?: ?\(|[ .-])?\d\)?){{7,14}}(?!\w)"), "", _phone),
+    Kind("date", _shape(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\w/-])"), "", _date),
+    Kind("ip", _shape(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ".", _ip),
 )
 _ANY = re.compile("[0-9@]")
 
@@ -247,23 +307,26 @@ def spans(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str
         if kind.needs not in text:
             continue
         taken, at, more = found, 0, []  # both in order, so one walk finds the overlaps
-        for m in kind.pattern.finditer(text):
-            while at < len(taken) and taken[at][1] <= m.start():
+        for first, end in kind.find(text) if kind.find else (m.span() for m in kind.pattern.finditer(text)):
+            while at < len(taken) and taken[at][1] <= first:
                 at += 1
-            free = at == len(taken) or taken[at][0] >= m.end()
             if kind.parts:
                 # what is left of the match between those that were taken and what has the shape of another number
-                shapes = [x.span() for k in KINDS if k.name in ("ssn", "phone", "date") for x in k.pattern.finditer(text, max(0, m.start() - 1), m.end())]
-                held, runs, start = sorted([*(x[:2] for x in taken[at:] if x[0] < m.end()), *shapes]), [m], m.start()
+                held = [x.span() for k in KINDS if k.name in ("ssn", "phone", "date") for x in k.pattern.finditer(text, max(0, first - 1), end)]
+                k = at
+                while k < len(taken) and taken[k][0] < end:
+                    held.append(taken[k][:2])
+                    k += 1
+                runs, start = [(first, text[first:end])], first
                 if held:
                     runs = []
-                    for s, e in [*held, (m.end(), m.end())]:
+                    for s, e in [*sorted(held), (end, end)]:
                         if start < s:
-                            runs += kind.pattern.finditer(text, start, s)
+                            runs += [(r.start(), r[0]) for r in kind.pattern.finditer(text, start, s)]
                         start = max(start, e)
-                more += [(r.start() + s, r.start() + e, kind.name, new) for r in runs for s, e, new in kind.parts(f, r[0], back)]
-            elif free and (new := kind.swap(f, m[0], back)) is not None:
-                more.append((m.start(), m.end(), kind.name, new))
+                more += [(r + s, r + e, kind.name, new) for r, part in runs for s, e, new in kind.parts(f, part, back)]
+            elif (at == len(taken) or taken[at][0] >= end) and (new := kind.swap(f, text[first:end], back)) is not None:
+                more.append((first, end, kind.name, new))
         found = sorted([*found, *more])
     return found
 
@@ -276,12 +339,13 @@ def replaced(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, back: bool = False) -> DataFrame:
-    """The rows, with all their columns, their text pseudonymised.
+def pseudonymised(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
+    """The rows, with all their columns, their text pseudonymised with a secret ``key``.
 
     Adds ``pii``, an array of (start, end, kind) of what was replaced, by code points of the
     input; a column of that name is replaced. n_chars, where present as an integer column,
-    follows the new text. With ``back``, pseudonyms become the values again.
+    follows the new text. With ``back``, pseudonyms become the values again. The time of a
+    text grows with its length, whatever it holds.
 
     A null text stays null and an empty one empty. Rows are taken each by itself, in one
     narrow pass, so repeated rows, null ids and empty tables need nothing special.

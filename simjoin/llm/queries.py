@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret in the session's ``spark.simjoin.pseudonymKey``; where it is unset, one that is fit for test tables only."""
+    return spark.conf.get("spark.simjoin.pseudonymKey", "key of the test tables").encode()
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -32,7 +37,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents with their pseudonymised texts and what was replaced."""
-    found = pii.pseudonymised(table(spark, sf_dir, "documents"))
+    found = pii.pseudonymised(table(spark, sf_dir, "documents"), pseudonym_key(spark))
     n = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), *[n(k.name) for k in pii.KINDS])
 
