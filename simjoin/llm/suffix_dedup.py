@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simjoin.llm.common import own_columns, partitions, stored
+from simjoin.llm.common import own_columns, partitions, steady, stored
 
 WINDOW, K = 100, 24
 #: Text of a block, and of a shard, in bytes.
@@ -372,9 +372,12 @@ def removed(docs: DataFrame, window: int = WINDOW, hot: int = HOT, keep_text: bo
     doc_id are documents in the order of their rows, so of repeated rows the first keeps its
     bytes. Texts of any length are taken whole; other columns are ignored; an empty table
     gives an empty result.
+
+    The documents are read three times and their blocks are numbered by partition, so an
+    input that is not simply read from a table is stored first.
     """
     n = partitions(docs.sparkSession)
-    docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    docs = steady(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), "documents")
     made = blocks(docs)
     again = stored(_repeated_anchors(_anchors(made, window), n), "anchors")
     count = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
