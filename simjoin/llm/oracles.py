@@ -18,7 +18,7 @@ def _quoted(pattern: str) -> str:
 def _matches(k: int) -> str:
     """The matches of one kind of part with their places."""
     part, pattern = PARTS[k], _quoted(PARTS[k].pattern)
-    test = [f"length(m) <= {part.most}"] * bool(part.most) + [f"regexp_matches(m, {_quoted(x)})" for x in part.also]
+    test = [f"regexp_matches(m, {_quoted(x)})" for x in part.also]
     if part.least:
         test.append(f"length(regexp_extract(m, {pattern}, {part.group})) >= {part.least}")
     return f"""
@@ -58,9 +58,10 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         s AS ({" UNION ALL ".join(_matches(k) for k in range(len(PARTS)))}),
         near AS (SELECT w.doc_id, w.k, w.start, w.stop, w.id, w.secret,
-                        bool_or(o.id AND NOT (o.start < w.stop AND w.start < o.stop)) AS by_id, bool_or(o.secret AND NOT (o.start < w.stop AND w.start < o.stop)) AS by_secret,
+                        bool_or(o.id AND (NOT (w.id OR w.secret) OR NOT (o.start < w.stop AND w.start < o.stop))) AS by_id,
+                        bool_or(o.secret AND (NOT (w.id OR w.secret) OR NOT (o.start < w.stop AND w.start < o.stop))) AS by_secret,
                         bool_or(NOT o.weak AND o.start < w.stop AND w.start < o.stop) AS inside
-                 FROM s w JOIN s o ON w.doc_id = o.doc_id AND abs(w.start - o.start) <= {SCOPE} WHERE w.weak AND (o.id OR o.secret) GROUP BY ALL),
+                 FROM s w JOIN s o ON w.doc_id = o.doc_id AND greatest(o.start - w.stop, w.start - o.stop) <= {SCOPE} WHERE w.weak AND (o.id OR o.secret) GROUP BY ALL),
         told AS (SELECT doc_id, k, start, stop FROM s WHERE NOT weak UNION ALL
                  SELECT doc_id, k, start, stop FROM near WHERE CASE WHEN id THEN by_secret AND NOT inside WHEN secret THEN by_id AND NOT inside ELSE by_id AND by_secret END),
         e AS (SELECT *, concat_ws(':', {_NAMES}[k + 1], start, stop) AS said FROM told),

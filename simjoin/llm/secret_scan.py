@@ -3,8 +3,9 @@
 Patterns find parts: identifiers, secrets and endpoints. Strong parts are reported as they
 are. Weak ones (a bare token, a user name, an address) are reported only where the parts
 that complement them stand within a scope of some code points in the same text, which an
-interval join over scope-wide cells decides: cells hold few parts, as parts of one kind do
-not overlap, so the join grows with the text and not with the square of anything.
+interval join over scope-wide cells decides: a part is in the cells that it reaches, and
+cells hold few parts, as parts of one kind do not overlap. So the join grows with the text
+and not with the square of anything.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from simjoin.llm.common import own_columns, stored
 
-#: Code points between the starts of parts that belong together.
+#: Code points between parts that belong together, at most: from the end of one to the start of the other.
 SCOPE = 200
 
 
@@ -28,7 +29,6 @@ class Part:
     pattern: str
     group: int = 0  # the match counts if this group has `least` characters
     least: int = 0
-    most: int = 0  # characters of the whole match, 0 for any number
     also: tuple[str, ...] = ()  # patterns that the match has to contain
     weak: bool = False
 
@@ -41,7 +41,7 @@ PARTS = (
     Part("access", "identifier", "AKIA[A-Z0-9]{16,}"),
     Part("hex", "secret", "[0-9a-f]{24,}"),
     Part("user", "identifier", r"""(?i)(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", weak=True),
-    Part("blob", "secret", "[A-Za-z0-9+/_-]{32,}={0,2}", most=130, also=("[0-9]", "[A-Z]"), weak=True),
+    Part("blob", "secret", "[A-Za-z0-9+/_-]{32,}={0,2}", also=("[0-9]", "[A-Z]"), weak=True),
     Part("endpoint", "endpoint", r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]{4,}""", weak=True),
 )
 
@@ -63,8 +63,9 @@ def scan(docs: DataFrame, parts: tuple[Part, ...] = PARTS, scope: int = SCOPE) -
     weak parts among them.
 
     A weak identifier needs a secret within the scope, a weak secret an identifier, an
-    endpoint both. Parts that a base span overlaps are part of it and not reported, but for
-    endpoints. A null or empty text has no spans; rows that repeat, or share a doc_id, are
+    endpoint both, and parts inside an endpoint count for it. Else parts that overlap do not
+    complement each other, and weak ones that a base span overlaps are part of it and not
+    reported. Parts may have any length. A null or empty text has no spans; rows that repeat, or share a doc_id, are
     scanned each by itself; a null doc_id stays null; other columns are ignored.
     """
     docs = own_columns(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -78,20 +79,21 @@ def scan(docs: DataFrame, parts: tuple[Part, ...] = PARTS, scope: int = SCOPE) -
     for k, p in enumerate(parts):
         if p.least:
             spans = spans.where((F.col("k") != k) | (F.length(F.regexp_extract("match", p.pattern, p.group)) >= p.least))
-        if p.most:
-            spans = spans.where((F.col("k") != k) | (F.col("size") <= p.most))
         for pattern in p.also:
             spans = spans.where((F.col("k") != k) | F.col("match").rlike(pattern))
     of = lambda test: F.col("k").isin([k for k, p in enumerate(parts) if test(p)])
     spans = spans.select("row", "k", (F.col("end") - F.col("size")).alias("start"), "end", of(lambda p: p.weak).alias("weak"), of(lambda p: p.role == "identifier").alias("id"), of(lambda p: p.role == "secret").alias("secret"))
     spans = stored(spans, "spans")
 
-    cell = F.floor(F.col("start") / scope)
-    weak = spans.where("weak").withColumn("cell", cell).alias("w")
-    others = spans.where("id or secret").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).alias("o")
-    near = weak.join(others, (F.col("w.row") == F.col("o.row")) & (F.col("w.cell") == F.col("o.cell")) & (F.abs(F.col("w.start") - F.col("o.start")) <= scope))
+    cells = lambda reach: F.explode(F.sequence(F.floor((F.col("start") - reach) / scope), F.floor((F.col("end") + reach) / scope)))
+    weak = spans.where("weak").withColumn("cell", cells(0)).alias("w")
+    others = spans.where("id or secret").withColumn("cell", cells(scope)).alias("o")
+    # a pair may meet in several cells, which the maxima below do not mind
+    gap = F.greatest(F.col("o.start") - F.col("w.end"), F.col("w.start") - F.col("o.end"))
+    near = weak.join(others, (F.col("w.row") == F.col("o.row")) & (F.col("w.cell") == F.col("o.cell")) & (gap <= scope))
     over = (F.col("o.start") < F.col("w.end")) & (F.col("w.start") < F.col("o.end"))
-    linked = near.groupBy("w.row", "w.k", "w.start", "w.end", "w.id", "w.secret").agg(F.max(F.col("o.id") & ~over).alias("by_id"), F.max(F.col("o.secret") & ~over).alias("by_secret"), F.max(over & ~F.col("o.weak")).alias("inside"))
+    counts_ = ~over | ~(F.col("w.id") | F.col("w.secret"))
+    linked = near.groupBy("w.row", "w.k", "w.start", "w.end", "w.id", "w.secret").agg(F.max(F.col("o.id") & counts_).alias("by_id"), F.max(F.col("o.secret") & counts_).alias("by_secret"), F.max(over & ~F.col("o.weak")).alias("inside"))
     linked = linked.where(F.when(F.col("id"), F.col("by_secret") & ~F.col("inside")).when(F.col("secret"), F.col("by_id") & ~F.col("inside")).otherwise(F.col("by_id") & F.col("by_secret")))
     told = spans.where("not weak").select("row", "k", "start", "end").unionByName(linked.select("row", "k", "start", "end"))
 
