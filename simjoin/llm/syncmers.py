@@ -22,8 +22,6 @@ from simjoin.llm.common import own_columns, partitions
 K, S = 12, 4
 #: Anchors of a fingerprint.
 ANCHORS = 64
-#: Positions beyond this are told as this.
-LAST = 0xFFFFFF
 #: Anchors within this many bytes of the common offset are at that offset.
 SLACK = 64
 #: Ranges of documents for each shuffle partition.
@@ -63,14 +61,15 @@ def fingerprint(text: str, most: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]
     if len(h) > 4 * most:  # most texts repeat few anchors
         few = np.argpartition(h, 2 * most)[: 2 * most]
         few.sort()
-        if len(np.unique(h[few])) >= most:
+        if len(np.unique(h[few])) > most:  # the largest hash there may have places elsewhere, so it must not be taken
             at, h = at[few], h[few]
     value, first = np.unique(h, return_index=True)
-    return value[:most], np.minimum(at[first[:most]], LAST)
+    return value[:most], at[first[:most]]
 
 
 def told(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    return "".join(f"{h:08x}{p:06x}" for h, p in zip(print_[0].tolist(), print_[1].tolist(), strict=True))
+    """Eight hex digits of each hash and then its position, in hex and followed by a semicolon."""
+    return "".join(f"{h:08x}{p:x};" for h, p in zip(print_[0].tolist(), print_[1].tolist(), strict=True))
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], most: int = ANCHORS) -> float:
@@ -102,7 +101,8 @@ def compared(docs: DataFrame) -> DataFrame:
     A null text is empty; two empty texts are alike (1), an empty one is like no other (0).
     Other columns are ignored and an empty table gives an empty result.
 
-    Documents are dealt to ranges of ids. The first of each range also goes, as a guest, to
+    Documents are dealt to ranges of ids; those without one are a range, as they have to
+    follow each other. The first of each range also goes, as a guest, to
     the range before, so neighbours meet without a global sort; texts move once, compressed.
     """
     spark = docs.sparkSession
