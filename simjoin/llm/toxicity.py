@@ -116,6 +116,17 @@ class _Rows:
         return best, np.log((a[best] + 0.5) / (n1 + 1)) - np.log((b[best] + 0.5) / (n0 + 1))
 
 
+def slopes(eta: np.ndarray, t: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, and its derivatives by scores and thresholds."""
+    n, each = len(eta), np.arange(len(eta))
+    above = np.concatenate([np.ones((1, n)), 1 / (1 + np.exp(-np.clip(eta - t[:, None], -60, 60))), np.zeros((1, n))])  # P(grade >= j)
+    p = np.maximum(above[grade, each] - above[grade + 1, each], 1e-12)
+    slope = above * (1 - above)
+    up, down = slope[grade, each] / p, slope[grade + 1, each] / p
+    d_t = np.array([(np.where(grade == j + 1, up, 0) - np.where(grade == j, down, 0)).sum() for j in range(len(t))]) / n
+    return float(-np.log(p).mean()), (down - up) / n, d_t
+
+
 def train(rows: list[tuple[str | None, int]], grades: int = GRADES, most: int = FEATURES, steps: int = 300, l2: float = 3e-4) -> Model:
     """Fits the model to (text, toxic) rows on the driver; the caller bounds their number."""
     toxic = np.array([int(y or 0) for _, y in rows], np.int64)
@@ -141,15 +152,8 @@ def train(rows: list[tuple[str | None, int]], grades: int = GRADES, most: int =
 
     w, t = np.zeros(len(chosen)), np.log(np.linspace(0.9, 0.99, grades - 1) / np.linspace(0.1, 0.01, grades - 1))
     moment = [np.zeros(len(w) + len(t)) for _ in range(2)]
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for step in range(1, steps + 1):
-        eta = np.bincount(row, val * w[col], len(rows))
-        above = np.concatenate([np.ones((1, len(rows))), sigmoid(eta - t[:, None]), np.zeros((1, len(rows)))])  # P(grade >= j)
-        p = np.maximum(above[grade, np.arange(len(rows))] - above[grade + 1, np.arange(len(rows))], 1e-12)
-        slope = above * (1 - above)
-        up, down = slope[grade, np.arange(len(rows))] / p, slope[grade + 1, np.arange(len(rows))] / p
-        d_eta = (down - up) / len(rows)
-        d_t = np.array([(np.where(grade == j + 1, up, 0) - np.where(grade == j, down, 0)).sum() for j in range(grades - 1)]) / len(rows)
+        _, d_eta, d_t = slopes(np.bincount(row, val * w[col], len(rows)), t, grade)
         g = np.concatenate([np.bincount(col, val * d_eta[row], len(w)) + l2 * w, d_t])
         for k, x in enumerate((g, g * g)):
             moment[k] = (0.9, 0.999)[k] * moment[k] + (0.1, 0.001)[k] * x
