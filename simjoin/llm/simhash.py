@@ -5,8 +5,8 @@ bytes in their places. Lists of single bytes would hold a 256th of the corpus ea
 index lists *sets* of byte positions, chosen so that every pair with the guaranteed number
 of shared bytes meets in at least one list. Where two fingerprints meet, their shared
 positional bytes are tallied, pairs below the guaranteed minimum are dropped, and the rest
-are verified on all bits. Equal fingerprints are one entry. A list yields a spanning forest
-of its links, not all pairs, and components come from the forests.
+are verified on all bits. Equal fingerprints are one entry. A list yields a star for each of
+its components, not all pairs, and components come from the stars.
 """
 
 from __future__ import annotations
@@ -20,15 +20,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simjoin.llm.common import own_columns, partitions, stored
+from simjoin.llm.common import Sieve, own_columns, partitions, sifted, stored
 from simjoin.llm.components import components
 
 SEED = 42
 WORDS, MAX_BITS = 4, 4
-#: Lists longer than this are cut by a further shared byte, which loses no link where one is guaranteed.
+#: Rows of a list from which on it is dealt to several tasks; what is then searched at once is two blocks of so many.
 LONG_LIST = 20_000
-#: Rows of one list compared at a time, and links held before they are thinned to a forest.
-BLOCK, HELD = 2_048, 4_000_000
+#: Rows of a longer list that are compared with the rest of it before that.
+STEPS = 4_096
+#: Rows of lists that are compared many lists at a time, and links held before they are thinned to stars.
+SHORT, HELD = 256, 4_000_000
 
 
 def shingles(text: str | None, n: int) -> list[bytes]:
@@ -113,58 +115,60 @@ def _key(k: int, where: tuple[int, ...]) -> Column:
     return out
 
 
-def _links(f: np.ndarray, runs: list[tuple[int, int]], max_bits: int, min_bytes: int, key_bytes: int, guaranteed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Verified links (two row numbers, differing bits) within each run of rows of ``f`` (rows x lanes)."""
-
-    def verified(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = f[a] ^ f[b]
-        if min_bytes:
-            tally = (x.view(np.uint8).reshape(len(a), -1) == 0).sum(1)
-            keep = tally >= min_bytes
-            a, b, x = a[keep], b[keep], x[keep]
-        bits = np.bitwise_count(x).sum(1, dtype=np.int64)
-        keep = bits <= max_bits
-        return a[keep], b[keep], bits[keep]
-
-    def all_of(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for i in range(0, len(rows), BLOCK):
-            left = rows[i : i + BLOCK]
-            for j in range(i, len(rows), BLOCK):
-                right = rows[j : j + BLOCK]
-                x = [f[left, k][:, None] ^ f[right, k][None, :] for k in range(f.shape[1])]
-                if min_bytes:
-                    tally = sum((y[..., None].view(np.uint8) == 0).sum(-1, dtype=np.uint8) for y in x)
-                bits = sum(np.bitwise_count(y).astype(np.int64) for y in x)
-                a, b = np.nonzero((bits <= max_bits) & (tally >= min_bytes) if min_bytes else bits <= max_bits)
-                keep = left[a] < right[b]
-                yield left[a[keep]], right[b[keep]], bits[a[keep], b[keep]]
-
-    def cut(rows: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        if len(rows) <= LONG_LIST or not guaranteed or depth >= min_bytes:
-            yield from all_of(rows)
-            return
-        held = f[rows].view(np.uint8).reshape(len(rows), -1)
-        for p in range(held.shape[1]):
-            if (held[:, p] == held[0, p]).all():
-                continue
-            order = np.argsort(held[:, p], kind="stable")
-            for part in np.split(rows[order], np.flatnonzero(np.diff(held[order, p])) + 1):
-                if len(part) > 1:
-                    yield from cut(part, depth + 1) if len(part) < len(rows) else all_of(part)
-
-    short = np.array([r for r in runs if r[1] - r[0] <= 256], np.int64).reshape(-1, 2)
-    start, size = short[:, 0], short[:, 1] - short[:, 0]
+def _short(f: np.ndarray, runs: np.ndarray, max_bits: int, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each of many short runs (first, end) of rows: each row against those that follow, by their lag."""
+    n, start, size = len(f), runs[:, 0], runs[:, 1] - runs[:, 0]
     rows = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-    left = np.repeat(short[:, 1], size) - rows - 1  # rows of the run that follow
-    lag = 1
+    left = np.repeat(runs[:, 1], size) - rows - 1  # rows of the run that follow
+    links, held, lag = [np.empty((2, 0), np.int64)], 0, 1
     while len(rows := rows[(keep := left >= lag)]):
         left = left[keep]
         for at in range(0, len(rows), 1 << 18):
-            yield verified(rows[at : at + (1 << 18)], rows[at : at + (1 << 18)] + lag)
+            a = rows[at : at + (1 << 18)]
+            x = f[a] ^ f[a + lag]
+            if min_bytes:
+                keep = (x.view(np.uint8).reshape(len(a), -1) == 0).sum(1) >= min_bytes
+                a, x = a[keep], x[keep]
+            a = a[np.bitwise_count(x).sum(1, dtype=np.int64) <= max_bits]
+            links.append(np.stack([a, a + lag]))
+            held += len(a)
+            if held > HELD:
+                root = roots(n, *np.concatenate(links, axis=1))
+                a = np.flatnonzero(root != np.arange(n))
+                links, held = [np.stack([a, root[a]])], len(a)
         lag += 1
-    for lo, hi in runs:
-        if hi - lo > 256:
-            yield from cut(np.arange(lo, hi), key_bytes)
+    return tuple(np.concatenate(links, axis=1))
+
+
+def reached(f: np.ndarray, max_bits: int, min_bytes: int, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(root, open): of each row the first row that links lead to, and which rows still have rows to be compared with.
+
+    A search through the graph that forms no pairs: a row is compared with the rows that were
+    not reached yet, so a dense group takes about as many comparisons as it has rows. With
+    ``steps``, at most so many rows are compared with the rest; without it, none stay open.
+    """
+    n = len(f)
+    root, rest, left = np.arange(n), f, np.arange(n)  # left: rows not reached, rest: their fingerprints
+    ahead: list[int] = []
+    taken = 0
+    while len(left) and (steps is None or taken < steps):
+        if ahead:
+            at = ahead.pop()
+        else:
+            at, left, rest = int(left[0]), left[1:], rest[1:]
+        x = rest ^ f[at]
+        near = np.bitwise_count(x).sum(1, dtype=np.int64) <= max_bits
+        if min_bytes:
+            near[near] = (x[near].view(np.uint8).reshape(-1, x.itemsize * x.shape[1]) == 0).sum(1) >= min_bytes
+        if near.any():
+            ahead += (found := left[near]).tolist()
+            root[found] = root[at]
+            left, rest = left[~near], rest[~near]
+        taken += 1
+    waits = np.zeros(n, bool)
+    if len(left):
+        waits[left] = waits[ahead] = True
+    return root, waits
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,90 +187,132 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which links make a spanning forest of n rows with the fewest differing bits."""
-    label, kept, at = np.arange(n), [], np.arange(len(a))
-    while len(at):
-        key, best = d[at] * len(a) + at, np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(best, label[a[at]], key)
-        np.minimum.at(best, label[b[at]], key)
-        chosen = np.unique(best[best < np.iinfo(np.int64).max]) % len(a)
-        kept.append(chosen)
-        label = roots(n, label[a[chosen]], label[b[chosen]])[label]
-        at = at[label[a[at]] != label[b[at]]]
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
-
-
-def near_edges(nodes: DataFrame, lanes: int, sets: list[tuple[int, ...]], max_bits: int, min_bytes: int, guaranteed: bool) -> DataFrame:
-    """Links (a, b) between rows of ``nodes`` (node, f0, ...) whose fingerprints are near.
-
-    The lists are sorted by key within their partition and go through in batches; what a
-    batch keeps back is the unfinished list at its end. With ``guaranteed``, where a link is
-    a fact, a component of a list is told as a star; else as its forest of nearest links.
+def _parts(key: int, f: np.ndarray, where: tuple[int, ...] | None, limit: int) -> Iterator[np.ndarray]:
+    """The keys of a long list's rows in the next round: by each byte but those of its key, or else by pairs of blocks."""
+    hashed = lambda *x: xxhash.xxh64_intdigest(repr((key, *x)).encode(), SEED) - 2**63
+    if where is not None:
+        held = f.view(np.uint8).reshape(len(f), -1)
+        for p in range(held.shape[1]):
+            if p not in where:
+                yield np.array([hashed(p, v) for v in range(256)], np.int64)[held[:, p]]
+        return
+    n = -(-len(f) // limit)
+    block = np.arange(len(f)) % n
+    keys = np.array([[hashed(i, j) for j in range(n)] for i in range(n)], np.int64)
+    for other in range(n):
+        yield keys[np.minimum(block, other), np.maximum(block, other)]
+
+
+def near_edges(nodes: DataFrame, lanes: int, sets: list[tuple[int, ...]], max_bits: int, min_bytes: int, guaranteed: bool, further: tuple[int, ...] = ()) -> DataFrame:
+    """Links (a, b) between rows of ``nodes`` (node, f0, ...) that connect those whose fingerprints are near.
+
+    ``sets`` are the positions whose bytes make the key of a list. With ``further``, such a
+    list is divided in its task, once for each of these distances, by the byte that far
+    behind the key's last (around the end), so that a row moves once for several lists.
+    A list is sorted together within its partition and its components are told as stars. A
+    list of over ``LONG_LIST`` rows goes through rounds. With ``guaranteed``, where every
+    link shares ``min_bytes`` bytes, it is first dealt out by each of the bytes outside its
+    key, which all links have in common with one of the new lists. A list that has
+    all the bytes that are guaranteed is searched for so many steps that a dense group is
+    done; the rows that are still to be compared are dealt to pairs of blocks, each a task's
+    work of its own. So all links are found, whatever the length of a list.
     """
-    names, key_bytes = [f"f{i}" for i in range(lanes)], len(sets[0])
+    names, width = [f"f{i}" for i in range(lanes)], len(sets[0])
+    kind = f"key long, a long, b long, {', '.join(f'{x} long' for x in names)}"
+    schema = pa.schema([(x, pa.int64()) for x in ("key", "a", "b", *names)])
+    limit, steps = LONG_LIST, STEPS  # workers import this module afresh
+
+    def searched(lists: DataFrame, then: str | None, first: bool) -> DataFrame:
+        lists = lists.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+
+        def divided(key: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The keys of lists, and the rows in their order."""
+            if not first or not further:
+                yield key, np.arange(len(key))
+                return
+            held = f.view(np.uint8).reshape(len(f), -1)
+            last = np.array([s[-1] for s in sets])[key >> 8 * width]
+            for d in further:
+                sub = key << 8 | held[np.arange(len(f)), (last + d) % held.shape[1]]
+                yield sub * (max(further) + 1) + d, np.argsort(sub, kind="stable")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+                key, node, f = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+                links = []
+                for sub, by in divided(key, f):
+                    key_, f_ = sub[by], f[by]
+                    edge = np.flatnonzero(np.concatenate([[True], key_[1:] != key_[:-1], [True]]))
+                    runs = np.stack([edge[:-1], edge[1:]], axis=1)
+                    size = runs[:, 1] - runs[:, 0]
+                    links.append(by[np.stack(_short(f_, runs[(size > 1) & (size <= SHORT)], max_bits, min_bytes))])
+                    for lo, hi in runs[size > SHORT].tolist():
+                        mine, where = f_[lo:hi], None
+                        if then == "bytes" and hi - lo > limit:
+                            where, waits = sets[int(key_[lo]) >> 8 * width], np.ones(hi - lo, bool)
+                        else:
+                            root, waits = reached(mine, max_bits, min_bytes, steps if then and hi - lo > limit else None)
+                            a = np.flatnonzero(root != np.arange(hi - lo))
+                            links.append(by[lo + np.stack([a, root[a]])])
+                        if waits.any():
+                            mine, of_ = mine[waits], pa.array(node[by[lo:hi]][waits])
+                            for keys in _parts(int(key_[lo]), mine, where, limit):
+                                yield pa.RecordBatch.from_arrays([pa.array(keys), of_, pa.nulls(len(mine), pa.int64()), *(pa.array(mine.view(np.int64)[:, i]) for i in range(lanes))], schema=schema)
+                root = roots(len(f), *np.concatenate(links, axis=1))
+                a = np.flatnonzero(root != np.arange(len(f)))
+                pairs = np.unique(np.sort(np.stack([node[a], node[root[a]]], axis=1), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), pa.int64())] * lanes], schema=schema)
+
+            kept: list[np.ndarray] = []
+            for batch in batches:
+                if not len(batch):
+                    continue
+                rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                last_ = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                if last_:
+                    yield from of(np.concatenate([*kept, rows[:last_]]))
+                    kept = []
+                elif kept and kept[0][0, 0] != rows[0, 0]:
+                    yield from of(np.concatenate(kept))
+                    kept = []
+                kept.append(rows[last_:])
+            if kept:
+                yield from of(np.concatenate(kept))
+
+        return stored(lists.mapInArrow(run, kind), "links")
+
     lists = nodes.select(F.explode(F.array(*[_key(k, s) for k, s in enumerate(sets)])).alias("key"), "node", *names)
-    lists = lists.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+    out: DataFrame | None = None
+    for then in (*["bytes"] * (guaranteed and width < min_bytes), "blocks", None):  # what becomes of long lists
+        found = searched(lists, then, out is None)
+        edges, lists = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("node"), *names)
+        out = out.unionByName(edges) if out else edges
+        if not lists.limit(1).count():
+            break
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows: np.ndarray) -> pa.RecordBatch:
-            key, node, f = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-            edge = np.flatnonzero(np.diff(key, prepend=key[0] - 1, append=key[-1] + 1))
-            runs = [(int(x), int(y)) for x, y in zip(edge[:-1], edge[1:], strict=True) if y - x > 1]
-            links = [np.empty((3, 0), np.int64)]
-            for found in _links(f, runs, max_bits, min_bytes, key_bytes, guaranteed):
-                links.append(np.stack(found))
-                if sum(x.shape[1] for x in links) > HELD:
-                    links = [(x := np.concatenate(links, axis=1))[:, forest(len(rows), *x)]]
-            a, b, d = np.concatenate(links, axis=1)
-            if guaranteed:
-                root = roots(len(rows), a, b)
-                a = np.flatnonzero(root != np.arange(len(rows)))
-                b = root[a]
-            else:
-                at = forest(len(rows), a, b, d)
-                a, b = a[at], b[at]
-            pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        kept: list[np.ndarray] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            if last:
-                yield of(np.concatenate([*kept, rows[:last]]))
-                kept = []
-            elif kept and kept[0][0, 0] != rows[0, 0]:
-                yield of(np.concatenate(kept))
-                kept = []
-            kept.append(rows[last:])
-        if kept:
-            yield of(np.concatenate(kept))
-
-    return lists.mapInArrow(run, "a long, b long")
-
-
-def _indexed(docs: DataFrame, words: int, lanes: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, f0, ...) of all rows, and a node, the smallest doc_id, for each fingerprint."""
-    prints = stored(fingerprints(docs, words, lanes), "fingerprints")
-    nodes = prints.where("doc_id is not null").groupBy(*[f"f{i}" for i in range(lanes)]).agg(F.min("doc_id").alias("node"))
-    return prints, stored(nodes, "nodes")
 
+def _nodes(prints: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """A node, the smallest doc_id, for each ``key`` of which rows with a doc_id are there; ``more`` depends on the key."""
+    return stored(prints.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("node"), *[F.first(x).alias(x) for x in more]), "nodes")
 
-def _grouped(prints: DataFrame, nodes: DataFrame, edges: DataFrame, lanes: int, key: list[str] | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) from the links between nodes, of which each ``key`` (else fingerprint) has one."""
-    names = [f"f{i}" for i in range(lanes)]
-    key = key or names
+
+def _labelled(prints: DataFrame, nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """``prints`` with component_id from the links between nodes, of which each ``key`` has one."""
     # a doc_id with several keys is one document
-    twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct(*key).alias("n")).where("n > 1").select("doc_id")
-    several = prints.join(twice, "doc_id").join(nodes, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(edges.unionByName(several))
-    labelled = nodes.join(found, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
-    text = F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in names])
-    out = prints.join(labelled, key, "left")
-    return out.select("doc_id", text.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    several = [F.min(x).alias(f"min_{x}") for x in key] + [F.max(x).alias(f"max_{x}") for x in key]
+    differ = " or ".join(f"min_{x} <> max_{x}" for x in key)
+    twice = prints.where("doc_id is not null").groupBy("doc_id").agg(*several).where(differ).select("doc_id")
+    joined = prints.select("doc_id", *key).join(twice, "doc_id").join(nodes.select(*key, "node"), key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = components(edges.unionByName(joined))
+    roots_ = nodes.join(found, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
+    out = prints.join(roots_, key, "left")
+    return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def _told(labelled: DataFrame, lanes: int) -> DataFrame:
+    text = F.concat(*[F.lpad(F.lower(F.hex(f"f{i}")), 16, "0") for i in range(lanes)])
+    return labelled.select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, lanes: int = 1, max_bits: int = MAX_BITS) -> DataFrame:
@@ -285,15 +331,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, lanes: int = 1, max_bit
     shared = 8 * lanes - max_bits
     if shared < 1:
         raise ValueError("so many differing bits guarantee no shared byte")
-    prints, nodes = _indexed(docs, words, lanes)
+    names = [f"f{i}" for i in range(lanes)]
+    prints = stored(fingerprints(docs, words, lanes), "fingerprints")
+    nodes = _nodes(prints, names)
     edges = near_edges(nodes, lanes, position_sets(8 * lanes, shared, min(3, shared)), max_bits, shared, True)
-    return _grouped(prints, nodes, edges, lanes)
+    return _told(_labelled(prints, nodes, edges, names), lanes)
 
 
-# For similarities: 256 bits; a ring of 32 byte positions, each listed with its neighbours at
-# distance 1 and 2; links at 58 or fewer differing bits are candidates.
+# For similarities: 256 bits; a list for each of 32 byte positions, divided by the bytes one to
+# five positions behind; links at 58 or fewer differing bits are candidates.
 LANES, CANDIDATE_BITS, CANDIDATE_BYTES = 4, 58, 3
-RING = [tuple(sorted((i, (i + d) % 32))) for d in (1, 2) for i in range(32)]
+RING, BEHIND = [(i,) for i in range(32)], (1, 2, 3, 4, 5)
 
 
 #: A digest of a document's distinct runs of words: documents are taken for equal by it, never by their fingerprint.
@@ -318,14 +366,14 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(family, node, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
+    """(node, marks): the sorted distinct 32-bit hashes of a document's runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t.as_py(), words)), np.uint32)).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.binary())], names=["family", "node", "marks"])
+            marks = [np.unique(np.fromiter((xxhash.xxh32_intdigest(p, SEED) for p in shingles(t.as_py(), words)), np.uint32)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["node", "marks"])
 
-    return docs.mapInArrow(run, "family long, node long, marks binary")
+    return docs.mapInArrow(run, "node long, marks binary")
 
 
 def alike(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -409,34 +457,45 @@ def _verified(sets: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _similar(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, g0, g1, f0, ..., component_id) of the documents."""
+    docs = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    prints = stored(_wide(docs, words), "fingerprints")
+    nodes = _nodes(prints, SET_KEY, *[f"f{i}" for i in range(LANES)])
+    found = components(near_edges(nodes.select("node", *[f"f{i}" for i in range(LANES)]), LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False, BEHIND))
+    family = found.select("node", F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
+    family = stored(family, "families")
+    maybe = sifted(docs, docs["doc_id"], Sieve.of(family.select("node")))
+    marks = _sets(maybe.select(F.col("doc_id").alias("node"), "text"), words)
+    sets = stored(marks.join(family, "node").select("family", "node", "marks"), "marks")
+    return _labelled(prints, nodes, _verified(sets, similarity), SET_KEY)
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked by Jaccard similarity of their word runs.
 
     Candidates come from the positional index over wide fingerprints of distinct runs: a pair at similarity
     0.8 differs in 39 of 256 bits on average (standard deviation 6), meets in some list with
-    probability 0.96 and at 0.9 with 0.999. Documents connected by candidates, directly or
-    not, are a family; of each list a forest of candidates suffices for that. Within a
+    probability 0.99 and at 0.9 with more than 0.9999. Documents connected by candidates, directly or
+    not, are a family; of each list stars suffice for that. Within a
     family all pairs are compared by the word runs themselves. Documents with equal sets of
     runs are one; those with equal fingerprints are candidates like any other. Nulls, ties
     and empty tables: as ``near_duplicates``.
+
+    Texts are read twice and never move; what moves of them are the hashed runs of those
+    documents that are in a family, and a few more that pass the ``Sieve``.
     """
-    docs = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    names = [f"f{i}" for i in range(LANES)]
-    prints = stored(_wide(docs, words), "fingerprints")
-    nodes = stored(prints.where("doc_id is not null").groupBy(*SET_KEY, *names).agg(F.min("doc_id").alias("node")), "nodes")
-    heads = nodes.groupBy(*names).agg(F.min("node").alias("node"))  # the lists hold a fingerprint once
-    equal = nodes.join(heads.withColumnRenamed("node", "b"), names).where("node <> b").select(F.col("node").alias("a"), "b")
-    found = components(near_edges(heads, LANES, RING, CANDIDATE_BITS, CANDIDATE_BYTES, False).unionByName(equal))
-    family = found.select("node", F.col("root").alias("family")).unionByName(found.select(F.col("root").alias("node"), F.col("root").alias("family")).distinct())
-    family = stored(family, "families")
-    sets = stored(_sets(docs.join(family.withColumnRenamed("node", "doc_id"), "doc_id").select("family", F.col("doc_id").alias("node"), "text"), words), "marks")
-    return _grouped(prints, nodes, _verified(sets, similarity), LANES, SET_KEY)
+    return _told(_similar(docs, words, similarity), LANES)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with all their columns, less all but the smallest doc_id of each group.
 
-    Rows with a null doc_id stay. Of rows that share the kept doc_id all stay.
+    Rows with a null doc_id stay. Of rows that share the kept doc_id all stay. Null and
+    empty texts are alike, so one of them stays; an empty table stays empty. Columns may
+    have any names. Rows that cannot go, by the ``Sieve``, are not moved.
     """
-    found = similar_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_drop"), "left_anti")
+    found = stored(_similar(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
+    sieve = Sieve.of(found)
+    maybe = sifted(docs, docs["doc_id"], sieve)
+    return sifted(docs, docs["doc_id"], sieve, False).unionByName(maybe.join(found, maybe["doc_id"].cast("long") == found["_drop"], "left_anti"))
