@@ -7,12 +7,13 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from simjoin.llm import pii
+from simjoin.llm import common, pii, simhash
 from simjoin.llm.packing import encoder
-from simjoin.llm.queries import ORACLES, QUERIES, tokenizer_path
+from simjoin.llm.queries import ORACLES, QUERIES, pseudonym_key, tokenizer_path
 from simjoin.llm.simhash import shingles
 
 DATA = "/root/testdata/sf0.001"
@@ -56,8 +57,8 @@ def test_no_window_of_the_benchmark_is_left(spark, kept):
     assert set(kept[3].doc_id) == set(kept[2].doc_id) - bad
 
 
-def test_pseudonyms_and_pieces(kept):
-    f, before = pii.Feistel(pii.DEFAULT_KEY), dict(zip(kept[3].doc_id, kept[3].text))
+def test_pseudonyms_and_pieces(spark, kept):
+    f, before = pii.Feistel(pseudonym_key(spark)), dict(zip(kept[3].doc_id, kept[3].text))
     after = dict(zip(kept[4].doc_id, kept[4].text))
     assert after == {i: pii.replaced(t, pii.spans(t, f)) for i, t in before.items()}
     encode, total = encoder(tokenizer_path()), 0
@@ -73,6 +74,55 @@ def test_run_is_the_stages(spark, kept):
     assert sorted(zip(got.doc_id, got.start, got.ids_crc32)) == sorted(zip(kept[5].doc_id, kept[5].start, kept[5].ids_crc32))
 
 
+def test_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Through every stage: nulls, empty and long texts, repeated rows, columns of clashing names; and no rows at all."""
+    toxic = [(100 + i, f"vile awful nasty words number {i}") for i in range(60)] + [(200 + i, f"kind calm plain words number {i}") for i in range(60)]
+    item = "ten words of a test item that a document holds"
+    more = spark.createDataFrame([(*r, *([0] * 5), "k", "p", "i", "s", 0) for r in [*toxic, (300, f"before {item} after"), (301, "call 555-123-4567 now or mail a@b.example")]], odd.schema)
+    labels = [(i, 1, int(i < 200)) for i, _ in toxic if i % 2]
+    tables = {"documents": odd.unionByName(more), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")}
+    for empty in (False, True):
+        path = str(tmp_path / str(empty))
+        for name, df in tables.items():
+            (df.limit(0) if empty else df).write.parquet(f"{path}/{name}.parquet")
+        docs, kept = spark.read.parquet(f"{path}/documents.parquet"), []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, path)
+            if name != "packing":
+                assert out.columns == odd.columns
+            out.write.parquet(f"{path}/{name}")
+            docs = spark.read.parquet(f"{path}/{name}")
+            kept.append(sorted((str(r.doc_id) for r in docs.collect())))
+        if empty:
+            assert kept == [[]] * 5
+            continue
+        assert not set(kept[0]) & {str(100 + i) for i in range(60)} and {str(200 + i) for i in range(60)} <= set(kept[0])
+        assert kept[0].count("1") == 3 and kept[0].count("None") == 2
+        assert kept[1].count("1") == 3 and kept[1].count("None") == 2 and [x for x in kept[1] if len(x) == 1 and x in "23456"] == ["2", "4"]
+        assert set(kept[1]) - set(kept[2]) == {"300"} and kept[3] == kept[2]
+        texts = {r.doc_id: r for r in spark.read.parquet(f"{path}/pii").collect()}
+        assert "555-123-4567" not in texts[301].text and "a@b" not in texts[301].text and texts[2].text is None and texts[301].n_chars == len(texts[301].text)
+        assert set(kept[4]) == set(kept[3]) and kept[4].count("2") == 1
+        assert corpus_pipeline.run(spark, path).count() == len(kept[4])
+
+
+def test_scratch_tables_go(spark, odd):
+    with common.scratch(spark):
+        before = set(Path(common.shared_dir(spark).removeprefix("file:")).iterdir())
+        assert simhash.near_duplicates(odd).count() == odd.count()
+        made = set(Path(common.shared_dir(spark).removeprefix("file:")).iterdir()) - before
+        assert made
+    assert not any(p.exists() for p in made)
+
+
+def test_what_is_read_again_is_steady(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert common.steady(table.select("doc_id").where("doc_id > 1"), "t").inputFiles() == table.inputFiles()
+    for df in (table.repartition(3), table.distinct(), table.select(F.rand().alias("r"))):
+        assert common.steady(df, "t").inputFiles() != table.inputFiles()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()

@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -9,8 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from simjoin.llm import chat, decontam, pii, secret_scan, syncmers, toxicity, warc
+from simjoin.llm.queries import QUERIES
 from tests.llm.conftest import docs_of
 
+DATA = "/root/testdata/sf0.001"
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
 
@@ -69,12 +72,117 @@ def test_phones_of_other_countries():
 
 
 def test_pseudonymised_rows(spark, odd, none):
-    out = pii.pseudonymised(odd)
+    out = pii.pseudonymised(odd, b"k")
     assert sorted(out.columns) == sorted(odd.columns)
     assert sorted(str(r.text)[:50] for r in out.collect()) == sorted(str(r.text)[:50] for r in odd.collect())
-    r = pii.pseudonymised(docs_of(spark, (1, "ip 9.9.9.9")).withColumn("n_chars", F.lit(10))).first()
+    r = pii.pseudonymised(docs_of(spark, (1, "ip 9.9.9.9")).withColumn("n_chars", F.lit(10)), b"k").first()
     assert r.n_chars == len(r.text) and r.pii[0].kind == "ip" and "9.9.9.9" not in r.text
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, b"k").count() == 0
+
+
+def plain_permute(key, x, n, tweak, valid=lambda v: True, rounds=8):
+    """The documented network, bit by bit: halves of equal size, cycles walked until the value fits."""
+    key = hashlib.blake2b(key, digest_size=32).digest()
+    bits = max(1, -(-(n - 1).bit_length() // 2))
+    while True:
+        left, right = divmod(x, 2**bits)
+        for i in range(rounds):
+            out, k = b"", 0
+            while 8 * len(out) < bits:
+                out += hashlib.blake2b(b"%d|%d|%d|%b" % (i, bits, right, tweak), key=key, digest_size=min(64, -(-bits // 8)), person=b"%d" % k).digest()
+                k += 1
+            left, right = right, left ^ int.from_bytes(out[: -(-bits // 8)], "big") % 2**bits
+        x = left * 2**bits + right
+        if x < n and valid(x):
+            return x
+
+
+def plain_luhn(d):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def planted(rng):
+    """(text, kind, pseudonym) of one value, by the definitions; kind None: not valid, to be left alone."""
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    key, pick = b"k", int(rng.integers(8))
+    if pick == 0:
+        d = digits(9)
+        ok = lambda v: v // 10**6 not in (0, 666) and v // 10**6 < 900 and v // 10**4 % 100 > 0 and v % 10**4 > 0
+        told = lambda v: f"{v // 10**6:03d}-{v // 10**4 % 100:02d}-{v % 10**4:04d}"
+        return told(int(d)), *(("ssn", told(plain_permute(key, int(d), 10**9, b"ssn", ok))) if ok(int(d)) else (None, None))
+    if pick in (1, 2):
+        p = "4" + digits(14)
+        d = next(p + c for c in "0123456789" if plain_luhn(p + c) == (pick == 1))
+        if pick == 2:
+            return d, None, None
+        card = lambda v: next(f"{v:015d}{c}" for c in "0123456789" if plain_luhn(f"{v:015d}{c}"))
+        return d, "card", card(plain_permute(key, int(d[:-1]), 10**15, b"card", lambda v: len(set(card(v))) > 1))
+    if pick == 3:
+        a = [int(x) for x in rng.integers(0, 300, 4)]
+        if max(a) > 255:
+            return ".".join(map(str, a)), None, None
+        x = plain_permute(key, sum(v << 8 * (3 - i) for i, v in enumerate(a)), 2**32, b"ipv4")
+        return ".".join(map(str, a)), "ip", ".".join(str(x >> 8 * (3 - i) & 255) for i in range(4))
+    if pick == 4:
+        y, m, d = int(rng.integers(1890, 2110)), int(rng.integers(1, 14)), int(rng.integers(1, 32))
+        try:
+            day = (datetime.date(y, m, d) - datetime.date(1900, 1, 1)).days
+            n = (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+            new = (datetime.date(1900, 1, 1) + datetime.timedelta(plain_permute(key, day, n, b"date"))).isoformat() if 0 <= day < n else None
+        except ValueError:
+            new = None
+        return f"{y}-{m:02d}-{d:02d}", "date" if new else None, new
+    if pick == 5:
+        d = "555" + digits(7)
+        new = f"{plain_permute(key, int(d), 10**10, b'phone|'):010d}"
+        return f"{d[:3]}-{d[3:6]}-{d[6:]}", "phone", f"{new[:3]}-{new[3:6]}-{new[6:]}"
+    if pick == 6:
+        body, rest = "DE", digits(18)
+        check = next(f"{c:02d}" for c in range(2, 99) if int(rest + "1314" + f"{c:02d}") % 97 == 1)
+        x = f"{plain_permute(key, int(rest), 10**18, b'iban|DE|' + b'0' * 18):018d}"
+        return body + check + rest, "iban", body + next(f"{c:02d}" for c in range(2, 99) if int(x + "1314" + f"{c:02d}") % 97 == 1) + x
+    d = "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(1, 9))))
+    x, new = plain_permute(key, sum((ord(c) - 97) * 26 ** (len(d) - 1 - i) for i, c in enumerate(d)), 26 ** len(d), b"email|mail.example|" + b"a" * len(d)), ""
+    for _ in d:
+        x, r = divmod(x, 26)
+        new = chr(97 + r) + new
+    return f"{d}@mail.example", "email", f"{new}@mail.example"
+
+
+def test_matches_and_pseudonyms_against_plain_versions():
+    rng, f = np.random.default_rng(12), pii.Feistel(b"k")
+    for _ in range(60):
+        parts, want, at = [], [], 0
+        for _ in range(12):
+            before = str(rng.choice(["é word, ", "so; ", "(see) ", "x "]))
+            value, kind, new = planted(rng)
+            if kind:
+                want.append((at + len(before), at + len(before) + len(value), kind, new))
+            parts += [before, value, ", "]
+            at += len(before) + len(value) + 2
+        assert pii.spans("".join(parts), f) == want
+
+
+def test_documents_table_against_plain_patterns(spark):
+    """On the whole table: what plain patterns with validation find is what is replaced."""
+    for r in QUERIES["op4_pseudonyms"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.col("text").alias("before")), "doc_id").collect():
+        text = r.before or ""
+        mails = re.findall(r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", text)
+        cards = [c for c in re.findall(r"(?<![\w.+-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\w-])", text) if plain_luhn(re.sub(r"\D", "", c))]
+        ips = [x for x in re.findall(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", text) if all(str(int(p)) == p and int(p) < 256 for p in x.split("."))]
+        assert (r.n_email, r.n_card, r.n_ip) == (len(mails), len(cards), len(ips)), r.doc_id
+        kept = [x for x in [*mails, *cards, *ips] if x in r.text]
+        assert len(kept) <= 1 and len(r.text) >= len(text) - 12 * len(ips)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " @", "a" * 1_000_000 + "@x.example", "a@" * 500_000, "1" * 1_000_000, "1-" * 500_000 + "x", "4111 1111 1111 1111 " * 8_000, "a.b@c.de " * 20_000 + "4111 1111 1111 1111, " * 4_000, "@" + "a." * 500_000 + "1", "+1 " * 300_000])
+def test_long_runs_take_linear_time(text):
+    began, f = time.perf_counter(), pii.Feistel(b"k")
+    found = pii.spans(text, f)
+    assert time.perf_counter() - began < 60
+    if len(found) < 100:
+        out = pii.replaced(text, found)
+        assert pii.replaced(out, pii.spans(out, f, back=True)) == text
 
 
 # --- archive ------------------------------------------------------------------------------
@@ -113,10 +221,12 @@ def test_links_between_parts(spark, odd, none):
         (5, 'password = "abc", Token:secret=abcdefgh AKIASHORT ' + "0a" * 12 + " user=bob"),
         (6, f"secret = {blob} user=bob"),
         (7, "😀 api-key: x api_key: '123456'"),
+        (8, "user=bob " + blob * 90 + " https://h.example/" + "p" * 300 + " login: carol"),  # a long token; a part right after a long endpoint
+        (9, "see https://h.example/?user=admin&password=hunter22"),
     ]
     got = {r.doc_id: r for r in secret_scan.scan(docs_of(spark, *rows)).collect()}
     kinds = {i: [x.split(":")[0] for x in r.spans.split(",") if x] for i, r in got.items()}
-    assert kinds == {1: ["access", "blob", "endpoint"], 2: [], 3: [], 4: ["user", "blob"], 5: ["assign", "hex", "user"], 6: ["assign", "user"], 7: ["assign"]}
+    assert kinds == {1: ["access", "blob", "endpoint"], 2: [], 3: [], 4: ["user", "blob"], 5: ["assign", "hex", "user"], 6: ["assign", "user"], 7: ["assign"], 8: ["user", "blob", "endpoint"], 9: ["endpoint", "user", "assign"]}
     assert got[7].spans == "assign:13:29" and got[7].base_sha256 == sha("assign:13:29")
     assert (got[5].n_assign, got[5].n_access, got[5].n_hex, got[5].n_weak) == (1, 0, 1, 1)
     for i, text in rows:
@@ -183,6 +293,51 @@ def test_ordinal_regression(spark, odd, none):
     assert toxicity.train([("a", 1), ("b", 1)]).probabilities(0)[0] > 0.9
 
 
+def test_loss_and_slopes_against_plain_versions():
+    rng = np.random.default_rng(9)
+    eta, t, grade = rng.normal(0, 2, 40), np.array([-1.0, 0.3, 2.0]), rng.integers(0, 4, 40)
+
+    def plain(eta, t):
+        total = 0.0
+        for e, g in zip(eta, grade):
+            over = [1.0, *(1 / (1 + np.exp(-(e - x))) for x in t), 0.0]
+            total -= np.log(over[g] - over[g + 1])
+        return total / len(eta)
+
+    loss, d_eta, d_t = toxicity.slopes(eta, t, grade)
+    assert abs(loss - plain(eta, t)) < 1e-12
+    for i in range(40):
+        step = np.eye(40)[i] * 1e-6
+        assert abs((plain(eta + step, t) - plain(eta - step, t)) / 2e-6 - d_eta[i]) < 1e-7
+    for j in range(3):
+        step = np.eye(3)[j] * 1e-6
+        assert abs((plain(eta, t + step) - plain(eta, t - step)) / 2e-6 - d_t[j]) < 1e-7
+
+
+def test_toxicity_query_against_plain_scores(spark):
+    """Severity and grade of every row from the model's weights and thresholds, by the definitions; and accuracy on rows that were not trained on."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, DATA).collect()}
+    assert len(got) == docs.count() and list(model.thresholds) == sorted(model.thresholds)
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        held, score = min(len(words), 500), 0.0
+        counts = {}
+        for w in words:
+            for f in {w, *("^" + w[:n] for n in (4, 5, 6) if len(w) > n)}:
+                counts[f] = counts.get(f, 0) + 1
+        for f, n in counts.items():
+            score += model.weights.get(f, 0.0) * np.log2(1 + n * held / max(len(words), 1)) / (1 + held / 1000)
+        p = [1 / (1 + np.exp(x - score)) for x in model.thresholds]
+        assert abs(got[r.doc_id].severity - sum(p)) < 1e-6 and got[r.doc_id].grade == sum(x >= 0.5 for x in p) and got[r.doc_id].rejected == (p[0] >= 0.5)
+    big = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(F.xxhash64("doc_id") % 2 == 0))
+    held = toxicity.scored(docs, model).join(labels.where(F.xxhash64("doc_id") % 2 != 0).select("doc_id", "toxic"), "doc_id").select("rejected", "toxic").collect()
+    assert np.mean([r.rejected for r in held if r.toxic]) > 0.85 and np.mean([r.rejected for r in held if not r.toxic]) < 0.02
+
+
 def test_toxicity_does_not_fade_with_length():
     rng = np.random.default_rng(5)
     words = [f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
@@ -196,13 +351,45 @@ def test_toxicity_does_not_fade_with_length():
 
 
 # --- decontamination ----------------------------------------------------------------------
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**35 - 1), max_size=50))
+def test_postings_code(values):
+    body, at = decontam.encoded(np.array(values, np.int64))
+    assert decontam.decoded(body).tolist() == values and at[-1] == len(body)
+
+
+def test_index_has_every_word(spark, odd):
+    rows = decontam.build_index(odd, shard_words=50).collect()
+    heads = {r.shard: np.frombuffer(r.body, np.int64).reshape(-1, 4) for r in rows if r.term is None}
+    assert sum(len(h) for h in heads.values()) == odd.count() and len(heads) >= 4
+    texts = sorted((len(decontam.words((r.text or "").encode())), str(r.doc_id)) for r in odd.collect())
+    assert sorted((int(n), str(int(d)) if there else "None") for h in heads.values() for there, d, _, n in h) == texts
+    line = {}
+    for r in rows:
+        if r.term is not None:
+            places = np.cumsum(decontam.decoded(np.frombuffer(r.body, np.uint8)))
+            assert len(places) == r.n
+            for p in places.tolist():
+                assert line.setdefault((r.shard, p), bytes(r.term)) == bytes(r.term)
+    long = [[line[k, p] for p in range(len([x for x in line if x[0] == k]))] for k, h in heads.items() if (h[:, 3] == 80_000).any()]
+    assert long and all(decontam.words(odd.where("doc_id = 4").first().text.encode()) == x[-80_000:] or len(x) > 80_000 for x in long)
+
+
+def test_long_items_are_cut_without_loss(spark):
+    item = " ".join(f"w{i}" for i in range(95))
+    items = spark.createDataFrame([(1, item), (1, item), (2, "w5 w6"), (None, None)], "item_id long, text string")
+    rows = decontam.pieces(items, 10, 20).collect()
+    found = [tuple(w[k : k + 10]) for r in rows if r.item_id == 1 for w in [bytes(r.words).split()] for k in range(len(w) - 9)]
+    assert len(found) == len(set(found)) == 86 and max(r.n for r in rows) == 29 and len(rows) == 6
+
+
 @pytest.mark.parametrize("block_words", [10**6, 40])
 def test_windows_against_brute_force(spark, block_words):
     rng = np.random.default_rng(2)
     words = ["the", "of", "a", "Rare1", "rare2", "É", "x9", "zz", "kk", "oo"]
     make = lambda n: " ".join(rng.choice(words, n))
     items = [(i, make(n)) for i, n in enumerate((3, 12, 25, 14, 10, 1))] + [(7, None), (8, "…"), (1, "same id other text the of a x9 zz kk oo rare2 end"), (None, "no id here but words of a window")]
-    docs = [(i, make(int(rng.integers(0, 60)))) for i in range(60)] + [(100, items[1][1] + "! " + items[2][1]), (101, None), (102, ""), (101, items[3][1].upper()), (103, items[-1][1])]
+    docs = [(i, make(int(rng.integers(0, 60)))) for i in range(60)] + [(100, items[1][1] + "! " + items[2][1]), (101, None), (102, ""), (101, items[3][1].upper()), (103, items[-1][1]), (104, items[1][1] + " . " + items[8][1])]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
     for i, t in items:
@@ -254,6 +441,77 @@ def test_likeness():
     assert syncmers.likeness(f(""), f("")) == 1 and syncmers.likeness(f(""), f("x")) == 0 and syncmers.likeness(f("x"), f("x")) == 1
 
 
+def plain_anchors(data, k=12, s=4):
+    """Closed syncmers by their definition, one k-mer at a time."""
+    if data and len(data) < k:
+        return [(0, int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little"))]
+
+    def inner(x):
+        h = int.from_bytes(x, "little") * 0x9E3779B1 % 2**32
+        h ^= h >> 15
+        return h * 0x85EBCA77 % 2**32
+
+    def whole(x):
+        a, b, c = (int.from_bytes(x[i : i + 4], "little") for i in (0, 4, 8))
+        v = (a | b << 32) * 0x9E3779B97F4A7C15 % 2**64
+        v ^= ((v >> 29) + c * 0xC2B2AE3D27D4EB4F) % 2**64
+        return (v * 0x165667B19E3779F9 % 2**64) >> 32
+
+    out = []
+    for p in range(len(data) - k + 1):
+        mer = data[p : p + k]
+        hashes = [inner(mer[i : i + s]) for i in range(k - s + 1)]
+        if min(hashes) in (hashes[0], hashes[-1]):
+            out.append((p, whole(mer)))
+    return out
+
+
+def plain_print(text, most=64):
+    first = {}
+    for p, h in plain_anchors(text.encode()):
+        first.setdefault(h, p)
+    return dict(sorted(first.items())[:most])
+
+
+def plain_likeness(a, b, most=64, slack=64):
+    if not a or not b:
+        return float(bool(a) == bool(b))
+    joint = sorted({*a, *b})[:most]
+    shifts = [a[h] - b[h] for h in joint if h in a and h in b]
+    return max((sum(x <= y <= x + slack for y in shifts) for x in shifts), default=0) / len(joint)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc é", max_size=400), st.text(alphabet="abc é", max_size=400))
+def test_fingerprints_against_plain_versions(a, b):
+    for t in (a, b, a * 30, a + b):
+        at, h = syncmers.anchors(t.encode())
+        assert list(zip(at.tolist(), h.tolist())) == plain_anchors(t.encode())
+        value, first = syncmers.fingerprint(t)
+        assert dict(zip(value.tolist(), first.tolist())) == plain_print(t)
+    assert syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) == plain_likeness(plain_print(a), plain_print(b))
+
+
+def test_positions_have_no_limit():
+    value, first = syncmers.fingerprint("a" * (1 << 24) + "b" * 12 + "unlike")
+    assert first.max() > 0xFFFFFF and syncmers.told((value, first)).endswith(";")
+
+
+def test_syncmer_query_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().sort_values("doc_id", ascending=False)
+    texts = [t or "" for t in docs.text]
+    got = {r.doc_id: r for r in QUERIES["op10_syncmers"](spark, DATA).collect()}
+    told = lambda p: "".join(f"{h:08x}{at:x};" for h, at in p.items())
+    assert len(got) == len(texts)
+    for k in [*range(0, len(texts), 9), len(texts) - 1]:
+        t, other = texts[k], texts[(k + 1) % len(texts)]
+        half = len(t) // 2
+        new = t[: len(t) - half] + other[:half]
+        a, b, c, r = plain_print(t), plain_print(new), plain_print(other), got[docs.doc_id.iloc[k]]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), sha(new), told(a), told(b))
+        assert (r.near_edited, r.near_next) == (plain_likeness(a, b), plain_likeness(a, c))
+
+
 def test_neighbours_by_id(spark, odd, none):
     rows = [(i * 3 - 50, f"text {i} " * (i % 5) + "é" * (i % 3)) for i in range(90)]
     got = {r.doc_id: r for r in syncmers.compared(docs_of(spark, *rows).repartition(4)).collect()}

@@ -2,9 +2,12 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from simjoin.llm import components, simhash
+from simjoin.llm.common import Sieve, sifted
+from simjoin.llm.queries import QUERIES
 from tests.llm.conftest import docs_of
 
 
@@ -44,32 +47,70 @@ def links(f, bits):
     return [find(i) for i in range(len(f))]
 
 
-def test_index_finds_every_link(spark, monkeypatch):
+def found_by_index(spark, f, lists=simhash.LONG_LIST, steps=simhash.STEPS):
+    """The component of each fingerprint, through the index on Spark."""
+    df = spark.createDataFrame([(i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(f)], "node long, f0 long")
+    simhash.LONG_LIST, simhash.STEPS, before = lists, steps, (simhash.LONG_LIST, simhash.STEPS)
+    try:
+        edges = simhash.near_edges(df, 1, simhash.position_sets(8, 4, 3), 4, 4, True)
+    finally:
+        simhash.LONG_LIST, simhash.STEPS = before
+    root = {r.node: r.root for r in components.components(edges).collect()}
+    return [root.get(i, i) for i in range(len(f))]
+
+
+def flipped(rng, x, bits):
+    return int(x) ^ sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+
+
+@pytest.mark.parametrize("lists, steps", [(20_000, 4_096), (3, 4_096), (3, 1)])
+def test_index_finds_every_link(spark, lists, steps):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
-    f = [int(b) for b in base] + [int(base[rng.integers(30)]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)) for _ in range(200)]
+    f = [int(b) for b in base] + [flipped(rng, base[rng.integers(30)], rng.integers(1, 7)) for _ in range(200)]
+    # a family that three bytes and a constant fourth do not tell apart, more than a short list holds
+    f += [int(x) for x in rng.integers(0, 2**32, 500, dtype=np.uint64)]
+    f += [f[-k] ^ 0b1111 << 7 * k for k in range(1, 4)] + [flipped(rng, 77, 3) for _ in range(300)]
     f = list(dict.fromkeys(f))
-    df = spark.createDataFrame([(i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(f)], "node long, f0 long")
-    want = links(f, 4)
-    for long in (20_000, 3):
-        monkeypatch.setattr(simhash, "LONG_LIST", long)
-        edges = simhash.near_edges(df, 1, simhash.position_sets(8, 4, 3), 4, 4, True)
-        root = {r.node: r.root for r in components.components(edges).collect()}
-        assert [root.get(i, i) for i in range(len(f))] == want
+    assert found_by_index(spark, f, lists, steps) == links(f, 4)
 
 
-def test_long_lists_are_cut_without_loss(monkeypatch):
-    rng = np.random.default_rng(4)
-    f = np.unique(np.uint64(77) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(600)], np.uint64)).reshape(-1, 1)
-    monkeypatch.setattr(simhash, "LONG_LIST", 50)
-    found = [np.stack(x) for x in simhash._links(f, [(0, len(f))], 4, 4, 3, True)]
-    a, b, _ = np.concatenate(found, axis=1)
-    assert simhash.roots(len(f), a, b).tolist() == links(f[:, 0], 4)
+def test_long_list_of_four_equal_bytes(spark):
+    rng = np.random.default_rng(6)
+    f = [int(x) for x in np.unique(rng.integers(0, 2**32, 21_000, dtype=np.uint64))]
+    planted = f[0] ^ 0x01010101  # a bit in each of the other four bytes
+    f = [x for x in f if x != planted] + [planted]
+    got = found_by_index(spark, f)
+    assert got[-1] == got[0] == 0
+    near = lambda k: np.flatnonzero(np.bitwise_count(np.array(f, np.uint64) ^ np.uint64(f[k])) <= 4)
+    assert all(got[j] == got[k] for k in range(0, len(f), 50) for j in near(k))
 
 
-def test_forest_takes_the_nearest_links():
-    a, b, d = np.array([0, 1, 0, 3]), np.array([1, 2, 2, 4]), np.array([5, 1, 2, 9])
-    assert sorted(simhash.forest(5, a, b, d).tolist()) == [1, 2, 3]
+def test_search_reaches_what_links_reach():
+    rng = np.random.default_rng(4)
+    f = np.unique(np.array([flipped(rng, 77, 3) for _ in range(600)] + [flipped(rng, 2**60 + 5, 30) for _ in range(300)], np.uint64)).reshape(-1, 1)
+    root, waits = simhash.reached(f, 4, 4)
+    want = links(f[:, 0], 4)
+    assert not waits.any() and simhash.roots(len(f), np.arange(len(f)), root).tolist() == want
+    a, b = simhash._short(f, np.array([[0, len(f)]]), 4, 4)
+    assert simhash.roots(len(f), a, b).tolist() == want
+    # cut short, what is linked and what waits hold all links between them
+    root, waits = simhash.reached(f, 4, 4, 20)
+    at = np.flatnonzero(waits)
+    rest = simhash.reached(f[at], 4, 4)[0]
+    assert len(at) and simhash.roots(len(f), np.concatenate([np.arange(len(f)), at]), np.concatenate([root, at[rest]])).tolist() == want
+
+
+def test_whole_query_against_brute_force(spark):
+    """All of the smallest documents table, by the definition."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    f = [plain_fingerprint(t) for t in docs.text]
+    order = np.argsort(docs.doc_id.to_numpy(), kind="stable")
+    want, label = {}, links([f[i] for i in order], 4)
+    for k, i in enumerate(order):
+        want[int(docs.doc_id[i])] = (f"{f[i]:016x}", int(docs.doc_id[order[label[k]]]))
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op3_simhash"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and any(v[1] != k for k, v in want.items())
 
 
 def test_odd_rows(spark, odd, none):
@@ -161,3 +202,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got.get(i, i) for i in range(41)} == {0} and {got.get(100 + i, 100 + i) for i in range(50)} == {100} and 0 not in got
+
+
+def test_sieve_loses_none(spark):
+    ids = spark.range(0, 3_000, 3).selectExpr("id * id as id")
+    rows = spark.range(-50, 9_000).selectExpr("id as doc_id", "id as w", "id as mask").unionByName(spark.sql("select cast(null as long) as doc_id, 1L as w, 2L as mask"))
+    sieve = Sieve.of(ids)
+    has, lacks = sifted(rows, rows["doc_id"], sieve), sifted(rows, rows["doc_id"], sieve, False)
+    assert has.columns == rows.columns and has.count() + lacks.count() == rows.count() and has.count() < 1_500
+    assert {r.doc_id for r in has.collect()} >= {k * k for k in range(0, 94, 3)} and lacks.where("doc_id is null").count() == 1
+    assert sifted(rows, rows["doc_id"], Sieve.of(ids.limit(0))).count() == 0
