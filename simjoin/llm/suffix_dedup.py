@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from simjoin.llm.common import own_columns, partitions, steady, stored
 
 WINDOW, K = 100, 24
-#: Text of a block, and of a shard, in bytes.
-BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 20
-#: Segments of one anchor in one shard, about as much text as a shard has; beyond, they are spread.
+#: Text of a block, and of a shard, in bytes; a shard's arrays should fit a processor's cache.
+BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
+#: Segments of one anchor in one shard, about a megabyte; beyond, they are spread.
 HOT = 8_000
 #: Windows of a segment at most; longer runs of one anchor are cut.
 RUN = 1_024
 #: Sampled strings for each range that the first occurrences of spread anchors are merged in.
 PER_RANGE = 20
 #: Suffixes that a lane of Kasai's walk passes; more lanes make longer numpy steps.
-LANE = 16
+LANE = 8
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).max
@@ -86,30 +86,31 @@ def segments(data: bytes, window: int = WINDOW, k: int = K, count: bool = False)
     return start, size, h[start], np.minimum(np.add.reduceat(held.astype(np.int32), first), 2)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``text`` in the order of their first ``depth`` bytes or more.
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``text`` in the order of their first ``depth`` bytes or more, and their ranks.
+
+    Suffixes of one rank have these bytes in common.
 
     Larsson and Sadakane: a rank is the last place of its group, groups are refined by the
     ranks ``h`` further on, ``h`` doubles, and suffixes alone in their group are left alone.
     """
     n = len(text)
     key = words_of(text)
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)  # suffixes of a group are in no order, so no sort has to be stable
     new = np.concatenate([[True], np.diff(key[order]) != 0])
     del key
-    rank = np.empty(n + 1, np.int32)
+    rank = np.full(n + depth, -1, np.int32)  # -1 behind the end
     ends = np.append(np.flatnonzero(new)[1:], n) - 1
     group = ends[np.cumsum(new) - 1].astype(np.int32)
     rank[order] = group
-    rank[n] = -1  # behind the end
     h = 8
     alone = np.concatenate([new, [True]])
     places = np.flatnonzero(~(alone[:-1] & alone[1:]))  # of suffixes in groups of several
     while h < depth and len(places):
         suffix = order[places]
         mine = rank[suffix]
-        key = (mine.astype(np.int64) << 32) | (rank[np.minimum(suffix.astype(np.int64) + h, n)].astype(np.int64) + 1)
-        by = np.argsort(key, kind="stable")
+        key = (mine.astype(np.int64) << 32) | (rank[suffix + np.int32(h)] + np.int32(1))
+        by = np.argsort(key)
         key, suffix = key[by], suffix[by]
         order[places] = suffix  # groups are contiguous in places and in order
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -118,12 +119,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         alone = np.concatenate([new, [True]])
         places = places[~(alone[:-1] & alone[1:])]
         h *= 2
-    return order
+    return order, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, rank: np.ndarray | None = None) -> np.ndarray:
     """Bytes, up to ``most``, that each suffix of ``order`` shares with the one before it.
 
+    Suffixes of one ``rank`` are known to share as many and are not compared.
+
     Kasai's walk in text order, where a prefix shortens by at most one from a suffix to the
     next; stretches of ``LANE`` suffixes are walked side by side, and words are compared. Where
     a prefix reached ``most``, the order behind it is not known, so the next one starts anew
@@ -132,6 +135,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    known = np.zeros(n, bool)
+    if rank is not None:
+        known[order[1:]] = rank[order[1:]] == rank[order[:-1]]
     word = words_of(np.concatenate([text, np.zeros(most + 8, np.uint8)]))
     at = np.arange(0, n, LANE)
     shared = np.zeros(len(at), np.int64)
@@ -140,12 +146,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         i = at[at < n]
         j = before[i]
         held = np.where((shared[: len(i)] < most) | (j == before[i - 1] + 1), np.maximum(shared[: len(i)] - 1, 0), 0)
-        go = np.flatnonzero((j >= 0) & (held < most))
+        go = np.flatnonzero((j >= 0) & (held < most) & ~known[i])
         held[j < 0] = 0
+        held[known[i]] = most
         while len(go):
             x = word[i[go] + held[go]] ^ word[j[go] + held[go]]
             same = x == 0
-            same = x == 0
             held[go[same]] += 8
             last, x = go[~same], x[~same]
             held[last] += sum((x < np.uint64(1 << b)).view(np.int8) for b in range(8, 64, 8))  # leading zero bytes
@@ -159,15 +165,24 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 
 class Shard:
-    """Segments of one shard: what repeats within, and the first occurrences of spread ones."""
+    """Segments of one shard: what repeats within, and the first occurrences of spread ones.
+
+    Of equal segments the first goes into the suffix array; all windows of the others repeat.
+    """
 
     def __init__(self, columns: list[np.ndarray], text: np.ndarray, window: int = WINDOW):
         """``columns``: doc, block, idx, start, size, spread of each segment, in corpus order."""
+        end, data = np.cumsum(columns[4] + window - 1), text.tobytes()
+        seen: dict[bytes, int] = {}
+        at = [seen.setdefault(data[a:b], i) for i, (a, b) in enumerate(zip([0, *end[:-1].tolist()], end.tolist()))]
+        new = np.array(at) == np.arange(len(at))
+        self.again = [c[~new] for c in columns]
+        columns, text = [c[new] for c in columns], np.frombuffer(b"".join(seen), np.uint8)
         self.doc, self.block, self.idx, self.start, self.size, self.spread = columns
         length = self.size + window - 1
         self.base, self.text, self.window = np.cumsum(length) - length, text, window
-        order = suffix_array(text, window)
-        fresh = common_prefixes(text, order, window) < window
+        order, rank = suffix_array(text, window)
+        fresh = common_prefixes(text, order, window, rank) < window
         kind = np.cumsum(fresh) - 1  # suffixes of one kind begin with the same window
         owned = np.zeros(len(text), bool)
         owned[np.repeat(self.base - np.cumsum(self.size) + self.size, self.size) + np.arange(self.size.sum())] = True
@@ -179,13 +194,15 @@ class Shard:
         self.repeated[order[order > first]] = True
         self.firsts = np.minimum.reduceat(order, heads) if len(order) else order
 
-    def marks(self) -> Iterator[tuple[int, int, int, int]]:
+    def marks(self) -> list[np.ndarray]:
         """(block, idx, start, end) of removed bytes."""
         edge = np.flatnonzero(np.diff(np.concatenate([[False], self.repeated, [False]]).astype(np.int8)))
         lo, hi = edge[::2], edge[1::2]  # runs end at segments, whose last bytes own no window
         of = np.searchsorted(self.base, lo, "right") - 1
         shift = self.start[of] - self.base[of]
-        return zip(self.block[of].tolist(), self.idx[of].tolist(), (lo + shift).tolist(), (hi - 1 + shift + self.window).tolist(), strict=True)
+        _, block, idx, start, size, _ = self.again
+        found = ((self.block[of], block), (self.idx[of], idx), (lo + shift, start), (hi - 1 + shift + self.window, start + size + self.window - 1))
+        return [np.concatenate(x) for x in found]
 
     def strings(self) -> Iterator[tuple[int, int, int, int, bytes]]:
         """(doc, block, idx, start, window) of the first occurrences in spread segments, in their order."""
@@ -309,9 +326,12 @@ def _searched(dealt: DataFrame, n: int, window: int) -> DataFrame:
         def out(pieces: list[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*(c for c, _ in pieces), strict=True)]
             s = Shard(columns[1:], np.concatenate([t for _, t in pieces]), window)
-            shard = int(columns[0][0])
-            told = [(shard, None, b, i, x, y, None) for b, i, x, y in s.marks()] + [(shard, d, b, i, x, x + window, t) for d, b, i, x, t in s.strings()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in told], pa.binary() if i == 6 else pa.int64()) for i in range(7)], names=["shard", "doc", "block", "idx", "start", "end", "string"])
+            marks, strings = s.marks(), list(s.strings())
+            n, more = len(marks[0]), [np.array([r[i] for r in strings], np.int64) for i in range(4)]
+            told = [np.full(n + len(strings), columns[0][0]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(more[0])])]
+            told += [np.concatenate(x) for x in zip(marks, (*more[1:], more[3] + window), strict=True)]
+            told.append(pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([r[4] for r in strings], pa.binary())]))
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in told], names=["shard", "doc", "block", "idx", "start", "end", "string"])
 
         now, pieces = -1, []
         for batch in batches:

@@ -27,10 +27,12 @@ def brute(rows, w=100):
 def test_suffix_array_and_prefixes(letters):
     t = np.random.default_rng(letters).integers(97, 97 + letters, 400).astype(np.uint8)
     t = np.concatenate([t, t[:150], t])
-    b, order = t.tobytes(), sd.suffix_array(t, 100)
+    b, (order, rank) = t.tobytes(), sd.suffix_array(t, 100)
     assert sorted(order.tolist()) == list(range(len(b)))
     assert [b[i : i + 100] for i in order] == sorted(b[i : i + 100] for i in range(len(b)))
     shared = sd.common_prefixes(t, order, 100)
+    assert (shared == sd.common_prefixes(t, order, 100, rank)).all()
+    assert all(b[i : i + 100] == b[j : j + 100] for i, j in zip(order[1:].tolist(), order[:-1].tolist()) if rank[i] == rank[j])
     for k in range(1, len(order)):
         x, y = b[order[k] :][:100], b[order[k - 1] :][:100]
         assert shared[k] == next((c for c in range(min(len(x), len(y))) if x[c] != y[c]), min(len(x), len(y)))
