@@ -129,6 +129,28 @@ def sifted(df: DataFrame, own: Column, sieve: Sieve, has: bool = True) -> DataFr
     return df.join(F.broadcast(words), on, "left_semi" if has else "left_anti")
 
 
+#: A key with more rows than this, and than a thousandth of all, is frequent; so there are a thousand at most.
+FREQUENT, SHARES = 10_000, 1_000
+
+
+def frequent(counted: DataFrame, total: int) -> DataFrame:
+    """The keys (all columns but ``copies``) of the frequent rows of ``counted``."""
+    return counted.where(F.col("copies") > max(FREQUENT, total // SHARES)).drop("copies")
+
+
+def uneven_join(left: DataFrame, right: DataFrame, hot: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, of which a key has one row, where few keys may have most of left's rows.
+
+    ``hot`` has the frequent keys, a thousand at most, so their rows of ``right`` are
+    broadcast; the other keys meet in a shuffle, as all do if no key is frequent.
+    """
+    if not hot.limit(1).count():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot.select(key))
+    often = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return often.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simjoin.llm.common import own_columns, shared_dir, stored
+from simjoin.llm.common import frequent, own_columns, shared_dir, stored, uneven_join
 
 #: Payloads below this many bytes are always stored as responses.
 REVISIT_FROM = 1000
 URN = "urn:simjoin:page:"
+#: Bytes of a payload that may be broadcast.
+SMALL = 4_096
 # Fixed values of the WARC and HTTP formats.
 VERSION, CRLF, PROFILE = "WARC/1.1", "\r\n", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -90,20 +92,28 @@ def write(pages: DataFrame, path: str | None = None, revisit_from: int = REVISIT
     """
     archive = Archive(path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
     pages = own_columns(pages, "page_id", "url", "html")
-    described = _described(pages)
-    holders = described.where(F.col("n_bytes") >= revisit_from).groupBy("digest").agg(F.max("page_id").alias("holder"))
-    records = described.join(holders, "digest", "left")
-    revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
-    _headers(records.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))).write.parquet(f"{archive.path}/headers")
     agree = (F.min("n_bytes") == F.max("n_bytes")) & (F.min("sha1") == F.max("sha1"))
-    kept = _packed(pages).groupBy("digest").agg(F.first("body").alias("body"), F.max("n_bytes").alias("n_bytes"), agree.alias("agree"))
-    kept = kept.select("digest", "n_bytes", F.when(F.col("agree"), F.col("body")).otherwise(F.raise_error(F.lit("different payloads have one digest")).cast("binary")).alias("body"))
+    kept = _packed(pages).groupBy("digest").agg(F.first("body").alias("body"), F.max("n_bytes").alias("n_bytes"), agree.alias("agree"), F.count("*").alias("copies"))
+    kept = kept.select("digest", "n_bytes", "copies", F.when(F.col("agree"), F.col("body")).otherwise(F.raise_error(F.lit("different payloads have one digest")).cast("binary")).alias("body"))
     kept.write.parquet(f"{archive.path}/payloads")
+    described, spark = _described(pages), pages.sparkSession
+    large = described.where(F.col("n_bytes") >= revisit_from)
+    holders = large.groupBy("digest").agg(F.max("page_id").alias("holder"))
+    hot = frequent(archive.payloads(spark).select("digest", "copies"), archive.payloads(spark).agg(F.sum("copies")).first()[0] or 0)
+    records = uneven_join(large, holders, hot, "digest", "left")
+    records = records.unionByName(described.where(F.col("n_bytes") < revisit_from).withColumn("holder", F.lit(None).cast("long")))
+    revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
+    _headers(records.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))).write.parquet(f"{archive.path}/headers")
     return archive
 
 
 def records(archive: Archive, spark: SparkSession) -> DataFrame:
-    """The exact bytes of every record (one column, ``record``), as a WARC file holds them."""
+    """The exact bytes of every record (one column, ``record``), as a WARC file holds them.
+
+    Payloads of up to ``SMALL`` bytes that very many records have, as empty ones, are
+    broadcast, a thousand at most. A payload that no longer has its digest is an error. Nulls
+    are as the archive has them; an archive without records gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +122,9 @@ def records(archive: Archive, spark: SparkSession) -> DataFrame:
                 out = [h + p + (b"" if b is None else _checked(zlib.decompress(b), d)) + b"\r\n\r\n" for h, p, d, b in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    headers, payloads = archive.headers(spark), archive.payloads(spark).select("digest", "body")
-    whole = headers.where("has_payload").join(payloads, "digest").select("header", "http", "digest", "body")
+    headers, payloads = archive.headers(spark), archive.payloads(spark)
+    hot = frequent(payloads.where(F.col("n_bytes") <= SMALL).select("digest", "copies"), headers.count())
+    whole = uneven_join(headers.where("has_payload"), payloads.select("digest", "body"), hot, "digest").select("header", "http", "digest", "body")
     bare = headers.where("not has_payload").select("header", "http", "digest", F.lit(None).cast("binary").alias("body"))
     return whole.unionByName(bare).mapInArrow(run, "record binary")
 
@@ -142,7 +153,11 @@ PARSED = "page_id long, record_type string, target string, stated_digest string,
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """The records (``record``: bytes of one or more records) with their fields and payloads."""
+    """The records (``record``: bytes of one or more records) with their fields and payloads.
+
+    Ids that are not of this archive's form are null, as the payload of a revisit is; other
+    columns are ignored, repeated rows are records each, and a null record is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda urn: int(urn) if (urn := urn.removeprefix(f"<{URN}").removesuffix(">")).lstrip("-").isdigit() else None
@@ -158,7 +173,7 @@ def parsed(records: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The records of uncompressed WARC files, each file read whole by one task."""
+    """The records of uncompressed WARC files, each file read whole by one task; an empty file has none."""
     return parsed(spark.read.format("binaryFile").load(path).select(F.col("content").alias("record")))
 
 
@@ -173,7 +188,9 @@ def read(archive: Archive, spark: SparkSession) -> DataFrame:
     rows = stored(rows, "warc-read")
     first = rows.where("record_type = 'response'")
     full = first.where("page_id is not null").dropDuplicates(["page_id"]).select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    again = rows.where("record_type = 'revisit'").join(full, "refers_to", "left").withColumns({"payload_bytes": F.col("n"), "payload_digest": F.col("d")}).select(first.columns)
+    revisits = rows.where("record_type = 'revisit'")
+    hot = stored(frequent(revisits.groupBy("refers_to").agg(F.count("*").alias("copies")), rows.count()), "warc-hot")
+    again = uneven_join(revisits, full, hot, "refers_to", "left").withColumns({"payload_bytes": F.col("n"), "payload_digest": F.col("d")}).select(first.columns)
     same = F.col("stated") == F.col("payload_digest")
     digest = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload read back differs from its record's digest")))
     return first.unionByName(again).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
