@@ -101,18 +101,18 @@ def compared(docs: DataFrame) -> DataFrame:
     A null text is empty; two empty texts are alike (1), an empty one is like no other (0).
     Other columns are ignored and an empty table gives an empty result.
 
-    Documents are dealt to ranges of ids; those without one are a range, as they have to
-    follow each other. The first of each range also goes, as a guest, to
+    Documents are dealt to ranges of ids, those without one to ranges of their hashes. The first of each range also goes, as a guest, to
     the range before, so neighbours meet without a global sort; texts move once, compressed.
     """
     spark = docs.sparkSession
     docs = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     n = partitions(spark) * RANGES
     cuts = np.array(sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first().q or [])), np.int64)
-    ids = docs.select("doc_id", F.lit(None).cast("string").alias("text"))
+    ids = docs.where("doc_id is not null").select("doc_id", F.lit(None).cast("string").alias("text"))
     first = {r[0]: r[1] for r in _ranged(ids, cuts, {}).groupBy("range").agg(F.max("doc_id")).collect()}
+    first |= {r[0]: (None, r[1]) for r in _ranged(docs.where("doc_id is null"), cuts, {}).groupBy("range").agg(F.min("tie")).collect()}
     held = sorted(first)  # ids grow with ranges, so the next documents of a range's last lie in the range below
-    guests: dict[int | None, list[int]] = {}
+    guests: dict = {}
     for r, below in zip(held, [held[-1], *held[:-1]] if held else [], strict=True):
         guests.setdefault(first[below], []).append(r)
 
@@ -152,8 +152,16 @@ def compared(docs: DataFrame) -> DataFrame:
     return dealt.select("range", "doc_id", "guest", "body").mapInArrow(run, kind)
 
 
-def _ranged(docs: DataFrame, cuts: np.ndarray, guests: dict[int | None, list[int]]) -> DataFrame:
-    """(range, doc_id, guest, tie, body): the documents in their ranges, and as guests in others."""
+#: Ranges of documents without an id.
+NO_ID_RANGES = 256
+
+
+def _ranged(docs: DataFrame, cuts: np.ndarray, guests: dict) -> DataFrame:
+    """(range, doc_id, guest, tie, body): the documents in their ranges, and as guests in others.
+
+    Ranges without ids are below 0, and their hashes grow downwards. ``guests`` has the
+    ranges that a document, by its id or by None and its hash, also goes to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -163,8 +171,8 @@ def _ranged(docs: DataFrame, cuts: np.ndarray, guests: dict[int | None, list[int
                 for doc, text in zip(batch.column(0).slice(at, 512).to_pylist(), batch.column(1).slice(at, 512).to_pylist(), strict=True):
                     data = (text or "").encode("utf-8")
                     body, tie = zip_.compress(data), int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True)
-                    rows.append((0 if doc is None else int(np.searchsorted(cuts, doc)), doc, False, tie, body))
-                    rows += [(r, doc, True, tie, body) for r in guests.get(doc, ())]
+                    rows.append((-1 - (tie + (1 << 63)) * NO_ID_RANGES // (1 << 64) if doc is None else int(np.searchsorted(cuts, doc)), doc, False, tie, body))
+                    rows += [(r, doc, True, tie, body) for r in guests.get((None, tie) if doc is None else doc, ())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["range", "doc_id", "guest", "tie", "body"])
 
     return docs.mapInArrow(run, "range long, doc_id long, guest boolean, tie long, body binary")
