@@ -63,7 +63,8 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
 
     ``messages`` has tree, node, parent (null or unknown: a root) and score (null: 0). The
     score of a path is the mean of its messages; ties go to the smaller leaf. Messages
-    whose parents run in a circle belong to no path.
+    whose parents run in a circle belong to no path. A tree's nodes are unique: of a node
+    that stands twice, each row would be a message of its own on every path through it.
     """
     joined = lambda a, b, x, y: (F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
     m = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
@@ -136,7 +137,11 @@ def from_rows(rows: DataFrame) -> DataFrame:
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """What the formatted conversations say when read back, one row each."""
+    """What the formatted conversations (tree, formatted, loss) say when read back, one row each.
+
+    Rows that repeat are told each by itself, a null tree stays null, and an empty table
+    gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from simjoin.llm import chat, decontam, pii, secret_scan, syncmers, toxicity, warc
+from simjoin.llm import chat, common, decontam, pii, secret_scan, syncmers, toxicity, warc
 from simjoin.llm.queries import QUERIES
 from tests.llm.conftest import docs_of
 
@@ -186,7 +186,9 @@ def test_long_runs_take_linear_time(text):
 
 
 # --- archive ------------------------------------------------------------------------------
-def test_archive(spark, tmp_path):
+@pytest.mark.parametrize("frequent", [10_000, 1])
+def test_archive(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(common, "FREQUENT", frequent)
     big = "é<p>" * 600
     rows = [(1, "http://a\r\nX: y", big), (2, None, big), (3, "u", big), (3, "u", big), (None, "n", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", "x" * 999), (9, "u", "x" * 999), (10, "u", "y" * 1000), (11, "u", "y" * 1000)]
     pages = spark.createDataFrame([(*r, 0, "z") for r in rows], "page_id long, url string, html string, digest int, body string")
@@ -526,3 +528,12 @@ def test_neighbours_by_id(spark, odd, none):
     assert by[5].near_next == 1 and by[3].n_chars == 0 and by[3].near_edited == 1
     assert syncmers.compared(docs_of(spark, (5, "alone"))).first().near_next == 1
     assert syncmers.compared(docs_of(spark, (None, "alone"), (None, "both"))).count() == 2
+
+
+def test_documents_without_ids_follow_each_other(spark):
+    rows = [(None, f"text number {i} {'x' * (i % 7)}") for i in range(60)] + [(None, "text number 3 xxx")] * 3 + [(i, f"with id {i}") for i in range(20)]
+    tie = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    want = sorted((str(d), len(t), sha(syncmers.edited(t, order[(k + 1) % len(order)][1]))) for k, (d, t) in enumerate(order))
+    got = syncmers.compared(docs_of(spark, *rows).repartition(5)).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == want
