@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from simjoin.functions.metric import L2
+from simjoin.functions.metric import L2, Metric
 from simjoin.operators.bounds import SLACK, cell_upper, lower_bounds, query_upper, upper_bounds
 from simjoin.operators.pivots import Voronoi, assigned, cell_stats, cut_regions, grouped, reverse_nearest, sampled_pivots, static_pivots, union_of
 from simjoin.operators.topk import Search, best, matrix, searched
@@ -24,19 +24,20 @@ from simjoin.plans.config import PivotConfig
 class PivotJoin:
     """One join's plan: pivots, cells and groups, and the operators that follow from them.
 
-    ``pivots`` fixes the pivots (rows of vectors); else they are sampled. The counters of a
-    run are in ``observed`` after an action: db_replications, distance_computations.
+    ``pivots`` fixes the pivots (rows of vectors); else they are sampled. ``metric`` is any
+    that keeps the triangle inequality. The counters of a run are in ``observed`` after an
+    action: db_replications, distance_computations.
     """
 
-    def __init__(self, queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None):
-        self.k, self.config = k, config or PivotConfig()
+    def __init__(self, queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None):
+        self.k, self.config, self.metric = k, config or PivotConfig(), metric or L2()
         self.pivots = sampled_pivots(database, self.config.pivot_count, self.config.seed) if pivots is None else np.asarray(pivots, np.float32)
         if not len(self.pivots):
             raise ValueError("the database is empty")
         self.depth = min(self.config.max_rec_depth, len(self.pivots))
-        self.static = static_pivots(self.pivots, self.config.static_count)
-        self.queries = assigned(queries, self.pivots, self.static, self.depth)
-        self.database = assigned(database, self.pivots, self.static, self.depth)
+        self.static = static_pivots(self.pivots, self.config.static_count, self.metric)
+        self.queries = assigned(queries, self.pivots, self.static, self.depth, self.metric)
+        self.database = assigned(database, self.pivots, self.static, self.depth, self.metric)
         self.observed = {name: Observation(name) for name in ("db_replications", "distance_computations")}
         self._voronoi: Voronoi | None = None
 
@@ -48,12 +49,14 @@ class PivotJoin:
     def voronoi(self) -> Voronoi:
         """Statistics of at most two rows per pivot come to the driver, once."""
         if self._voronoi is None:
-            self._voronoi = Voronoi.of(self.pivots, cell_stats(self.objects, self.k), self.k)
+            self._voronoi = Voronoi.of(self.pivots, cell_stats(self.objects, self.k), self.k, self.metric)
         return self._voronoi
 
     @property
     def groups(self) -> np.ndarray:
-        return grouped(self.pivots, self.voronoi.query_weight, min(self.config.groups, len(self.pivots)))
+        """The group of each cell; their number follows the size of the database."""
+        n = max(self.config.groups, -(-self.voronoi.db_count // self.config.group_objects))
+        return grouped(self.pivots, self.voronoi.query_weight, min(n, len(self.pivots)), self.metric)
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:
         return F.broadcast(self.queries.sparkSession.createDataFrame(rows, schema))  # pivots x groups rows at most
@@ -62,9 +65,24 @@ class PivotJoin:
         table = self._table([(p, str(g)) for p, g in enumerate(groups.tolist())], "pivot int, g string")
         return objects.join(table, F.get("nearest_pivots", F.lit(0)) == F.col("pivot")).drop("pivot")
 
-    def _by_lower_bound(self, groups: np.ndarray, epsilon: float) -> DataFrame:
+    def lower_bounds(self, groups: np.ndarray, epsilon: float) -> np.ndarray:
+        """cells x groups: from which distance to its pivot on an object is copied to a group."""
         low = lower_bounds(self.voronoi, groups, upper_bounds(self.voronoi, groups, epsilon))
         low[np.arange(len(groups)), groups] = -np.inf  # the bounds count on a group's own objects
+        return low
+
+    def lower_bound_frame(self) -> DataFrame:
+        """(pivot, group_id, lower_bound), for a look at them."""
+        low = self.lower_bounds(groups := self.groups, self.config.epsilon if self.config.variant.startswith("EPSILON") else 1.0)
+        rows = [(p, g, float(low[p, g])) for p in range(len(groups)) for g in range(low.shape[1])]
+        return self.queries.sparkSession.createDataFrame(rows, "pivot int, group_id int, lower_bound double")
+
+    def static_frame(self) -> DataFrame:
+        """(static, pivot): the static pivots in order, for a look at them."""
+        return self.queries.sparkSession.createDataFrame(list(enumerate(self.static.tolist())), "static int, pivot int")
+
+    def _by_lower_bound(self, groups: np.ndarray, epsilon: float) -> DataFrame:
+        low = self.lower_bounds(groups, epsilon)
         rows = [(p, str(g), float(low[p, g])) for p in range(len(groups)) for g in range(low.shape[1]) if low[p, g] <= self.voronoi.db_max[p]]
         table = self._table(rows, "pivot int, g string, bound double")
         return self.database.join(table, (F.get("nearest_pivots", F.lit(0)) == F.col("pivot")) & (F.get("nearest_dists", F.lit(0)) >= F.col("bound"))).drop("pivot", "bound")
@@ -81,7 +99,7 @@ class PivotJoin:
         """(query_key, query_class, upper_bound) of the *_BOUNDS methods."""
         v, groups, exact = self.voronoi, self.groups, self.config.variant == "EXACT_BOUNDS"
         everything = np.arange(len(self.pivots))
-        reverse = reverse_nearest(self.pivots, len(self.pivots) if exact else self.depth)
+        reverse = reverse_nearest(self.pivots, len(self.pivots) if exact else self.depth, self.metric)
         cells = {g: everything if exact else np.array(sorted({s for p in np.flatnonzero(groups == g) for s in reverse[p]}), np.int64) for g in range(int(groups.max()) + 1)}
         most, fallback = (len(self.pivots) if exact else self.config.max_buckets), [cell_upper(v, c) if np.isfinite(v.query_max[c]) else np.inf for c in everything]
         sent = self.queries.sparkSession.sparkContext.broadcast((v, groups, cells, fallback))
@@ -89,7 +107,7 @@ class PivotJoin:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, groups, cells, fallback = sent.value
             for batch in batches:
-                d = L2().all_pairs(matrix(batch.column("vector")), v.pivots).astype(np.float64) if len(batch) else []
+                d = v.metric.all_pairs(matrix(batch.column("vector")), v.pivots).astype(np.float64) if len(batch) else []
                 own = [x.as_py()[0] for x in batch.column("nearest_pivots")]
                 found = [query_upper(v, row, cells[groups[c]], most) for row, c in zip(d, own, strict=True)]
                 bound = [b if np.isfinite(b) else fallback[c] for b, c in zip(found, own, strict=True)]
@@ -121,7 +139,7 @@ class PivotJoin:
         s = s.observe(self.observed["db_replications"], F.count("*").alias("n"))
         epsilon = self.config.epsilon if kind.startswith("EPSILON") else 1.0
         most = self.config.max_buckets if kind in ("APPROX", "QUERY_REP") else None
-        search = pruned_search(self.k, self.pivots, epsilon, most, self.config.exact_parent_filter)
+        search = pruned_search(self.k, self.pivots, epsilon, most, self.config.exact_parent_filter, self.metric)
         found = searched(q, s, search, ["nearest_pivots", "nearest_dists", "static_dists"], True)
         found = found.observe(self.observed["distance_computations"], F.sum("cost").alias("n"))
         return best(found, self.k, repeated=kind == "QUERY_REP")
@@ -133,17 +151,23 @@ class PivotJoin:
         return cut_regions(self.objects)
 
 
-def pruned_search(k: int, pivots: np.ndarray, epsilon: float, most_cells: int | None, exact_parent: bool) -> Search:
+#: Queries that are searched together, and objects of a cell that they are compared with at a time.
+QUERY_BLOCK, OBJECT_BLOCK = 256, 4_096
+
+
+def pruned_search(k: int, pivots: np.ndarray, epsilon: float, most_cells: int | None, exact_parent: bool, metric: Metric | None = None) -> Search:
     """Search of a group's queries, nearest cells first, with a radius that shrinks.
 
     A cell is cut by the hyperplane between its pivot and the query's, by its ball, or by
-    its ranges of distances to the static pivots; an object by its distance to its pivot.
+    its ranges of distances to the static pivots; objects by their distance to its pivot.
+    Queries of near cells go together: each takes its next nearest cell, and those that
+    take the same cell, and are not spared it, are compared with it in one step.
     """
-    metric = L2()
+    metric = metric or L2()
 
     def search(q: pa.Table, s: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         col = lambda t, c: t.column(c).combine_chunks()
-        first = lambda t, c, kind: np.array([x.as_py()[0] for x in col(t, c)], kind)
+        first = lambda t, c, kind: matrix(col(t, c))[:, 0].astype(kind)
         qv, sv = matrix(col(q, "vector")), matrix(col(s, "vector"))
         q_near, q_dist, s_near, s_dist = first(q, "nearest_pivots", np.int64), first(q, "nearest_dists", np.float64), first(s, "nearest_pivots", np.int64), first(s, "nearest_dists", np.float64)
         qs, ss = matrix(col(q, "static_dists")).astype(np.float64), matrix(col(s, "static_dists")).astype(np.float64)
@@ -151,45 +175,51 @@ def pruned_search(k: int, pivots: np.ndarray, epsilon: float, most_cells: int |
         sv, s_near, s_dist, ss = sv[order], s_near[order], s_dist[order], ss[order]
         cells, start = np.unique(s_near, return_index=True)
         end = np.append(start[1:], len(sv))
-        low, high = (np.array([f(ss[a:b], axis=0) for a, b in zip(start, end, strict=True)]).reshape(len(cells), -1) for f in (np.min, np.max))
-        to_cell = metric.all_pairs(qv, pivots[cells]).astype(np.float64)
-        of_cell = np.searchsorted(cells, s_near)
-        qi, si, di, cost = [], [], [], to_cell.size
-        for i in range(len(qv)):
-            d = to_cell[i]
-            reach = d[of_cell] + s_dist
-            r = float(np.partition(reach, k - 1)[k - 1]) if len(reach) >= k else np.inf
-            found_s, found_d, visited = np.empty(0, np.int64), np.empty(0, np.float32), 0
-            for c in np.argsort(d, kind="stable"):
-                if most_cells is not None and visited >= most_cells and len(found_s) >= k:
-                    break
-                slack = SLACK * (1 + (r if np.isfinite(r) else 0))
-                near, a, b = r / epsilon + slack, start[c], end[c]
-                own = q_near[i] == cells[c]
-                if not own and (d[c] - q_dist[i]) / 2 > near or d[c] - s_dist[b - 1] > near or s_dist[a] - d[c] > near:
-                    continue
-                if (qs[i] - near > high[c]).any() or (qs[i] + near < low[c]).any():
-                    continue
-                visited += 1
+        low, high = (f.reduceat(ss, start, axis=0) for f in (np.minimum, np.maximum))
+        few = np.concatenate([np.arange(a, min(a + k, b)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        of_few = np.searchsorted(cells, s_near[few])
+        qi, si, di, cost = [], [], [], len(qv) * len(cells)
+        by_cell = np.lexsort((q_dist, q_near))
+        for at in range(0, len(qv), QUERY_BLOCK):
+            mine = by_cell[at : at + QUERY_BLOCK]
+            n = len(mine)
+            to_cell = metric.all_pairs(qv[mine], pivots[cells]).astype(np.float64)
+            reach = to_cell[:, of_few] + s_dist[few]
+            r = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(n, np.inf)
+            best_d, best_s, visited = np.full((n, k), np.inf, np.float32), np.full((n, k), len(sv)), np.zeros(n, np.int64)
+            for c_at in np.argsort(to_cell, axis=1, kind="stable").T:
+                slack = SLACK * (1 + np.where(np.isfinite(r), r, 0))
+                near, d = r / epsilon + slack, to_cell[np.arange(n), c_at]
+                spared = (q_near[mine] != cells[c_at]) & ((d - q_dist[mine]) / 2 > near)
+                spared |= (d - s_dist[end[c_at] - 1] > near) | (s_dist[start[c_at]] - d > near)
+                spared |= (qs[mine] - near[:, None] > high[c_at]).any(1) | (qs[mine] + near[:, None] < low[c_at]).any(1)
+                if most_cells is not None:
+                    done = (visited >= most_cells) & np.isfinite(best_d[:, -1])
+                    if done.all():
+                        break
+                    spared |= done
+                visited += ~spared
                 width = r + slack if exact_parent else near
-                a, b = a + np.searchsorted(s_dist[a:b], d[c] - width), a + np.searchsorted(s_dist[a:b], d[c] + width, "right")
-                if a == b:
-                    continue
-                dist = metric.rows(np.broadcast_to(qv[i], (b - a, qv.shape[1])), sv[a:b])
-                cost += b - a
-                found_s, found_d = np.concatenate([found_s, order[a:b]]), np.concatenate([found_d, dist])
-                if len(found_d) > k:
-                    keep = np.lexsort((found_s, found_d))[:k]
-                    found_s, found_d = found_s[keep], found_d[keep]
-                if len(found_d) == k:
-                    r = min(r, float(found_d.max()))
-            qi.append(np.full(len(found_s), i))
-            si.append(found_s)
-            di.append(found_d)
+                for c in np.unique(c_at[~spared]):
+                    go = np.flatnonzero(~spared & (c_at == c))
+                    own = s_dist[start[c] : end[c]]
+                    a, b = start[c] + np.searchsorted(own, (d - width)[go].min()), start[c] + np.searchsorted(own, (d + width)[go].max(), "right")
+                    for lo in range(a, b, OBJECT_BLOCK):
+                        rows = order[lo : min(b, lo + OBJECT_BLOCK)]
+                        dist = metric.all_pairs(qv[mine[go]], sv[lo : lo + len(rows)])
+                        cost += dist.size
+                        all_d, all_s = np.concatenate([best_d[go], dist], axis=1), np.concatenate([best_s[go], np.broadcast_to(rows, dist.shape)], axis=1)
+                        pick = np.lexsort((all_s, all_d), axis=-1)[:, :k]
+                        best_d[go], best_s[go] = np.take_along_axis(all_d, pick, 1), np.take_along_axis(all_s, pick, 1)
+                    r[go] = np.minimum(r[go], best_d[go, -1])
+            i, j = np.nonzero(np.isfinite(best_d))
+            qi.append(mine[i])
+            si.append(best_s[i, j])
+            di.append(best_d[i, j])
         return np.concatenate(qi), np.concatenate(si), np.concatenate(di), cost
 
     return search
 
 
-def knn_pivot(queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None) -> DataFrame:
-    return PivotJoin(queries, database, k, config, pivots).result()
+def knn_pivot(queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None) -> DataFrame:
+    return PivotJoin(queries, database, k, config, pivots, metric).result()

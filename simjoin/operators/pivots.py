@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simjoin.functions.metric import L2, Metric
@@ -60,14 +59,30 @@ def union_of(database: DataFrame, queries: DataFrame) -> DataFrame:
 def cell_stats(objects: DataFrame, k: int) -> DataFrame:
     """Per (pivot_id, is_database): min_dist, max_dist, n, size, and the k smallest distances.
 
-    ``size`` is the sum of vector lengths. Only k rows of a cell are gathered.
+    ``size`` is the sum of vector lengths. A task sums up its rows first, so of each cell
+    k distances per task are gathered at most, and the objects are read once.
     """
-    rows = objects.select(F.get("nearest_pivots", F.lit(0)).alias("pivot_id"), "is_database", F.get("nearest_dists", F.lit(0)).alias("d"), F.size("vector").cast("long").alias("size"), "key")
-    cell = ["pivot_id", "is_database"]
-    stats = rows.groupBy(*cell).agg(F.min("d").alias("min_dist"), F.max("d").alias("max_dist"), F.count("*").alias("n"), F.sum("size").alias("size"))
-    order = W.partitionBy(*cell).orderBy("d", "key")
-    near = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy(*cell).agg(F.array_sort(F.collect_list("d")).alias("smallest"))
-    return stats.join(near, cell)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list] = {}  # of each cell: distances of the k nearest, the largest, n, size
+        for batch in batches:
+            if not len(batch):
+                continue
+            pivot, d, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot_id", "d", "size"))
+            db = batch.column("is_database").to_numpy(zero_copy_only=False)
+            order = np.lexsort((d, db, pivot))
+            pivot, d, size, db = pivot[order], d[order], size[order], db[order]
+            first = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (db[1:] != db[:-1])]))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
+                near, high, n, total = held.get(cell := (int(pivot[a]), bool(db[a])), (d[:0], d[a], 0, 0))
+                held[cell] = [np.sort(np.concatenate([near, d[a : min(b, a + k)]]))[:k], max(high, d[b - 1]), n + b - a, total + int(size[a:b].sum())]
+        rows = [(p, s, x[0].tolist(), float(x[0][0]), float(x[1]), x[2], x[3]) for (p, s), x in held.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64(), pa.int64()))], names=["pivot_id", "is_database", "near", "low", "high", "n", "size"])
+
+    rows = objects.select(F.get("nearest_pivots", F.lit(0)).alias("pivot_id"), "is_database", F.get("nearest_dists", F.lit(0)).alias("d"), F.size("vector").cast("long").alias("size"))
+    parts = rows.mapInArrow(run, "pivot_id int, is_database boolean, near array<float>, low float, high float, n long, size long")
+    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("smallest")
+    return parts.groupBy("pivot_id", "is_database").agg(F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.sum("n").alias("n"), F.sum("size").alias("size"), smallest)
 
 
 def cut_regions(objects: DataFrame) -> DataFrame:
@@ -122,17 +137,20 @@ class Voronoi:
     query_max: np.ndarray
     query_weight: np.ndarray
     smallest: list[np.ndarray]  # of the database side, up to k
+    metric: Metric = field(default_factory=L2)
+    db_count: int = 0
     distances: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.distances = L2().all_pairs(self.pivots, self.pivots).astype(np.float64)
+        self.distances = self.metric.all_pairs(self.pivots, self.pivots).astype(np.float64)
 
     @staticmethod
-    def of(pivots: np.ndarray, stats: DataFrame, k: int) -> Voronoi:
+    def of(pivots: np.ndarray, stats: DataFrame, k: int, metric: Metric | None = None) -> Voronoi:
         n = len(pivots)
-        out = Voronoi(pivots, k, np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n), [np.empty(0)] * n)
+        out = Voronoi(pivots, k, np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n), [np.empty(0)] * n, metric or L2())
         for r in stats.collect():
             if r.is_database:
+                out.db_count += r.n
                 out.db_max[r.pivot_id] = r.max_dist
                 out.smallest[r.pivot_id] = np.sort(np.array(r.smallest, np.float64))
             else:

@@ -16,7 +16,8 @@ class PivotConfig:
     method: str = "EXACT"  # of METHODS, in any case; another name means EXACT
     epsilon: float = 1.0
     exact_parent_filter: bool = True  # else objects are cut by the radius over epsilon too
-    groups: int = 10
+    groups: int = 10  # at least
+    group_objects: int = 100_000  # of the database, on average; more objects make more groups
     seed: int = 937
 
     @property
@@ -36,7 +37,9 @@ class CurveConfig:
     sampling_rate: float = 0.001
     entire_buckets: bool = True
     only_zorder: bool = False
-    partitions: int = 10  # of each shift
+    partitions: int = 10  # of each shift; of a window search at least
+    range_objects: int = 1_000_000  # of a window search; more objects make more ranges
+    reach: int = 1  # a window search meets this many times k objects on either side
     seed: int = 937
 
 
