@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simjoin.functions import zorder
 from simjoin.functions.metric import L2, L2Quantized
-from simjoin.operators.topk import QUERIES, best, plain_search, searched
+from simjoin.operators.topk import best, crowded, plain_search, searched
 from simjoin.plans.config import CurveConfig
 
 #: Sampled objects of each side and partition that boundaries are taken from, at most.
 SAMPLED = 1_000
+#: Sampled objects for each range of the window search.
+PER_RANGE = 20
 
 
 def bounds_of(objects: DataFrame) -> tuple[float, float, int]:
@@ -31,14 +36,12 @@ def on_curves(objects: DataFrame, shifts: list[list[int]], scale: float, low: fl
     return rows.select("shift", "key", zorder.zvalue("coords").alias("z"), "coords")
 
 
-def estimator(i: int, size: int, rate: float, n: int) -> int:
-    """Which of a sample's ranks stands for the i-th n-quantile of ``size`` objects."""
-    rank = math.ceil(i / n * size)
-    low, high = math.floor(rank * rate), math.ceil(rank * rate)
-    return low if abs(int(low / rate) - rank) < abs(int(high / rate) - rank) else high
+def boundary(sample: list[bytes], share: float) -> bytes:
+    """The sampled value whose rank is nearest to that share of the sample."""
+    return sample[min(len(sample) - 1, max(0, round(share * len(sample)) - 1))]
 
 
-def ranges(q: list[bytes], s: list[bytes], n: int, margin: int, rate: float, dim: int) -> list[tuple[bytes, bytes, bytes, bytes]]:
+def ranges(q: list[bytes], s: list[bytes], n: int, margin: int, dim: int) -> list[tuple[bytes, bytes, bytes, bytes]]:
     """(start, end) of n disjoint query ranges and of the database ranges around them.
 
     From sorted samples: query ranges end at quantiles; a database range goes on for
@@ -46,8 +49,7 @@ def ranges(q: list[bytes], s: list[bytes], n: int, margin: int, rate: float, dim
     """
     out, start = [], zorder.least(dim)
     for i in range(1, n + 1):
-        at = min(max(estimator(i, int(len(q) / rate), rate, n), 1), max(len(q), 1))
-        end = zorder.greatest(dim) if i == n or not q else q[at - 1]
+        end = zorder.greatest(dim) if i == n or not q else boundary(q, i / n)
         low, high = bisect_left(s, start) - margin, bisect_left(s, end) + margin
         db_start = zorder.least(dim) if low <= 0 or not s else s[low]
         db_end = zorder.greatest(dim) if high >= len(s) or not s else s[high]
@@ -59,10 +61,14 @@ def ranges(q: list[bytes], s: list[bytes], n: int, margin: int, rate: float, dim
     return out
 
 
-def partitioned(q: DataFrame, s: DataFrame, k: int, config: CurveConfig, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``part`` of their shift; database rows may be in several."""
-    if config.partitions <= 1:
-        return q.withColumn("part", F.lit(0)), s.withColumn("part", F.lit(0))
+def range_frame(spark: SparkSession, found: dict[int, list[tuple[bytes, bytes, bytes, bytes]]]) -> DataFrame:
+    """(shift, part, q_start, q_end, s_start, s_end) of the ranges of each shift."""
+    edges = [(shift, part, *map(bytearray, r)) for shift, rs in sorted(found.items()) for part, r in enumerate(rs)]
+    return spark.createDataFrame(edges, "shift int, part int, q_start binary, q_end binary, s_start binary, s_end binary")
+
+
+def sampled_ranges(q: DataFrame, s: DataFrame, k: int, config: CurveConfig, dim: int) -> dict[int, list[tuple[bytes, bytes, bytes, bytes]]]:
+    """The ranges of each shift, from samples of bounded size."""
     most = SAMPLED * config.partitions * config.shifts
 
     def sample(df: DataFrame) -> tuple[dict[int, list[bytes]], float]:
@@ -74,37 +80,111 @@ def partitioned(q: DataFrame, s: DataFrame, k: int, config: CurveConfig, dim: in
             found.setdefault(shift, []).append(bytes(z))
         return {shift: sorted(v) for shift, v in found.items()}, rate
 
-    (qs, q_rate), (ss, s_rate) = sample(q), sample(s)
-    edges = [(shift, part, *map(bytearray, r)) for shift in range(config.shifts) for part, r in enumerate(ranges(qs.get(shift, []), ss.get(shift, []), config.partitions, math.ceil(k * s_rate), q_rate, dim))]
-    table = q.sparkSession.createDataFrame(edges, "shift int, part int, q_start binary, q_end binary, s_start binary, s_end binary")
-    table = F.broadcast(table)  # shifts x partitions rows, by the configuration
+    (qs, _), (ss, s_rate) = sample(q), sample(s)
+    return {shift: ranges(qs.get(shift, []), ss.get(shift, []), config.partitions, math.ceil(k * s_rate), dim) for shift in range(config.shifts)}
+
+
+def partitioned(q: DataFrame, s: DataFrame, found: dict[int, list[tuple[bytes, bytes, bytes, bytes]]]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``part`` of their shift; database rows may be in several."""
+    table = F.broadcast(range_frame(q.sparkSession, found))  # shifts x partitions rows, by the configuration
     on = lambda df, side: df.join(table, (df["shift"] == table["shift"]) & df["z"].between(table[f"{side}_start"], table[f"{side}_end"])).select(df["*"], table["part"])
     return on(q, "q"), on(s, "s")
 
 
-def neighbours_on_curve(q: DataFrame, s: DataFrame, k: int) -> DataFrame:
-    """Pairs (query_key, db_key): for each part, the k objects before and after the query.
+def cuts(s: DataFrame, config: CurveConfig) -> dict[int, list[bytes]]:
+    """Where each curve is cut, from a sample: into ``partitions`` ranges or more, of ``range_objects`` objects."""
+    size = {r[0]: r[1] for r in s.groupBy("shift").count().collect()}
+    n = max(config.partitions, -(-max(size.values(), default=0) // config.range_objects))
+    rate = min(1.0, PER_RANGE * n / max(1, max(size.values(), default=0)))
+    if n <= 1:
+        return {shift: [] for shift in size}
+    found: dict[int, list[bytes]] = {shift: [] for shift in size}
+    for shift, z in s.where(F.pmod(F.xxhash64("key", F.lit(config.seed)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("shift", "z").collect():
+        found[shift].append(bytes(z))
+    return {shift: sorted({boundary(sorted(z), i / n) for i in range(1, n)}) if z else [] for shift, z in found.items()}
+
+
+def _ranged(line: DataFrame, found: dict[int, list[bytes]]) -> DataFrame:
+    """The rows with the range of their curve that they are in: the number of cuts at or below them."""
+    sent = line.sparkSession.sparkContext.broadcast({shift: np.array(z) for shift, z in found.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shift, z = batch.column("shift").to_numpy(), np.array(batch.column("z").to_pylist(), dtype=bytes)
+            out = np.zeros(len(batch), np.int32)
+            for x in np.unique(shift):  # values of one curve have one length, so cut-off zeros change no order
+                if len(known := sent.value.get(int(x), ())):
+                    out[shift == x] = np.searchsorted(known, z[shift == x], "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "range"])
+
+    kind = ", ".join(f"{c} {line.schema[c].dataType.simpleString()}" for c in line.columns)
+    return line.mapInArrow(run, kind + ", range int")
+
+
+def _guests(sizes: dict[int, dict[int, int]], ranges: dict[int, int], reach: int) -> list[tuple[int, int, int, int, int]]:
+    """(shift, from, to, head, tail): how many objects at either end of a range are guests in another one.
+
+    A range gets the ``reach`` objects before it and after it, from as many ranges as that takes.
+    """
+    out = []
+    for shift, n in ranges.items():
+        held = sizes.get(shift, {})
+        filled = sorted(held)
+        for to in range(n):
+            at = bisect_left(filled, to)
+            for step, side in ((-1, filled[:at][::-1]), (1, filled[at:])):
+                need = reach
+                for r in side:
+                    if r == to:
+                        continue
+                    if need <= 0:
+                        break
+                    take = min(need, held[r])
+                    out.append((shift, r, to, take if step > 0 else 0, take if step < 0 else 0))
+                    need -= take
+    return out
+
+
+def neighbours_on_curve(q: DataFrame, s: DataFrame, k: int, config: CurveConfig) -> DataFrame:
+    """Pairs (query_key, db_key): on each curve, the ``k`` objects before and after the query.
 
-    Objects are numbered along the curve. A query's place is the number of objects before
-    it; near an end the window moves inward, so 2k objects are met if there are so many.
-    The numbers turn the range into an equi-join.
+    A query's place is the number of objects before it; near an end of the curve the window
+    moves inward, so 2k objects are met if there are so many. A curve is cut into ranges of
+    a bounded number of objects, and a range has the 2k objects on either side of it as
+    guests, so that the same objects are met as on the curve as a whole. Places are counted
+    within a range, and turn the window into an equi-join. Only the sizes of ranges come to
+    the driver. Objects of one Z-value are in one range.
     """
-    group = ("shift", "part")
-    line = s.select(*group, "z", "key", F.lit(1).alias("db")).unionByName(q.select(*group, "z", "key", F.lit(0).alias("db")))
-    order = W.partitionBy(*group).orderBy("z", "db", "key")
-    line = line.withColumn("place", F.sum("db").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("db").over(W.partitionBy(*group)))
-    objects = line.where("db = 1").select(*group, F.col("place").alias("at"), F.col("key").alias("db_key"))
+    spark, at = s.sparkSession, ("shift", "range")
+    found = cuts(s, config)
+    objects = _ranged(s.select("shift", "z", "key"), found)
+    own = W.partitionBy(*at)
+    objects = objects.withColumn("i", F.row_number().over(own.orderBy("z", "key")))
+    sizes: dict[int, dict[int, int]] = {}
+    for shift, r, n in objects.groupBy(*at).count().collect():
+        sizes.setdefault(shift, {})[r] = n
+    guests = _guests(sizes, {shift: len(z) + 1 for shift, z in found.items()}, 2 * k)
+    total: dict[tuple[int, int], int] = {(shift, r): n for shift, held in sizes.items() for r, n in held.items()}
+    for shift, _, to, head, tail in guests:
+        total[shift, to] = total.get((shift, to), 0) + head + tail
+    plan = spark.createDataFrame([(shift, r, to, head, tail, sizes[shift][r]) for shift, r, to, head, tail in guests], "shift int, range int, to int, head int, tail int, size long")
+    visiting = objects.join(F.broadcast(plan), list(at)).where("i <= head or i > size - tail").select("shift", F.col("to").alias("range"), "z", "key")
+    line = objects.select(*at, "z", "key").unionByName(visiting).withColumn("db", F.lit(1))
+    line = line.unionByName(_ranged(q.select("shift", "z", "key"), found).withColumn("db", F.lit(0)))
+    line = line.withColumn("place", F.sum("db").over(own.orderBy("z", "db", "key").rowsBetween(W.unboundedPreceding, 0)))
+    counts = spark.createDataFrame([(shift, r, n) for (shift, r), n in total.items()], "shift int, range int, n long")
+    placed = line.where("db = 1").select(*at, F.col("place").alias("at"), F.col("key").alias("db_key"))
+    asked = line.where("db = 0").join(F.broadcast(counts), list(at))
     low = F.greatest(F.lit(1), F.least(F.col("place") - k + 1, F.col("n") - 2 * k + 1))
-    places = F.sequence(low, F.least(F.col("n"), low + 2 * k - 1))
-    wanted = line.where("db = 0 and n > 0").select(*group, F.col("key").alias("query_key"), F.explode(places).alias("at"))
-    return wanted.join(objects, [*group, "at"]).select("query_key", "db_key").distinct()
+    wanted = asked.select(*at, F.col("key").alias("query_key"), F.explode(F.sequence(low, F.least(F.col("n"), low + 2 * k - 1))).alias("at"))
+    return wanted.join(placed, [*at, "at"]).select("query_key", "db_key").distinct()
 
 
-def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConfig | None = None, shifts: list[list[int]] | None = None) -> DataFrame:
+def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConfig | None = None, shifts: list[list[int]] | None = None, edges: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] | None = None) -> DataFrame:
     """The nearest of the objects that are near on some shifted curve.
 
-    With ``entire_buckets`` all objects of a query's range of the curve are met, else the k
-    before and the k after it. With ``only_zorder`` distances are those of the quantized
+    With ``entire_buckets`` all objects of a query's range of the curve are met, else the
+    ``reach`` x k before and as many after it. ``edges`` fixes the ranges. With ``only_zorder`` distances are those of the quantized
     coordinates, which are also all that is kept of an object.
     """
     config = config or CurveConfig()
@@ -112,13 +192,14 @@ def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConf
     if config.scale * (high - low) + config.range >= 2**31:
         raise ValueError("scale x spread + range must stay below 2**31")
     shifts = shifts or zorder.shifts(dim, config.shifts, config.range, config.seed)
-    q, s = partitioned(on_curves(queries, shifts, config.scale, low), on_curves(database, shifts, config.scale, low), k, config, dim)
+    q, s = on_curves(queries, shifts, config.scale, low).drop("coords"), on_curves(database, shifts, config.scale, low).drop("coords")
     if config.entire_buckets and not config.only_zorder:
+        whole = {i: [(zorder.least(dim), zorder.greatest(dim)) * 2] for i in range(len(shifts))}
+        q, s = partitioned(q, s, edges or (whole if config.partitions <= 1 else sampled_ranges(q, s, k, config, dim)))
         g = F.concat_ws(":", "shift", "part")
         q, s = (a.select("key", g.alias("g")).join(b.select("key", "classification", "vector"), "key") for a, b in ((q, queries), (s, database)))
-        ways = max(1, -(-(q.groupBy("g").count().agg(F.max("count")).first()[0] or 0) // QUERIES))
-        return best(searched(q, s, plain_search(k), [], False, ways), k)
-    pairs = neighbours_on_curve(q.drop("coords"), s.drop("coords"), k)
+        return best(searched(q, s, plain_search(k), [], False, crowded(q)), k)
+    pairs = neighbours_on_curve(q, s, k * config.reach, config)
     if config.only_zorder:
         plain = lambda df: df.select("key", "classification", zorder.quantized(F.col("vector"), config.scale, low, [0] * dim).alias("vector"))
         queries, database, metric = plain(queries), plain(database), L2Quantized(config.scale)
