@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,12 @@ class Tables:
         return F.array(*[one(a, b) for a, b in zip(self.a[table], self.b[table], strict=True)])
 
 
+def frame(spark: SparkSession, tables: Tables) -> DataFrame:
+    """(table_id, function_id, a, b, w): the hash functions, for a look at them."""
+    rows = [(t, f, tables.a[t, f].tolist(), float(tables.b[t, f]), float(tables.w)) for t in range(tables.b.shape[0]) for f in range(tables.b.shape[1])]
+    return spark.createDataFrame(rows, "table_id int, function_id int, a array<double>, b double, w double")
+
+
 def generated(dim: int, tables: int, functions: int, w: float, mean: np.ndarray, std: np.ndarray, seed: int) -> Tables:
     rng = np.random.default_rng(seed)
     a, b = rng.standard_normal((tables, functions, dim)), rng.uniform(0, w, (tables, functions))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from simjoin.functions import hashing
 from simjoin.functions.hashing import Tables
-from simjoin.operators.topk import QUERIES, best, matrix, plain_search, searched
+from simjoin.functions.metric import Metric
+from simjoin.operators.topk import best, crowded, matrix, plain_search, searched
 from simjoin.plans.config import LshConfig
 
 
@@ -56,7 +57,7 @@ def bucketed(objects: DataFrame, tables: Tables) -> DataFrame:
     return objects.select("key", "classification", "vector").mapInArrow(run, kind + ", names array<string>").select(F.explode("names").alias("g"), "key", "classification", "vector")
 
 
-def knn_lsh(queries: DataFrame, database: DataFrame, k: int, config: LshConfig | None = None, tables: Tables | None = None) -> DataFrame:
+def knn_lsh(queries: DataFrame, database: DataFrame, k: int, config: LshConfig | None = None, tables: Tables | None = None, metric: Metric | None = None) -> DataFrame:
     """The nearest objects that share a bucket with the query in some table, k at most.
 
     A bucket's objects stream past its queries and leave k each, so a large bucket makes
@@ -64,5 +65,4 @@ def knn_lsh(queries: DataFrame, database: DataFrame, k: int, config: LshConfig |
     """
     tables = tables or tables_for(database, config or LshConfig())
     q = bucketed(queries, tables)
-    ways = max(1, -(-(q.groupBy("g").count().agg(F.max("count")).first()[0] or 0) // QUERIES))
-    return best(searched(q, bucketed(database, tables), plain_search(k), [], False, ways), k)
+    return best(searched(q, bucketed(database, tables), plain_search(k, metric), [], False, crowded(q)), k)

@@ -22,7 +22,7 @@ def knn_naive(queries: DataFrame, database: DataFrame, k: int, metric: Metric |
     """
     n_db, n_q = database.count(), queries.count()
     blocks = max(1, -(-n_db // block), min(partitions(database), n_db // 1_000))
-    ways = max(1, -(-n_q // QUERIES))
+    ways = -(-n_q // QUERIES) if n_q > QUERIES else None
     database = database.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("string"))
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>")))
     return best(searched(queries, database, plain_search(k, metric), [], False, ways), k, repeated=False)

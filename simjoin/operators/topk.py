@@ -15,6 +15,8 @@ from simjoin.functions.metric import L2, Metric, block_topk
 COLUMNS = ["query_key", "query_class", "rank", "db_key", "distance", "db_class"]
 #: Queries of one group that are held together; larger groups are dealt to several tasks.
 QUERIES = 20_000
+#: Crowded groups whose list is broadcast; a longer list is joined by its key.
+FEW = 100_000
 
 
 def partitions(df: DataFrame) -> int:
@@ -46,24 +48,34 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(sizes), int(sizes[0]) if len(sizes) else 0)
 
 
+def crowded(queries: DataFrame, most: int = QUERIES) -> DataFrame | None:
+    """(g, ways) of the groups with more queries than one task should hold, or None."""
+    found = queries.groupBy("g").agg(F.ceil(F.count("*") / most).cast("int").alias("ways")).where("ways > 1")
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= FEW else found
+
+
 Search = Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray, int]]
 
 
-def searched(queries: DataFrame, database: DataFrame, search: Search, extra: list[str], whole: bool, ways: int = 1) -> DataFrame:
+def searched(queries: DataFrame, database: DataFrame, search: Search, extra: list[str], whole: bool, ways: int | DataFrame | None = None) -> DataFrame:
     """Candidates from each group of rows with one ``g``, found by ``search`` on Arrow tables.
 
     Both sides have g (string), key, classification, vector and the ``extra`` columns. Rows
     are sorted by group, queries first, so a task holds the queries of one group and a batch
-    of its objects, or with ``whole`` all its objects. ``ways`` deals the queries of every
-    group to so many tasks, each of which gets the group's objects.
+    of its objects, or with ``whole`` all its objects. ``ways`` deals the queries of each
+    group, or of those that it lists (g, ways), to so many tasks, each of which gets the
+    group's objects; other objects are not copied.
     """
     side = lambda df, db: df.select("g", F.lit(db).alias("db"), "key", "classification", "vector", *extra)
     rows = [side(queries, 0), side(database, 1)]
-    if ways > 1:
-        rows[0] = rows[0].withColumn("way", F.pmod(F.xxhash64("key"), F.lit(ways)).cast("int"))
-        rows[1] = rows[1].withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    else:
+    if ways is None:
         rows = [r.withColumn("way", F.lit(0)) for r in rows]
+    else:
+        rows = [r.withColumn("ways", F.lit(ways)) if isinstance(ways, int) else r.join(ways, "g", "left") for r in rows]
+        n = F.coalesce("ways", F.lit(1))
+        rows[0] = rows[0].withColumn("way", F.pmod(F.xxhash64("key"), n).cast("int")).drop("ways")
+        rows[1] = rows[1].withColumn("way", F.explode(F.sequence(F.lit(0), n - 1))).drop("ways")
     both = rows[0].unionByName(rows[1]).repartition(partitions(queries), "g", "way").sortWithinPartitions("g", "way", "db", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
