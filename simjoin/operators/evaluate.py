@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +37,14 @@ def set_relations(base: DataFrame, compare: DataFrame, relation: str) -> DataFra
 
 def _matches(bk: list, bd: np.ndarray, ck: list, cd: np.ndarray, k: int) -> int:
     """Neighbours in common among the first k of both lists, which are in order of distance."""
-    i = j = common = 0
-    while i < k and j < k:
-        if bk[i] == ck[j] or abs(bd[i] - cd[j]) < SAME:
-            common, i, j = common + 1, i + 1, j + 1
-        elif bd[i] < cd[j]:
-            i += 1
-        else:
-            j += 1
+    rest, common = deque(zip(ck[:k], cd[:k], strict=True)), 0
+    for key, d in zip(bk[:k], bd[:k], strict=True):
+        same = lambda other: other[0] == key or abs(other[1] - d) < SAME  # noqa: B023, E731
+        while rest and rest[0][1] <= d and not same(rest[0]):
+            rest.popleft()
+        if rest and same(rest[0]):
+            rest.popleft()
+            common += 1
     return common
 
 

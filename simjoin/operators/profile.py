@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,12 @@ def sampled(objects: DataFrame, fraction: float, seed: int = 937) -> DataFrame:
 
 
 def distances(objects: DataFrame, metric: Metric | None = None, block: int = 4_096) -> DataFrame:
-    """(distance) of each pair of different objects, once; meant for a sample.
+    """(distance) of each pair of different objects, once; meant for a sample."""
+    return _of_pairs(objects, lambda d: pa.RecordBatch.from_arrays([pa.array(d, pa.float32())], names=["distance"]), "distance float", metric, block)
+
+
+def _of_pairs(objects: DataFrame, made: Callable[[np.ndarray], pa.RecordBatch], kind: str, metric: Metric | None = None, block: int = 4_096) -> DataFrame:
+    """What ``made`` makes of the distances of all pairs, a bounded number at a time.
 
     Objects are dealt to blocks by a hash of the key, and each pair of blocks meets in one
     group, whose distances a kernel computes.
@@ -77,7 +82,8 @@ def distances(objects: DataFrame, metric: Metric | None = None, block: int = 4_0
                 d = own.all_pairs(x[at : at + 512], y)
                 if same:
                     d = d[np.arange(at, at + len(d))[:, None] > np.arange(len(y))[None]]
-                yield pa.RecordBatch.from_arrays([pa.array(d.ravel(), pa.float32())], names=["distance"])
+                if d.size:
+                    yield made(d.ravel())
 
         now, parts = None, []
         for batch in batches:
@@ -92,20 +98,28 @@ def distances(objects: DataFrame, metric: Metric | None = None, block: int = 4_0
         if parts:
             yield from out(parts)
 
-    return copies.repartition(partitions(objects), "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "distance float")
+    return copies.repartition(partitions(objects), "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, kind)
 
 
 def distance_histogram(objects: DataFrame, fraction: float = 1.0, bins: int = BINS, metric: Metric | None = None) -> DataFrame:
     """(step, count): the pairs of a sample by the nearest of ``bins`` steps from the smallest distance.
 
-    The first pass finds the range, the second counts; of two steps at one distance the
-    upper one is taken. Steps without a pair are absent.
+    The first pass finds the range, the second counts, each where the distances are
+    computed: a task returns a few numbers per block and no pairs. Of two steps at one
+    distance the upper one is taken. Steps without a pair are absent.
     """
-    d = distances(sampled(objects, fraction), metric)
-    low, high = d.agg(F.min("distance"), F.max("distance")).first()
+    some = sampled(objects, fraction)
+    ends = _of_pairs(some, lambda d: pa.RecordBatch.from_arrays([pa.array([d.min()], pa.float32()), pa.array([d.max()], pa.float32())], names=["low", "high"]), "low float, high float", metric)
+    low, high = ends.agg(F.min("low"), F.max("high")).first()
     if low is None:
-        return d.select(F.col("distance").alias("step"), F.lit(0).cast("long").alias("count")).limit(0)
-    width = (float(high) - float(low)) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col("distance").cast("double") - float(low)) / width + 0.5).cast("int")) if width else F.lit(0)
-    counts = d.groupBy(at.alias("bin")).agg(F.count("*").alias("count"))
-    return counts.select((F.lit(float(low)) + F.col("bin") * width).cast("float").alias("step"), "count").orderBy("step")
+        return ends.select(F.col("low").alias("step"), F.lit(0).cast("long").alias("count")).limit(0)
+    low, width = float(low), (float(high) - float(low)) / bins
+
+    def counted(d: np.ndarray) -> pa.RecordBatch:
+        at = np.minimum(bins - 1, np.floor((d.astype(np.float64) - low) / width + 0.5).astype(np.int64)) if width else np.zeros(len(d), np.int64)
+        n = np.bincount(at, minlength=bins)
+        held = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["bin", "n"])
+
+    counts = _of_pairs(some, counted, "bin long, n long", metric).groupBy("bin").agg(F.sum("n").alias("count"))
+    return counts.select((F.lit(low) + F.col("bin") * width).cast("float").alias("step"), "count").orderBy("step")
