@@ -82,8 +82,9 @@ def dense(features: DataFrame, dim: int | None = None) -> DataFrame:
 
 
 def from_vectors(df: DataFrame, key: str, vector: str, classification: str | None = None) -> DataFrame:
-    """(key, classification, vector) of a table with a numeric key and an array of numbers."""
-    k = F.struct(F.lit(0).alias("five_minute_id"), F.col(key).cast("int").alias("client_id"), F.lit(0).alias("server_id"))
+    """(key, classification, vector) of a table with a numeric key and an array of numbers; a long key stays one."""
+    kind = "long" if df.schema[key].dataType.typeName() == "long" else "int"
+    k = F.struct(F.lit(0).alias("five_minute_id"), F.col(key).cast(kind).alias("client_id"), F.lit(0).alias("server_id"))
     return df.select(k.alias("key"), (F.col(classification) if classification else F.lit(0)).cast("int").alias("classification"), F.col(vector).cast("array<float>").alias("vector"))
 
 
