@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from simjoin.queries import CENTROIDS, K, SCALE, SHIFTS, TABLES
+from simjoin.functions import hashing
+from simjoin.queries import CENTROIDS, CUTS, FITTED, REACH, SCALE, SHIFTS, TABLES, K
 
 DIM = 64
 
@@ -58,7 +59,7 @@ _ON_CURVES = f"""
 
 
 def _curve(distance: str) -> str:
-    k = K
+    k = K * REACH
     return f"""
         WITH {_ON_CURVES},
         line AS (SELECT shift, vec_id, z, row_number() OVER (PARTITION BY shift ORDER BY z, vec_id) AS at, count(*) OVER (PARTITION BY shift) AS n FROM curve),
@@ -71,6 +72,16 @@ def _curve(distance: str) -> str:
     """
 
 
+# A curve's ranges end at the places of the vectors CUTS; part: how many of these lie before.
+_BUCKETS = f"""
+    WITH {_ON_CURVES},
+    parts AS (SELECT c.shift, c.vec_id, count(e.z) AS part FROM curve c LEFT JOIN (SELECT DISTINCT shift, z FROM curve WHERE vec_id IN {CUTS}) e ON e.shift = c.shift AND e.z < c.z GROUP BY 1, 2),
+    cand AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS db_id FROM parts a JOIN parts b ON a.shift = b.shift AND abs(a.part - b.part) <= 1 WHERE a.vec_id % 10 = 0 AND a.shift < 3),
+    d AS (SELECT query_id, a.label AS query_class, db_id, b.label AS db_class, {_l2("a.embedding", "b.embedding")} AS d FROM cand JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = db_id)
+    {_nearest("FROM d")}
+"""
+
+
 # --- hash tables -------------------------------------------------------------------------
 def _hash(t: int, f: int) -> str:
     terms = f"list_zip(embedding, {_list(TABLES.a[t, f])}, {_list(TABLES.mean)}, {_list(TABLES.std)})"
@@ -79,6 +90,22 @@ def _hash(t: int, f: int) -> str:
 
 _SIGNED = "signed AS (" + " UNION ALL ".join(f"SELECT vec_id, label, embedding, {t} AS table_id, concat_ws(',', {', '.join(_hash(t, f) for f in range(TABLES.b.shape[1]))}) AS signature FROM embeddings" for t in range(len(TABLES.b))) + ")"
 _LSH = f"SELECT DISTINCT q.vec_id AS query_id, q.label AS query_class, s.vec_id AS db_id, s.label AS db_class, {_l2('q.embedding', 's.embedding')} AS d FROM signed q JOIN signed s USING (table_id, signature) WHERE q.vec_id % 10 = 0"
+
+
+def _fitted() -> str:
+    """The hash functions of FITTED, on vectors scored by the table's own means and deviations."""
+    made = hashing.generated(DIM, FITTED.tables, FITTED.functions, FITTED.w, np.zeros(DIM), np.ones(DIM), FITTED.seed)
+    one = lambda t, f: f"CAST(floor((list_sum(list_transform(list_zip(z, {_list(made.a[t, f])}), lambda p: p[1] * p[2])) + {float(made.b[t, f])!r}) / {made.w!r}) AS BIGINT)"
+    signed = " UNION ALL ".join(f"SELECT vec_id, label, embedding, {t} AS table_id, concat_ws(',', {', '.join(one(t, f) for f in range(FITTED.functions))}) AS signature FROM scored" for t in range(FITTED.tables))
+    return f"""
+        WITH dims AS (SELECT dim, avg(CAST(embedding[dim + 1] AS DOUBLE)) AS mean, stddev_pop(CAST(embedding[dim + 1] AS DOUBLE)) AS std FROM embeddings, (SELECT unnest(range({DIM})) AS dim) GROUP BY 1),
+        stats AS (SELECT list(mean ORDER BY dim) AS mean, list(std ORDER BY dim) AS std FROM dims),
+        scored AS (SELECT vec_id, label, embedding, list_transform(list_zip(embedding, mean, std), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) / p[3]) AS z FROM embeddings, stats),
+        signed AS ({signed})
+        {_nearest(_LSH)}
+    """
+
+
 _MEASURES = {"distance_diff": "dd", "precision": "pr", "distance_ratio": "ra", "effective_error": "ee", "avg_effective_error": "ae"}
 
 # --- records of small whole numbers ------------------------------------------------------
@@ -118,6 +145,15 @@ ORACLES: dict[str, str] = {
     """,
     "knn_curve_window": _curve(_l2("a.embedding", "b.embedding")),
     "knn_curve_z_only": _curve(f"CAST(sqrt(list_sum(list_transform(list_zip(a.c, b.c), lambda p: (CAST(p[1] - p[2] AS DOUBLE) / {SCALE}) * (CAST(p[1] - p[2] AS DOUBLE) / {SCALE})))) AS FLOAT)"),
+    "knn_curve_buckets": _BUCKETS,
+    "knn_lsh_fitted": _fitted(),
+    "static_pivots": f"WITH {_TO_PIVOTS}, {_BETWEEN}, {_STATIC} SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS static, CAST(p AS INTEGER) AS pivot FROM t4",
+    "eps_guarantee": f"SELECT query_id, rank, true AS holds FROM ({NAIVE})",
+    "parameter_sweep": " UNION ALL ".join(
+        f"SELECT stat, round(value, 4) AS value, method, {k} AS k, 30 AS max_rec_depth, CAST(1.0 AS DOUBLE) AS filter_ratio, 30 AS pivot_count, 4 AS reducers FROM (SELECT stat, value FROM (SELECT avg(CAST(d AS DOUBLE)) AS AVG, max(CAST(d AS DOUBLE)) AS MAX FROM (SELECT d, row_number() OVER (PARTITION BY query_id ORDER BY d, db_id) AS r FROM ({_pairs()})) WHERE r = {k}) UNPIVOT (value FOR stat IN (AVG, MAX))), (SELECT unnest(['EXACT', 'APPROX', 'QUERY_REP']) AS method)"
+        for k in (5, 8)
+    ),
+    "kmeans_cost": f"SELECT round(sum(d) / count(*) / 1e6, 6) AS mean_error, count(*) AS n FROM ({_ROWS.replace('SELECT list_position(ds, list_min(ds)) - 1 FROM', 'SELECT list_min(ds) FROM').replace(') AS cluster FROM', ') AS d FROM')})",
     "lsh_signatures": f"WITH {_SIGNED} SELECT vec_id, CAST(table_id AS INTEGER) AS table_id, signature FROM signed",
     "knn_lsh": f"WITH {_SIGNED} {_nearest(_LSH, 5)}",
     "dimension_stats": f"""

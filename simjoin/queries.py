@@ -49,10 +49,15 @@ def fixed_pivots(spark: SparkSession, sf_dir: str) -> np.ndarray:
 
 
 # --- fixed parameters that the SQL twins share -------------------------------------------
-SCALE, RANGE, SHIFTS = 1000.0, 500, zorder.shifts(64, 3, 500, 937)
-CURVE = CurveConfig(shifts=3, range=RANGE, scale=SCALE, entire_buckets=False, partitions=1)
+# The vectors have hardly nearer neighbours than others, so that an approximate search that
+# finds nine tenths of them has to look at most objects; the parameters are chosen for that.
+SCALE, RANGE, REACH, SHIFTS = 1000.0, 500, 16, zorder.shifts(64, 10, 500, 937)
+CURVE = CurveConfig(shifts=10, range=RANGE, scale=SCALE, entire_buckets=False, partitions=4, reach=REACH)
+#: Vectors whose places cut the curves into ranges, in ``knn_curve_buckets``.
+CUTS = (120, 240, 360)
 _RNG = np.random.default_rng(100)
-TABLES = hashing.Tables(_RNG.standard_normal((4, 3, 64)).round(3), _RNG.uniform(0, 12, (4, 3)).round(3), 12.0, _RNG.uniform(-0.01, 0.01, 64).round(4), _RNG.uniform(0.11, 0.14, 64).round(4))
+TABLES = hashing.Tables(_RNG.standard_normal((4, 3, 64)).round(3), _RNG.uniform(0, 12, (4, 3)).round(3), 34.0, _RNG.uniform(-0.01, 0.01, 64).round(4), _RNG.uniform(0.11, 0.14, 64).round(4))
+FITTED = LshConfig(tables=6, functions=3, w=26.0, multiplier=1)
 CENTROIDS = _RNG.uniform([1, 1000, 0, 0], [50, 90000, 0.1, 0.08], (6, 4)).round(3)
 
 
@@ -79,9 +84,25 @@ def knn_curve_z_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_curve_window(spark, sf_dir, True)
 
 
+def knn_curve_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges between the places of given vectors on three curves; a query meets its own range and the ones beside it."""
+    s = objects(spark, sf_dir)
+    low, _, dim = curve.bounds_of(s)
+    shifts = SHIFTS[:3]
+    rows = curve.on_curves(s.where(F.col("key.client_id").isin(*CUTS)), shifts, SCALE, low).select("shift", "z").collect()
+    after = lambda z: (int.from_bytes(z, "big") + 1).to_bytes(len(z), "big")
+    edges = {}
+    for shift in range(len(shifts)):
+        ends = [*sorted({bytes(r.z) for r in rows if r["shift"] == shift}), zorder.greatest(dim)]
+        starts = [zorder.least(dim), *map(after, ends[:-1])]
+        edges[shift] = [(starts[i], ends[i], starts[max(0, i - 1)], ends[min(len(ends) - 1, i + 1)]) for i in range(len(ends))]
+    config = CurveConfig(shifts=len(shifts), range=RANGE, scale=SCALE)
+    return flat(curve.knn_curve(asked(s), s, K, config, shifts, edges))
+
+
 def knn_curve_one_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = objects(spark, sf_dir)
-    return flat(curve.knn_curve(asked(s), s, K, CurveConfig(**(CURVE.__dict__ | {"entire_buckets": True})), SHIFTS))
+    return flat(curve.knn_curve(asked(s), s, K, CurveConfig(**(CURVE.__dict__ | {"entire_buckets": True, "partitions": 1})), SHIFTS))
 
 
 def zorder_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +159,19 @@ def query_upper_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fixed(spark, sf_dir).upper_bounds().select(F.col("query_key.client_id").cast("long").alias("query_id"), F.round("upper_bound", 4).alias("upper_bound"))
 
 
+def static_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fixed(spark, sf_dir).static_frame()
+
+
+def eps_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each neighbour within epsilon: whether it is as near as promised, at the same rank as the exact one."""
+    s, epsilon = objects(spark, sf_dir), 1.2
+    config = PivotConfig(pivot_count=40, static_count=5, groups=8, method="EPSILON_GUARANTEED", epsilon=epsilon)
+    of = lambda df, name: df.select("query_key", "rank", F.col("distance").cast("double").alias(name))
+    both = of(knn_join(asked(s), s, K, "pivot", config=config), "got").join(of(knn_naive(asked(s), s, K), "best"), ["query_key", "rank"])
+    return both.select(F.col("query_key.client_id").cast("long").alias("query_id"), "rank", (F.col("got") <= epsilon * F.col("best") + 1e-6).alias("holds"))
+
+
 def approx_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = objects(spark, sf_dir)
     config = PivotConfig(pivot_count=40, static_count=5, groups=8, max_rec_depth=4, filter_ratio=0.2, method="APPROX_BOUNDS")
@@ -235,14 +269,21 @@ def bow_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), F.array_join(F.transform("histogram", lambda h: h.cast("int").cast("string")), ";").alias("histogram"))
 
 
+def kmeans_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of squared errors for given centroids, in millions per vector."""
+    return kmeans.cost(_suppliers(spark, sf_dir), CENTROIDS).select(F.round(F.col("cost") / F.col("n") / 1e6, 6).alias("mean_error"), "n")
+
+
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kmeans.train(objects(spark, sf_dir), 8, 10)
     return spark.createDataFrame([(i, found.cost, c) for i, c in enumerate(found.centroids.tolist())], "cluster int, cost double, centroid array<double>")
 
 
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the times. The approximate methods may visit all cells here, so that they are exact."""
     s = objects(spark, sf_dir)
-    return sweep(asked(s), s, SweepConfig((30,), (5,), (4,), (1, 3), (0.2,), ("EXACT", "APPROX")))
+    found = sweep(asked(s), s, SweepConfig((30,), (5, 8), (4,), (30,), (1.0,), ("EXACT", "APPROX", "QUERY_REP")))
+    return found.drop("seconds").withColumn("value", F.round("value", 4))
 
 
 def replications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,15 +303,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_pivot_eps_1": _pivot(method="EPSILON_GUARANTEED"),
     "knn_pivot_approx_full": _pivot(method="APPROX", max_rec_depth=40, filter_ratio=1.0),
     "knn_query_rep_full": _pivot(method="QUERY_REP", max_rec_depth=40, filter_ratio=1.0),
-    "knn_pivot_approx": _pivot(method="APPROX", max_rec_depth=5, filter_ratio=0.2),
-    "knn_query_rep": _pivot(method="QUERY_REP", max_rec_depth=5, filter_ratio=0.2),
+    "knn_pivot_approx": _pivot(method="APPROX", max_rec_depth=16, filter_ratio=0.75),
+    "knn_query_rep": _pivot(method="QUERY_REP", max_rec_depth=16, filter_ratio=0.75),
     "knn_eps_guaranteed": _pivot(method="EPSILON_GUARANTEED", epsilon=1.2),
-    "knn_eps_approx": _pivot(method="EPSILON_APPROX", epsilon=1.1, max_rec_depth=10),
+    "knn_eps_approx": _pivot(method="EPSILON_APPROX", epsilon=1.1, max_rec_depth=30),
     "knn_curve_window": knn_curve_window,
     "knn_curve_z_only": knn_curve_z_only,
     "knn_curve_one_bucket": knn_curve_one_bucket,
-    "knn_curve_buckets": _joined("curve", config=CurveConfig(shifts=3, range=RANGE, scale=SCALE, partitions=4, sampling_rate=0.5)),
+    "knn_curve_buckets": knn_curve_buckets,
     "knn_lsh": knn_lsh,
-    "knn_lsh_fitted": _joined("lsh", config=LshConfig(tables=6, functions=3, w=10.0)),
+    "knn_lsh_fitted": _joined("lsh", config=FITTED),
 }
-QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, approx_bounds, cell_groups, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_train, parameter_sweep, replications)}
+QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, replications)}

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -6,10 +11,11 @@ from pyspark.sql import functions as F
 
 from simjoin.functions import hashing, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
-from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivots, profile
+from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, topk
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import CurveConfig, LshConfig, PivotConfig
 from simjoin.plans.knn import knn_join
+from simjoin.plans.metrics import measured
 from simjoin.plans.sweep import SweepConfig, append_csv, sweep
 
 TYPE = "key long, classification int, vector array<float>"
@@ -118,6 +124,94 @@ def test_bounds_hold(spark):
     assert bounds.kth(np.array([3.0, 1.0]), 3) == np.inf
 
 
+class L1:
+    """Another metric for the joins that take any."""
+
+    def all_pairs(self, x, y):
+        return np.abs(x[:, None].astype(np.float64) - y[None].astype(np.float64)).sum(-1).astype(np.float32)
+
+    def rows(self, x, y):
+        return np.abs(x.astype(np.float64) - y.astype(np.float64)).sum(-1).astype(np.float32)
+
+
+def test_joins_take_a_metric(spark):
+    q, s = data(20, 25, 4), data(21, 150, 4)
+    d = L1().all_pairs(q, s)
+    want = {i: sorted((float(x), j) for j, x in enumerate(row))[:5] for i, row in enumerate(d)}
+    fq, fs = frame(spark, q), frame(spark, s)
+    assert lists(knn_join(fq, fs, 5, "naive", metric=L1())) == want
+    assert lists(knn_join(fq, fs, 5, "pivot", PivotConfig(pivot_count=12, static_count=3, groups=4), metric=L1())) == want
+    assert lists(knn_join(fq, fs, 5, "lsh", LshConfig(tables=1, functions=1, w=1e6, multiplier=1), metric=L1())) == want
+
+
+def test_blocks_of_queries_and_objects(spark, monkeypatch):
+    q, s = data(22, 90, 3, tied=True), data(23, 300, 3)
+    want, fq, fs = brute(q, s, 6), frame(spark, q), frame(spark, s)
+    search = pivot_join.pruned_search(6, s[:9], 1.0, None, True)
+    plan = PivotJoin(fq, fs, 6, PivotConfig(pivot_count=9, static_count=2, groups=1), s[:9])
+    tables = [df.orderBy("key").toArrow() for df in (plan.queries, plan.database)]
+    for blocks in ((256, 4_096), (7, 5), (1, 1)):
+        monkeypatch.setattr(pivot_join, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(pivot_join, "OBJECT_BLOCK", blocks[1])
+        qi, si, d, cost = search(*tables)
+        got = {i: sorted((float(x), int(j)) for a, j, x in zip(qi, si, d) if a == i) for i in range(90)}
+        assert got == want and 0 < cost <= 90 * 309
+    assert lists(knn_join(fq, fs, 6, "pivot", PivotConfig(pivot_count=30, groups=2, group_objects=20))) == want
+    assert len(set(PivotJoin(fq, fs, 6, PivotConfig(pivot_count=30, groups=2, group_objects=20)).groups)) == 15
+
+
+def test_crowded_groups_alone_are_copied(spark, monkeypatch):
+    rows = frame(spark, data(1, 40)).withColumn("g", F.when(F.col("key") < 30, "hot").otherwise(F.col("key").cast("string")))
+    assert topk.crowded(rows, 100) is None
+    assert [tuple(r) for r in topk.crowded(rows, 8).collect()] == [("hot", 4)]
+    q, s = data(24, 60, 3), data(25, 80, 3)
+    wide = LshConfig(tables=2, functions=1, w=1e6, multiplier=1)
+    for few in (100, 0):
+        monkeypatch.setattr(topk, "FEW", few)
+        monkeypatch.setattr(lsh, "crowded", lambda df: topk.crowded(df, 9))
+        assert lists(knn_join(frame(spark, q), frame(spark, s), 4, "lsh", wide)) == brute(q, s, 4)
+
+
+def test_groups_by_a_plain_version():
+    """Far-apart seeds, then the lightest group takes its nearest free cell, by loops."""
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        p, weight, n = rng.standard_normal((18, 3)).astype(np.float32), rng.integers(0, 20, 18), 4
+        d = L2().all_pairs(p, p).astype(float)
+        seeds = [max(range(18), key=lambda i: (d[i].sum(), -i))]
+        while len(seeds) < n:
+            seeds.append(max((i for i in range(18) if i not in seeds), key=lambda i: (sum(d[i][x] for x in seeds), -i)))
+        groups = [[x] for x in seeds]
+        free = [i for i in range(18) if i not in seeds]
+        while free:
+            g = min(range(n), key=lambda i: (sum(weight[x] for x in groups[i]), i))
+            x = min(free, key=lambda i: (sum(d[i][c] for c in groups[g]), i))
+            groups[g].append(x)
+            free.remove(x)
+        got = pivots.grouped(p, weight, n)
+        assert [sorted(np.flatnonzero(got == g).tolist()) for g in range(n)] == [sorted(g) for g in groups]
+
+
+def test_frames_of_the_plan(spark):
+    plan = PivotJoin(frame(spark, data(1, 10)), frame(spark, data(2, 60)), 3, PivotConfig(pivot_count=6, static_count=2, groups=3))
+    assert [r.pivot for r in plan.static_frame().orderBy("static").collect()] == plan.static.tolist()
+    low = plan.lower_bounds(plan.groups, 1.0)
+    assert {(r.pivot, r.group_id): r.lower_bound for r in plan.lower_bound_frame().collect()} == {(p, g): low[p, g] for p in range(6) for g in range(3)}
+    made = hashing.generated(3, 2, 4, 5.0, np.zeros(3), np.ones(3), 1)
+    rows = hashing.frame(spark, made).collect()
+    assert len(rows) == 8 and all(made.a[r.table_id, r.function_id].tolist() == r.a and made.b[r.table_id, r.function_id] == r.b for r in rows)
+
+
+def test_job_metrics(spark):
+    with measured(spark) as found:
+        spark.range(1000).selectExpr("id % 7 as g").groupBy("g").count().collect()
+    values = {r.metric: r.value for r in found.frame().collect()}
+    assert values["stages"] >= 1 and values["tasks"] >= 2 and values["shuffleWriteBytes"] > 0 and values["executorCpuTime"] > 0
+    with measured(spark) as nothing:
+        pass
+    assert set(nothing.values.values()) == {0}
+
+
 def test_counters(spark):
     plan = PivotJoin(frame(spark, data(1, 10)), frame(spark, data(2, 60)), 3, PivotConfig(pivot_count=6, static_count=2, groups=3))
     plan.result().collect()
@@ -158,6 +252,26 @@ def test_curve_joins(spark):
         knn_join(fq, fs, 4, "curve", CurveConfig(scale=1e9))
 
 
+def test_windows_do_not_depend_on_ranges(spark):
+    q, s = data(30, 25, 3), np.concatenate([data(31, 140, 3), np.zeros((30, 3), np.float32)])  # many at one place
+    fq, fs = frame(spark, q), frame(spark, s)
+    base = dict(shifts=3, range=1000, scale=1000.0, entire_buckets=False)
+    want = lists(knn_join(fq, fs, 4, "curve", CurveConfig(**base, partitions=1)))
+    for more in (dict(partitions=2), dict(partitions=9), dict(partitions=60), dict(partitions=1, range_objects=11)):
+        assert lists(knn_join(fq, fs, 4, "curve", CurveConfig(**base, **more))) == want
+    wide = lists(knn_join(fq, fs, 4, "curve", CurveConfig(**base, partitions=9, reach=50)))
+    assert wide == brute(q, s, 4)
+
+
+def test_sampled_ranges(spark):
+    sample = [bytes([i]) for i in range(1, 101)]
+    assert [curve.boundary(sample, x)[0] for x in (0.0, 0.25, 0.5, 1.0)] == [1, 25, 50, 100]
+    found = curve.ranges([b"\x10\0\0\0", b"\x20\0\0\0", b"\x30\0\0\0"], [b"\x05\0\0\0", b"\x25\0\0\0"], 3, 0, 1)
+    assert [(a, b) for a, b, _, _ in found] == [(b"\0" * 4, b"\x10\0\0\0"), (b"\x10\0\0\1", b"\x20\0\0\0"), (b"\x20\0\0\1", b"\xff" * 4)]
+    frame_ = curve.range_frame(spark, {0: found})
+    assert frame_.columns == ["shift", "part", "q_start", "q_end", "s_start", "s_end"] and frame_.count() == 3
+
+
 def test_curve_window_with_few_objects(spark):
     got = lists(knn_join(frame(spark, [[0.0], [9.0]]), frame(spark, [[1.0], [2.0], [3.0]]), 5, "curve", CurveConfig(shifts=1, range=10, scale=10.0, partitions=1, entire_buckets=False)))
     assert [[k for _, k in got[i]] for i in (0, 1)] == [[0, 1, 2], [2, 1, 0]]
@@ -204,13 +318,23 @@ def test_histograms(spark):
     assert sum(r["count"] for r in evaluate.histogram(v, "v", 5).collect()) == 11
 
 
+def test_cost_and_centroids_by_a_plain_version(spark):
+    v, c = data(40, 50, 3), data(41, 7, 3)
+    rows = frame(spark, v)
+    d = ((v[:, None].astype(float) - c[None].astype(float)) ** 2).sum(-1)
+    assert [r.cluster for r in kmeans.assign_centroid(rows, c).orderBy("key").collect()] == d.argmin(1).tolist()
+    r = kmeans.cost(rows, c).first()
+    assert r.n == 50 and r.cost == pytest.approx(d.min(1).sum())
+    assert kmeans.assign_centroid(rows.limit(0), c).count() == 0
+
+
 def test_kmeans(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, "|x", [float(i % 2 * 10 + i / 100), 0.0]) for i in range(60)], "id int, coords string, vector array<double>")
     found = kmeans.bag_of_words(rows, 2, str(tmp_path / "km"), extended=True)
     assert sorted(round(c[0]) for c in found.centroids) == [0, 10] and found.cost > 0
     assert spark.read.text(str(tmp_path / "km/histograms")).count() == 3 and spark.read.text(str(tmp_path / "km/centroids")).count() == 2
     assert spark.read.text(str(tmp_path / "km/objects_centroids")).first().value[1:4] == "|x;"
-    kmeans.bag_of_words(rows, 2, str(tmp_path / "plain"))
+    kmeans.bag_of_words(rows, 2, str(tmp_path / "plain"), partitions=3)
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "plain")).collect())[0].startswith("0;10.0;10.0")
 
 
@@ -234,6 +358,24 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 18
 
 
+def test_shipped_to_workers(tmp_path):
+    """From another folder, workers do not find the package unless it is shipped."""
+    code = f"""
+import sys
+sys.path.append({str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from simjoin.plans.knn import knn_join
+from simjoin.plans.ship import ship
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+ship(spark)
+rows = spark.createDataFrame([(i, 0, [float(i)]) for i in range(9)], "key long, classification int, vector array<float>")
+print("FOUND", knn_join(rows, rows, 2).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "FOUND 18" in out.stdout, out.stderr[-2000:]
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         knn_join(frame(spark, [[1.0]]), frame(spark, [[1.0]]), 1, "other")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from simjoin.operators import profile
 from simjoin.sources import features, results
 
+# Sample records of the file format.
 F1, F2, F3 = "1_1;0;0;0:0.2;1:0.8;9:0", "12_69924;1;0.5;6:0.25;199:0.125", "2_2;1;676.0;0:0.0;1:1.0;5:5.0"
 
 
