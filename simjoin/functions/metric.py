@@ -6,9 +6,11 @@ both forms give the same bits up to the order of the sum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,19 @@ def _squares(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, one)
 
 
+def beside(metric: Metric) -> Callable[..., Column]:
+    """A column function of two vectors, by the metric's kernel over batches; for long vectors it is
+    several times as fast as ``column``, whose loops over elements are not compiled."""
+
+    @F.pandas_udf("float")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float32")
+        return pd.Series(metric.rows(np.stack(x.to_numpy()), np.stack(y.to_numpy())).astype(np.float32))
+
+    return distance
+
+
 class L2:
     """Euclidean distance of dense vectors of one length."""
 

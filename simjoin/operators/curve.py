@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simjoin.functions import zorder
-from simjoin.functions.metric import L2, L2Quantized
+from simjoin.functions.metric import L2, L2Quantized, beside
 from simjoin.operators.topk import best, crowded, plain_search, searched
 from simjoin.plans.config import CurveConfig
 
@@ -207,5 +207,5 @@ def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConf
         metric = L2()
     a = queries.select(F.col("key").alias("query_key"), F.col("classification").alias("query_class"), F.col("vector").alias("x"))
     b = database.select(F.col("key").alias("db_key"), F.col("classification").alias("db_class"), F.col("vector").alias("y"))
-    found = pairs.join(a, "query_key").join(b, "db_key").select("query_key", "query_class", "db_key", "db_class", metric.column(F.col("x"), F.col("y")).alias("distance"))
+    found = pairs.join(a, "query_key").join(b, "db_key").select("query_key", "query_class", "db_key", "db_class", beside(metric)("x", "y").alias("distance"))
     return best(found, k, repeated=False)
