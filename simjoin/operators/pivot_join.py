@@ -186,10 +186,11 @@ def pruned_search(k: int, pivots: np.ndarray, epsilon: float, most_cells: int |
             to_cell = metric.all_pairs(qv[mine], pivots[cells]).astype(np.float64)
             reach = to_cell[:, of_few] + s_dist[few]
             r = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.full(n, np.inf)
+            bound = r.copy()  # no k-th neighbour is farther; unlike a distance that was found, it must not be cut by epsilon
             best_d, best_s, visited = np.full((n, k), np.inf, np.float32), np.full((n, k), len(sv)), np.zeros(n, np.int64)
             for c_at in np.argsort(to_cell, axis=1, kind="stable").T:
                 slack = SLACK * (1 + np.where(np.isfinite(r), r, 0))
-                near, d = r / epsilon + slack, to_cell[np.arange(n), c_at]
+                near, d = np.minimum(bound, best_d[:, -1] / epsilon) + slack, to_cell[np.arange(n), c_at]
                 spared = (q_near[mine] != cells[c_at]) & ((d - q_dist[mine]) / 2 > near)
                 spared |= (d - s_dist[end[c_at] - 1] > near) | (s_dist[start[c_at]] - d > near)
                 spared |= (qs[mine] - near[:, None] > high[c_at]).any(1) | (qs[mine] + near[:, None] < low[c_at]).any(1)

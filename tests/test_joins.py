@@ -114,6 +114,20 @@ def test_epsilon_guarantee_and_approximations(spark):
                 assert len(found) == 5 and found[-1][0] <= epsilon * want[i][-1][0] + 1e-5
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_epsilon_guarantee_at_every_rank(spark, seed):
+    q, s = data(60 + seed, 40, 16), data(70 + seed, 200, 16)
+    want, epsilon = brute(q, s, 10), 2.0
+    config = PivotConfig(pivot_count=25, static_count=4, groups=6, method="EPSILON_GUARANTEED", epsilon=epsilon)
+    got = lists(knn_join(frame(spark, q), frame(spark, s), 10, "pivot", config))
+    fine = lambda got: all(len(got[i]) == 10 and all(d <= epsilon * e + 1e-5 for (d, _), (e, _) in zip(got[i], want[i])) for i in want)
+    assert fine(got)
+    # every object a pivot: bounds are tight
+    want = brute(q, s[:30], 10)
+    config = PivotConfig(pivot_count=30, static_count=2, groups=1, method="EPSILON_GUARANTEED", epsilon=epsilon)
+    assert fine(lists(knn_join(frame(spark, q), frame(spark, s[:30]), 10, "pivot", config, pivots=s[:30])))
+
+
 def test_bounds_hold(spark):
     q, s = data(7, 20, 4), data(8, 200, 4)
     want = brute(q, s, 5)
