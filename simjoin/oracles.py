@@ -48,6 +48,25 @@ _STATIC = """
     t4 AS (FROM t3 UNION ALL FROM s4)
 """
 
+# Four groups of cells: seeds far apart, then the lightest group takes its nearest free cell.
+_GROUPS = f"""
+    {_BETWEEN},
+    m AS (SELECT list(r ORDER BY a) AS dist FROM (SELECT a, list(d ORDER BY b) AS r FROM pp GROUP BY a)),
+    wt AS (SELECT list(coalesce(n, 0) * {DIM} ORDER BY pno) AS w FROM pv LEFT JOIN (SELECT pivot_id, count(*) AS n FROM cells WHERE NOT is_database GROUP BY 1) ON pivot_id = pno),
+    sd AS (SELECT 1 AS n, [(SELECT a FROM pp GROUP BY a ORDER BY sum(d) DESC, a LIMIT 1)] AS seeds, list_transform(dist, lambda x: CAST(0 AS DOUBLE)) AS total FROM m
+           UNION ALL
+           SELECT n + 1, list_append(seeds, CAST(list_position(masked, list_max(masked)) - 1 AS BIGINT)), total
+           FROM (SELECT n, seeds, total, list_transform(range(len(total)), lambda i: CASE WHEN list_contains(seeds, i) THEN -1 ELSE total[i + 1] END) AS masked
+                 FROM (SELECT n, seeds, list_transform(range(len(dist)), lambda i: total[i + 1] + dist[seeds[n] + 1][i + 1]) AS total FROM sd, m WHERE n < 4))),
+    gr AS (SELECT 4 AS n, list_transform(range(len(dist)), lambda i: coalesce(list_position(seeds, i), 0) - 1) AS grp, list_transform(seeds, lambda i: w[i + 1]) AS load FROM sd, m, wt WHERE n = 4
+           UNION ALL
+           SELECT n + 1, list_transform(range(len(grp)), lambda i: CASE WHEN i + 1 = p THEN g ELSE grp[i + 1] END), list_transform(range(4), lambda i: load[i + 1] + CASE WHEN i = g THEN w[p] ELSE 0 END)
+           FROM (SELECT n, grp, load, w, g, list_position(sums, list_min(sums)) AS p
+                 FROM (SELECT n, grp, load, w, g, list_transform(range(len(grp)), lambda i: CASE WHEN grp[i + 1] >= 0 THEN 1e300 ELSE list_sum(list_transform(range(len(grp)), lambda c: CASE WHEN grp[c + 1] = g THEN dist[i + 1][c + 1] ELSE 0 END)) END) AS sums
+                       FROM (SELECT n, grp, load, w, dist, list_position(load, list_min(load)) - 1 AS g FROM gr, m, wt WHERE n < len(dist))))),
+    gg AS (SELECT unnest(range(len(grp))) AS cell, unnest(grp) AS group_id FROM gr, m WHERE n = len(dist))
+"""
+
 # --- curves ------------------------------------------------------------------------------
 _COORDS = "list_transform(list_zip(embedding, moved), lambda p: CAST(floor((CAST(p[1] AS DOUBLE) - low) * {scale}) AS BIGINT) + p[2])"
 _ON_CURVES = f"""
@@ -131,6 +150,17 @@ ORACLES: dict[str, str] = {
         FROM cells JOIN dp USING (vec_id) WHERE dp.pno IN (SELECT p FROM t4) GROUP BY 1, 2, 3
     """,
     "reverse_nearest_pivots": f"WITH {_PIVOTS}, {_BETWEEN} SELECT CAST(b AS INTEGER) AS pivot, CAST(a AS INTEGER) AS has_it_near FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM pp) WHERE r <= 3",
+    "cell_groups": f"WITH RECURSIVE {_CELLS}, {_GROUPS} SELECT CAST(cell AS INTEGER) AS pivot, CAST(group_id AS INTEGER) AS group_id FROM gg",
+    "pivot_copies": f"""
+        WITH RECURSIVE {_CELLS}, {_GROUPS},
+        held AS (SELECT pivot_id, CAST(d AS DOUBLE) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pivot_id ORDER BY d, vec_id) AS r FROM cells WHERE is_database) WHERE r <= {K}),
+        asked AS (SELECT pivot_id AS c, CAST(max(d) AS DOUBLE) AS far FROM cells WHERE NOT is_database GROUP BY 1),
+        most AS (SELECT c, far, u FROM (SELECT c, far, far + pp.d + held.d AS u, row_number() OVER (PARTITION BY c ORDER BY far + pp.d + held.d) AS r FROM asked JOIN pp ON pp.a = c JOIN held ON held.pivot_id = pp.b) WHERE r = {K}),
+        low AS (SELECT pp.b AS p, group_id, min(pp.d - far - u) AS x FROM most JOIN pp ON pp.a = c JOIN gg ON gg.cell = c GROUP BY 1, 2),
+        own AS (SELECT vec_id, pivot_id, CAST(d AS DOUBLE) AS d, group_id AS home FROM cells JOIN gg ON gg.cell = pivot_id WHERE is_database)
+        SELECT CAST(g AS INTEGER) AS group_id, count(*) AS n FROM own JOIN (SELECT DISTINCT group_id AS g FROM gg) ON true LEFT JOIN low ON low.p = pivot_id AND low.group_id = g
+        WHERE home = g OR d >= x - 1e-5 * (1 + abs(x)) GROUP BY 1
+    """,
     "query_upper_bounds": f"""
         WITH {_CELLS}, held AS (SELECT pivot_id, d FROM (SELECT *, row_number() OVER (PARTITION BY pivot_id ORDER BY d, vec_id) AS r FROM cells WHERE is_database) WHERE r <= {K}),
         reach AS (SELECT dp.vec_id, CAST(dp.d AS DOUBLE) + CAST(held.d AS DOUBLE) AS u FROM dp JOIN held ON held.pivot_id = dp.pno WHERE dp.vec_id % 10 = 0)

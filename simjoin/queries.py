@@ -182,6 +182,13 @@ def cell_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_fixed(spark, sf_dir).groups.tolist())), "pivot int, group_id int")
 
 
+def pivot_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects each group of the exact join gets."""
+    s = objects(spark, sf_dir)
+    plan = PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=3, static_count=4, groups=4), fixed_pivots(spark, sf_dir))
+    return plan.replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias("n"))
+
+
 def precision_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = objects(spark, sf_dir)
     q = asked(s)
@@ -314,4 +321,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_lsh": knn_lsh,
     "knn_lsh_fitted": _joined("lsh", config=FITTED),
 }
-QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, replications)}
+QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, pivot_copies, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, replications)}
