@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simjoin.llm import chat, decontam, packing, pii, secret_scan, simhash, suffix_dedup, syncmers, toxicity, warc
+from simjoin.llm import chat, decontam, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, syncmers, toxicity, warc
 from simjoin.llm.common import table
 from simjoin.llm.oracles import ORACLES  # noqa: F401
 
@@ -74,6 +74,10 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compared(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.deduplicated(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -85,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_syncmers": op10_syncmers,
+    "op13_line_dedup": op13_line_dedup,
 }
