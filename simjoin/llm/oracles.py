@@ -11,6 +11,15 @@ from simjoin.llm.secret_scan import PARTS, SCOPE
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _crc32(text: str) -> str:
+    """The CRC-32 of a short text's UTF-8 bytes, bit by bit."""
+    shifted = "c"
+    for _ in range(8):
+        shifted = f"xor(({shifted}) >> 1, (({shifted}) & 1) * 3988292384)" if shifted == "c" else f"list_transform([{shifted}], lambda c: xor(c >> 1, (c & 1) * 3988292384))[1]"
+    octets = f"list_transform(range(0, CAST(octet_length(encode({text})) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda before, o: list_transform([xor(before, o)], lambda c: {shifted})[1], 4294967295), 4294967295)"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -91,6 +100,41 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op11_repair": f"""
+        WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat_ws(':', coalesce(CAST(conv_id AS VARCHAR), ' '), coalesce(CAST(turn AS VARCHAR), ' ')) AS said FROM conversations),
+        f AS (SELECT *, CAST({_crc32("said")} AS BIGINT) % 20 AS f FROM r),
+        d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE f <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM d),
+        x AS (SELECT *, core = '' AS blank, core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(core, 1) NOT IN ('.', '!', '?') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM n),
+        counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated,
+                          count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM x GROUP BY conv_id),
+        ins(a, b, more, letters, added) AS (VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+        way(a, b, goes) AS (VALUES (0, 0, 'd'), (1, 1, 'd'), (2, 2, 'd'), (3, 3, 'd'), (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+        p AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, b AS st, CAST(more AS BIGINT) AS cost, letters AS audit, CAST(added AS VARCHAR[]) AS said FROM (SELECT DISTINCT conv_id FROM x), ins WHERE a = 0
+              UNION ALL
+              SELECT conv_id, i, st, cost, audit, said FROM (
+                SELECT x.conv_id, x.i, ins.b AS st, p.cost + more + CASE WHEN goes = 'd' THEN 2 ELSE CAST(goes <> initial AS BIGINT) + CASE WHEN cut THEN 5 ELSE 0 END END AS cost,
+                       p.audit || CASE WHEN goes = 'd' THEN 'D' WHEN goes = initial THEN 'K' ELSE 'R' END || letters AS audit,
+                       list_concat(list_concat(p.said, CASE WHEN goes = 'd' THEN [] ELSE [CASE WHEN goes = initial THEN role WHEN goes = 'u' THEN 'user' ELSE 'assistant' END || ':' || text] END), added) AS said
+                FROM p JOIN x ON x.conv_id = p.conv_id AND x.i = p.i + 1 JOIN way ON way.a = p.st JOIN ins ON ins.a = way.b WHERE goes = 'd' OR (NOT blank AND NOT again AND (goes <> 's' OR initial = 's')))
+              QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+        best AS (SELECT p.conv_id, cost, audit, said FROM p JOIN counts ON p.conv_id = counts.conv_id AND p.i = counts.n WHERE st IN (0, 3) QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost, audit) = 1)
+        SELECT o.conv_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))}, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts USING (conv_id) LEFT JOIN best USING (conv_id)
+    """,
+    "op12_importance": f"""
+        WITH w AS (SELECT doc_id, unnest({_WORDS}) AS f FROM documents),
+        v AS (SELECT unnest({_WORDS}) AS f FROM benchmark),
+        b AS (SELECT f, CAST({_crc32("f")} AS BIGINT) % 10000 AS b FROM (SELECT f FROM w UNION SELECT f FROM v)),
+        s AS (SELECT b, count(*) AS s FROM w JOIN b USING (f) GROUP BY b), t AS (SELECT b, count(*) AS t FROM v JOIN b USING (f) GROUP BY b),
+        n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+        g AS (SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b), n),
+        weighed AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN b USING (f) JOIN g USING (b) GROUP BY doc_id),
+        scored AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN weighed USING (doc_id)),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM r) // 100 THEN r END AS rank FROM scored LEFT JOIN r USING (doc_id)
+    """,
     "op13_line_dedup": r"""
         WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
                    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simjoin.llm import chat, decontam, line_dedup, packing, pii, secret_scan, simhash, suffix_dedup, syncmers, toxicity, warc
+from simjoin.llm import chat, decontam, importance, line_dedup, packing, pii, repair, secret_scan, simhash, suffix_dedup, syncmers, toxicity, warc
 from simjoin.llm.common import table
 from simjoin.llm.oracles import ORACLES  # noqa: F401
 
@@ -74,6 +74,16 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compared(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.deduplicated(table(spark, sf_dir, "documents")))
 
@@ -89,5 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_syncmers": op10_syncmers,
+    "op11_repair": op11_repair,
+    "op12_importance": op12_importance,
     "op13_line_dedup": op13_line_dedup,
 }
