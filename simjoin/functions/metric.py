@@ -6,7 +6,7 @@ both forms give the same bits up to the order of the sum.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -58,6 +58,9 @@ def beside(metric: Metric) -> Callable[..., Column]:
 class L2:
     """Euclidean distance of dense vectors of one length."""
 
+    #: Any four points can be laid out in a space of three dimensions with their distances, see ``bounds.beyond_plane``.
+    four_point = True
+
     def column(self, x: Column, y: Column) -> Column:
         same = F.size(x) == F.size(y)
         return F.when(same, F.sqrt(_sum(_squares(x, y))).cast("float")).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("float"))
@@ -119,34 +122,45 @@ def l2_sparse(x: Column, y: Column) -> Column:
     return F.when(fits, total).otherwise(F.raise_error(F.lit("records differ in dimension")).cast("float"))
 
 
-def block_topk(metric: Metric, q: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of s, distance) of the k nearest rows of s, by distance, then row.
+def near_pairs(metric: Metric, q: np.ndarray, s: np.ndarray, limit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of q, row of s, distance), in blocks of q: of each row its k nearest, and others no nearer than those may be
+    among them, but none beyond the row's ``limit``.
 
-    For L2 a matrix product finds a few more than k candidates, and only their distances
-    are computed by the definition; the margin covers the product's rounding.
+    For L2 a matrix product finds candidates, and only their distances are computed by the
+    definition; a margin covers the product's rounding.
     """
-    qi, si, di = [], [], []
-    s64 = s.astype(np.float64)
-    norm = np.einsum("ij,ij->i", s64, s64)
-    step = max(1, PAIRS // max(1, len(s)))
+    if not len(s):
+        return
+    product = isinstance(metric, L2)
+    s64 = s.astype(np.float64) if product else None
+    norm = np.einsum("ij,ij->i", s64, s64) if product else None
+    step = max(1, PAIRS // len(s))
     for at in range(0, len(q), step):
-        part = q[at : at + step]
-        if isinstance(metric, L2) and len(s) > k:
+        part, most = q[at : at + step], limit[at : at + step].astype(np.float64)
+        if product:
             p64 = part.astype(np.float64)
             own = np.einsum("ij,ij->i", p64, p64)
             d2 = own[:, None] + norm[None] - 2 * (p64 @ s64.T)
-            last = np.partition(d2, k - 1, axis=1)[:, k - 1]
+            last = most**2
+            if len(s) > k:
+                last = np.minimum(last, np.partition(d2, k - 1, axis=1)[:, k - 1])
             i, j = np.nonzero(d2 <= (last + np.abs(last) * 1e-6 + 1e-9 * (own + norm.max()))[:, None])
             d = metric.rows(part[i], s[j])
         else:
-            i, j = (x.ravel() for x in np.indices((len(part), len(s))))
-            d = metric.all_pairs(part, s).ravel()
-        order = np.lexsort((j, d, i))
-        i, j, d = i[order], j[order], d[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = rank < k
-        qi.append(i[keep] + at)
-        si.append(j[keep])
-        di.append(d[keep])
+            dist = metric.all_pairs(part, s)
+            last = np.minimum(most, np.partition(dist, k - 1, axis=1)[:, k - 1]) if len(s) > k else most
+            i, j = np.nonzero(dist <= last[:, None])
+            d = dist[i, j]
+        inside = d <= most[i]
+        yield i[inside] + at, j[inside], d[inside]
+
+
+def block_topk(metric: Metric, q: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of s, distance) of the k nearest rows of s, by distance, then row."""
     empty = np.empty(0, np.int64)
-    return (np.concatenate(qi), np.concatenate(si), np.concatenate(di)) if qi else (empty, empty, np.empty(0, np.float32))
+    found = [(empty, empty, np.empty(0, np.float32)), *near_pairs(metric, q, s, np.full(len(q), np.inf), k)]
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, d, i))
+    i, j, d = i[order], j[order], d[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], d[keep]

@@ -198,7 +198,7 @@ def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConf
         q, s = partitioned(q, s, edges or (whole if config.partitions <= 1 else sampled_ranges(q, s, k, config, dim)))
         g = F.concat_ws(":", "shift", "part")
         q, s = (a.select("key", g.alias("g")).join(b.select("key", "classification", "vector"), "key") for a, b in ((q, queries), (s, database)))
-        return best(searched(q, s, plain_search(k), [], False, crowded(q)), k)
+        return best(searched(q, s, plain_search(k), shares=crowded(q, s)), k)
     pairs = neighbours_on_curve(q, s, k * config.reach, config)
     if config.only_zorder:
         plain = lambda df: df.select("key", "classification", zorder.quantized(F.col("vector"), config.scale, low, [0] * dim).alias("vector"))

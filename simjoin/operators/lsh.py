@@ -60,9 +60,9 @@ def bucketed(objects: DataFrame, tables: Tables) -> DataFrame:
 def knn_lsh(queries: DataFrame, database: DataFrame, k: int, config: LshConfig | None = None, tables: Tables | None = None, metric: Metric | None = None) -> DataFrame:
     """The nearest objects that share a bucket with the query in some table, k at most.
 
-    A bucket's objects stream past its queries and leave k each, so a large bucket makes
-    work but no large intermediate result. Queries without a neighbour have no row.
+    A bucket's objects stream past its queries and leave k each, and both sides of a large
+    bucket are dealt to several tasks, so it makes work but no large intermediate result. Queries without a neighbour have no row.
     """
     tables = tables or tables_for(database, config or LshConfig())
-    q = bucketed(queries, tables)
-    return best(searched(q, bucketed(database, tables), plain_search(k, metric), [], False, crowded(q)), k)
+    q, s = bucketed(queries, tables), bucketed(database, tables)
+    return best(searched(q, s, plain_search(k, metric), shares=crowded(q, s)), k)

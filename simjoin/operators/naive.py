@@ -25,4 +25,5 @@ def knn_naive(queries: DataFrame, database: DataFrame, k: int, metric: Metric |
     ways = -(-n_q // QUERIES) if n_q > QUERIES else None
     database = database.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("string"))
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>")))
-    return best(searched(queries, database, plain_search(k, metric), [], False, ways), k, repeated=False)
+    shares = None if ways is None else F.broadcast(queries.sparkSession.range(blocks).select(F.col("id").cast("string").alias("g"), F.lit(ways).alias("ways"), F.lit(1).alias("parts")))
+    return best(searched(queries, database, plain_search(k, metric), shares=shares), k, repeated=False)

@@ -56,33 +56,37 @@ def union_of(database: DataFrame, queries: DataFrame) -> DataFrame:
     return database.withColumn("is_database", F.lit(True)).unionByName(queries.withColumn("is_database", F.lit(False)))
 
 
-def cell_stats(objects: DataFrame, k: int) -> DataFrame:
-    """Per (pivot_id, is_database): min_dist, max_dist, n, size, and the k smallest distances.
+def cell_stats(objects: DataFrame, k: int, static: int = 0) -> DataFrame:
+    """Per (pivot_id, is_database): min_dist, max_dist, n, size, the k smallest distances, and ranges of static distances.
 
-    ``size`` is the sum of vector lengths. A task sums up its rows first, so of each cell
+    ``size`` is the sum of vector lengths; static_low and static_high bound the distances to
+    the ``static`` first static pivots. A task sums up its rows first, so of each cell
     k distances per task are gathered at most, and the objects are read once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list] = {}  # of each cell: distances of the k nearest, the largest, n, size
+        held: dict[tuple[int, bool], list] = {}  # of each cell: distances of the k nearest, the largest, n, size, ranges
         for batch in batches:
             if not len(batch):
                 continue
             pivot, d, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot_id", "d", "size"))
-            db = batch.column("is_database").to_numpy(zero_copy_only=False)
+            db, fixed = batch.column("is_database").to_numpy(zero_copy_only=False), matrix(batch.column("static_dists"))[:, :static]
             order = np.lexsort((d, db, pivot))
-            pivot, d, size, db = pivot[order], d[order], size[order], db[order]
+            pivot, d, size, db, fixed = pivot[order], d[order], size[order], db[order], fixed[order]
             first = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (db[1:] != db[:-1])]))
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
-                near, high, n, total = held.get(cell := (int(pivot[a]), bool(db[a])), (d[:0], d[a], 0, 0))
-                held[cell] = [np.sort(np.concatenate([near, d[a : min(b, a + k)]]))[:k], max(high, d[b - 1]), n + b - a, total + int(size[a:b].sum())]
-        rows = [(p, s, x[0].tolist(), float(x[0][0]), float(x[1]), x[2], x[3]) for (p, s), x in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.list_(pa.float32()), pa.float32(), pa.float32(), pa.int64(), pa.int64()))], names=["pivot_id", "is_database", "near", "low", "high", "n", "size"])
-
-    rows = objects.select(F.get("nearest_pivots", F.lit(0)).alias("pivot_id"), "is_database", F.get("nearest_dists", F.lit(0)).alias("d"), F.size("vector").cast("long").alias("size"))
-    parts = rows.mapInArrow(run, "pivot_id int, is_database boolean, near array<float>, low float, high float, n long, size long")
+                cell, (lo, hi) = (int(pivot[a]), bool(db[a])), (fixed[a:b].min(0), fixed[a:b].max(0))
+                near, high, n, total, low_s, high_s = held.get(cell, (d[:0], d[a], 0, 0, lo, hi))
+                held[cell] = [np.sort(np.concatenate([near, d[a : min(b, a + k)]]))[:k], max(high, d[b - 1]), n + b - a, total + int(size[a:b].sum()), np.minimum(low_s, lo), np.maximum(high_s, hi)]
+        rows = [(p, s, x[0].tolist(), float(x[0][0]), float(x[1]), x[2], x[3], x[4].tolist(), x[5].tolist()) for (p, s), x in held.items()]
+        floats = pa.list_(pa.float32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), floats, pa.float32(), pa.float32(), pa.int64(), pa.int64(), floats, floats))], names=["pivot_id", "is_database", "near", "low", "high", "n", "size", "static_low", "static_high"])
+
+    rows = objects.select(F.get("nearest_pivots", F.lit(0)).alias("pivot_id"), "is_database", F.get("nearest_dists", F.lit(0)).alias("d"), F.size("vector").cast("long").alias("size"), "static_dists")
+    parts = rows.mapInArrow(run, "pivot_id int, is_database boolean, near array<float>, low float, high float, n long, size long, static_low array<float>, static_high array<float>")
     smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("smallest")
-    return parts.groupBy("pivot_id", "is_database").agg(F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.sum("n").alias("n"), F.sum("size").alias("size"), smallest)
+    each = lambda f, c: F.array(*[f(F.get(c, F.lit(i))) for i in range(static)]).cast("array<float>").alias(c)
+    return parts.groupBy("pivot_id", "is_database").agg(F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.sum("n").alias("n"), F.sum("size").alias("size"), smallest, each(F.min, "static_low"), each(F.max, "static_high"))
 
 
 def cut_regions(objects: DataFrame) -> DataFrame:
@@ -138,21 +142,34 @@ class Voronoi:
     query_weight: np.ndarray
     smallest: list[np.ndarray]  # of the database side, up to k
     metric: Metric = field(default_factory=L2)
-    db_count: int = 0
+    db_n: np.ndarray = field(init=False)
+    query_n: np.ndarray = field(init=False)
+    #: pivots x 2 x static pivots: the least and the greatest distances; the empty range of a cell without objects.
+    db_box: np.ndarray = field(init=False)
+    query_box: np.ndarray = field(init=False)
     distances: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.distances = self.metric.all_pairs(self.pivots, self.pivots).astype(np.float64)
+        self.db_n, self.query_n = (np.zeros(len(self.pivots), np.int64) for _ in range(2))
+        self.db_box, self.query_box = (np.empty((len(self.pivots), 2, 0)) for _ in range(2))
+
+    @property
+    def db_count(self) -> int:
+        return int(self.db_n.sum())
 
     @staticmethod
     def of(pivots: np.ndarray, stats: DataFrame, k: int, metric: Metric | None = None) -> Voronoi:
-        n = len(pivots)
+        n, rows = len(pivots), stats.collect()
         out = Voronoi(pivots, k, np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n), [np.empty(0)] * n, metric or L2())
-        for r in stats.collect():
+        static = max((len(r.static_low) for r in rows), default=0)
+        empty = np.stack([np.full((n, static), np.inf), np.full((n, static), -np.inf)], axis=1)
+        out.db_box, out.query_box = empty.copy(), empty.copy()
+        for r in rows:
+            box = np.array([r.static_low, r.static_high], np.float64).reshape(2, static)
             if r.is_database:
-                out.db_count += r.n
-                out.db_max[r.pivot_id] = r.max_dist
+                out.db_n[r.pivot_id], out.db_max[r.pivot_id], out.db_box[r.pivot_id] = r.n, r.max_dist, box
                 out.smallest[r.pivot_id] = np.sort(np.array(r.smallest, np.float64))
             else:
-                out.query_max[r.pivot_id], out.query_weight[r.pivot_id] = r.max_dist, r.size
+                out.query_n[r.pivot_id], out.query_max[r.pivot_id], out.query_weight[r.pivot_id], out.query_box[r.pivot_id] = r.n, r.max_dist, r.size, box
         return out

@@ -16,6 +16,7 @@ class PivotConfig:
     method: str = "EXACT"  # of METHODS, in any case; another name means EXACT
     epsilon: float = 1.0
     exact_parent_filter: bool = True  # else objects are cut by the radius over epsilon too
+    cut_copies: bool = True  # objects are copied only where the cut regions of cells allow it
     groups: int = 10  # at least
     group_objects: int = 100_000  # of the database, on average; more objects make more groups
     seed: int = 937

@@ -183,9 +183,9 @@ def cell_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pivot_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many objects each group of the exact join gets."""
+    """How many objects each group of the exact join gets by the lower bound alone."""
     s = objects(spark, sf_dir)
-    plan = PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=3, static_count=4, groups=4), fixed_pivots(spark, sf_dir))
+    plan = PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=3, static_count=4, groups=4, cut_copies=False), fixed_pivots(spark, sf_dir))
     return plan.replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias("n"))
 
 

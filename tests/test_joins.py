@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -161,28 +162,115 @@ def test_joins_take_a_metric(spark):
 def test_blocks_of_queries_and_objects(spark, monkeypatch):
     q, s = data(22, 90, 3, tied=True), data(23, 300, 3)
     want, fq, fs = brute(q, s, 6), frame(spark, q), frame(spark, s)
-    search = pivot_join.pruned_search(6, s[:9], 1.0, None, True)
     plan = PivotJoin(fq, fs, 6, PivotConfig(pivot_count=9, static_count=2, groups=1), s[:9])
-    tables = [df.orderBy("key").toArrow() for df in (plan.queries, plan.database)]
-    for blocks in ((256, 4_096), (7, 5), (1, 1)):
+    known = pivot_join.Known(plan.voronoi, plan.groups, 1.0, True, True, None, {})
+    one = {"cell": F.get("nearest_pivots", F.lit(0)), "dist": F.get("nearest_dists", F.lit(0)), "g": F.lit("0")}
+    q_rows, s_rows = (df.withColumns(one).orderBy("cell", "dist", "key").toArrow() for df in (plan.queries, plan.database))
+    for blocks in ((256, 4_096, 1_000), (7, 5, 64), (1, 1, 9)):
         monkeypatch.setattr(pivot_join, "QUERY_BLOCK", blocks[0])
         monkeypatch.setattr(pivot_join, "OBJECT_BLOCK", blocks[1])
-        qi, si, d, cost = search(*tables)
-        got = {i: sorted((float(x), int(j)) for a, j, x in zip(qi, si, d) if a == i) for i in range(90)}
-        assert got == want and 0 < cost <= 90 * 309
+        scan = pivot_join.pruned_search(known)(q_rows)
+        for batch in s_rows.to_batches(blocks[2]):
+            scan.see(batch)
+        got = {i: [] for i in range(90)}
+        for row in pa.Table.from_batches(scan.nearest.lists(q_rows, scan.cost)).to_pylist():
+            got[row["query_key"]].append((row["distance"], row["db_key"]))
+        assert {i: sorted(x) for i, x in got.items()} == want and 0 < scan.cost <= 90 * 309
     assert lists(knn_join(fq, fs, 6, "pivot", PivotConfig(pivot_count=30, groups=2, group_objects=20))) == want
     assert len(set(PivotJoin(fq, fs, 6, PivotConfig(pivot_count=30, groups=2, group_objects=20)).groups)) == 15
 
 
+def test_nearest_holds_the_least_keys_of_ties():
+    """Batches in any order, many ties, keys of several parts; what is forgotten is not needed."""
+    rng = np.random.default_rng(4)
+    d, keys = rng.integers(0, 3, (12, 5000)).astype(np.float32), [{"a": int(x), "b": int(y)} for x, y in zip(rng.permutation(5000) // 7, rng.permutation(5000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.array([0] * 5000, pa.int32())], names=["key", "classification"])
+    held = topk.Nearest(12, 4)
+    for at in range(0, 5000, 300):
+        part = batch.slice(at, 300)
+        i, j = (x.ravel() for x in np.indices((12, len(part))))
+        held.add(i, d[:, at : at + 300].ravel(), j, part)
+    assert held.size < 12 * 4 * 5 + 10_000 + 300 * 12
+    held._forget()
+    q = pa.table({"key": list(range(12)), "classification": [0] * 12})
+    got = {}
+    for r in pa.Table.from_batches(held.lists(q, 7)).to_pylist():
+        got.setdefault(r["query_key"], []).append((r["distance"], r["db_key"]["a"], r["db_key"]["b"]))
+    assert got == {i: sorted((float(x), k["a"], k["b"]) for x, k in zip(d[i], keys))[:4] for i in range(12)}
+
+
+def test_no_group_is_held_whole(spark, monkeypatch):
+    """Arrow batches of a few rows, and both sides of every group dealt to several tasks."""
+    q, s = data(31, 120, 4), data(32, 700, 4)
+    fq, fs, want = frame(spark, q), frame(spark, s), brute(q, s, 5)
+    monkeypatch.setattr(topk, "QUERIES", 30)
+    monkeypatch.setattr(topk, "OBJECTS", 100)
+    config = dict(pivot_count=20, static_count=3, groups=3)
+    plan = PivotJoin(fq, fs, 5, PivotConfig(**config))
+    groups = plan.groups
+    _, _, most = plan._copied(groups)
+    assert all(r.ways >= 1 and r.parts > 1 for r in plan._shares(None, None, groups, most).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        for more in (dict(), dict(method="APPROX", max_rec_depth=20, filter_ratio=1.0), dict(method="QUERY_REP", max_rec_depth=20, filter_ratio=1.0)):
+            assert lists(knn_join(fq, fs, 5, "pivot", PivotConfig(**config, **more))) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_copies_by_cut_regions(spark, seed):
+    """Never more copies than the lower bound alone gives, and never one too few."""
+    rng = np.random.default_rng(seed)
+    centres = rng.uniform(-20, 20, (12, 3))
+    points = lambda n: (centres[rng.integers(0, 12, n)] + rng.standard_normal((n, 3))).astype(np.float32)
+    q, s = points(60), points(500)
+    fq, fs = frame(spark, q), frame(spark, s)
+    copies = {}
+    for cut in (True, False):
+        plan = PivotJoin(fq, fs, 4, PivotConfig(pivot_count=24, static_count=5, groups=6, cut_copies=cut))
+        assert lists(plan.result()) == brute(q, s, 4)
+        copies[cut] = plan.observed["db_replications"].get["n"]
+    assert copies[True] < copies[False]
+
+
+def test_planes_exclude_more_than_differences(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        p1, p2, x = rng.standard_normal((3, 3))
+        o = rng.standard_normal((400, 3))
+        o = o[np.linalg.norm(o - p2, axis=1) <= np.linalg.norm(o - p1, axis=1)]
+        d, home, between = np.linalg.norm(x - p2), np.linalg.norm(x - p1), np.linalg.norm(p1 - p2)
+        plane = float(bounds.beyond_plane(L2(), d, home, between))
+        assert plane >= (d - home) / 2 - 1e-9 or d < home
+        assert plane <= np.linalg.norm(o - x, axis=1).min(initial=np.inf) + 1e-9
+        assert bounds.beyond_plane(L1(), d, home, between) == (d - home) / 2
+    assert bounds.beyond_plane(L2(), np.array([1.0]), np.array([1.0]), np.array([0.0]))[0] == 0
+
+    class Plain(L2):
+        four_point = False
+
+    q, s = data(41, 80, 2), data(42, 900, 2)
+    cost, lists_ = {}, {}
+    for metric in (L2(), Plain()):
+        plan = PivotJoin(frame(spark, q), frame(spark, s), 3, PivotConfig(pivot_count=40, static_count=0, groups=2), s[:40], metric)
+        lists_[metric.four_point] = lists(plan.result())
+        cost[metric.four_point] = plan.observed["distance_computations"].get["n"]
+        told = plan.exclusions().agg(F.sum("by_difference"), F.sum("by_plane"), F.max("cells")).first()
+        assert told[2] == 40 and (told[1] > told[0]) == metric.four_point
+    assert lists_[True] == lists_[False] == brute(q, s, 3) and cost[True] < cost[False]
+
+
 def test_crowded_groups_alone_are_copied(spark, monkeypatch):
     rows = frame(spark, data(1, 40)).withColumn("g", F.when(F.col("key") < 30, "hot").otherwise(F.col("key").cast("string")))
-    assert topk.crowded(rows, 100) is None
-    assert [tuple(r) for r in topk.crowded(rows, 8).collect()] == [("hot", 4)]
+    assert topk.crowded(rows, rows, 100) is None
+    assert [tuple(r) for r in topk.crowded(rows, rows, 8).collect()] == [("hot", 4, 1)]
+    assert [tuple(r) for r in topk.crowded(rows, rows, 40, 7).collect()] == [("hot", 1, 5)]
     q, s = data(24, 60, 3), data(25, 80, 3)
     wide = LshConfig(tables=2, functions=1, w=1e6, multiplier=1)
     for few in (100, 0):
         monkeypatch.setattr(topk, "FEW", few)
-        monkeypatch.setattr(lsh, "crowded", lambda df: topk.crowded(df, 9))
+        monkeypatch.setattr(lsh, "crowded", lambda q, s: topk.crowded(q, s, 9, 13))
         assert lists(knn_join(frame(spark, q), frame(spark, s), 4, "lsh", wide)) == brute(q, s, 4)
 
 
