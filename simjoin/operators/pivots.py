@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simjoin.functions.metric import L2, Metric
+from simjoin.functions.metric import L2, Metric, block_topk
 from simjoin.operators.topk import matrix
 
 
@@ -42,10 +42,11 @@ def assigned(objects: DataFrame, pivots: np.ndarray, static: np.ndarray, depth:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, fixed = sent.value
         for batch in batches:
-            d = own.all_pairs(matrix(batch.column("vector")), centres) if len(batch) else np.empty((0, len(centres)), np.float32)
-            near = np.argsort(d, axis=1, kind="stable")[:, :depth]
-            lists = lambda a, t: pa.array(list(a), pa.list_(t))
-            more = [lists(near.astype(np.int32), pa.int32()), lists(np.take_along_axis(d, near, 1), pa.float32()), lists(d[:, fixed], pa.float32())]
+            vectors = matrix(batch.column("vector"))
+            _, near, d = block_topk(own, vectors, centres, depth)
+            to_static = own.all_pairs(vectors, centres[fixed]) if len(batch) and len(fixed) else np.empty((len(batch), len(fixed)), np.float32)
+            lists = lambda a, width, t: pa.array(list(a.reshape(len(batch), width)), pa.list_(t))
+            more = [lists(near.astype(np.int32), depth, pa.int32()), lists(d, depth, pa.float32()), lists(to_static, len(fixed), pa.float32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "nearest_pivots", "nearest_dists", "static_dists"])
 
     kind = ", ".join(f"{c} {objects.schema[c].dataType.simpleString()}" for c in ("key", "classification", "vector"))

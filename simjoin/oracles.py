@@ -67,6 +67,60 @@ _GROUPS = f"""
     gg AS (SELECT unnest(range(len(grp))) AS cell, unnest(grp) AS group_id FROM gr, m WHERE n = len(dist))
 """
 
+# --- lineitem as vectors: the same statements over other vectors, pivots and queries ------
+_ITEMS = """
+    embeddings AS (SELECT (l_orderkey * 8 + l_linenumber) * 16777216 + CAST(round(l_extendedprice * 100) AS BIGINT) AS vec_id, l_linenumber AS label,
+                          [CAST(l_quantity / 50 AS FLOAT), CAST(l_extendedprice / 100000 AS FLOAT), CAST(l_discount * 10 AS FLOAT), CAST(l_tax * 12.5 AS FLOAT)] AS embedding FROM lineitem)
+"""
+_ITEM_PIVOTS = "pv AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pno, embedding FROM embeddings WHERE vec_id // 134217728 < 300 AND vec_id // 16777216 % 8 = 1)"
+
+
+def _of_items(statement: str) -> str:
+    return statement.replace(_PIVOTS, _ITEM_PIVOTS).replace("vec_id % 10 = 0", "vec_id // 134217728 % 20 = 0")
+
+
+def _item(side: str, vec_id: str) -> str:
+    return f"CAST({vec_id} // 134217728 AS INTEGER) AS {side}_order, CAST({vec_id} // 16777216 % 8 AS INTEGER) AS {side}_line, CAST({vec_id} % 16777216 AS INTEGER) AS {side}_cents"
+
+
+# Of each query cell: the farthest query, and the bound on its neighbours' distances.
+_BOUNDS = f"""
+    held AS (SELECT pivot_id, CAST(d AS DOUBLE) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pivot_id ORDER BY d, vec_id) AS r FROM cells WHERE is_database) WHERE r <= {K}),
+    asked AS (SELECT pivot_id AS c, CAST(max(d) AS DOUBLE) AS far FROM cells WHERE NOT is_database GROUP BY 1),
+    most AS (SELECT c, far, u FROM (SELECT c, far, far + pp.d + held.d AS u, row_number() OVER (PARTITION BY c ORDER BY far + pp.d + held.d) AS r FROM asked JOIN pp ON pp.a = c JOIN held ON held.pivot_id = pp.b) WHERE r = {K}),
+    own AS (SELECT vec_id, pivot_id, CAST(d AS DOUBLE) AS d, group_id AS home FROM cells JOIN gg ON gg.cell = pivot_id WHERE is_database)
+"""
+_less, _more = (lambda x: f"({x} - 1e-5 * (1 + abs({x})))"), (lambda x: f"({x} + 1e-5 * (1 + abs({x})))")
+_COPIES = _of_items(f"""
+    WITH RECURSIVE {_ITEMS}, {_CELLS}, {_GROUPS}, {_STATIC}, {_BOUNDS},
+    st AS (SELECT vec_id, list(CAST(d AS DOUBLE) ORDER BY pno) AS sd FROM dp WHERE pno IN (SELECT p FROM t4) GROUP BY 1),
+    region AS (SELECT is_database, pivot_id, [min(sd[1]), min(sd[2]), min(sd[3]), min(sd[4])] AS lo, [max(sd[1]), max(sd[2]), max(sd[3]), max(sd[4])] AS hi, CAST(max(d) AS DOUBLE) AS far FROM cells JOIN st USING (vec_id) GROUP BY 1, 2),
+    box AS (SELECT c, list_transform(lo, lambda x: {_less("(x - u)")}) AS lo, list_transform(hi, lambda x: {_more("(x + u)")}) AS hi FROM most JOIN region ON pivot_id = c AND NOT is_database),
+    pairs AS (SELECT pp.b AS p, c, group_id, {_less("(pp.d - most.far - u)")} AS low FROM most JOIN pp ON pp.a = c JOIN gg ON gg.cell = c),
+    bound AS (SELECT p, group_id, min(low) AS x FROM pairs GROUP BY 1, 2),
+    hull AS (SELECT p, group_id, min(low) AS x, [min(box.lo[1]), min(box.lo[2]), min(box.lo[3]), min(box.lo[4])] AS lo, [max(box.hi[1]), max(box.hi[2]), max(box.hi[3]), max(box.hi[4])] AS hi
+             FROM pairs JOIN box USING (c) JOIN region r ON r.pivot_id = p AND r.is_database
+             WHERE low <= r.far AND box.lo[1] <= r.hi[1] AND box.lo[2] <= r.hi[2] AND box.lo[3] <= r.hi[3] AND box.lo[4] <= r.hi[4] AND box.hi[1] >= r.lo[1] AND box.hi[2] >= r.lo[2] AND box.hi[3] >= r.lo[3] AND box.hi[4] >= r.lo[4] GROUP BY 1, 2),
+    b AS (SELECT g AS group_id, count(*) AS by_bound FROM own JOIN (SELECT DISTINCT group_id AS g FROM gg) ON true LEFT JOIN bound ON p = pivot_id AND group_id = g WHERE home = g OR d >= x GROUP BY 1),
+    r AS (SELECT g AS group_id, count(*) AS by_region FROM own JOIN st USING (vec_id) JOIN (SELECT DISTINCT group_id AS g FROM gg) ON true LEFT JOIN hull ON p = pivot_id AND group_id = g
+          WHERE home = g OR (d >= x AND sd[1] BETWEEN lo[1] AND hi[1] AND sd[2] BETWEEN lo[2] AND hi[2] AND sd[3] BETWEEN lo[3] AND hi[3] AND sd[4] BETWEEN lo[4] AND hi[4]) GROUP BY 1)
+    SELECT CAST(group_id AS INTEGER) AS group_id, by_bound, by_region FROM b JOIN r USING (group_id)
+""")
+_EXCLUDED = _of_items(f"""
+    WITH {_ITEMS}, {_CELLS}, {_BETWEEN},
+    held AS (SELECT pivot_id, CAST(d AS DOUBLE) AS d FROM (SELECT *, row_number() OVER (PARTITION BY pivot_id ORDER BY d, vec_id) AS r FROM cells WHERE is_database) WHERE r <= {K}),
+    q AS MATERIALIZED (SELECT vec_id, pno AS home, CAST(d AS DOUBLE) AS hd FROM ranked WHERE r = 1 AND vec_id % 10 = 0),
+    own AS MATERIALIZED (SELECT q.vec_id, home, hd, pno, CAST(dp.d AS DOUBLE) AS d FROM q JOIN dp USING (vec_id)),
+    reach AS MATERIALIZED (SELECT vec_id, min(own.d + held.d, {K})[{K}] AS u FROM own JOIN held ON pivot_id = pno GROUP BY 1),
+    c AS (SELECT vec_id, pno, home, own.d, hd, pp.d AS b, u + 1e-5 * (1 + u) AS r FROM own JOIN reach USING (vec_id) JOIN pp ON pp.a = home AND pp.b = pno WHERE pno IN (SELECT pivot_id FROM held))
+    SELECT {_item("query", "vec_id")}, count(*) AS cells, count(*) FILTER (pno <> home AND (d - hd) / 2 > r) AS by_difference, count(*) FILTER (pno <> home AND b > 0 AND (d * d - hd * hd) / (2 * b) > r) AS by_plane FROM c GROUP BY vec_id
+""")
+_ITEM_NEAREST = f"""
+    WITH v AS (SELECT (l_orderkey * 8 + l_linenumber) * 16777216 + CAST(round(l_extendedprice * 100) AS BIGINT) AS vec_id, CAST(l_quantity / 50 AS FLOAT) AS a, CAST(l_extendedprice / 100000 AS FLOAT) AS b, CAST(l_discount * 10 AS FLOAT) AS c, CAST(l_tax * 12.5 AS FLOAT) AS d FROM lineitem),
+    near AS (SELECT q.vec_id AS query_id, min({{'d': CAST(sqrt(pow(CAST(q.a - s.a AS DOUBLE), 2) + pow(CAST(q.b - s.b AS DOUBLE), 2) + pow(CAST(q.c - s.c AS DOUBLE), 2) + pow(CAST(q.d - s.d AS DOUBLE), 2)) AS FLOAT), 'id': s.vec_id}}, {K}) AS best FROM v q, v s WHERE q.vec_id // 134217728 % 20 = 0 GROUP BY 1)
+    SELECT {_item("query", "query_id")}, {_item("db", "best[i].id")}, CAST(i AS INTEGER) AS rank, round(CAST(best[i].d AS DOUBLE), 5) AS distance FROM (SELECT query_id, best, unnest(range(1, len(best) + 1)) AS i FROM near)
+"""
+
 # --- curves ------------------------------------------------------------------------------
 _COORDS = "list_transform(list_zip(embedding, moved), lambda p: CAST(floor((CAST(p[1] AS DOUBLE) - low) * {scale}) AS BIGINT) + p[2])"
 _ON_CURVES = f"""
@@ -161,6 +215,9 @@ ORACLES: dict[str, str] = {
         SELECT CAST(g AS INTEGER) AS group_id, count(*) AS n FROM own JOIN (SELECT DISTINCT group_id AS g FROM gg) ON true LEFT JOIN low ON low.p = pivot_id AND low.group_id = g
         WHERE home = g OR d >= x - 1e-5 * (1 + abs(x)) GROUP BY 1
     """,
+    "items_exact": _ITEM_NEAREST,
+    "item_copies": _COPIES,
+    "item_cells_excluded": _EXCLUDED,
     "query_upper_bounds": f"""
         WITH {_CELLS}, held AS (SELECT pivot_id, d FROM (SELECT *, row_number() OVER (PARTITION BY pivot_id ORDER BY d, vec_id) AS r FROM cells WHERE is_database) WHERE r <= {K}),
         reach AS (SELECT dp.vec_id, CAST(dp.d AS DOUBLE) + CAST(held.d AS DOUBLE) AS u FROM dp JOIN held ON held.pivot_id = dp.pno WHERE dp.vec_id % 10 = 0)

@@ -48,6 +48,51 @@ def fixed_pivots(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return np.array([r.embedding for r in rows], np.float32)
 
 
+# --- vectors with structure: four measures of lineitem, brought to one scale ---------------
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are order, line and price in cents, which no two rows share."""
+    rows = table(spark, sf_dir, "lineitem")
+    key = F.struct(F.col("l_orderkey").cast("int").alias("five_minute_id"), F.col("l_linenumber").cast("int").alias("client_id"), F.round(F.col("l_extendedprice") * 100).cast("int").alias("server_id"))
+    vector = F.array(*[x.cast("float") for x in (F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10, F.col("l_tax") * 12.5)])
+    return rows.select(key.alias("key"), F.col("l_linenumber").cast("int").alias("classification"), vector.alias("vector"))
+
+
+def asked_items(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("key.five_minute_id") % 20 == 0)
+
+
+def item_pivots(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    rows = items(spark, sf_dir).where("key.five_minute_id < 300 and key.client_id = 1").orderBy("key").select("vector").collect()
+    return np.array([r.vector for r in rows], np.float32)
+
+
+def flat_items(found: DataFrame) -> DataFrame:
+    ids = [F.col(f"{side}_key.{part}").alias(f"{side}_{name}") for side in ("query", "db") for part, name in (("five_minute_id", "order"), ("client_id", "line"), ("server_id", "cents"))]
+    return found.select(*ids, "rank", F.round(F.col("distance").cast("double"), 5).alias("distance"))
+
+
+def item_join(spark: SparkSession, sf_dir: str, **options) -> PivotJoin:
+    s = items(spark, sf_dir)
+    config = {"pivot_count": 150, "static_count": 4, "groups": 8} | options
+    return PivotJoin(asked_items(s), s, K, PivotConfig(**config), item_pivots(spark, sf_dir))
+
+
+def _items(**options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: flat_items(item_join(spark, sf_dir, **options).result())
+
+
+def item_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects each group of the exact join gets by the lower bound, and how many of these the cut regions leave."""
+    of = lambda cut, name: item_join(spark, sf_dir, groups=4, cut_copies=cut).replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias(name))
+    return of(False, "by_bound").join(of(True, "by_region"), "group_id")
+
+
+def item_cells_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells each query's bound excludes, by differences of distances and by planes."""
+    found = item_join(spark, sf_dir).exclusions()
+    return found.select(F.col("query_key.five_minute_id").alias("query_order"), F.col("query_key.client_id").alias("query_line"), F.col("query_key.server_id").alias("query_cents"), "cells", "by_difference", "by_plane")
+
+
 # --- fixed parameters that the SQL twins share -------------------------------------------
 # The vectors have hardly nearer neighbours than others, so that an approximate search that
 # finds nine tenths of them has to look at most objects; the parameters are chosen for that.
@@ -318,6 +363,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_curve_z_only": knn_curve_z_only,
     "knn_curve_one_bucket": knn_curve_one_bucket,
     "knn_curve_buckets": knn_curve_buckets,
+    "items_exact": _items(),
+    "items_approx": _items(method="APPROX", max_rec_depth=8, filter_ratio=0.06),
+    "items_query_rep": _items(method="QUERY_REP", max_rec_depth=8, filter_ratio=0.06),
+    "items_eps_guaranteed": _items(method="EPSILON_GUARANTEED", epsilon=1.2),
+    "items_eps_approx": _items(method="EPSILON_APPROX", epsilon=1.2, max_rec_depth=8),
+    "item_copies": item_copies,
+    "item_cells_excluded": item_cells_excluded,
     "knn_lsh": knn_lsh,
     "knn_lsh_fitted": _joined("lsh", config=FITTED),
 }
