@@ -2,7 +2,9 @@
 
 A validated number, date, address or name of a mailbox is permuted within its own format by
 a keyed Feistel network: cards stay valid cards, dates stay dates, and equal values become
-equal pseudonyms in every document, so that they stay linked. Who has the key can invert it.
+equal pseudonyms in every document, so that they stay linked, and none stays as it is. Who
+has the key can invert it: where a value begins and ends follows from shapes, which
+pseudonyms keep, and not from digits.
 """
 
 from __future__ import annotations
@@ -10,16 +12,18 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Characters of a mailbox's name at most; of a longer run before an @ the last so many are one.
-MAILBOX = 64
+#: Characters that are permuted as one number; longer names take several.
+BLOCK = 64
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -44,14 +48,26 @@ class Feistel:
                 left, right = right, left ^ self._round(tweak, i, right, bits)
         return left << bits | right
 
+    def _image(self, x: int, n: int, bits: int, tweak: bytes, back: bool) -> int:
+        while True:
+            x = self._once(x, bits, tweak, back)
+            if x < n:
+                return x
+
     def permute(self, x: int, n: int, tweak: bytes, back: bool = False, valid: Callable[[int], bool] | None = None) -> int:
-        """The image of x in 0 .. n - 1; with ``valid``, of a valid x among the valid numbers."""
+        """The image of x in 0 .. n - 1; with ``valid``, of a valid x among the valid numbers.
+
+        A number becomes the next one, or the next valid one, in a secret order of all. So
+        none stays as it is, unless it is the only one.
+        """
         if n < 2:
             return x
         bits = max(1, -(-(n - 1).bit_length() // 2))
+        at = self._image(x, n, bits, tweak, False)
         while True:
-            x = self._once(x, bits, tweak, back)
-            if x < n and (valid is None or valid(x)):
+            at = (at + (-1 if back else 1)) % n
+            x = self._image(at, n, bits, tweak, True)
+            if valid is None or valid(x):
                 return x
 
 
@@ -65,28 +81,48 @@ def mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def _radix(c: str) -> tuple[str, int]:
-    for first, n in (("0", 10), ("a", 26), ("A", 26)):
-        if first <= c < chr(ord(first) + n):
-            return first, n
-    return c, 1
+_ASCII = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def permute_text(f: Feistel, text: str, tweak: bytes, back: bool = False) -> str:
-    """Digits become digits and letters letters of their case; other characters stay."""
-    digits = [_radix(c) for c in text]
-    n = x = 0
-    for c, (first, base) in zip(text, digits, strict=True):
-        x, n = x * base + ord(c) - ord(first), (n or 1) * base
-    shape = "".join(first for first, _ in digits).encode("utf-8")
+@lru_cache(maxsize=4_096)
+def alphabet(c: str) -> str:
+    """The characters that one becomes, itself among them.
+
+    For others than ASCII: the letters, or digits, of its 256 code points that have its
+    category and, like it or unlike it, are in Unicode's composed form.
+    """
+    for own in _ASCII:
+        if c in own:
+            return own
+    if c < "\x80" or not c.isalnum():
+        return c
+    like = lambda x: (x.isalnum(), unicodedata.category(x), unicodedata.normalize("NFC", x) == x)
+    first = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(max(first, 0x80), first + 256)) if like(x) == like(c))
+
+
+def _permute_block(f: Feistel, text: str, tweak: bytes, back: bool) -> str:
+    own = [alphabet(c) for c in text]
+    n, x = 1, 0
+    for c, letters in zip(text, own, strict=True):
+        x, n = x * len(letters) + letters.index(c), n * len(letters)
+    shape = "".join(letters[0] for letters in own).encode("utf-8", "surrogatepass")
     x = f.permute(x, n, tweak + b"|" + shape, back)
     out = []
-    for first, base in reversed(digits):
-        x, d = divmod(x, base)
-        out.append(chr(ord(first) + d))
+    for letters in reversed(own):
+        x, d = divmod(x, len(letters))
+        out.append(letters[d])
     return "".join(reversed(out))
 
 
+def permute_text(f: Feistel, text: str, tweak: bytes, back: bool = False) -> str:
+    """Digits become digits and letters letters of their case and script; other characters stay.
+
+    Texts longer than a block are permuted block by block, each by its place.
+    """
+    return "".join(_permute_block(f, text[at : at + BLOCK], tweak + (b"|%d" % at if at else b""), back) for at in range(0, len(text), BLOCK))
+
+
 def _refill(pattern: str, digits: str) -> str:
     """``pattern`` with its digits replaced in turn."""
     it = iter(digits)
@@ -114,7 +150,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     while at >= 0:
         if domain := _DOMAIN.match(text, at + 1):
             start = at
-            while start > max(free, at - MAILBOX) and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
+            while start > free and (text[start - 1].isalnum() or text[start - 1] in "_.%+-"):
                 start -= 1
             if start < at:
                 yield start, domain.end()
@@ -124,6 +160,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def _email(f: Feistel, m: str, back: bool) -> str | None:
     local, _, domain = m.rpartition("@")
+    if all(len(alphabet(c)) < 2 for c in local):
+        return None
     return f"{permute_text(f, local, b'email|' + domain.lower().encode(), back)}@{domain}"
 
 
@@ -151,21 +189,37 @@ def _groups(run: str) -> list[tuple[int, int]]:
 
 
 def _candidates(run: str, groups: list[tuple[int, int]], low: int, high: int) -> list[tuple]:
-    """The valid cards of whole groups that begin in groups low to high - 1: (order, first group, last group)."""
+    """The valid cards of whole groups that begin in groups low to high - 1: (order, first group, last group).
+
+    Sums of digits from the left, with every second one doubled, tell whether any stretch
+    ends in its check digit, so no stretch is read by itself.
+    """
+    digits = "".join(run[s:e] for s, e in groups)
+    ends, sums, same, parted = [0], ([0], [0]), [], [0] * len(groups)
+    for s, e in groups:
+        ends.append(ends[-1] + e - s)
+    for k, d in enumerate(digits):
+        v = ord(d) - 48
+        doubled = 2 * v - 9 * (v > 4)
+        sums[k % 2].append(sums[k % 2][-1] + v)  # digits at places of k's parity are as they are
+        sums[1 - k % 2].append(sums[1 - k % 2][-1] + doubled)
+        same.append(k if not k or d != digits[k - 1] else same[-1])  # where the stretch of one digit begins
+    between = [run[groups[g][1]] for g in range(len(groups) - 1)]
+    for g in range(1, len(between)):
+        parted[g] = parted[g - 1] if between[g] == between[g - 1] else g
     found = []
     for i in range(low, high):
-        n = 0
         for j in range(i, len(groups)):
-            n += groups[j][1] - groups[j][0]
-            if n > 19:
+            a, b = ends[i], ends[j + 1]
+            if b - a > 19:
                 break
-            if n >= 13:
-                whole = j - i + 1 == len(groups)
-                start, end = groups[i][0], groups[j][1]
+            own = sums[(b - 1) % 2]
+            if b - a < 13 or (own[b] - own[a]) % 10 or same[b - 1] <= a:
+                continue
+            whole = j - i + 1 == len(groups)
+            if whole or j - i < 2 or parted[j - 1] <= i:
                 usual = i == j or tuple(e - s for s, e in groups[i : j + 1]) in LAYOUTS
-                text = run[start:end]
-                if (whole or len(set(re.findall(r"\D", text))) < 2) and _is_card(re.sub(r"\D", "", text)):
-                    found.append(((not whole, not usual, -n, start), i, j))
+                found.append(((not whole, not usual, a - b, groups[i][0]), i, j))
     return found
 
 
@@ -288,10 +342,10 @@ def _shape(pattern: str) -> re.Pattern:
 # Of overlapping matches the kind listed first wins, then the earlier.
 KINDS = (
     Kind("email", _DOMAIN, "@", _email, _emails),
-    Kind("iban", _shape(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), "", _iban),
-    Kind("card", _shape(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-])"), "", parts=_cards),
+    Kind("iban", _shape(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]|[./-]\d)"), "", _iban),
+    Kind("card", _shape(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?![\w-]|\.\d)"), "", parts=_cards),
     Kind("ssn", _shape(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), "-", _ssn),
-    Kind("phone", _shape(rf"(?<![\w+]){_PHONE}(?!\w)|(?<![\w+])\+[1-9](?:(?: ?\(|[ .-])?\d\)?){{7,14}}(?!\w)"), "", _phone),
+    Kind("phone", _shape(rf"(?<![\w+])(?<!\d\.){_PHONE}(?!\w)|(?<![\w+])\+[1-9](?:(?: ?\(|[ .-])?\d\)?){{7,14}}(?!\w|\.\d)"), "", _phone),
     Kind("date", _shape(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\w/-])"), "", _date),
     Kind("ip", _shape(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), ".", _ip),
 )
@@ -307,12 +361,19 @@ def spans(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str
         if kind.needs not in text:
             continue
         taken, at, more = found, 0, []  # both in order, so one walk finds the overlaps
+        # what has the shape of another number, whatever its digits, is so in the text of pseudonyms too
+        shapes, seen = sorted(x.span() for k in KINDS if k.name in ("iban", "ssn", "phone", "date") for x in k.pattern.finditer(text)) if kind.parts else [], 0
         for first, end in kind.find(text) if kind.find else (m.span() for m in kind.pattern.finditer(text)):
             while at < len(taken) and taken[at][1] <= first:
                 at += 1
             if kind.parts:
-                # what is left of the match between those that were taken and what has the shape of another number
-                held = [x.span() for k in KINDS if k.name in ("ssn", "phone", "date") for x in k.pattern.finditer(text, max(0, first - 1), end)]
+                # what is left of the match between those that were taken and those shapes
+                while seen < len(shapes) and max(shapes[seen]) <= first:
+                    seen += 1
+                held, k = [], seen
+                while k < len(shapes) and shapes[k][0] < end:
+                    held.append(shapes[k])
+                    k += 1
                 k = at
                 while k < len(taken) and taken[k][0] < end:
                     held.append(taken[k][:2])
