@@ -1,8 +1,10 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
 
+from simjoin.llm import common
 from simjoin.llm import suffix_dedup as sd
 from tests.llm.conftest import docs_of
 
@@ -69,3 +71,13 @@ def test_odd_rows(spark, odd, none):
     assert sd.removed(none).count() == 0
     twice = docs_of(spark, (9, "q" * 50 + "r" * 60), (9, "q" * 50 + "r" * 60), (None, "q" * 50 + "r" * 60))
     assert sorted(r.n_removed for r in sd.removed(twice).collect()) == [0, 110, 110]
+
+
+def test_rows_of_an_rdd_are_stored(spark, monkeypatch):
+    """An RDD may give its rows in another order each time it is read."""
+    made = []
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append(name) or df)
+    shuffled = spark.sparkContext.parallelize(range(100), 3).mapPartitions(lambda rows: sorted(rows, key=lambda _: random.random())).map(lambda i: (i, str(i)))
+    common.steady(shuffled.toDF("doc_id long, text string"), "rdd")
+    common.steady(spark.range(5).selectExpr("id as doc_id", "'x' as text"), "range")
+    assert made == ["rdd"]
