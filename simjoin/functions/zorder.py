@@ -28,11 +28,6 @@ def decode(z: list[bytes], dim: int) -> np.ndarray:
     return np.packbits(planes, axis=2).reshape(len(z), dim, 4).copy().view(">u4").reshape(len(z), dim).astype(np.int64)
 
 
-@F.pandas_udf(T.BinaryType())
-def zvalue(coords: pd.Series) -> pd.Series:
-    return pd.Series(encode(np.stack(coords.to_numpy()).astype(np.int64)) if len(coords) else [])
-
-
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def coordinates(z: pd.Series) -> pd.Series:
     return pd.Series([decode([v], len(v) // 4)[0].astype(np.int32) for v in z])

@@ -1,25 +1,26 @@
-"""The join over shifted Z-order curves."""
+"""The join over shifted space-filling curves."""
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simjoin.functions import zorder
+from simjoin.functions import hilbert, zorder
 from simjoin.functions.metric import L2, L2Quantized, beside
+from simjoin.functions.quantiles import at_ranks, rank_error, ranks_of, sketches
 from simjoin.operators.topk import best, crowded, plain_search, searched
 from simjoin.plans.config import CurveConfig
 
-#: Sampled objects of each side and partition that boundaries are taken from, at most.
-SAMPLED = 1_000
-#: Sampled objects for each range of the window search.
+#: Size of a sketch for each range: ranges are off by about a seventh of their size.
 PER_RANGE = 20
 
 
@@ -29,36 +30,61 @@ def bounds_of(objects: DataFrame) -> tuple[float, float, int]:
     return (r[0] or 0.0, r[1] or 0.0, r[2] or 0)
 
 
-def on_curves(objects: DataFrame, shifts: list[list[int]], scale: float, low: float) -> DataFrame:
+class Curve(Protocol):
+    """An order of the cells of space, as binary values of one width that compare like it."""
+
+    def encode(self, coords: np.ndarray) -> list[bytes]: ...
+
+    def decode(self, values: list[bytes], dim: int) -> np.ndarray: ...
+
+
+#: The orders that a join may use. Both cut space into the same cells, so ranges and windows are made alike.
+CURVES: dict[str, Curve] = {"z": zorder, "hilbert": hilbert}
+
+
+def place(coords: Column, curve: str = "z") -> Column:
+    """The value of whole coordinates on a curve."""
+    if curve not in CURVES:
+        raise ValueError(f"curve must be one of {tuple(CURVES)}")
+    encode = CURVES[curve].encode
+
+    @F.pandas_udf("binary")
+    def value(rows: pd.Series) -> pd.Series:
+        return pd.Series(encode(np.stack(rows.to_numpy()).astype(np.int64)) if len(rows) else [])
+
+    return value(coords)
+
+
+def on_curves(objects: DataFrame, shifts: list[list[int]], scale: float, low: float, curve: str = "z") -> DataFrame:
     """A row for each object and shift: (shift, key, z, coords)."""
     copies = F.array(*[F.struct(F.lit(i).alias("shift"), zorder.quantized(F.col("vector"), scale, low, s).alias("coords")) for i, s in enumerate(shifts)])
     rows = objects.select("key", F.inline(copies))
-    return rows.select("shift", "key", zorder.zvalue("coords").alias("z"), "coords")
+    return rows.select("shift", "key", place(F.col("coords"), curve).alias("z"), "coords")
 
 
-def boundary(sample: list[bytes], share: float) -> bytes:
-    """The sampled value whose rank is nearest to that share of the sample."""
-    return sample[min(len(sample) - 1, max(0, round(share * len(sample)) - 1))]
+Sketched = tuple[np.ndarray, np.ndarray]
 
 
-def ranges(q: list[bytes], s: list[bytes], n: int, margin: int, dim: int) -> list[tuple[bytes, bytes, bytes, bytes]]:
-    """(start, end) of n disjoint query ranges and of the database ranges around them.
+def boundaries(sketch: Sketched, n: int) -> np.ndarray:
+    """The distinct places that cut a curve into n ranges of equal numbers of objects; fewer where many are at one place."""
+    values, upto = sketch
+    if not len(values) or n < 2:
+        return np.empty(0, object)
+    return np.unique(at_ranks(values, upto, upto[-1] * np.arange(1, n) / n))
 
-    From sorted samples: query ranges end at quantiles; a database range goes on for
-    ``margin`` sampled objects at either end.
-    """
-    out, start = [], zorder.least(dim)
-    for i in range(1, n + 1):
-        end = zorder.greatest(dim) if i == n or not q else boundary(q, i / n)
-        low, high = bisect_left(s, start) - margin, bisect_left(s, end) + margin
-        db_start = zorder.least(dim) if low <= 0 or not s else s[low]
-        db_end = zorder.greatest(dim) if high >= len(s) or not s else s[high]
-        if start <= end:
-            out.append((start, end, db_start, db_end))
-        if end == zorder.greatest(dim):
-            break
-        start = (int.from_bytes(end, "big") + 1).to_bytes(len(end), "big")
-    return out
+
+def ranges(q: Sketched, s: Sketched, n: int, margin: float, dim: int) -> list[tuple[bytes, bytes, bytes, bytes]]:
+    """(start, end) of n disjoint query ranges, and of the database ranges that go on for ``margin`` objects at either end."""
+    cuts = [bytes(z) for z in boundaries(q, n)]
+    ends = [z for z in cuts if z < zorder.greatest(dim)] + [zorder.greatest(dim)]
+    starts = [zorder.least(dim), *[(int.from_bytes(z, "big") + 1).to_bytes(len(z), "big") for z in ends[:-1]]]
+    values, upto = s
+    if not len(values):
+        return [(a, b, zorder.least(dim), zorder.greatest(dim)) for a, b in zip(starts, ends, strict=True)]
+    first, last = (ranks_of(values, upto, np.array([*edges, None], object)[:-1]) for edges in (starts, ends))
+    low = [z if inside else zorder.least(dim) for z, inside in zip(at_ranks(values, upto, first - margin), first - margin >= 1, strict=True)]
+    high = [z if inside else zorder.greatest(dim) for z, inside in zip(at_ranks(values, upto, last + margin), last + margin < upto[-1], strict=True)]
+    return list(zip(starts, ends, low, high, strict=True))
 
 
 def range_frame(spark: SparkSession, found: dict[int, list[tuple[bytes, bytes, bytes, bytes]]]) -> DataFrame:
@@ -67,21 +93,27 @@ def range_frame(spark: SparkSession, found: dict[int, list[tuple[bytes, bytes, b
     return spark.createDataFrame(edges, "shift int, part int, q_start binary, q_end binary, s_start binary, s_end binary")
 
 
-def sampled_ranges(q: DataFrame, s: DataFrame, k: int, config: CurveConfig, dim: int) -> dict[int, list[tuple[bytes, bytes, bytes, bytes]]]:
-    """The ranges of each shift, from samples of bounded size."""
-    most = SAMPLED * config.partitions * config.shifts
+def ranges_for(objects: int, config: CurveConfig) -> int:
+    """How many ranges a curve of so many objects is cut into."""
+    return max(config.partitions, -(-objects // config.range_objects))
+
 
-    def sample(df: DataFrame) -> tuple[dict[int, list[bytes]], float]:
-        n = max(1, df.where("shift = 0").count())
-        rate = min(1.0, max(config.sampling_rate, 50 * config.partitions / n), most / config.shifts / n)
-        rows = df.where(F.pmod(F.xxhash64("key", F.lit(config.seed)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("shift", "z").limit(2 * most).collect()
-        found: dict[int, list[bytes]] = {}
-        for shift, z in rows:
-            found.setdefault(shift, []).append(bytes(z))
-        return {shift: sorted(v) for shift, v in found.items()}, rate
+def sketched_ranges(q: DataFrame, s: DataFrame, k: int, config: CurveConfig, dim: int) -> dict[int, list[tuple[bytes, bytes, bytes, bytes]]]:
+    """The ranges of each shift, from sketches of both sides.
 
-    (qs, _), (ss, s_rate) = sample(q), sample(s)
-    return {shift: ranges(qs.get(shift, []), ss.get(shift, []), config.partitions, math.ceil(k * s_rate), dim) for shift in range(config.shifts)}
+    A range of the database goes on by k objects at either end, and by as many more as the
+    sketch may err.
+    """
+    n = ranges_for(s.where("shift = 0").count(), config)
+    size = PER_RANGE * n
+    qs, ss = (sketches(df, "shift", "z", size, config.seed) for df in (q, s))
+    none = (np.empty(0, object), np.empty(0, np.int64))
+    out = {}
+    for shift in range(config.shifts):
+        own = ss.get(shift, none)
+        total = own[1][-1] if len(own[1]) else 0
+        out[shift] = ranges(qs.get(shift, none), own, n, k + math.ceil(rank_error(size) * total), dim)
+    return out
 
 
 def partitioned(q: DataFrame, s: DataFrame, found: dict[int, list[tuple[bytes, bytes, bytes, bytes]]]) -> tuple[DataFrame, DataFrame]:
@@ -92,16 +124,12 @@ def partitioned(q: DataFrame, s: DataFrame, found: dict[int, list[tuple[bytes, b
 
 
 def cuts(s: DataFrame, config: CurveConfig) -> dict[int, list[bytes]]:
-    """Where each curve is cut, from a sample: into ``partitions`` ranges or more, of ``range_objects`` objects."""
+    """Where each curve is cut, from a sketch: into ``partitions`` ranges or more, of about ``range_objects`` objects."""
     size = {r[0]: r[1] for r in s.groupBy("shift").count().collect()}
-    n = max(config.partitions, -(-max(size.values(), default=0) // config.range_objects))
-    rate = min(1.0, PER_RANGE * n / max(1, max(size.values(), default=0)))
+    n = ranges_for(max(size.values(), default=0), config)
     if n <= 1:
         return {shift: [] for shift in size}
-    found: dict[int, list[bytes]] = {shift: [] for shift in size}
-    for shift, z in s.where(F.pmod(F.xxhash64("key", F.lit(config.seed)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("shift", "z").collect():
-        found[shift].append(bytes(z))
-    return {shift: sorted({boundary(sorted(z), i / n) for i in range(1, n)}) if z else [] for shift, z in found.items()}
+    return {shift: [bytes(z) for z in boundaries(found, n)] for shift, found in sketches(s, "shift", "z", PER_RANGE * n, config.seed).items()}
 
 
 def _ranged(line: DataFrame, found: dict[int, list[bytes]]) -> DataFrame:
@@ -192,10 +220,10 @@ def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConf
     if config.scale * (high - low) + config.range >= 2**31:
         raise ValueError("scale x spread + range must stay below 2**31")
     shifts = shifts or zorder.shifts(dim, config.shifts, config.range, config.seed)
-    q, s = on_curves(queries, shifts, config.scale, low).drop("coords"), on_curves(database, shifts, config.scale, low).drop("coords")
+    q, s = (on_curves(df, shifts, config.scale, low, config.curve).drop("coords") for df in (queries, database))
     if config.entire_buckets and not config.only_zorder:
         whole = {i: [(zorder.least(dim), zorder.greatest(dim)) * 2] for i in range(len(shifts))}
-        q, s = partitioned(q, s, edges or (whole if config.partitions <= 1 else sampled_ranges(q, s, k, config, dim)))
+        q, s = partitioned(q, s, edges or (whole if config.partitions <= 1 else sketched_ranges(q, s, k, config, dim)))
         g = F.concat_ws(":", "shift", "part")
         q, s = (a.select("key", g.alias("g")).join(b.select("key", "classification", "vector"), "key") for a, b in ((q, queries), (s, database)))
         return best(searched(q, s, plain_search(k), shares=crowded(q, s)), k)

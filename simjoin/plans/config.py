@@ -32,14 +32,14 @@ class PivotConfig:
 
 @dataclass(frozen=True)
 class CurveConfig:
+    curve: str = "z"  # or "hilbert"
     shifts: int = 2
     range: int = 500_000_000
     scale: float = 1e9
-    sampling_rate: float = 0.001
     entire_buckets: bool = True
     only_zorder: bool = False
-    partitions: int = 10  # of each shift; of a window search at least
-    range_objects: int = 1_000_000  # of a window search; more objects make more ranges
+    partitions: int = 10  # of each shift, at least
+    range_objects: int = 1_000_000  # more objects make more ranges
     reach: int = 1  # a window search meets this many times k objects on either side
     seed: int = 937
 

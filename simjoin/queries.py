@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simjoin.functions import hashing, zorder
+from simjoin.functions import hashing, hilbert, zorder
 from simjoin.functions.metric import L2, l2_sparse
 from simjoin.operators import curve, evaluate, kmeans, lsh, pivots, profile
 from simjoin.operators.naive import knn_naive
@@ -103,6 +104,8 @@ CUTS = (120, 240, 360)
 _RNG = np.random.default_rng(100)
 TABLES = hashing.Tables(_RNG.standard_normal((4, 3, 64)).round(3), _RNG.uniform(0, 12, (4, 3)).round(3), 34.0, _RNG.uniform(-0.01, 0.01, 64).round(4), _RNG.uniform(0.11, 0.14, 64).round(4))
 FITTED = LshConfig(tables=6, functions=3, w=26.0, multiplier=1)
+#: The same number of functions, those of twice as many that spread half of the vectors most.
+SELECTED = LshConfig(tables=6, functions=3, w=34.0, multiplier=2)
 CENTROIDS = _RNG.uniform([1, 1000, 0, 0], [50, 90000, 0.1, 0.08], (6, 4)).round(3)
 
 
@@ -145,6 +148,32 @@ def knn_curve_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(curve.knn_curve(asked(s), s, K, config, shifts, edges))
 
 
+def knn_curve_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges from sketches of both sides, as wide as it takes to hold k objects beyond either end and what a sketch may err."""
+    s = objects(spark, sf_dir)
+    return flat(curve.knn_curve(asked(s), s, K, CurveConfig(shifts=10, range=RANGE, scale=SCALE, partitions=3), SHIFTS))
+
+
+def knn_curve_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window search along Hilbert curves."""
+    s = objects(spark, sf_dir)
+    return flat(curve.knn_curve(asked(s), s, K, CurveConfig(**(CURVE.__dict__ | {"curve": "hilbert"})), SHIFTS))
+
+
+def hilbert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on the Hilbert curve, and the coordinates that they lead back to."""
+    s = objects(spark, sf_dir)
+    low, _, dim = curve.bounds_of(s)
+    rows = curve.on_curves(s, SHIFTS[:2], SCALE, low, "hilbert")
+
+    @F.pandas_udf("array<long>")
+    def back(index: pd.Series) -> pd.Series:
+        return pd.Series(list(hilbert.decode([bytes(z) for z in index], dim)) if len(index) else [])
+
+    told = F.concat_ws(",", F.transform(back("z"), lambda c: c.cast("string")))
+    return rows.select(F.col("key.client_id").cast("long").alias("vec_id"), "shift", F.md5(F.lower(F.hex("z")).cast("binary")).alias("index_md5"), F.md5(told.cast("binary")).alias("coords_md5"))
+
+
 def knn_curve_one_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = objects(spark, sf_dir)
     return flat(curve.knn_curve(asked(s), s, K, CurveConfig(**(CURVE.__dict__ | {"entire_buckets": True, "partitions": 1})), SHIFTS))
@@ -338,6 +367,12 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("seconds").withColumn("value", F.round("value", 4))
 
 
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths and ratios at which the approximate methods are approximate; without the times."""
+    s = objects(spark, sf_dir)
+    return sweep(asked(s), s, SweepConfig((30,), (5,), (4,), (1, 3), (0.2, 0.5), ("EXACT", "APPROX", "QUERY_REP"))).drop("seconds")
+
+
 def replications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counters of one exact and one heuristic run."""
     s, rows = objects(spark, sf_dir), []
@@ -363,6 +398,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_curve_z_only": knn_curve_z_only,
     "knn_curve_one_bucket": knn_curve_one_bucket,
     "knn_curve_buckets": knn_curve_buckets,
+    "knn_curve_sketched": knn_curve_sketched,
+    "knn_curve_hilbert": knn_curve_hilbert,
+    "hilbert_values": hilbert_values,
     "items_exact": _items(),
     "items_approx": _items(method="APPROX", max_rec_depth=8, filter_ratio=0.06),
     "items_query_rep": _items(method="QUERY_REP", max_rec_depth=8, filter_ratio=0.06),
@@ -372,5 +410,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "item_cells_excluded": item_cells_excluded,
     "knn_lsh": knn_lsh,
     "knn_lsh_fitted": _joined("lsh", config=FITTED),
+    "knn_lsh_selected": _joined("lsh", config=SELECTED),
 }
-QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, pivot_copies, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, replications)}
+QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, pivot_copies, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, sweep_grid, replications)}

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from simjoin.functions import hashing, zorder
+from simjoin.functions import hashing, hilbert, quantiles, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
 from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, topk
 from simjoin.operators.pivot_join import PivotJoin
@@ -344,9 +344,9 @@ def test_zorder_inverse_and_order(seed, dim):
 def test_curve_joins(spark):
     q, s = data(10, 20, 3), data(11, 150, 3)
     want, fq, fs = brute(q, s, 4), frame(spark, q), frame(spark, s)
-    base = dict(shifts=3, range=1000, scale=1000.0, sampling_rate=0.5)
+    base = dict(shifts=3, range=1000, scale=1000.0)
     assert lists(knn_join(fq, fs, 4, "curve", CurveConfig(**base, partitions=1))) == want
-    for more in (dict(partitions=3), dict(partitions=3, entire_buckets=False), dict(partitions=1, entire_buckets=False), dict(partitions=2, entire_buckets=False, only_zorder=True)):
+    for more in (dict(partitions=3), dict(partitions=3, entire_buckets=False), dict(partitions=1, entire_buckets=False), dict(partitions=2, entire_buckets=False, only_zorder=True), dict(partitions=3, curve="hilbert"), dict(partitions=2, entire_buckets=False, curve="hilbert")):
         got = lists(knn_join(fq, fs, 4, "curve", CurveConfig(**base | more)))
         assert set(got) == set(want)
         assert np.mean([len({k for _, k in got[i]} & {k for _, k in want[i]}) / 4 for i in want]) > 0.5
@@ -365,13 +365,47 @@ def test_windows_do_not_depend_on_ranges(spark):
     assert wide == brute(q, s, 4)
 
 
-def test_sampled_ranges(spark):
-    sample = [bytes([i]) for i in range(1, 101)]
-    assert [curve.boundary(sample, x)[0] for x in (0.0, 0.25, 0.5, 1.0)] == [1, 25, 50, 100]
-    found = curve.ranges([b"\x10\0\0\0", b"\x20\0\0\0", b"\x30\0\0\0"], [b"\x05\0\0\0", b"\x25\0\0\0"], 3, 0, 1)
-    assert [(a, b) for a, b, _, _ in found] == [(b"\0" * 4, b"\x10\0\0\0"), (b"\x10\0\0\1", b"\x20\0\0\0"), (b"\x20\0\0\1", b"\xff" * 4)]
+def test_ranges_of_sketches(spark):
+    values = np.empty(100, object)
+    values[:] = [bytes([0, 0, 0, i]) for i in range(1, 101)]
+    s = (values, np.arange(1, 101))
+    assert [z[3] for z in curve.boundaries(s, 4)] == [25, 50, 75]
+    found = curve.ranges(s, s, 4, 10, 1)
+    assert [(a[3], b[3]) for a, b, _, _ in found][1:3] == [(26, 50), (51, 75)] and found[0][0] == b"\0" * 4 and found[-1][1] == b"\xff" * 4
+    assert [(a[3], b[3]) for _, _, a, b in found][1:3] == [(15, 59), (40, 84)]
+    none = (np.empty(0, object), np.empty(0, int))
+    assert curve.ranges(none, none, 3, 5, 1) == [(b"\0" * 4, b"\xff" * 4) * 2]
     frame_ = curve.range_frame(spark, {0: found})
-    assert frame_.columns == ["shift", "part", "q_start", "q_end", "s_start", "s_end"] and frame_.count() == 3
+    assert frame_.columns == ["shift", "part", "q_start", "q_end", "s_start", "s_end"] and frame_.count() == 4
+
+
+@pytest.mark.parametrize("kind", ["even", "sorted", "skewed"])
+def test_sketches_merge_and_bound_ranks(spark, kind):
+    """Over many tasks, in any order, with half of the values in a thousandth of the space: ranges have the size they should have."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**40, 60_000) if kind != "skewed" else np.where(rng.random(60_000) < 0.5, rng.integers(0, 2**30, 60_000), rng.integers(0, 2**40, 60_000))
+    x = np.sort(x) if kind == "sorted" else x
+    df = spark.createDataFrame([(i % 2, int(v).to_bytes(8, "big")) for i, v in enumerate(x)], "shift int, z binary").repartitionByRange(16, "z")
+    for shift, (values, upto) in quantiles.sketches(df, "shift", "z", 200).items():
+        own = np.sort(x[shift::2])
+        assert upto[-1] == len(own) and len(values) < 5 * 200
+        cuts = np.array([int.from_bytes(z, "big") for z in curve.boundaries((values, upto), 10)])
+        sizes = np.diff(np.concatenate([[0], np.searchsorted(own, cuts, "right"), [len(own)]]))
+        assert len(cuts) == 9 and sizes.max() <= len(own) * (0.1 + 2 * quantiles.rank_error(200))
+        assert quantiles.ranks_of(values, upto, np.array([bytes(values[0]), None], object)[:-1])[0] == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 6))
+def test_hilbert_curve(seed, dim):
+    """Back again, and one step along the curve is one step in space; small cubes in the order of a plain version."""
+    c = np.random.default_rng(seed).integers(0, 2**32, (6, dim))
+    index = hilbert.encode(c)
+    assert (hilbert.decode(index, dim) == c).all()
+    after = [(int.from_bytes(z, "big") + 1).to_bytes(len(z), "big") for z in index if z != b"\xff" * len(z)]
+    assert (np.abs(hilbert.decode(after, dim) - c[: len(after)]).sum(1) == 1).all()
+    cube = np.stack(np.meshgrid(*[np.arange(2)] * dim, indexing="ij"), -1).reshape(-1, dim)
+    assert sorted(int.from_bytes(z, "big") for z in hilbert.encode(cube)) == list(range(2**dim))
 
 
 def test_curve_window_with_few_objects(spark):

@@ -41,3 +41,11 @@ def test_against_sql(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_hilbert_values(spark):
+    """The indices lead back to the coordinates that Z-values are made of, and differ for different coordinates."""
+    pick = lambda name: {(r.vec_id, r["shift"]): r for r in QUERIES[name](spark, DATA).where("shift < 2").collect()}
+    z, h = pick("zorder_values"), pick("hilbert_values")
+    assert {k: r.coords_md5 for k, r in z.items()} == {k: r.coords_md5 for k, r in h.items()}
+    assert len({(r["shift"], r.index_md5) for r in h.values()}) == len({(r["shift"], r.coords_md5) for r in h.values()})

@@ -10,7 +10,7 @@ from simjoin.queries import QUERIES, K, asked_items, item_join, items
 
 DATA = os.environ.get("SIMJOIN_RECALL_DATA", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not Path(DATA).is_dir(), reason="no test tables")
-APPROXIMATE = ("knn_pivot_approx", "knn_query_rep", "knn_eps_guaranteed", "knn_eps_approx", "knn_curve_window", "knn_curve_z_only", "knn_curve_buckets", "knn_lsh", "knn_lsh_fitted")
+APPROXIMATE = ("knn_pivot_approx", "knn_query_rep", "knn_eps_guaranteed", "knn_eps_approx", "knn_curve_window", "knn_curve_z_only", "knn_curve_buckets", "knn_curve_sketched", "knn_curve_hilbert", "knn_lsh", "knn_lsh_fitted", "knn_lsh_selected")
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +42,16 @@ def test_pruning_on_vectors_with_structure(spark, exact_items, options):
 def exact_items(spark):
     s = items(spark, DATA)
     return {(r.query_key, r.db_key) for r in knn_naive(asked_items(s), s, K).collect()}
+
+
+def test_sweep_grid(spark):
+    """The exact rows are right, no approximation is nearer, and one that visits more is no farther."""
+    rows = QUERIES["sweep_grid"](spark, DATA).collect()
+    kth = [r.distance for r in QUERIES["knn_naive"](spark, DATA).where("rank = 5").collect()]
+    exact = {"AVG": sum(kth) / len(kth), "MAX": max(kth)}
+    assert len(rows) == 3 * 2 * 2 * 2
+    found = {(r.stat, r.method, r.max_rec_depth, r.filter_ratio): r.value for r in rows}
+    for (stat, method, depth, ratio), value in found.items():
+        assert value == pytest.approx(exact[stat], abs=1e-4) if method == "EXACT" else value >= exact[stat] - 1e-4
+        assert found[stat, method, depth, 0.5] <= found[stat, method, depth, 0.2] + 1e-6
+    assert any(value > exact[stat] + 1e-3 for (stat, method, *_), value in found.items() if method != "EXACT")
