@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simjoin.functions.metric import Metric
-from simjoin.operators.topk import QUERIES, best, partitions, plain_search, searched
+from simjoin.operators.topk import QUERIES, Search, best, partitions, plain_search, searched
 
 #: Objects of a block of the database.
 BLOCK = 50_000
 
 
-def knn_naive(queries: DataFrame, database: DataFrame, k: int, metric: Metric | None = None, block: int = BLOCK) -> DataFrame:
-    """The k nearest objects of each query; both sides have key, classification, vector.
+def joined_by_blocks(queries: DataFrame, database: DataFrame, k: int, search: Search, block: int = BLOCK) -> DataFrame:
+    """Each query meets each block of the database, by ``search``, and the blocks' lists are merged.
 
     The database is dealt to blocks by a hash of the key, and each query goes to every
-    block; a block returns its k nearest for each query, and the lists are merged. Query
-    keys are unique. Nothing is broadcast, and each object moves ``ways`` times, the number
-    of query blocks.
+    block; a block returns its k nearest for each query. Query keys are unique. Nothing is
+    broadcast, and each object moves ``ways`` times, the number of query blocks.
     """
     n_db, n_q = database.count(), queries.count()
     blocks = max(1, -(-n_db // block), min(partitions(database), n_db // 1_000))
@@ -26,4 +25,9 @@ def knn_naive(queries: DataFrame, database: DataFrame, k: int, metric: Metric |
     database = database.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("string"))
     queries = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>")))
     shares = None if ways is None else F.broadcast(queries.sparkSession.range(blocks).select(F.col("id").cast("string").alias("g"), F.lit(ways).alias("ways"), F.lit(1).alias("parts")))
-    return best(searched(queries, database, plain_search(k, metric), shares=shares), k, repeated=False)
+    return best(searched(queries, database, search, shares=shares), k, repeated=False)
+
+
+def knn_naive(queries: DataFrame, database: DataFrame, k: int, metric: Metric | None = None, block: int = BLOCK) -> DataFrame:
+    """The k nearest objects of each query; both sides have key, classification, vector."""
+    return joined_by_blocks(queries, database, k, plain_search(k, metric), block)

@@ -290,6 +290,7 @@ ORACLES: dict[str, str] = {
         WITH {_WHOLE} SELECT a.vec_id, round(CAST(CAST(sqrt(list_sum(list_transform(list_zip(a.v, o.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS FLOAT) AS DOUBLE), 5) AS distance
         FROM rec a, rec o WHERE o.vec_id = 0
     """,
+    "knn_sparse": f"WITH {_WHOLE} {_nearest('SELECT q.vec_id AS query_id, q.label AS query_class, s.vec_id AS db_id, s.label AS db_class, CAST(sqrt(list_sum(list_transform(list_zip(q.v, s.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS FLOAT) AS d FROM rec q, rec s WHERE q.vec_id % 10 = 0')}",
     "knn_text_format": f"SELECT query_id, query_class, rank, db_id, CAST(rank AS DOUBLE) AS distance, db_class FROM ({_nearest(_pairs(), 4)})",
     "duplicate_vectors": """
         SELECT s.n AS db_count, q.n AS query_count, vector

@@ -324,6 +324,14 @@ def sparse_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("key.client_id").cast("long").alias("vec_id"), F.round(l2_sparse(F.col("r"), F.col("o")).cast("double"), 5).alias("distance"))
 
 
+def knn_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as they are, of two defaults: the queries' unnamed bins are 1, the database's 0, on values one higher."""
+    s = objects(spark, sf_dir)
+    whole = F.transform("vector", lambda v: (F.round(v.cast("double") * 10) + 1).cast("float"))
+    rows = s.select("key", "classification", whole.alias("vector"))
+    return flat(knn_join(features.sparse(asked(rows), 1.0), features.sparse(rows, 0.0), K, "sparse"))
+
+
 def knn_text_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbour lists of whole-number distances, written as lines and read again."""
     s = objects(spark, sf_dir)
@@ -412,4 +420,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_lsh_fitted": _joined("lsh", config=FITTED),
     "knn_lsh_selected": _joined("lsh", config=SELECTED),
 }
-QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, pivot_copies, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, sweep_grid, replications)}
+QUERIES |= {f.__name__: f for f in (zorder_values, lsh_signatures, dimension_stats, nearest_pivots, voronoi_stats, cut_regions, reverse_nearest_pivots, query_upper_bounds, static_pivots, eps_guarantee, approx_bounds, cell_groups, pivot_copies, precision_eval, eval_set_relations, kth_distance_stats, distance_histogram, value_histogram, min_max, sub_dimensions, feature_text_roundtrip, dense_vectors, sparse_distances, knn_sparse, knn_text_format, duplicate_vectors, assign_centroid, bow_histogram, kmeans_cost, kmeans_train, parameter_sweep, sweep_grid, replications)}

@@ -40,13 +40,34 @@ def without_prefix(line: Column) -> Column:
     return F.when(F.instr(line, ",") > 1, F.substring(line, F.instr(line, ",") + 1, F.length(line))).otherwise(line)
 
 
+#: What a record looks like: a key, a class, a default, and bins with their values.
+RECORD = r"^\s*\d+(_\d+){0,2};-?\d+;[^;:]+(;\d+:[^;:]+)*;?\s*$"
+
+
+def checked(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """The records of those lines that are well formed, and the other lines (``line``), without blank ones.
+
+    A line is well formed if it has the shape of a record and all its numbers are numbers
+    that fit. Both read the lines, so keep them stored where they come from.
+    """
+    line, parts = without_prefix(F.col(column)), F.split(without_prefix(F.col(column)), ";")
+    bins = F.filter(F.slice(parts, 4, 1 << 30), lambda b: F.length(F.trim(b)) > 0)
+    number = lambda x: F.trim(x).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    whole = lambda x: F.length(F.regexp_replace(F.trim(x), "^-?0*", "")) <= 9
+    keys = F.forall(F.split(F.get(parts, F.lit(0)), "_"), whole)
+    good = line.rlike(RECORD) & keys & whole(F.get(parts, F.lit(1))) & number(F.get(parts, F.lit(2))) & F.forall(bins, lambda b: whole(F.split_part(b, F.lit(":"), F.lit(1))) & number(F.split_part(b, F.lit(":"), F.lit(2))))
+    rows = lines.where(F.length(F.trim(F.col(column))) > 0)
+    good = F.coalesce(good, F.lit(False))
+    return parse(rows.where(good), column), rows.where(~good).select(F.col(column).alias("line"))
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Records of text lines; blank lines are left out, a malformed one is an error."""
+    """Records of text lines; blank lines are left out, a malformed one is an error (``checked`` sets them aside)."""
     line = without_prefix(F.col(column))
     parts = F.split(line, ";")
-    ok = line.rlike(r"^\s*\d+(_\d+){0,2};-?\d+;[^;:]+(;\d+:[^;:]+)*;?\s*$")
+    ok = line.rlike(RECORD)
     checked = F.when(ok, parts).otherwise(F.raise_error(F.concat(F.lit("malformed feature record: "), line)).cast("array<string>"))
-    bins = F.filter(F.slice(F.col("p"), 4, 1 << 30), lambda b: F.length(b) > 0)
+    bins = F.filter(F.slice(F.col("p"), 4, 1 << 30), lambda b: F.length(F.trim(b)) > 0)
     rows = lines.where(F.length(F.trim(F.col(column))) > 0).select(checked.alias("p")).withColumn("b", bins)
     pick = lambda i, kind: F.transform("b", lambda x: F.trim(F.split(x, ":")[i]).cast(kind))
     return rows.select(parse_key(F.trim(F.col("p")[0])).alias("key"), F.col("p")[1].cast("int").alias("classification"), F.col("p")[2].cast("float").alias("other"), pick(0, "int").alias("bin_keys"), pick(1, "float").alias("bin_values"))
@@ -68,7 +89,8 @@ def write(features: DataFrame, path: str) -> None:
 
 def dimension(features: DataFrame) -> int:
     """The last named bin of any record plus one."""
-    return (features.agg(F.max(F.array_max("bin_keys"))).first()[0] or -1) + 1
+    last = features.agg(F.max(F.array_max("bin_keys"))).first()[0]
+    return 0 if last is None else last + 1
 
 
 def dense(features: DataFrame, dim: int | None = None) -> DataFrame:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from simjoin.functions import hashing, hilbert, quantiles, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
-from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, topk
+from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, sparse, topk
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import CurveConfig, LshConfig, PivotConfig
 from simjoin.plans.knn import knn_join
 from simjoin.plans.metrics import measured
 from simjoin.plans.sweep import SweepConfig, append_csv, sweep
+from simjoin.sources import features
 
 TYPE = "key long, classification int, vector array<float>"
 
@@ -56,6 +57,41 @@ def test_sparse_metric(spark):
         d((1.0, [1], [1.0]), (0.0, [2], [0.0]))
 
 
+RECORDS = "key long, classification int, other float, bin_keys array<int>, bin_values array<float>"
+
+
+def records(rng, n, dim, defaults, start=0):
+    """Records that name some bins and always the last one."""
+    out = []
+    for i in range(n):
+        bins = sorted({*rng.choice(dim, rng.integers(0, dim), replace=False).tolist(), dim - 1})
+        out.append((start + i, i % 3, float(rng.choice(defaults)), bins, [float(x) for x in rng.integers(0, 4, len(bins))]))
+    return out
+
+
+@pytest.mark.parametrize("defaults", [[0.0], [0.0, 0.5, 2.0]])
+def test_sparse_join(spark, defaults, monkeypatch):
+    """Against the dense join of the same records, in small batches, with ties, records without other bins and a huge dimension."""
+    rng = np.random.default_rng(len(defaults))
+    q, s = (spark.createDataFrame(records(rng, n, 23, defaults), RECORDS) for n in (40, 300))
+    monkeypatch.setattr(sparse, "PAIRS", 900)
+    dense_lists = lists(knn_join(features.dense(q, 23), features.dense(s, 23), 6, "naive"))
+    assert lists(knn_join(q, s, 6, "sparse")) == dense_lists
+    both = q.alias("q").where("key < 5").join(s.alias("s")).select(F.col("q.key").alias("a"), F.col("s.key").alias("b"), l2_sparse(F.struct("q.other", "q.bin_keys", "q.bin_values"), F.struct("s.other", "s.bin_keys", "s.bin_values")).alias("d"))
+    d = {(r.a, r.b): r.d for r in both.collect()}
+    assert all(d[a, key] == pytest.approx(x, abs=1e-6) for a in range(5) for x, key in dense_lists[a])
+    far = [(1, 0, 0.0, [5, 2_000_000_000], [3.0, 4.0]), (2, 0, 0.0, [], []), (3, 0, 0.0, [5], [3.0])]
+    wide = spark.createDataFrame(far, RECORDS)
+    assert lists(knn_join(wide, wide, 3, "sparse"))[2] == [(0.0, 2), (3.0, 3), (5.0, 1)]
+
+
+def test_sparse_join_says_what_does_not_fit(spark):
+    ok = spark.createDataFrame([(1, 0, 1.0, [3], [1.0])], RECORDS)
+    for other, text in (((2, 0, 0.0, [4], [1.0]), "dimension"), ((2, 0, 1.0, [3, 1], [1.0, 1.0]), "ascending"), ((2, 0, 1.0, [3], [1.0, 2.0]), "one value")):
+        with pytest.raises(Exception, match=text):
+            knn_join(ok, spark.createDataFrame([other], RECORDS), 1, "sparse").collect()
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10**6))
 def test_metric_axioms_and_block_search(seed):

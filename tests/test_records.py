@@ -75,3 +75,17 @@ def test_sub_dimensions_and_ranges(spark):
 def test_duplicates_by_text(spark):
     text = lines(spark, "1_1;0;0;0:1", "1_2;0;0;0:1", "1_3;0;0;0:2").select(profile.vector_text().alias("vector"))
     assert [tuple(r) for r in profile.duplicate_vectors(text.limit(3), text).collect()] == [(2, 2, "0;0:1"), (1, 1, "0;0:2")]
+
+
+def test_bad_lines_are_set_aside(spark):
+    good = ["1_1;0;0;0:0.2;1:0.8;9:0", "x,2;1;0.5", " 3_4_5;-1;1e-3;7:.5; "]
+    bad = ["1_1;0;0;a:1", "4;x;0", "5;0;zero;1:1", "6;0;0;1:1:1", "99999999999;0;0", "7;0;0;3:two", "8;0"]
+    rows, others = features.checked(spark.createDataFrame([(x,) for x in [*good, *bad, "", "  "]], "value string"))
+    assert sorted(r.line for r in others.collect()) == sorted(bad)
+    want = features.parse(spark.createDataFrame([(x,) for x in good], "value string"))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect())) and rows.count() == 3
+
+
+def test_one_dimension(spark):
+    rows = features.parse(spark.createDataFrame([("1;0;0;0:3",), ("2;0;0;0:4",)], "value string"))
+    assert features.dimension(rows) == 1 and sorted(r.vector for r in features.dense(rows).collect()) == [[3.0], [4.0]]
