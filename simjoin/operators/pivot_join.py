@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from simjoin.functions.metric import L2, Metric, near_pairs
 from simjoin.operators import topk
 from simjoin.operators.bounds import SLACK, beyond_plane, cell_upper, group_copies, lower_bounds, query_upper, upper_bounds
+from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivots import Voronoi, assigned, cell_stats, cut_regions, grouped, reverse_nearest, sampled_pivots, static_pivots, union_of
 from simjoin.operators.topk import Nearest, Search, best, crowded, matrix, searched
 from simjoin.plans.config import PivotConfig
@@ -29,20 +30,26 @@ from simjoin.plans.config import PivotConfig
 class PivotJoin:
     """One join's plan: pivots, cells and groups, and the operators that follow from them.
 
-    ``pivots`` fixes the pivots (rows of vectors); else they are sampled. ``metric`` is any
+    ``pivots`` fixes the pivots (rows of vectors); else they are sampled. A ``PivotIndex``
+    as the database brings pivots, metric, assignments and statistics. ``metric`` is any
     that keeps the triangle inequality. The counters of a run are in ``observed`` after an
     action: db_replications, distance_computations.
     """
 
-    def __init__(self, queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None):
-        self.k, self.config, self.metric = k, config or PivotConfig(), metric or L2()
-        self.pivots = sampled_pivots(database, self.config.pivot_count, self.config.seed) if pivots is None else np.asarray(pivots, np.float32)
+    def __init__(self, queries: DataFrame, database: DataFrame | PivotIndex, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None):
+        self.k, self.config = k, config or PivotConfig()
+        self.index = database if isinstance(database, PivotIndex) else None
+        self.metric = self.index.metric if self.index else metric or L2()
+        if self.index:
+            self.pivots, self.static = self.index.pivots, self.index.static
+        else:
+            self.pivots = sampled_pivots(database, self.config.pivot_count, self.config.seed) if pivots is None else np.asarray(pivots, np.float32)
+            self.static = static_pivots(self.pivots, self.config.static_count, self.metric)
         if not len(self.pivots):
             raise ValueError("the database is empty")
         self.depth = min(self.config.max_rec_depth, len(self.pivots))
-        self.static = static_pivots(self.pivots, self.config.static_count, self.metric)
         self.queries = assigned(queries, self.pivots, self.static, self.depth, self.metric)
-        self.database = assigned(database, self.pivots, self.static, self.depth, self.metric)
+        self.database = self.index.objects(self.depth) if self.index else assigned(database, self.pivots, self.static, self.depth, self.metric)
         self.observed = {name: Observation(name) for name in ("db_replications", "distance_computations")}
         self._voronoi: Voronoi | None = None
 
@@ -53,7 +60,9 @@ class PivotJoin:
     @property
     def voronoi(self) -> Voronoi:
         """Statistics of at most two rows per pivot come to the driver, once."""
-        if self._voronoi is None:
+        if self._voronoi is None and self.index:
+            self._voronoi = self.index.voronoi(self.queries, self.k)
+        elif self._voronoi is None:
             self._voronoi = Voronoi.of(self.pivots, cell_stats(self.objects, self.k, len(self.static)), self.k, self.metric)
         return self._voronoi
 
@@ -328,5 +337,5 @@ def pruned_search(known: Known, context: SparkContext | None = None) -> Search:
     return lambda q: _Pruned(q, loads(sent.value))
 
 
-def knn_pivot(queries: DataFrame, database: DataFrame, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None) -> DataFrame:
+def knn_pivot(queries: DataFrame, database: DataFrame | PivotIndex, k: int, config: PivotConfig | None = None, pivots: np.ndarray | None = None, metric: Metric | None = None) -> DataFrame:
     return PivotJoin(queries, database, k, config, pivots, metric).result()

@@ -216,6 +216,7 @@ ORACLES: dict[str, str] = {
         WHERE home = g OR d >= x - 1e-5 * (1 + abs(x)) GROUP BY 1
     """,
     "items_exact": _ITEM_NEAREST,
+    "items_index": _ITEM_NEAREST,
     "item_copies": _COPIES,
     "item_cells_excluded": _EXCLUDED,
     "query_upper_bounds": f"""

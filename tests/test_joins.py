@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from simjoin.functions import hashing, hilbert, quantiles, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
 from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, sparse, topk
+from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import CurveConfig, LshConfig, PivotConfig
 from simjoin.plans.knn import knn_join
@@ -297,6 +298,28 @@ def test_planes_exclude_more_than_differences(spark):
     assert lists_[True] == lists_[False] == brute(q, s, 3) and cost[True] < cost[False]
 
 
+def test_index_that_grows(spark, tmp_path):
+    """After appends a join finds what a rebuilt one finds, statistics are those of a rebuild, and old versions stay as they were."""
+    q, s = data(51, 30, 3), data(52, 400, 3)
+    fq, path = frame(spark, q), str(tmp_path / "index")
+    index = PivotIndex.create(frame(spark, s[:250]), path, 6, static_count=3, depth=12, pivots=s[:12])
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
+    assert [index.append(frame(spark, part, at)) for at, part in ((250, s[250:390]), (390, s[390:]))] == [1, 2]
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    again = PivotIndex.open(spark, path)
+    assert again.versions == [0, 1, 2] and again.depth == 12 and again.static.tolist() == index.static.tolist()
+    for more in (dict(), dict(method="APPROX", max_rec_depth=12, filter_ratio=1.0), dict(method="EPSILON_GUARANTEED")):
+        assert lists(knn_join(fq, again, 5, "pivot", PivotConfig(pivot_count=12, groups=3, **more))) == brute(q, s, 5)
+    built = PivotJoin(fq, frame(spark, s), 6, PivotConfig(static_count=3, groups=3), s[:12])
+    kept = lambda df: sorted(tuple(map(str, r)) for r in df.where("is_database").select("pivot_id", "min_dist", "max_dist", "n", "size", "smallest", "static_low", "static_high").collect())
+    assert kept(again.cells()) == kept(built.cells())
+    # what a writer left that did not come to an end is not seen, and overwritten
+    (tmp_path / "index" / "objects" / "version=3").mkdir()
+    assert again.versions == [0, 1, 2] and again.append(frame(spark, s[:1], 999)) == 3 and again.objects().count() == 401
+    with pytest.raises(ValueError, match="neighbours"):
+        knn_join(fq, again, 7, "pivot", PivotConfig(groups=3)).count()
+
+
 def test_crowded_groups_alone_are_copied(spark, monkeypatch):
     rows = frame(spark, data(1, 40)).withColumn("g", F.when(F.col("key") < 30, "hot").otherwise(F.col("key").cast("string")))
     assert topk.crowded(rows, rows, 100) is None
