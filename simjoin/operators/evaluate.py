@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,17 +34,20 @@ def set_relations(base: DataFrame, compare: DataFrame, relation: str) -> DataFra
     return out
 
 
-def _matches(bk: list, bd: np.ndarray, ck: list, cd: np.ndarray, k: int) -> int:
-    """Neighbours in common among the first k of both lists, which are in order of distance."""
-    rest, common = deque(zip(ck[:k], cd[:k], strict=True)), 0
-    for key, d in zip(bk[:k], bd[:k], strict=True):
-        same = lambda other: other[0] == key or abs(other[1] - d) < SAME  # noqa: B023, E731
-        while rest and rest[0][1] <= d and not same(rest[0]):
-            rest.popleft()
-        if rest and same(rest[0]):
-            rest.popleft()
-            common += 1
-    return common
+def _matches(bk: list, bd: np.ndarray, ck: list, cd: np.ndarray) -> np.ndarray:
+    """For each k, neighbours in common among the first k of both lists, which are in order of distance.
+
+    One walk finds the pairs, as those of shorter lists are the ones whose ranks both reach.
+    """
+    common, j = np.zeros(len(bd), np.int64), 0
+    for i, (key, d) in enumerate(zip(bk, bd.tolist(), strict=False)):
+        same = lambda j: ck[j] == key or abs(cd[j] - d) < SAME  # noqa: B023, E731
+        while j < len(cd) and cd[j] <= d and not same(j):
+            j += 1
+        if j < len(cd) and same(j):
+            common[max(i, j)] += 1
+            j += 1
+    return np.cumsum(common)
 
 
 def measures(base: DataFrame, compare: DataFrame) -> DataFrame:
@@ -66,9 +68,9 @@ def measures(base: DataFrame, compare: DataFrame) -> DataFrame:
                 error = np.where(bd == 0, cd + 1, cd / np.where(bd == 0, 1, bd))
                 ratio = np.where(sums[1] == 0, 1, sums[0] / np.where(sums[1] == 0, 1, sums[1]))
                 mean = np.cumsum(error) / np.arange(1, most + 1)
-                for k in range(most):
-                    at.append(row)
-                    rows.append((k + 1, cd[k] - bd[k], _matches(bk, bd, ck, cd, k + 1) / (k + 1), ratio[k], error[k], mean[k]))
+                ranks = np.arange(1, most + 1)
+                at += [row] * most
+                rows += zip(ranks.tolist(), cd - bd, _matches(bk[:most], bd, ck, cd) / ranks, ratio, error, mean, strict=True)
             values = [pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.float64()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *values], names=["query_key", "k", *MEASURES])
 

@@ -101,8 +101,8 @@ def _of_pairs(objects: DataFrame, made: Callable[[np.ndarray], pa.RecordBatch],
     return copies.repartition(partitions(objects), "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, kind)
 
 
-def distance_histogram(objects: DataFrame, fraction: float = 1.0, bins: int = BINS, metric: Metric | None = None) -> DataFrame:
-    """(step, count): the pairs of a sample by the nearest of ``bins`` steps from the smallest distance.
+def distance_histogram(objects: DataFrame, fraction: float, bins: int = BINS, metric: Metric | None = None) -> DataFrame:
+    """(step, count): the pairs of a sample, of a share of the objects that has to be named, by the nearest of ``bins`` steps from the smallest distance.
 
     The first pass finds the range, the second counts, each where the distances are
     computed: a task returns a few numbers per block and no pairs. Of two steps at one

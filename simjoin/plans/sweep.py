@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from simjoin.operators.evaluate import kth_distance_stats
+from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import METHODS, PivotConfig
+from simjoin.sources.shared import discard, shared_folder
 
 SCHEMA = "stat string, value double, method string, k int, max_rec_depth int, filter_ratio double, pivot_count int, reducers int, seconds double"
 
@@ -30,27 +36,41 @@ class SweepConfig:
         return SweepConfig(ints(pivot_counts), ints(k_values), ints(reducers), ints(depths), tuple(float(x) for x in filter_ratios.split(";") if x.strip()), tuple(m.strip().upper() for m in methods.split(";") if m.strip()))
 
 
-def sweep(queries: DataFrame, database: DataFrame, config: SweepConfig, base: PivotConfig | None = None) -> DataFrame:
+def sweep(queries: DataFrame, database: DataFrame, config: SweepConfig, base: PivotConfig | None = None, together: int = 1) -> DataFrame:
     """Two rows, AVG and MAX of the k-th distance, for each combination.
 
-    EXACT and EXACT_BOUNDS do not depend on depth and ratio, so they run once for the
-    others. A combination that fails has NaN.
+    For each number of pivots the database is assigned once, at the greatest depth and for
+    the greatest k, and kept as an index that all combinations share. EXACT and
+    EXACT_BOUNDS do not depend on depth and ratio, so they run once for the others. So many
+    combinations as ``together`` says run at a time, each in a scheduler pool of its own;
+    their times are then those of a shared cluster. A combination that fails has NaN.
     """
-    rows = []
+    base, spark, rows = base or PivotConfig(), queries.sparkSession, []
     for pivots in config.pivot_counts:
-        for k in config.k_values:
-            for groups in config.reducers:
-                for method in config.methods:
-                    known = None
-                    for depth in config.depths:
-                        for ratio in config.filter_ratios:
-                            if known is None or method not in ("EXACT", "EXACT_BOUNDS"):
-                                known = _measured(queries, database, k, replace(base or PivotConfig(), pivot_count=pivots, groups=groups, method=method, max_rec_depth=depth, filter_ratio=ratio))
-                            rows += [(stat, value, method, k, depth, ratio, pivots, groups, known[2]) for stat, value in (("AVG", known[0]), ("MAX", known[1]))]
-    return queries.sparkSession.createDataFrame(rows, SCHEMA)
-
-
-def _measured(queries: DataFrame, database: DataFrame, k: int, config: PivotConfig) -> tuple[float, float, float]:
+        path = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+        index = PivotIndex.create(database, path, max(config.k_values), pivots, base.static_count, max(config.depths), seed=base.seed)
+        grid = list(product(config.k_values, config.reducers, config.methods, config.depths, config.filter_ratios))
+        one = lambda c: c if c[2] not in ("EXACT", "EXACT_BOUNDS") else (*c[:3], config.depths[0], config.filter_ratios[0])
+        runs = list(dict.fromkeys(map(one, grid)))
+
+        def run(c: tuple, pivots=pivots, index=index) -> tuple[float, float, float]:
+            k, groups, method, depth, ratio = c
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"sweep-{method}")
+            return _measured(queries, index, k, replace(base, pivot_count=pivots, groups=groups, method=method, max_rec_depth=depth, filter_ratio=ratio))
+
+        try:
+            with ThreadPoolExecutor(together) as pool:
+                found = dict(zip(runs, pool.map(inheritable_thread_target(spark)(run), runs), strict=True))
+        finally:
+            discard(spark, path)
+        for c in grid:
+            k, groups, method, depth, ratio = c
+            avg, most, seconds = found[one(c)]
+            rows += [(stat, value, method, k, depth, ratio, pivots, groups, seconds) for stat, value in (("AVG", avg), ("MAX", most))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def _measured(queries: DataFrame, database: PivotIndex, k: int, config: PivotConfig) -> tuple[float, float, float]:
     began = time.monotonic()
     try:
         r = kth_distance_stats(PivotJoin(queries, database, k, config).result(), k).first()

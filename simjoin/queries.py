@@ -293,7 +293,7 @@ def kth_distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.distance_histogram(objects(spark, sf_dir), bins=20).select(F.round(F.col("step").cast("double"), 4).alias("step"), "count")
+    return profile.distance_histogram(objects(spark, sf_dir), 1.0, bins=20).select(F.round(F.col("step").cast("double"), 4).alias("step"), "count")
 
 
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

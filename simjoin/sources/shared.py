@@ -19,3 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError(f"set {SETTING} to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="simjoin-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from simjoin.functions import hashing, hilbert, quantiles, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
-from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_join, pivots, profile, sparse, topk
+from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_index, pivot_join, pivots, profile, sparse, topk
 from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import CurveConfig, LshConfig, PivotConfig
@@ -507,8 +507,8 @@ def test_evaluation(spark):
 
 def test_histograms(spark):
     rows = frame(spark, [[0.0], [1.0], [3.0]])
-    assert [(round(r.step, 3), r["count"]) for r in profile.distance_histogram(rows, bins=4).collect()] == [(1.0, 1), (2.0, 1), (2.5, 1)]
-    assert profile.distance_histogram(rows.limit(1)).count() == 0
+    assert [(round(r.step, 3), r["count"]) for r in profile.distance_histogram(rows, 1.0, bins=4).collect()] == [(1.0, 1), (2.0, 1), (2.5, 1)]
+    assert profile.distance_histogram(rows.limit(1), 1.0).count() == 0
     v = spark.createDataFrame([(float(x),) for x in range(11)], "v double")
     assert sum(r["count"] for r in evaluate.histogram(v, "v", 5).collect()) == 11
 
@@ -533,6 +533,36 @@ def test_kmeans(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "plain")).collect())[0].startswith("0;10.0;10.0")
 
 
+def test_sweep_shares_its_work(spark, monkeypatch):
+    """The database is assigned once for each number of pivots, whatever runs together, and the rows are the same."""
+    made = []
+    monkeypatch.setattr(pivot_index, "assigned", lambda *args: made.append(args) or pivots.assigned(*args))
+    config = SweepConfig((6, 9), (2,), (2,), (1, 3), (0.5,), ("EXACT", "APPROX"))
+    q, s = frame(spark, data(1, 8)), frame(spark, data(2, 60))
+    told = lambda rows: sorted(tuple(r) for r in rows.drop("seconds").collect())
+    one, four = told(sweep(q, s, config)), told(sweep(q, s, config, together=4))
+    assert len(made) == 4 and one == four and len(one) == 2 * 2 * 2 * 2
+    want = max(x[-1][0] for x in brute(data(1, 8), data(2, 60), 2).values())
+    assert all(r[1] == pytest.approx(want) for r in one if r[2] == "EXACT" and r[0] == "MAX")
+
+
+def test_matches_by_a_plain_version():
+    """One walk counts, for every k, what a walk over the first k of both lists finds."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        lists_ = [(rng.permutation(15)[:n].tolist(), np.sort(rng.integers(0, 6, n).astype(float))) for _ in range(2)]
+        (bk, bd), (ck, cd) = lists_
+        for k in range(1, n + 1):
+            j = common = 0
+            for key, d in zip(bk[:k], bd[:k]):
+                while j < k and cd[j] <= d and not (ck[j] == key or abs(cd[j] - d) < 2.0**-23):
+                    j += 1
+                if j < k and (ck[j] == key or abs(cd[j] - d) < 2.0**-23):
+                    common, j = common + 1, j + 1
+            assert evaluate._matches(bk, bd, ck, cd)[k - 1] == common
+
+
 def test_sweep(spark, tmp_path):
     config = SweepConfig.of("5;500", "2", "3", "1;2", "0.5", "exact;approx;approx_bounds")
     rows = sweep(frame(spark, data(1, 6)), frame(spark, data(2, 40)), config)
