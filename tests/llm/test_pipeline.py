@@ -135,4 +135,4 @@ def test_against_sql(spark, name):
 
 
 def test_registered():
-    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and len([q for q in QUERIES if q.startswith("op")]) == 13
