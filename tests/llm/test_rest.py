@@ -387,13 +387,16 @@ def test_toxicity_query_against_plain_scores(spark):
     assert len(got) == docs.count() and list(model.thresholds) == sorted(model.thresholds)
     for r in docs.collect():
         words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
-        held, score = min(len(words), 500), 0.0
-        counts = {}
-        for w in words:
-            for f in {w, *("^" + w[:n] for n in (4, 5, 6) if len(w) > n)}:
-                counts[f] = counts.get(f, 0) + 1
-        for f, n in counts.items():
-            score += model.weights.get(f, 0.0) * np.log2(1 + n * held / max(len(words), 1)) / (1 + held / 1000)
+        score, at = 0.0, 0
+        while True:  # windows of 50 words, 25 apart, until one ends the text
+            counts = {}
+            for w in words[at : at + 50]:
+                for f in {w, *("^" + w[:n] for n in (4, 5, 6) if len(w) > n)}:
+                    counts[f] = counts.get(f, 0) + 1
+            score = max(score, sum(model.weights.get(f, 0.0) * np.log2(1 + n) for f, n in counts.items()))
+            if at + 50 >= len(words):
+                break
+            at += 25
         p = [1 / (1 + np.exp(x - score)) for x in model.thresholds]
         assert abs(got[r.doc_id].severity - sum(p)) < 1e-6 and got[r.doc_id].grade == sum(x >= 0.5 for x in p) and got[r.doc_id].rejected == (p[0] >= 0.5)
     big = "/root/testdata/sf0.1"
@@ -413,6 +416,21 @@ def test_toxicity_does_not_fade_with_length():
     toxic, clean = [t for t, y in rows if y and rejected(t)][:20], [t for t, y in rows if not y]
     assert len(toxic) == 20 and all(rejected(" ".join([t] * n)) for t in toxic for n in (10, 100, 300))
     assert rejected(" ".join(t for t, y in rows if y)) and not rejected(" ".join(clean * 3))
+    around = lambda n: " ".join(rng.choice(words, n))
+    passages = [f"{around(at)} {toxic[i % 20]} {around(50_000 - at)}" for i, at in enumerate(rng.integers(0, 50_000, 200).tolist())]
+    assert np.mean([rejected(t) for t in passages]) >= 0.9 and np.mean([rejected(around(50_000)) for _ in range(100)]) < 0.02
+
+
+def test_windows_of_words():
+    assert [toxicity.windows(n) for n in (0, 1, 50, 51, 76, 100)] == [[(0, 0)], [(0, 1)], [(0, 50)], [(0, 50), (25, 51)], [(0, 50), (25, 75), (50, 76)], [(0, 50), (25, 75), (50, 100)]]
+
+
+def test_long_labelled_texts_are_scored_but_not_trained_on(spark):
+    rows = [(i, f"plain words {'vile' if i % 2 else 'kind'} here") for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(81)], "doc_id long, quality int, toxic int")
+    long = docs_of(spark, *rows, (80, "vile " + "kind " * 30_000))
+    model = toxicity.fit(long, labels)
+    assert model == toxicity.fit(docs_of(spark, *rows), labels) and toxicity.scored(long, model).where("doc_id = 80 and rejected").count() == 1
 
 
 # --- decontamination ----------------------------------------------------------------------
