@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from simjoin.llm import decontam, packing, pii, simhash, toxicity
-from simjoin.llm.common import stored, table
+from simjoin.llm.common import discard, scratch, stored, table
 from simjoin.llm.queries import pseudonym_key, tokenizer_path
 
 
@@ -76,10 +76,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    """All stages on the documents table; each stage's result is written and read again.
+
+    What a stage stored for itself, and its input, are deleted once its result is written.
+    The last stage is one narrow pass over its input, which therefore stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(docs.stored_path)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

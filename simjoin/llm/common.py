@@ -59,14 +59,15 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Deletes, at the end of the block, all tables that operators have stored in it.
 
-    Results are lazy and read those tables, so write a result before the block ends.
+    Results are lazy and read those tables, so write a result before the block ends. Gives
+    the list of what will go; a path that is taken off it stays.
     """
     _made.append([])
     try:
-        yield
+        yield _made[-1]
     finally:
         for path in _made.pop():
             _delete(spark, path)

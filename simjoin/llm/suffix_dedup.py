@@ -35,6 +35,10 @@ BLOCK_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 HOT = 8_000
 #: Windows of a segment at most; longer runs of one anchor are cut.
 RUN = 1_024
+#: Windows that are hashed at a time, about 60 bytes of arrays each; so a long text costs little more than itself.
+PIECE = 1 << 20
+#: Segments' text that a task hands on at a time, in bytes.
+SENT = 1 << 23
 #: Sampled strings for each range that the first occurrences of spread anchors are merged in.
 PER_RANGE = 20
 #: Suffixes that a lane of Kasai's walk passes; more lanes make longer numpy steps.
@@ -52,12 +56,19 @@ def words_of(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(data: bytes, window: int = WINDOW, k: int = K, count: bool = False) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor) of the runs of windows with one anchor.
+def segments(data: bytes, window: int = WINDOW, count: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, windows, anchor) of the runs of windows with one anchor, for each ``PIECE`` of windows.
 
-    With ``count`` also how often, 1 or 2 for more, the anchor's hash stands in the run: if
-    once, no two windows of the run are equal.
+    Pieces overlap in bytes, not in windows, and a run ends at its piece's end, as it may
+    anywhere. With ``count`` also how often, 1 or 2 for more, the anchor's hash stands in the
+    run: if once, no two windows of the run are equal.
     """
+    for at in range(0, max(len(data) - window + 1, 1), PIECE):
+        start, *more = _segments(data[at : at + PIECE + window - 1], window, count)
+        yield start + at, *more
+
+
+def _segments(data: bytes, window: int, count: bool, k: int = K) -> tuple[np.ndarray, ...]:
     n = len(data) - window + 1
     if n < 1:
         return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))[: 3 + count]
@@ -251,7 +262,7 @@ def _anchors(made: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ends, body in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
-                found = [segments(d, window, count=True)[2:] for d in _documents(ends.as_py(), body.as_py())]
+                found = [x[2:] for d in _documents(ends.as_py(), body.as_py()) for x in segments(d, window, count=True)]
                 anchor, of = np.unique(np.concatenate([a for a, _ in found]), return_inverse=True)
                 n = np.bincount(of, np.concatenate([c for _, c in found]), len(anchor))
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(np.full(len(anchor), block.as_py())), pa.array(n.astype(np.int32))], names=["anchor", "block", "n"])
@@ -259,30 +270,49 @@ def _anchors(made: DataFrame, window: int) -> DataFrame:
     return made.mapInArrow(run, "anchor long, block long, n int")
 
 
-def _repeated_anchors(found: DataFrame, n: int) -> DataFrame:
-    """(block, anchor, n, total) of the anchors that stand in the corpus more than once."""
+def _repeated_anchors(found: DataFrame, n: int, hot: int) -> DataFrame:
+    """(block, anchor, n, before) of the anchors that stand in the corpus more than once.
+
+    ``before`` is how often a hot anchor, which stands more than ``hot`` times, stands in
+    earlier blocks, so that it tells which share of the anchor a block is in; else it is -1.
+    An anchor's rows pass in the order of blocks and are held until there are ``hot`` at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> pa.RecordBatch:
             head = np.flatnonzero(np.diff(rows[0], prepend=rows[0][0] ^ 1))
-            total = np.repeat(np.add.reduceat(rows[2], head), np.diff(np.append(head, rows.shape[1])))
+            size = np.diff(np.append(head, rows.shape[1]))
+            total, upto = np.repeat(np.add.reduceat(rows[2], head), size), np.cumsum(rows[2]) - rows[2]
+            before = np.where(total > hot, upto - np.repeat(upto[head], size), -1)
             keep = total > 1
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rows[1], rows[0], rows[2], total)], names=["block", "anchor", "n", "total"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rows[1], rows[0], rows[2], before)], names=["block", "anchor", "n", "before"])
 
-        kept: list[np.ndarray] = []
+        kept, streamed = np.empty((3, 0), np.int64), 0  # rows of the last anchor; how often it stood, once it is known to be hot
         for batch in batches:
             if not len(batch):
                 continue
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last or kept and kept[0][0][0] != rows[0][0]:
-                yield out(np.concatenate([*kept, rows[:, :last]], axis=1))
-                kept = []
-            kept.append(rows[:, last:])
-        if kept:
-            yield out(np.concatenate(kept, axis=1))
-
-    return found.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "block long, anchor long, n long, total long")
+            if streamed:
+                same = int(np.searchsorted(rows[0], last, "right"))
+                upto = streamed + np.cumsum(rows[2, :same])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[1, :same], rows[0, :same], rows[2, :same], upto - rows[2, :same])], names=["block", "anchor", "n", "before"])
+                streamed, rows = int(upto[-1]) if same else streamed, rows[:, same:]
+                if not rows.shape[1]:
+                    continue
+                streamed = 0
+            rows = np.concatenate([kept, rows], axis=1)
+            last = rows[0, -1]
+            at = int(np.searchsorted(rows[0], last))
+            if at:
+                yield out(rows[:, :at])
+            kept = rows[:, at:]
+            if kept[2].sum() > hot:
+                yield out(kept)
+                kept, streamed = kept[:, :0], int(kept[2].sum())
+        if kept.shape[1]:
+            yield out(kept)
+
+    return found.repartition(n, "anchor").sortWithinPartitions("anchor", "block").mapInArrow(run, "block long, anchor long, n long, before long")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -296,26 +326,39 @@ def _dealt(made: DataFrame, again: DataFrame, shards: int, window: int, hot: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, ends, body, anchors in zip(*batch.columns, strict=True):
-                block, known = block.as_py(), np.array(sorted((a["anchor"], a["total"]) for a in anchors.as_py()), np.int64).reshape(-1, 2)
+                block, known = block.as_py(), np.array(sorted((a["anchor"], a["before"]) for a in anchors.as_py()), np.int64).reshape(-1, 2)
+                met = np.zeros(len(known), np.int64)  # segments of each anchor so far
                 found: list[tuple[np.ndarray, ...]] = []
-                bodies, counts, docs = [], [], ids.as_py()
-                for idx, data in enumerate(_documents(ends.as_py(), body.as_py())):
-                    start, size, anchor = segments(data, window)
-                    at = np.minimum(np.searchsorted(known[:, 0], anchor.view(np.int64)), len(known) - 1)
-                    of = np.flatnonzero(known[at, 0] == anchor.view(np.int64))
-                    parts = (-(-known[at[of], 1] // hot)).astype(np.uint64)
-                    salt = _mixed(np.array([(block * 1_000_003 + idx) & 0xFFFFFFFFFFFFFFFF], np.uint64)) % parts
-                    shard = (_mixed(anchor[of]) + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)
-                    found.append((shard.astype(np.int64), start[of], size[of], (parts > 1).astype(np.int64)))
-                    counts.append(len(of))
-                    bodies += [data[s:e] for s, e in zip(start[of].tolist(), (start[of] + size[of] + window - 1).tolist(), strict=True)]
-                shard, start, size, spread = (np.concatenate(x) for x in zip(*found, strict=True))
-                doc = np.repeat(np.array([_NO_ID if d is None else d for d in docs], np.int64), counts)
-                idx = np.repeat(np.arange(len(docs)), counts)
-                columns = [pa.array(x) for x in (shard, doc, np.full(len(doc), block), idx, start, size, spread)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], names=["shard", "doc", "block", "idx", "start", "size", "spread", "body"])
-
-    lists = again.groupBy("block").agg(F.collect_list(F.struct("anchor", "total")).alias("anchors"))
+                bodies, size_of = [], 0
+
+                def out() -> pa.RecordBatch:
+                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                    columns.insert(2, np.full(len(bodies), block))
+                    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, pa.binary())], names=["shard", "doc", "block", "idx", "start", "size", "spread", "body"])
+
+                for idx, (doc, data) in enumerate(zip(ids.as_py(), _documents(ends.as_py(), body.as_py()), strict=True)):
+                    for start, size, anchor in segments(data, window):
+                        at = np.minimum(np.searchsorted(known[:, 0], anchor.view(np.int64)), len(known) - 1)
+                        of = np.flatnonzero(known[at, 0] == anchor.view(np.int64))
+                        at, start, size = at[of], start[of], size[of]
+                        by = np.argsort(at, kind="stable")
+                        head = np.flatnonzero(np.diff(at[by], prepend=-1))
+                        nth = np.empty(len(at), np.int64)  # of the anchor's segments in this block
+                        nth[by] = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at)))) + met[at[by]]
+                        met += np.bincount(at, minlength=len(known))
+                        spread = known[at, 1] >= 0
+                        salt = np.where(spread, (known[at, 1] + nth) // hot, 0).astype(np.uint64)
+                        shard = (_mixed(anchor[of]) + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)
+                        found.append((shard.astype(np.int64), np.full(len(of), _NO_ID if doc is None else doc), np.full(len(of), idx), start, size, spread.astype(np.int64)))
+                        bodies += [data[s:e] for s, e in zip(start.tolist(), (start + size + window - 1).tolist(), strict=True)]
+                        size_of += int((size + window - 1).sum())
+                        if size_of >= SENT:
+                            yield out()
+                            found, bodies, size_of = [], [], 0
+                if bodies:
+                    yield out()
+
+    lists = again.groupBy("block").agg(F.collect_list(F.struct("anchor", "before")).alias("anchors"))
     return made.join(lists, "block").select("block", "ids", "ends", "body", "anchors").mapInArrow(run, "shard long, doc long, block long, idx long, start long, size long, spread long, body binary")
 
 
@@ -399,7 +442,7 @@ def removed(docs: DataFrame, window: int = WINDOW, hot: int = HOT, keep_text: bo
     n = partitions(docs.sparkSession)
     docs = steady(own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), "documents")
     made = blocks(docs)
-    again = stored(_repeated_anchors(_anchors(made, window), n), "anchors")
+    again = stored(_repeated_anchors(_anchors(made, window), n, hot), "anchors")
     count = again.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, int(count) * (WINDOW + WINDOW // 2) // SHARD_BYTES)
     found = stored(_searched(_dealt(made, again, shards, window, hot), n, window), "repeats")

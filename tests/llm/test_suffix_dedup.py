@@ -40,12 +40,43 @@ def test_suffix_array_and_prefixes(letters):
         assert shared[k] == next((c for c in range(min(len(x), len(y))) if x[c] != y[c]), min(len(x), len(y)))
 
 
-def test_segments_cover_every_window():
+@pytest.mark.parametrize("piece", [sd.PIECE, 700])
+def test_segments_cover_every_window(monkeypatch, piece):
+    monkeypatch.setattr(sd, "PIECE", piece)
     data = np.random.default_rng(1).integers(97, 100, 3_000).astype(np.uint8).tobytes() + b"ab" * 2_000
-    start, size, anchor, n = sd.segments(data, count=True)
+    start, size, anchor, n = (np.concatenate(x) for x in zip(*sd.segments(data, count=True), strict=True))
     assert start[0] == 0 and (np.diff(start) == size[:-1]).all() and start[-1] + size[-1] == len(data) - 99
-    assert size.max() <= sd.RUN and n[-1] == 2
-    assert not len(sd.segments(b"short")[0])
+    assert size.max() <= min(sd.RUN, piece) and n[-1] == 2
+    ((start, *_),) = sd.segments(b"short")
+    assert not len(start)
+
+
+def test_long_texts_are_walked_in_pieces(spark):
+    """Repeats across the borders of pieces are found whole, between documents and within one."""
+    text = "".join(map(chr, np.random.default_rng(3).integers(33, 127, 2_300_000)))
+    rows = [(1, text), (2, text[sd.PIECE - 200_000 : sd.PIECE + 200_000]), (3, text[:150] + "é" * 300_000 + text[-150:])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.removed(docs_of(spark, *rows)).collect()}
+    # of the third, the copied ends go, and all windows of é but the first of both kinds
+    assert got == {1: (2_300_000, 0, 0), 2: (400_000, 400_000, 1), 3: (600_300, 600_298, 2)}
+
+
+@pytest.mark.parametrize("hot", [3, 50, 10_000])
+def test_places_of_blocks_among_an_anchor(spark, hot):
+    """Rows of a hot anchor stream past, with what stands before them, however batches are cut."""
+    rng = np.random.default_rng(hot)
+    rows = [(a, b, int(rng.integers(1, 3))) for a, m in enumerate([1, 2, 700, 5, 40, 1, 900]) for b in rng.choice(2_000, m, replace=False).tolist()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = spark.createDataFrame(rows, "anchor long, block long, n int").repartition(4)
+        got = sorted((r.anchor, r.block, r.n, r.before) for r in sd._repeated_anchors(found, 2, hot).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for a in range(7):
+        own = sorted((b, n) for x, b, n in rows if x == a)
+        total = sum(n for _, n in own)
+        want += [(a, b, n, sum(m for _, m in own[:i]) if total > hot else -1) for i, (b, n) in enumerate(own) if total > 1]
+    assert got == want
 
 
 @pytest.mark.parametrize("hot", [1_000, 2])
