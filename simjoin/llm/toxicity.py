@@ -84,26 +84,26 @@ class Scorer:
         self.model, self.known = model, {}
 
     def score(self, text: str | None) -> float:
-        """The score of the worst window."""
+        """The score of the worst window; windows without features have zero, and weights are not negative."""
         known, weights, half = self.known, self.model.weights, WINDOW // 2
-        words, blocks = 0, [Counter()]  # features of each half of a window
-        for found in _WORD.finditer((text or "").lower()):
+        words, blocks = 0, {}  # features of each half of a window that has any
+        for words, found in enumerate(_WORD.finditer((text or "").lower()), 1):
             w = found[0]
             has = known.get(w)
             if has is None:
                 if len(known) > REMEMBERED:
                     known.clear()
                 has = known[w] = tuple(f for f in features(w) if f in weights)
-            if words and words % half == 0:
-                blocks.append(Counter())
-            words += 1
             if has:
-                blocks[-1].update(has)
-        scores = []
-        for n in range(len(windows(words))):
-            held = blocks[n] + blocks[n + 1] if n + 1 < len(blocks) else blocks[n]
-            scores.append(sum(weights[f] * value(c) for f, c in held.items()))
-        return max(scores)
+                block = blocks.setdefault((words - 1) // half, {})
+                for f in has:
+                    block[f] = block.get(f, 0) + 1
+        best, last, nothing = 0.0, len(windows(words)) - 1, {}
+        for n in {min(x, last) for b in blocks for x in (b - 1, b) if x >= 0}:
+            one, two = blocks.get(n, nothing), blocks.get(n + 1, nothing)
+            score = sum(weights[f] * value(c + two.get(f, 0)) for f, c in one.items())
+            best = max(best, score + sum(weights[f] * value(c) for f, c in two.items() if f not in one))
+        return best
 
 
 class _Rows:
