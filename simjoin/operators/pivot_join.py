@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from simjoin.functions.metric import L2, Metric, near_pairs
-from simjoin.operators import topk
+from simjoin.operators import topk, travel
 from simjoin.operators.bounds import SLACK, beyond_plane, cell_upper, group_copies, lower_bounds, query_upper, upper_bounds
 from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivots import Voronoi, assigned, cell_stats, cut_regions, grouped, reverse_nearest, sampled_pivots, static_pivots, union_of
@@ -49,7 +49,8 @@ class PivotJoin:
             raise ValueError("the database is empty")
         self.depth = min(self.config.max_rec_depth, len(self.pivots))
         self.queries = assigned(queries, self.pivots, self.static, self.depth, self.metric)
-        self.database = self.index.objects(self.depth) if self.index else assigned(database, self.pivots, self.static, self.depth, self.metric)
+        self._stored = lambda depth: self.index.objects(depth) if self.index else assigned(database, self.pivots, self.static, depth, self.metric)
+        self.database = self._stored(self.depth)
         self.observed = {name: Observation(name) for name in ("db_replications", "distance_computations")}
         self._voronoi: Voronoi | None = None
 
@@ -63,7 +64,8 @@ class PivotJoin:
         if self._voronoi is None and self.index:
             self._voronoi = self.index.voronoi(self.queries, self.k)
         elif self._voronoi is None:
-            self._voronoi = Voronoi.of(self.pivots, cell_stats(self.objects, self.k, len(self.static)), self.k, self.metric)
+            near = union_of(self._stored(1), self.queries)  # statistics need no more than the nearest pivot
+            self._voronoi = Voronoi.of(self.pivots, cell_stats(near, self.k, len(self.static)), self.k, self.metric)
         return self._voronoi
 
     @property
@@ -190,6 +192,8 @@ class PivotJoin:
         kind, groups = self.config.variant, self.groups
         if kind.endswith("_BOUNDS"):
             return self.upper_bounds()
+        if self.voronoi.db_count > self.config.travel_objects:
+            return self._travelled(groups)
         q, s, most = self._copied(groups)
         one = lambda df: df.withColumns({"cell": F.get("nearest_pivots", F.lit(0)), "dist": F.get("nearest_dists", F.lit(0))})
         q, s = one(q), one(s)
@@ -202,6 +206,20 @@ class PivotJoin:
         found = found.observe(self.observed["distance_computations"], F.sum("cost").alias("n"))
         return best(found, self.k, repeated=kind == "QUERY_REP")
 
+    def _travelled(self, groups: np.ndarray) -> DataFrame:
+        """The join of a large database, see ``operators.travel``: no object is copied.
+
+        As all objects of a cell are at hand, APPROX visits the nearest of all cells and
+        EPSILON_APPROX keeps the guarantee; QUERY_REP visits what it does with copies.
+        """
+        kind = self.config.variant
+        few = self.config.max_buckets if kind in ("APPROX", "QUERY_REP") else None
+        parts = np.maximum(1, -(-self.voronoi.db_n // travel.HELD))
+        routes = travel.Routes(self.voronoi, self.static, parts, self.config.epsilon if kind.startswith("EPSILON") else 1.0, groups, few, self.depth if kind == "QUERY_REP" else None)
+        one = lambda df: df.select(F.get("nearest_pivots", F.lit(0)).alias("cell"), "key", "classification", "vector")
+        found = travel.travelled(one(self.queries), one(self._stored(1)), self.k, routes, self.observed["db_replications"]).observe(self.observed["distance_computations"], F.sum("cost").alias("n"))
+        return best(found, self.k, repeated=False)
+
     def exclusions(self) -> DataFrame:
         """(query_key, cells, by_difference, by_plane): how many database cells a query's own bound excludes.
 

@@ -19,6 +19,7 @@ class PivotConfig:
     cut_copies: bool = True  # objects are copied only where the cut regions of cells allow it
     groups: int = 10  # at least
     group_objects: int = 100_000  # of the database, on average; more objects make more groups
+    travel_objects: int = 50_000  # a database with more is not copied: its queries travel instead
     seed: int = 937
 
     @property
