@@ -70,8 +70,10 @@ class PivotJoin:
 
     @property
     def groups(self) -> np.ndarray:
-        """The group of each cell; their number follows the size of the database."""
-        n = max(self.config.groups, -(-self.voronoi.db_count // self.config.group_objects))
+        """The group of each cell; their number follows the size of the database, unless it is fixed."""
+        n = self.config.groups
+        if self.config.group_objects is not None:
+            n = max(n, -(-self.voronoi.db_count // self.config.group_objects))
         return grouped(self.pivots, self.voronoi.query_weight, min(n, len(self.pivots)), self.metric)
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:

@@ -18,7 +18,7 @@ class PivotConfig:
     exact_parent_filter: bool = True  # else objects are cut by the radius over epsilon too
     cut_copies: bool = True  # objects are copied only where the cut regions of cells allow it
     groups: int = 10  # at least
-    group_objects: int = 100_000  # of the database, on average; more objects make more groups
+    group_objects: int | None = 100_000  # of the database, on average; more objects make more groups; None: as many groups as ``groups`` says
     travel_objects: int = 50_000  # a database with more is not copied: its queries travel instead
     seed: int = 937
 

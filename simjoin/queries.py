@@ -87,7 +87,7 @@ def _items(**options) -> Callable[[SparkSession, str], DataFrame]:
 
 def item_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many objects each group of the exact join gets by the lower bound, and how many of these the cut regions leave."""
-    of = lambda cut, name: item_join(spark, sf_dir, groups=4, cut_copies=cut).replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias(name))
+    of = lambda cut, name: item_join(spark, sf_dir, groups=4, group_objects=None, cut_copies=cut).replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias(name))
     return of(False, "by_bound").join(of(True, "by_region"), "group_id")
 
 
@@ -214,7 +214,7 @@ def dimension_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fixed(spark: SparkSession, sf_dir: str, depth: int = 3) -> PivotJoin:
     s = objects(spark, sf_dir)
-    return PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=depth, static_count=4, groups=4, method="EXACT_BOUNDS"), fixed_pivots(spark, sf_dir))
+    return PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=depth, static_count=4, groups=4, group_objects=None, method="EXACT_BOUNDS"), fixed_pivots(spark, sf_dir))
 
 
 def nearest_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +270,7 @@ def cell_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pivot_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many objects each group of the exact join gets by the lower bound alone."""
     s = objects(spark, sf_dir)
-    plan = PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=3, static_count=4, groups=4, cut_copies=False), fixed_pivots(spark, sf_dir))
+    plan = PivotJoin(asked(s), s, K, PivotConfig(max_rec_depth=3, static_count=4, groups=4, group_objects=None, cut_copies=False), fixed_pivots(spark, sf_dir))
     return plan.replicated()[1].groupBy(F.col("g").cast("int").alias("group_id")).agg(F.count("*").alias("n"))
 
 

@@ -40,3 +40,9 @@ def test_many_copies_and_epsilon(spark):
     want = brute(q, s, 6)
     got = lists(PivotJoin(frame(spark, q), frame(spark, s), 6, PivotConfig(**SMALL, method="EPSILON_GUARANTEED", epsilon=1.5)).result())
     assert all(len(got[i]) == 6 and all(d <= 1.5 * e + 1e-5 for (d, _), (e, _) in zip(got[i], want[i])) for i in want)
+
+
+def test_groups_may_be_fixed(spark):
+    """Queries whose SQL has so many groups have them over a table of any size."""
+    groups = lambda n: len(set(PivotJoin(frame(spark, data(68, 20)), frame(spark, data(69, 90)), 3, PivotConfig(pivot_count=12, static_count=2, groups=4, group_objects=n)).groups.tolist()))
+    assert (groups(10), groups(None)) == (9, 4)
