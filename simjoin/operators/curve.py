@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -15,9 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from simjoin.functions import hilbert, zorder
-from simjoin.functions.metric import L2, L2Quantized, beside
+from simjoin.functions.metric import L2, L2Quantized, Metric
 from simjoin.functions.quantiles import at_ranks, rank_error, ranks_of, sketches
-from simjoin.operators.topk import best, crowded, plain_search, searched
+from simjoin.operators.topk import best, crowded, key_parts, partitions, plain_search, searched
 from simjoin.plans.config import CurveConfig
 
 #: Size of a sketch for each range: ranges are off by about a seventh of their size.
@@ -55,11 +55,11 @@ def place(coords: Column, curve: str = "z") -> Column:
     return value(coords)
 
 
-def on_curves(objects: DataFrame, shifts: list[list[int]], scale: float, low: float, curve: str = "z") -> DataFrame:
-    """A row for each object and shift: (shift, key, z, coords)."""
+def on_curves(objects: DataFrame, shifts: list[list[int]], scale: float, low: float, curve: str = "z", more: Sequence[str] = ()) -> DataFrame:
+    """A row for each object and shift: (shift, key, z, coords), and the columns ``more``."""
     copies = F.array(*[F.struct(F.lit(i).alias("shift"), zorder.quantized(F.col("vector"), scale, low, s).alias("coords")) for i, s in enumerate(shifts)])
-    rows = objects.select("key", F.inline(copies))
-    return rows.select("shift", "key", place(F.col("coords"), curve).alias("z"), "coords")
+    rows = objects.select("key", *more, F.inline(copies))
+    return rows.select("shift", "key", place(F.col("coords"), curve).alias("z"), "coords", *more)
 
 
 Sketched = tuple[np.ndarray, np.ndarray]
@@ -173,39 +173,101 @@ def _guests(sizes: dict[int, dict[int, int]], ranges: dict[int, int], reach: int
     return out
 
 
-def neighbours_on_curve(q: DataFrame, s: DataFrame, k: int, config: CurveConfig) -> DataFrame:
-    """Pairs (query_key, db_key): on each curve, the ``k`` objects before and after the query.
+class _Windows:
+    """The objects of one range that a window may still need, and the queries that wait for theirs."""
+
+    def __init__(self, reach: int, k: int, metric: Metric):
+        self.reach, self.k, self.metric = reach, k, metric
+        self.objects: pa.Table | None = None  # the last ones of ``seen``
+        self.queries: pa.Table | None = None
+        self.vectors, self.places, self.seen = np.empty((0, 0)), np.empty(0, np.int64), 0
+
+    def see(self, rows: pa.RecordBatch, end: bool = False) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of the curve; what is found for the queries whose windows are whole."""
+        db = rows.column("db").to_numpy() == 1
+        both = pa.Table.from_batches([rows])
+        fresh, asking = both.filter(pa.array(db)), both.filter(pa.array(~db))
+        self.places = np.concatenate([self.places, self.seen + np.cumsum(db)[~db]])
+        self.queries = asking if self.queries is None else pa.concat_tables([self.queries, asking])
+        self.objects = fresh if self.objects is None else pa.concat_tables([self.objects, fresh]).combine_chunks()
+        self.seen += len(fresh)
+        yield from self._answer(end)
+        self.objects = self.objects.slice(max(0, len(self.objects) - 2 * self.reach))
+
+    def _answer(self, end: bool) -> Iterator[pa.RecordBatch]:
+        low = np.maximum(1, self.places - self.reach + 1)
+        ready = np.ones(len(low), bool) if end else (self.places + self.reach <= self.seen) & (low + 2 * self.reach - 1 <= self.seen)
+        low = np.maximum(1, np.minimum(low, self.seen - 2 * self.reach + 1))[ready] - 1 - (self.seen - len(self.objects))
+        q, width = self.queries.filter(pa.array(ready)).combine_chunks(), min(2 * self.reach, self.seen)
+        self.queries, self.places = self.queries.filter(pa.array(~ready)), self.places[~ready]
+        if not len(q) or not width:
+            return
+        s, x = (_numbers(t.column("vector").combine_chunks()) for t in (self.objects, q))
+        keys = key_parts(self.objects.column("key").combine_chunks())
+        for lo in range(0, len(q), 64):
+            at = low[lo : lo + 64, None] + np.arange(width)
+            d = self.metric.rows(np.repeat(x[lo : lo + 64], width, 0), s[at.ravel()]).reshape(at.shape)
+            most = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if width > self.k else np.inf
+            i, j = np.nonzero(d <= most)
+            d, j = d[i, j], at[i, j]
+            order = np.lexsort((*[part[j] for part in reversed(keys)], d, i))
+            i, d, j = i[order], d[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+            pick = lambda t, c, rows: t.column(c).combine_chunks().take(pa.array(rows))
+            i, j = lo + i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays([pick(q, "key", i), pick(q, "classification", i), pick(self.objects, "key", j), pick(self.objects, "classification", j), pa.array(d[keep], pa.float32())], names=["query_key", "query_class", "db_key", "db_class", "distance"])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, of the numbers that they have."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def near_on_curve(q: DataFrame, s: DataFrame, reach: int, k: int, config: CurveConfig, metric: Metric) -> DataFrame:
+    """(query_key, query_class, db_key, db_class, distance): on each curve, the k nearest of the ``reach`` objects before and after the query.
 
     A query's place is the number of objects before it; near an end of the curve the window
-    moves inward, so 2k objects are met if there are so many. A curve is cut into ranges of
-    a bounded number of objects, and a range has the 2k objects on either side of it as
-    guests, so that the same objects are met as on the curve as a whole. Places are counted
-    within a range, and turn the window into an equi-join. Only the sizes of ranges come to
-    the driver. Objects of one Z-value are in one range.
+    moves inward, so 2 x reach objects are met if there are so many. A curve is cut into
+    ranges of a bounded number of objects, and a range has the 2 x reach objects on either
+    side of it as guests, so that the same objects are met as on the curve as a whole. Rows
+    bring their vectors along, so distances are computed where the rows pass in the order of
+    the curve: no pair of a query and an object moves but the k nearest. A task holds one
+    window and one batch. Only the sizes of ranges come to the driver. Objects of one
+    Z-value are in one range.
     """
-    spark, at = s.sparkSession, ("shift", "range")
+    spark, at, rest = s.sparkSession, ("shift", "range"), ("z", "key", "classification", "vector")
     found = cuts(s, config)
-    objects = _ranged(s.select("shift", "z", "key"), found)
-    own = W.partitionBy(*at)
-    objects = objects.withColumn("i", F.row_number().over(own.orderBy("z", "key")))
+    objects = _ranged(s.select("shift", *rest), found)
     sizes: dict[int, dict[int, int]] = {}
-    for shift, r, n in objects.groupBy(*at).count().collect():
+    for shift, r, n in _ranged(s.select("shift", "z"), found).groupBy(*at).count().collect():
         sizes.setdefault(shift, {})[r] = n
-    guests = _guests(sizes, {shift: len(z) + 1 for shift, z in found.items()}, 2 * k)
-    total: dict[tuple[int, int], int] = {(shift, r): n for shift, held in sizes.items() for r, n in held.items()}
-    for shift, _, to, head, tail in guests:
-        total[shift, to] = total.get((shift, to), 0) + head + tail
-    plan = spark.createDataFrame([(shift, r, to, head, tail, sizes[shift][r]) for shift, r, to, head, tail in guests], "shift int, range int, to int, head int, tail int, size long")
-    visiting = objects.join(F.broadcast(plan), list(at)).where("i <= head or i > size - tail").select("shift", F.col("to").alias("range"), "z", "key")
-    line = objects.select(*at, "z", "key").unionByName(visiting).withColumn("db", F.lit(1))
-    line = line.unionByName(_ranged(q.select("shift", "z", "key"), found).withColumn("db", F.lit(0)))
-    line = line.withColumn("place", F.sum("db").over(own.orderBy("z", "db", "key").rowsBetween(W.unboundedPreceding, 0)))
-    counts = spark.createDataFrame([(shift, r, n) for (shift, r), n in total.items()], "shift int, range int, n long")
-    placed = line.where("db = 1").select(*at, F.col("place").alias("at"), F.col("key").alias("db_key"))
-    asked = line.where("db = 0").join(F.broadcast(counts), list(at))
-    low = F.greatest(F.lit(1), F.least(F.col("place") - k + 1, F.col("n") - 2 * k + 1))
-    wanted = asked.select(*at, F.col("key").alias("query_key"), F.explode(F.sequence(low, F.least(F.col("n"), low + 2 * k - 1))).alias("at"))
-    return wanted.join(placed, [*at, "at"]).select("query_key", "db_key").distinct()
+    guests = _guests(sizes, {shift: len(z) + 1 for shift, z in found.items()}, 2 * reach)
+    line = objects.select(*at, *rest)
+    if guests:
+        plan = spark.createDataFrame([(shift, r, to, head, tail, sizes[shift][r]) for shift, r, to, head, tail in guests], "shift int, range int, to int, head int, tail int, size long")
+        placed = objects.withColumn("i", F.row_number().over(W.partitionBy(*at).orderBy("z", "key")))
+        visiting = placed.join(F.broadcast(plan), list(at)).where("i <= head or i > size - tail").select("shift", F.col("to").alias("range"), *rest)
+        line = line.unionByName(visiting)
+    line = line.withColumn("db", F.lit(1)).unionByName(_ranged(q.select("shift", *rest), found).select(*at, *rest).withColumn("db", F.lit(0)))
+    line = line.repartition(partitions(q), *at).sortWithinPartitions(*at, "z", "db", "key").drop("z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, windows, last = None, None, None
+        for batch in batches:
+            shift, part = (batch.column(c).to_numpy() for c in at)
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(shift) != 0) | (np.diff(part) != 0)])) if len(batch) else []
+            for lo, hi in zip(first, [*first[1:], len(batch)], strict=True):
+                if (shift[lo], part[lo]) != now:
+                    if windows:
+                        yield from windows.see(last.slice(0, 0), end=True)
+                    now, windows = (shift[lo], part[lo]), _Windows(reach, k, metric)
+                last = batch.slice(lo, hi - lo)
+                yield from windows.see(last)
+        if windows:
+            yield from windows.see(last.slice(0, 0), end=True)
+
+    kinds = [df.schema["key"].dataType.simpleString() for df in (q, s)]
+    return line.mapInArrow(run, f"query_key {kinds[0]}, query_class int, db_key {kinds[1]}, db_class int, distance float")
 
 
 def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConfig | None = None, shifts: list[list[int]] | None = None, edges: dict[int, list[tuple[bytes, bytes, bytes, bytes]]] | None = None) -> DataFrame:
@@ -220,20 +282,16 @@ def knn_curve(queries: DataFrame, database: DataFrame, k: int, config: CurveConf
     if config.scale * (high - low) + config.range >= 2**31:
         raise ValueError("scale x spread + range must stay below 2**31")
     shifts = shifts or zorder.shifts(dim, config.shifts, config.range, config.seed)
-    q, s = (on_curves(df, shifts, config.scale, low, config.curve).drop("coords") for df in (queries, database))
     if config.entire_buckets and not config.only_zorder:
         whole = {i: [(zorder.least(dim), zorder.greatest(dim)) * 2] for i in range(len(shifts))}
+        q, s = (on_curves(df, shifts, config.scale, low, config.curve).drop("coords") for df in (queries, database))
         q, s = partitioned(q, s, edges or (whole if config.partitions <= 1 else sketched_ranges(q, s, k, config, dim)))
         g = F.concat_ws(":", "shift", "part")
         q, s = (a.select("key", g.alias("g")).join(b.select("key", "classification", "vector"), "key") for a, b in ((q, queries), (s, database)))
         return best(searched(q, s, plain_search(k), shares=crowded(q, s)), k)
-    pairs = neighbours_on_curve(q, s, k * config.reach, config)
+    metric: Metric = L2()
+    sides = [df.select("key", "classification", "vector", F.col("vector").alias("kept")) for df in (queries, database)]
     if config.only_zorder:
-        plain = lambda df: df.select("key", "classification", zorder.quantized(F.col("vector"), config.scale, low, [0] * dim).alias("vector"))
-        queries, database, metric = plain(queries), plain(database), L2Quantized(config.scale)
-    else:
-        metric = L2()
-    a = queries.select(F.col("key").alias("query_key"), F.col("classification").alias("query_class"), F.col("vector").alias("x"))
-    b = database.select(F.col("key").alias("db_key"), F.col("classification").alias("db_class"), F.col("vector").alias("y"))
-    found = pairs.join(a, "query_key").join(b, "db_key").select("query_key", "query_class", "db_key", "db_class", beside(metric)("x", "y").alias("distance"))
-    return best(found, k, repeated=False)
+        sides, metric = [df.withColumn("kept", zorder.quantized(F.col("vector"), config.scale, low, [0] * dim)) for df in sides], L2Quantized(config.scale)
+    q, s = (on_curves(df, shifts, config.scale, low, config.curve, ("classification", "kept")).drop("coords").withColumnRenamed("kept", "vector") for df in sides)
+    return best(near_on_curve(q, s, k * config.reach, k, config, metric), k)
