@@ -26,6 +26,8 @@ from simjoin.operators.topk import Nearest, Search
 
 #: Above any bin.
 _WIDTH = 1 << 32
+#: Blocks whose shared bins are named this often, on average, are multiplied as matrices, so many bins at a time.
+FILLED, BINS = 0.1, 512
 
 
 @dataclass(frozen=True)
@@ -86,11 +88,25 @@ def _by_bin(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return bins, np.append(first, len(order)), block.rows[order], block.rests[order]
 
 
+def _dense(n: int, first: np.ndarray, rows: np.ndarray, rests: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The rests of ``n`` records in the given bins of an inverted list."""
+    out, sizes = np.zeros((n, len(bins))), np.diff(first)[bins]
+    column = np.repeat(np.arange(len(bins)), sizes)
+    at = first[bins][column] + np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[rows[at], column] = rests[at]
+    return out
+
+
 def products(q: Block, s: Block) -> np.ndarray:
     """The products of the rests of all rows of q and s."""
     out = np.zeros((len(q), len(s)))
     (q_bins, q_first, q_rows, q_rests), (s_bins, s_first, s_rows, s_rests) = _by_bin(q), _by_bin(s)
     _, a, b = np.intersect1d(q_bins, s_bins, assume_unique=True, return_indices=True)
+    named = np.diff(q_first)[a] / max(1, len(q)) * np.diff(s_first)[b] / max(1, len(s))  # of all products of a bin, those that are there
+    full = named >= FILLED**2
+    for at in range(0, int(full.sum()), BINS):
+        out += _dense(len(q), q_first, q_rows, q_rests, a[full][at : at + BINS]) @ _dense(len(s), s_first, s_rows, s_rests, b[full][at : at + BINS]).T
+    a, b = a[~full], b[~full]
     for i, j in zip(a.tolist(), b.tolist(), strict=True):
         left, right = slice(q_first[i], q_first[i + 1]), slice(s_first[j], s_first[j + 1])
         out[np.ix_(q_rows[left], s_rows[right])] += np.outer(q_rests[left], s_rests[right])

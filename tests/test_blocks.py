@@ -1,5 +1,9 @@
 """All pairs by blocks: what moves, and how they are multiplied."""
 
+import numpy as np
+import pytest
+
+from simjoin.operators import sparse
 from simjoin.operators.naive import BLOCK, blocks_and_ways
 from simjoin.operators.topk import QUERIES
 
@@ -12,3 +16,21 @@ def test_rows_that_move_grow_with_the_tables():
     for n_q, n_db, tasks in ((0, 0, 5), (1, 0, 5), (0, 7, 5), (3, 500, 8), (50_000, 10, 8), (10**6, 10**7, 200)):
         blocks, ways = blocks_and_ways(n_q, n_db, tasks)
         assert blocks >= max(1, n_db / BLOCK) and ways >= max(1, n_q / QUERIES)
+
+
+@pytest.mark.parametrize("filled", [0.02, 0.2, 1.0])
+def test_products_as_matrices_and_by_lists(monkeypatch, filled):
+    rng = np.random.default_rng(3)
+
+    def block(n):
+        there = rng.random((n, 40)) < filled
+        return sparse.Block(np.zeros(n, np.float32), np.concatenate([[0], np.cumsum(there.sum(1))]), np.nonzero(there)[1], rng.standard_normal(int(there.sum())).astype(np.float32)), there
+
+    (q, in_q), (s, in_s) = block(70), block(90)
+    dense = [np.zeros(there.shape) for there in (in_q, in_s)]
+    for d, there, b in zip(dense, (in_q, in_s), (q, s)):
+        d[there] = b.values
+    monkeypatch.setattr(sparse, "BINS", 7)
+    seen, kept = [], sparse._dense
+    monkeypatch.setattr(sparse, "_dense", lambda *a: seen.append(1) or kept(*a))
+    assert np.allclose(sparse.products(q, s), dense[0] @ dense[1].T) and bool(seen) == (filled > 0.1)
