@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 
-from simjoin.operators import sparse
+from simjoin.functions.metric import L2
+from simjoin.operators import profile, sparse
 from simjoin.operators.naive import BLOCK, blocks_and_ways
 from simjoin.operators.topk import QUERIES
+from tests.test_joins import frame
 
 
 def test_rows_that_move_grow_with_the_tables():
@@ -34,3 +36,18 @@ def test_products_as_matrices_and_by_lists(monkeypatch, filled):
     seen, kept = [], sparse._dense
     monkeypatch.setattr(sparse, "_dense", lambda *a: seen.append(1) or kept(*a))
     assert np.allclose(sparse.products(q, s), dense[0] @ dense[1].T) and bool(seen) == (filled > 0.1)
+
+
+def test_histogram_by_products(spark):
+    """Equal to exact distances in every step, over copies, rows almost alike and distances on the edges of steps; few distances are computed by the definition."""
+    rng = np.random.default_rng(4)
+    s = np.concatenate([rng.integers(0, 9, (150, 2)), rng.integers(0, 9, (100, 2)) + 1e-4 * rng.random((100, 2)), np.repeat(rng.random((3, 2)), 20, 0)]).astype(np.float32)
+    d = L2().all_pairs(s, s)[np.tril_indices(len(s), -1)].astype(np.float64)
+    for bins in (5, 200):
+        low, width = d.min(), (d.max() - d.min()) / bins
+        want = np.bincount(np.minimum(bins - 1, np.floor((d - low) / width + 0.5).astype(int)), minlength=bins)
+        got = profile.distance_histogram(frame(spark, s), 1.0, bins).collect()
+        assert [r["count"] for r in got] == want[want > 0].tolist()
+    x, y = rng.standard_normal((2, 300, 64)).astype(np.float32)
+    pairs = profile._Pairs(L2(), x, y, None, None)
+    assert np.abs(pairs.rough - L2().all_pairs(x, y).ravel()).max() <= pairs.off < 1e-5
