@@ -122,37 +122,72 @@ def l2_sparse(x: Column, y: Column) -> Column:
     return F.when(fits, total).otherwise(F.raise_error(F.lit("records differ in dimension")).cast("float"))
 
 
+def _beside(metric: Metric, x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the rows i of x to the rows j of y, of which a bounded number is laid out at a time."""
+    step = max(1, PAIRS // max(1, x.shape[1]))
+    return np.concatenate([np.empty(0, np.float32), *[metric.rows(x[i[at : at + step]], y[j[at : at + step]]) for at in range(0, len(i), step)]])
+
+
+class _Products:
+    """Squares of L2 distances to the rows of s, less the queries' own squares, by a matrix product.
+
+    All are moved by the mean of s, so that squares are not much larger than distances, and
+    multiplied as float32 where its range allows that.
+    """
+
+    def __init__(self, s: np.ndarray):
+        self.centre = s.mean(0, dtype=np.float64)
+        self.s64 = s - self.centre
+        self.norm = np.einsum("ij,ij->i", self.s64, self.s64)
+        self.most = float(self.norm.max())
+        self.of_kind: dict[type, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the squares, how much is left out of each row, how far those of a row may be off)."""
+        q64 = q - self.centre
+        own = np.einsum("ij,ij->i", q64, q64)
+        kind = np.float32 if self.most + own.max() < 1e30 and self.most + own.min() > 1e-25 else np.float64
+        if kind not in self.of_kind:
+            self.of_kind[kind] = (-2 * self.s64.T).astype(kind), self.norm.astype(kind)
+        s, norm = self.of_kind[kind]
+        d2 = q64.astype(kind) @ s
+        d2 += norm
+        # a product of n numbers is off by n roundings of |x||y| at most; the rest is of sums, of what was moved, and of the definition's differences
+        return d2, own, (q.shape[1] + 24) * 2.0**-23 * (own + self.most) if kind is np.float32 else 1e-9 * (own + self.most)
+
+
 def near_pairs(metric: Metric, q: np.ndarray, s: np.ndarray, limit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of q, row of s, distance), in blocks of q: of each row its k nearest, and others no nearer than those may be
     among them, but none beyond the row's ``limit``.
 
     For L2 a matrix product finds candidates, and only their distances are computed by the
-    definition; a margin covers the product's rounding.
+    definition; a margin covers the product's rounding. What is held is bounded, however
+    many rows q has and however few s.
     """
     if not len(s):
         return
-    product = isinstance(metric, L2)
-    s64 = s.astype(np.float64) if product else None
-    norm = np.einsum("ij,ij->i", s64, s64) if product else None
+    products = _Products(s) if isinstance(metric, L2) else None
     step = max(1, PAIRS // len(s))
     for at in range(0, len(q), step):
         part, most = q[at : at + step], limit[at : at + step].astype(np.float64)
-        if product:
-            p64 = part.astype(np.float64)
-            own = np.einsum("ij,ij->i", p64, p64)
-            d2 = own[:, None] + norm[None] - 2 * (p64 @ s64.T)
+        if products:
+            d, own, off = products.of(part)
+            width = lambda last, rows: (last + np.abs(last) * 1e-6 + 2 * off[rows] - own[rows])[:, None]  # noqa: B023, E731
             last = most**2
-            if len(s) > k:
-                last = np.minimum(last, np.partition(d2, k - 1, axis=1)[:, k - 1])
-            i, j = np.nonzero(d2 <= (last + np.abs(last) * 1e-6 + 1e-9 * (own + norm.max()))[:, None])
-            d = metric.rows(part[i], s[j])
         else:
-            dist = metric.all_pairs(part, s)
-            last = np.minimum(most, np.partition(dist, k - 1, axis=1)[:, k - 1]) if len(s) > k else most
-            i, j = np.nonzero(dist <= last[:, None])
-            d = dist[i, j]
-        inside = d <= most[i]
-        yield i[inside] + at, j[inside], d[inside]
+            d, own = metric.all_pairs(part, s), np.zeros(len(part))
+            width = lambda last, rows: last[:, None]
+            last = most
+        near = d <= width(last, slice(None)).astype(d.dtype)
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * k) if len(s) > k else ()
+        if len(many):  # where the limit leaves few, they need not be told apart
+            some = d[many]
+            kth = np.partition(some, k - 1, axis=1)[:, k - 1].astype(np.float64)
+            near[many] = some <= width(np.minimum(last[many], kth + own[many]), many).astype(d.dtype)
+        i, j = np.divmod(np.flatnonzero(near), len(s))
+        found = _beside(metric, part, i, s, j) if products else d[i, j]
+        inside = found <= most[i]
+        yield i[inside] + at, j[inside], found[inside]
 
 
 def block_topk(metric: Metric, q: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

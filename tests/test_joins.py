@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from simjoin.functions import hashing, hilbert, quantiles, zorder
+from simjoin.functions import hashing, hilbert, metric, quantiles, zorder
 from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
 from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_index, pivot_join, pivots, profile, sparse, topk
 from simjoin.operators.pivot_index import PivotIndex
@@ -611,3 +611,31 @@ def test_distances_in_blocks(spark):
     want = sorted(L2().all_pairs(s, s)[np.tril_indices(50, -1)].tolist())
     for block in (1_000, 7):
         assert sorted(r.distance for r in profile.distances(frame(spark, s), block=block).collect()) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [1, 3, 400])
+def test_distances_of_candidates_are_bounded(monkeypatch, n):
+    """However many queries meet however few objects, also where all of these are equally near, few vectors are laid out at a time."""
+    laid = []
+    monkeypatch.setattr(metric, "PAIRS", 4_096)
+    monkeypatch.setattr(L2, "rows", lambda self, x, y, rows=L2.rows: laid.append(x.size) or rows(self, x, y))
+    q, s = data(70, 900, 16), np.repeat(data(71, -(-n // 4), 16), 4, 0)[:n]
+    i, j, d = block_topk(L2(), q, s, 3)
+    assert 0 < max(laid) <= 4_096
+    want = brute(q, s, 3)
+    assert sorted(zip(i.tolist(), d.tolist(), j.tolist())) == [(x, *pair) for x in want for pair in want[x]]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e-18, 1e17])
+@pytest.mark.parametrize("at", [0.0, 300.0])
+def test_products_miss_no_neighbour(scale, at):
+    """Vectors far from the origin, of very small and very large numbers, with and without a limit that others have set."""
+    q, s = (((data(seed, n, 24) + at) * scale).astype(np.float32) for seed, n in ((72, 60), (73, 700)))
+    s[:60] = q
+    want = brute(q, s, 5)
+    for limit in (np.full(60, np.inf, np.float32), np.array([want[x][-1][0] for x in want], np.float32)):
+        found = {}
+        for i, j, d in metric.near_pairs(L2(), q, s, limit, 5):
+            for x in zip(i.tolist(), d.tolist(), j.tolist()):
+                found.setdefault(x[0], []).append(x[1:])
+        assert {x: sorted(y)[:5] for x, y in found.items()} == want
