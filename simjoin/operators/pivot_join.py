@@ -216,7 +216,7 @@ class PivotJoin:
         """
         kind = self.config.variant
         few = self.config.max_buckets if kind in ("APPROX", "QUERY_REP") else None
-        parts = np.maximum(1, -(-self.voronoi.db_n // travel.HELD))
+        parts = travel.parts_of(self.voronoi.db_n, self.pivots.shape[1])
         routes = travel.Routes(self.voronoi, self.static, parts, self.config.epsilon if kind.startswith("EPSILON") else 1.0, groups, few, self.depth if kind == "QUERY_REP" else None)
         one = lambda df: df.select(F.get("nearest_pivots", F.lit(0)).alias("cell"), "key", "classification", "vector")
         found = travel.travelled(one(self.queries), one(self._stored(1)), self.k, routes, self.observed["db_replications"]).observe(self.observed["distance_computations"], F.sum("cost").alias("n"))

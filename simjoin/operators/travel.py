@@ -23,8 +23,8 @@ from simjoin.operators.bounds import SLACK, beyond_plane
 from simjoin.operators.pivots import Voronoi
 from simjoin.operators.topk import key_parts, matrix, partitions
 
-#: Objects that a task holds at a time; cells with more are dealt to several parts.
-HELD = 250_000
+#: Objects that a task holds at a time, and numbers of their vectors; cells with more are dealt to several parts.
+HELD, NUMBERS = 250_000, 6_400_000
 #: Queries that are searched together.
 TOGETHER = 20_000
 #: Objects of a small ball, and into how many a larger one is cut.
@@ -182,6 +182,11 @@ class Routes:
         return go if self.most_cells is None and self.depth is None else go & self._may(d)
 
 
+def parts_of(n: np.ndarray, dim: int) -> np.ndarray:
+    """Into how many parts cells of so many objects are dealt, so that a task's memory depends neither on these nor on their vectors' length."""
+    return np.maximum(1, -(-n // max(1, min(HELD, NUMBERS // max(1, dim)))))
+
+
 def _rows(df: DataFrame, kind: int, **columns) -> DataFrame:
     more = {"home": F.lit(None).cast("int"), "last": F.lit(None).cast("float")} | columns
     return df.select("cell", "part", F.lit(kind).alias("kind"), "key", "classification", "vector", *[c.alias(n) for n, c in more.items()])

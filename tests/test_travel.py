@@ -46,3 +46,17 @@ def test_groups_may_be_fixed(spark):
     """Queries whose SQL has so many groups have them over a table of any size."""
     groups = lambda n: len(set(PivotJoin(frame(spark, data(68, 20)), frame(spark, data(69, 90)), 3, PivotConfig(pivot_count=12, static_count=2, groups=4, group_objects=n)).groups.tolist()))
     assert (groups(10), groups(None)) == (9, 4)
+
+
+def test_parts_of_cells_hold_bounded_numbers(spark, monkeypatch):
+    """Of long vectors a task holds fewer."""
+    n = np.array([0, 1, 100_000, 100_001, 250_001, 600_000])
+    assert travel.parts_of(n, 64).tolist() == [1, 1, 1, 2, 3, 6] and travel.parts_of(n, 4).tolist() == [1, 1, 1, 1, 2, 3]
+    assert travel.parts_of(n[:2], 10**8).tolist() == [1, 1]
+    monkeypatch.setattr(travel, "NUMBERS", 160)
+    q, s = data(74, 30, 8), data(75, 300, 8)
+    made = []
+    monkeypatch.setattr(travel, "Routes", lambda *args, kind=travel.Routes: made.append(kind(*args)) or made[-1])
+    plan = PivotJoin(frame(spark, q), frame(spark, s), 5, PivotConfig(**SMALL))
+    assert lists(plan.result()) == brute(q, s, 5)
+    assert (made[0].parts * 20 >= plan.voronoi.db_n).all() and made[0].parts.max() > 1
