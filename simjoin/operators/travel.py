@@ -35,13 +35,13 @@ OBJECT, QUERY, LIST = 0, 1, 2
 
 @dataclass
 class _Ball:
-    """Objects (rows, if it is small) within ``radius`` of a centre, or smaller balls."""
+    """Objects within ``radius`` of a centre, and smaller balls of them if they are many."""
 
     centre: np.ndarray
     radius: float
-    name: int
-    rows: np.ndarray | None
+    rows: np.ndarray
     inner: list[_Ball]
+    leaves: range  # the numbers of its small balls
 
 
 class Cell:
@@ -63,16 +63,16 @@ class Cell:
 
     def _cut(self, rows: np.ndarray, centre: np.ndarray) -> _Ball:
         d = self.metric.all_pairs(self.vectors[rows], centre[None])[:, 0].astype(np.float64)
-        ball = _Ball(centre, float(d.max()) * (1 + SLACK), self.leaves, rows, [])
+        radius, first = float(d.max()) * (1 + SLACK), self.leaves
         if len(rows) <= LEAF:
             self.leaves += 1
-            return ball
+            return _Ball(centre, radius, rows, [], range(first, self.leaves))
         centres = self.vectors[rows[np.linspace(0, len(rows) - 1, FAN).astype(int)]]
         near = block_topk(self.metric, self.vectors[rows], centres, 1)[1]
         if (near == near[0]).all():  # nothing to tell them apart by
             near = np.arange(len(rows)) * FAN // len(rows)
-        ball.rows, ball.inner = None, [self._cut(rows[near == i], centres[i]) for i in np.unique(near).tolist()]
-        return ball
+        inner = [self._cut(rows[near == i], centres[i]) for i in np.unique(near).tolist()]
+        return _Ball(centre, radius, rows, inner, range(first, self.leaves))
 
 
 class _Asked:
@@ -83,7 +83,8 @@ class _Asked:
         self.d, self.at = np.full((len(vectors), k), np.inf, np.float32), np.full((len(vectors), k), -1)
         if cell is not None and len(vectors):
             everyone, self.first = np.arange(len(vectors)), np.full(len(vectors), -1)
-            self._nearest_leaf(cell.root, everyone)
+            if len(free := np.flatnonzero(np.isinf(self.limit))):
+                self._nearest_leaf(cell.root, free)
             self._within(cell.root, everyone)
 
     @property
@@ -102,19 +103,25 @@ class _Asked:
 
     def _nearest_leaf(self, ball: _Ball, q: np.ndarray) -> None:
         """A first radius."""
-        if ball.rows is not None:
-            self.first[q] = ball.name
+        if not ball.inner:
+            self.first[q] = ball.leaves.start
             return self._meet(ball, q)
         child = self._apart(ball, q).argmin(1)
         for i in np.unique(child).tolist():
             self._nearest_leaf(ball.inner[i], q[child == i])
 
     def _within(self, ball: _Ball, q: np.ndarray) -> None:
-        if ball.rows is not None:
-            return self._meet(ball, q[self.first[q] != ball.name])
-        d = self._apart(ball, q)
-        for i in np.argsort(d.min(0)).tolist():
-            if len(go := q[d[:, i] - ball.inner[i].radius <= self.near[q]]):
+        """A query meets a ball whole if its own is not much smaller and needs most of it, unless a part of it was met before; else the smaller balls it needs."""
+        fresh = (self.first[q] < ball.leaves.start) | (self.first[q] >= ball.leaves.stop)
+        if not ball.inner:
+            return self._meet(ball, q[fresh])
+        d, radius, n = self._apart(ball, q), np.array([b.radius for b in ball.inner]), np.array([len(b.rows) for b in ball.inner])
+        near = self.near[q]
+        whole = fresh & (near > ball.radius / 3) & ((d - radius <= near[:, None]) @ n > len(ball.rows) / 2)
+        self._meet(ball, q[whole])
+        q, d = q[~whole], d[~whole]
+        for i in np.argsort(d.min(0)).tolist() if len(q) else ():
+            if len(go := q[d[:, i] - radius[i] <= self.near[q]]):
                 self._within(ball.inner[i], go)
 
     def _meet(self, ball: _Ball, q: np.ndarray) -> None:

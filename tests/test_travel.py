@@ -1,8 +1,10 @@
 """The pivot join of large databases: queries travel, objects do not."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from simjoin.functions.metric import L2
 from simjoin.operators import travel
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import PivotConfig
@@ -60,3 +62,23 @@ def test_parts_of_cells_hold_bounded_numbers(spark, monkeypatch):
     plan = PivotJoin(frame(spark, q), frame(spark, s), 5, PivotConfig(**SMALL))
     assert lists(plan.result()) == brute(q, s, 5)
     assert (made[0].parts * 20 >= plan.voronoi.db_n).all() and made[0].parts.max() > 1
+
+
+def _asked(s, q, k, limit):
+    rows = pa.table({"key": pa.array(range(len(s)), pa.int64()), "classification": pa.array([0] * len(s), pa.int32()), "vector": pa.array(list(s), pa.list_(pa.float32()))})
+    return travel._Asked(travel.Cell(rows, k, L2()), q, limit, k, 1.0)
+
+
+@pytest.mark.parametrize("dim", [40, 2])
+@pytest.mark.parametrize("limited", [False, True])
+def test_balls_are_met_whole_where_most_is_needed(monkeypatch, dim, limited):
+    """Where no ball can be left out a cell is one block, else few objects are met; no object twice."""
+    q, s = data(76, 50, dim), data(77, 6_000, dim)
+    want, met = brute(q, s, 5), []
+    monkeypatch.setattr(travel, "near_pairs", lambda metric, x, y, *more, f=travel.near_pairs: met.append(len(x) * len(y)) or f(metric, x, y, *more))
+    asked = _asked(s, q, 5, np.array([want[i][-1][0] for i in want]) if limited else np.full(50, np.inf))
+    assert {i: [(float(d), int(j)) for d, j in zip(asked.d[i], asked.at[i])] for i in want} == want
+    if dim == 2:
+        assert sum(met) < 0.2 * len(q) * len(s)
+    else:
+        assert sum(met) <= len(q) * len(s) and (not limited or len(met) == 1)
