@@ -178,8 +178,10 @@ def near_pairs(metric: Metric, q: np.ndarray, s: np.ndarray, limit: np.ndarray,
             d, own = metric.all_pairs(part, s), np.zeros(len(part))
             width = lambda last, rows: last[:, None]
             last = most
+        if k == 1:
+            last = np.minimum(last, d.min(1).astype(np.float64) + own)
         near = d <= width(last, slice(None)).astype(d.dtype)
-        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * k) if len(s) > k else ()
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 4 * k) if len(s) > k > 1 else ()
         if len(many):  # where the limit leaves few, they need not be told apart
             some = d[many]
             kth = np.partition(some, k - 1, axis=1)[:, k - 1].astype(np.float64)

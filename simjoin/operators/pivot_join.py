@@ -22,7 +22,7 @@ from simjoin.functions.metric import L2, Metric, near_pairs
 from simjoin.operators import topk, travel
 from simjoin.operators.bounds import SLACK, beyond_plane, cell_upper, group_copies, lower_bounds, query_upper, upper_bounds
 from simjoin.operators.pivot_index import PivotIndex
-from simjoin.operators.pivots import Voronoi, assigned, cell_stats, cut_regions, grouped, reverse_nearest, sampled_pivots, static_pivots, union_of
+from simjoin.operators.pivots import Voronoi, assigned, cell_stats, cut_regions, grouped, reverse_nearest, sampled_pivots, static_pivots, stats_of, union_of
 from simjoin.operators.topk import Nearest, Search, best, crowded, matrix, searched
 from simjoin.plans.config import PivotConfig
 
@@ -48,6 +48,7 @@ class PivotJoin:
         if not len(self.pivots):
             raise ValueError("the database is empty")
         self.depth = min(self.config.max_rec_depth, len(self.pivots))
+        self._plain = queries, database
         self.queries = assigned(queries, self.pivots, self.static, self.depth, self.metric)
         self._stored = lambda depth: self.index.objects(depth) if self.index else assigned(database, self.pivots, self.static, depth, self.metric)
         self.database = self._stored(self.depth)
@@ -64,8 +65,8 @@ class PivotJoin:
         if self._voronoi is None and self.index:
             self._voronoi = self.index.voronoi(self.queries, self.k)
         elif self._voronoi is None:
-            near = union_of(self._stored(1), self.queries)  # statistics need no more than the nearest pivot
-            self._voronoi = Voronoi.of(self.pivots, cell_stats(near, self.k, len(self.static)), self.k, self.metric)
+            queries, database = self._plain
+            self._voronoi = Voronoi.of(self.pivots, stats_of(database, queries, self.pivots, self.static, self.k, self.metric), self.k, self.metric)
         return self._voronoi
 
     @property
@@ -216,11 +217,15 @@ class PivotJoin:
         """
         kind = self.config.variant
         few = self.config.max_buckets if kind in ("APPROX", "QUERY_REP") else None
-        parts = travel.parts_of(self.voronoi.db_n, self.pivots.shape[1])
-        routes = travel.Routes(self.voronoi, self.static, parts, self.config.epsilon if kind.startswith("EPSILON") else 1.0, groups, few, self.depth if kind == "QUERY_REP" else None)
-        one = lambda df: df.select(F.get("nearest_pivots", F.lit(0)).alias("cell"), "key", "classification", "vector")
-        found = travel.travelled(one(self.queries), one(self._stored(1)), self.k, routes, self.observed["db_replications"]).observe(self.observed["distance_computations"], F.sum("cost").alias("n"))
-        return best(found, self.k, repeated=False)
+        (queries, database), parts = self._plain, travel.parts_of(self.voronoi.db_n, self.pivots.shape[1])
+        if self.index:
+            database = self._stored(1).select("key", "classification", "vector", F.get("nearest_pivots", F.lit(0)).alias("cell"), F.get("nearest_dists", F.lit(0)).alias("dist"))
+        edges = ()
+        if parts.max() > 1:  # where the rings end need not be exact, so one of some objects tells it
+            some = database.where(F.pmod(F.xxhash64("key"), F.lit(max(1, travel.HELD // 2_000))) == 0)
+            edges = travel.rings(travel.placed(some, self.voronoi), parts)
+        routes = travel.Routes(self.voronoi, self.static, parts, self.config.epsilon if kind.startswith("EPSILON") else 1.0, groups, few, self.depth if kind == "QUERY_REP" else None, edges)
+        return travel.travelled(queries, database, self.k, routes, self.observed["db_replications"], self.observed["distance_computations"])
 
     def exclusions(self) -> DataFrame:
         """(query_key, cells, by_difference, by_plane): how many database cells a query's own bound excludes.

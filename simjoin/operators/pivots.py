@@ -42,10 +42,8 @@ def assigned(objects: DataFrame, pivots: np.ndarray, static: np.ndarray, depth:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, fixed = sent.value
         for batch in batches:
-            vectors = matrix(batch.column("vector"))
-            _, near, d = block_topk(own, vectors, centres, depth)
-            to_static = own.all_pairs(vectors, centres[fixed]) if len(batch) and len(fixed) else np.empty((len(batch), len(fixed)), np.float32)
-            lists = lambda a, width, t: pa.array(list(a.reshape(len(batch), width)), pa.list_(t))
+            near, d, to_static = _to_pivots(own, matrix(batch.column("vector")), centres, fixed, depth)
+            lists = lambda a, width, t: pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * np.int32(width)), pa.array(a.ravel(), t))
             more = [lists(near.astype(np.int32), depth, pa.int32()), lists(d, depth, pa.float32()), lists(to_static, len(fixed), pa.float32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "nearest_pivots", "nearest_dists", "static_dists"])
 
@@ -53,10 +51,43 @@ def assigned(objects: DataFrame, pivots: np.ndarray, static: np.ndarray, depth:
     return objects.select("key", "classification", "vector").mapInArrow(run, kind + ", nearest_pivots array<int>, nearest_dists array<float>, static_dists array<float>")
 
 
+def _to_pivots(metric: Metric, vectors: np.ndarray, centres: np.ndarray, fixed: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each vector: its ``depth`` nearest pivots and their distances, one after the other, and its distances to the static ones."""
+    _, near, d = block_topk(metric, vectors, centres, depth)
+    return near, d, metric.all_pairs(vectors, centres[fixed]) if len(vectors) and len(fixed) else np.empty((len(vectors), len(fixed)), np.float32)
+
+
 def union_of(database: DataFrame, queries: DataFrame) -> DataFrame:
     return database.withColumn("is_database", F.lit(True)).unionByName(queries.withColumn("is_database", F.lit(False)))
 
 
+def _summed_up(rows: Iterator[tuple[np.ndarray, ...]], k: int) -> pa.RecordBatch:
+    """Statistics of the cells of rows (pivot, distance, size, whether of the database, distances to static pivots)."""
+    held: dict[tuple[int, bool], list] = {}  # of each cell: distances of the k nearest, the largest, n, size, ranges
+    for pivot, d, size, db, fixed in rows:
+        if not len(pivot):
+            continue
+        order = np.lexsort((d, db, pivot))
+        pivot, d, size, db, fixed = pivot[order], d[order], size[order], db[order], fixed[order]
+        first = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (db[1:] != db[:-1])]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
+            cell, (lo, hi) = (int(pivot[a]), bool(db[a])), (fixed[a:b].min(0), fixed[a:b].max(0))
+            near, high, n, total, low_s, high_s = held.get(cell, (d[:0], d[a], 0, 0, lo, hi))
+            held[cell] = [np.sort(np.concatenate([near, d[a : min(b, a + k)]]))[:k], max(high, d[b - 1]), n + b - a, total + int(size[a:b].sum()), np.minimum(low_s, lo), np.maximum(high_s, hi)]
+    found = [(p, s, x[0].tolist(), float(x[0][0]), float(x[1]), x[2], x[3], x[4].tolist(), x[5].tolist()) for (p, s), x in held.items()]
+    floats = pa.list_(pa.float32())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int32(), pa.bool_(), floats, pa.float32(), pa.float32(), pa.int64(), pa.int64(), floats, floats))], names=["pivot_id", "is_database", "near", "low", "high", "n", "size", "static_low", "static_high"])
+
+
+SUMS = "pivot_id int, is_database boolean, near array<float>, low float, high float, n long, size long, static_low array<float>, static_high array<float>"
+
+
+def _merged(parts: DataFrame, k: int, static: int) -> DataFrame:
+    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("smallest")
+    each = lambda f, c: F.array(*[f(F.get(c, F.lit(i))) for i in range(static)]).cast("array<float>").alias(c)
+    return parts.groupBy("pivot_id", "is_database").agg(F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.sum("n").alias("n"), F.sum("size").alias("size"), smallest, each(F.min, "static_low"), each(F.max, "static_high"))
+
+
 def cell_stats(objects: DataFrame, k: int, static: int = 0) -> DataFrame:
     """Per (pivot_id, is_database): min_dist, max_dist, n, size, the k smallest distances, and ranges of static distances.
 
@@ -66,28 +97,30 @@ def cell_stats(objects: DataFrame, k: int, static: int = 0) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list] = {}  # of each cell: distances of the k nearest, the largest, n, size, ranges
-        for batch in batches:
-            if not len(batch):
-                continue
-            pivot, d, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot_id", "d", "size"))
-            db, fixed = batch.column("is_database").to_numpy(zero_copy_only=False), matrix(batch.column("static_dists"))[:, :static]
-            order = np.lexsort((d, db, pivot))
-            pivot, d, size, db, fixed = pivot[order], d[order], size[order], db[order], fixed[order]
-            first = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (db[1:] != db[:-1])]))
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(d)], strict=True):
-                cell, (lo, hi) = (int(pivot[a]), bool(db[a])), (fixed[a:b].min(0), fixed[a:b].max(0))
-                near, high, n, total, low_s, high_s = held.get(cell, (d[:0], d[a], 0, 0, lo, hi))
-                held[cell] = [np.sort(np.concatenate([near, d[a : min(b, a + k)]]))[:k], max(high, d[b - 1]), n + b - a, total + int(size[a:b].sum()), np.minimum(low_s, lo), np.maximum(high_s, hi)]
-        rows = [(p, s, x[0].tolist(), float(x[0][0]), float(x[1]), x[2], x[3], x[4].tolist(), x[5].tolist()) for (p, s), x in held.items()]
-        floats = pa.list_(pa.float32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), floats, pa.float32(), pa.float32(), pa.int64(), pa.int64(), floats, floats))], names=["pivot_id", "is_database", "near", "low", "high", "n", "size", "static_low", "static_high"])
+        numbers = lambda batch: (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pivot_id", "d", "size", "is_database"))
+        yield _summed_up(((*numbers(b), matrix(b.column("static_dists"))[:, :static]) for b in batches if len(b)), k)
 
     rows = objects.select(F.get("nearest_pivots", F.lit(0)).alias("pivot_id"), "is_database", F.get("nearest_dists", F.lit(0)).alias("d"), F.size("vector").cast("long").alias("size"), "static_dists")
-    parts = rows.mapInArrow(run, "pivot_id int, is_database boolean, near array<float>, low float, high float, n long, size long, static_low array<float>, static_high array<float>")
-    smallest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("smallest")
-    each = lambda f, c: F.array(*[f(F.get(c, F.lit(i))) for i in range(static)]).cast("array<float>").alias(c)
-    return parts.groupBy("pivot_id", "is_database").agg(F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.sum("n").alias("n"), F.sum("size").alias("size"), smallest, each(F.min, "static_low"), each(F.max, "static_high"))
+    return _merged(rows.mapInArrow(run, SUMS), k, static)
+
+
+def stats_of(database: DataFrame, queries: DataFrame, pivots: np.ndarray, static: np.ndarray, k: int, metric: Metric | None = None) -> DataFrame:
+    """The ``cell_stats`` of both sides, of which only vectors are read: the task that assigns them sums them up."""
+    sent, own = database.sparkSession.sparkContext.broadcast((pivots, static)), metric or L2()
+
+    def side(objects: DataFrame, db: bool) -> DataFrame:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+            for batch in batches:
+                vectors = matrix(batch.column("vector"))
+                near, d, fixed = _to_pivots(own, vectors, *sent.value, 1)
+                yield near, d, np.full(len(vectors), vectors.shape[1]), np.full(len(vectors), db), fixed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _summed_up(rows(batches), k)
+
+        return objects.select("vector").mapInArrow(run, SUMS)
+
+    return _merged(side(database, True).unionByName(side(queries, False)), k, len(static))
 
 
 def cut_regions(objects: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.cloudpickle import dumps
 
-from simjoin.functions.metric import L2
+from simjoin.functions.metric import L2, block_topk
 from simjoin.operators import travel
 from simjoin.operators.pivot_join import PivotJoin
 from simjoin.plans.config import PivotConfig
@@ -82,3 +83,31 @@ def test_balls_are_met_whole_where_most_is_needed(monkeypatch, dim, limited):
         assert sum(met) < 0.2 * len(q) * len(s)
     else:
         assert sum(met) <= len(q) * len(s) and (not limited or len(met) == 1)
+
+
+def test_few_parts_are_visited_and_objects_move_in_blocks(spark):
+    """Parts are rings, equal vectors are of one, and a row that moves holds the objects of a part that a task finds."""
+    s = np.concatenate([data(78, 500, 3), np.repeat(data(79, 1, 3), 300, 0)])
+    plan = PivotJoin(frame(spark, s[:5]), frame(spark, s), 5, PivotConfig(**SMALL))
+    v, parts = plan.voronoi, np.full(len(plan.pivots), 4)
+    routes = travel.Routes(v, plan.static, parts, 1.0, plan.groups, None, None, travel.rings(travel.placed(frame(spark, s), v), parts))
+    _, cell, d = block_topk(L2(), s, v.pivots, 1)
+    part = routes.part(cell, d.astype(np.float64), s)
+    assert len(set(part[500:].tolist())) == 1 and np.bincount(part[:500], minlength=4).min() > 50
+    i, c, to = routes.of(s, cell, np.zeros(len(s), np.float32))
+    assert set(zip(range(len(s)), cell.tolist(), part.tolist())) <= set(zip(i.tolist(), c.tolist(), to.tolist()))
+    assert len(np.flatnonzero(i < 500)) < 2 * 500
+    schema = frame(spark, s).limit(0).toArrow().schema
+    blocks = travel._blocks(frame(spark, s).coalesce(1), spark.sparkContext.broadcast(dumps(routes)), schema).collect()
+    assert sum(b.n for b in blocks) == len(s) and len(blocks) <= 4 * len(v.pivots)
+    rows = [(b.cell, b.part, x) for b in blocks for x in pa.ipc.read_record_batch(pa.py_buffer(b.block), schema).column("key").to_pylist()]
+    keys = frame(spark, s).select("key").toArrow().column("key").to_pylist()
+    assert sorted(rows, key=str) == sorted(zip(cell.tolist(), part.tolist(), keys), key=str)
+
+
+def test_lists_of_a_query_are_merged_in_order(spark):
+    """Its lists come from many cells; ties go to the smaller key, and null keys are one."""
+    rows = [(1, 0, [(5, 0, 1.0), (6, 0, 2.0)]), (1, 0, [(4, 1, 1.0)]), (1, 0, []), (2, 3, [(9, 0, 0.5)]), (None, 0, [(8, 0, 2.0)]), (None, 0, [(7, 0, 1.0)]), (3, 0, [])]
+    found = spark.createDataFrame(rows, "query_key long, query_class int, found array<struct<db_key:long,db_class:int,distance:float>>")
+    got = {(r.query_key, r["rank"]): (r.db_key, r.distance, r.db_class, r.query_class) for r in travel._in_order(found, 2).collect()}
+    assert got == {(1, 1): (4, 1.0, 1, 0), (1, 2): (5, 1.0, 0, 0), (2, 1): (9, 0.5, 0, 3), (None, 1): (7, 1.0, 0, 0), (None, 2): (8, 2.0, 0, 0)}
