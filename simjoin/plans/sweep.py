@@ -37,13 +37,13 @@ class SweepConfig:
 
 
 def sweep(queries: DataFrame, database: DataFrame, config: SweepConfig, base: PivotConfig | None = None, together: int = 1) -> DataFrame:
-    """Two rows, AVG and MAX of the k-th distance, for each combination.
+    """Two rows, AVG and MAX of the k-th distance, for each combination; of its upper bound for the *_BOUNDS methods.
 
     For each number of pivots the database is assigned once, at the greatest depth and for
     the greatest k, and kept as an index that all combinations share. EXACT and
     EXACT_BOUNDS do not depend on depth and ratio, so they run once for the others. So many
     combinations as ``together`` says run at a time, each in a scheduler pool of its own;
-    their times are then those of a shared cluster. A combination that fails has NaN.
+    their times are then those of a shared cluster. Where a combination fails, so does the sweep.
     """
     base, spark, rows = base or PivotConfig(), queries.sparkSession, []
     for pivots in config.pivot_counts:
@@ -72,12 +72,8 @@ def sweep(queries: DataFrame, database: DataFrame, config: SweepConfig, base: Pi
 
 def _measured(queries: DataFrame, database: PivotIndex, k: int, config: PivotConfig) -> tuple[float, float, float]:
     began = time.monotonic()
-    try:
-        r = kth_distance_stats(PivotJoin(queries, database, k, config).result(), k).first()
-        found = (r.avg_dist, r.max_dist)
-    except Exception:  # noqa: BLE001  the sweep goes on, as its rows say
-        found = (float("nan"), float("nan"))
-    return (*found, time.monotonic() - began)
+    r = kth_distance_stats(PivotJoin(queries, database, k, config).result(), k).first()
+    return r.avg_dist, r.max_dist, time.monotonic() - began
 
 
 def append_csv(rows: DataFrame, path: str) -> None:

@@ -15,6 +15,7 @@ from simjoin.functions.metric import L2, L2Quantized, block_topk, l2_sparse
 from simjoin.operators import bounds, curve, evaluate, kmeans, lsh, pivot_index, pivot_join, pivots, profile, sparse, topk
 from simjoin.operators.pivot_index import PivotIndex
 from simjoin.operators.pivot_join import PivotJoin
+from simjoin.plans import sweep as sweep_module
 from simjoin.plans.config import CurveConfig, LshConfig, PivotConfig
 from simjoin.plans.knn import knn_join
 from simjoin.plans.metrics import measured
@@ -572,6 +573,19 @@ def test_sweep(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "s"), sep=";").count() == 48
 
 
+def test_sweep_has_no_rows_of_failures(spark, monkeypatch):
+    """Where one of several combinations fails, the sweep has no result."""
+
+    def fails(results, k):
+        if k == 3:
+            raise RuntimeError("no distances")
+        return evaluate.kth_distance_stats(results, k)
+
+    monkeypatch.setattr(sweep_module, "kth_distance_stats", fails)
+    with pytest.raises(RuntimeError, match="no distances"):
+        sweep(frame(spark, data(1, 6)), frame(spark, data(2, 40)), SweepConfig((5,), (2, 3), (3,), (1,), (0.5,), ("EXACT",)))
+
+
 def test_stream(spark, tmp_path):
     s = frame(spark, data(2, 40))
     frame(spark, data(1, 6)).write.parquet(str(tmp_path / "q"))
