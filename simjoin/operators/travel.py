@@ -416,7 +416,7 @@ def travelled(queries: DataFrame, database: DataFrame, k: int, routes: Routes, m
     """
     spark, metric, epsilon = queries.sparkSession, routes.voronoi.metric, routes.epsilon
     sent = spark.sparkContext.broadcast(dumps(routes))
-    schema = pa.schema([pa.field(f.name, f.type) for f in database.select(*_OBJECT).limit(0).toArrow().schema])
+    schema = spark.createDataFrame([], f"key {database.schema['key'].dataType.simpleString()}, classification int, vector array<float>").toArrow().schema  # all may be null, as in what tasks return
     key_type = {"s": schema.field("key").type}
     q_kind, s_kind = (df.schema["key"].dataType.simpleString() for df in (queries, database))
     listed = f"array<struct<db_key:{s_kind},db_class:int,distance:float>>"
